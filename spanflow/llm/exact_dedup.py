@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanflow.llm.common import ASCII_SPACE, partitions, scratch, written
+from spanflow.llm.common import ASCII_SPACE, scratch, written
 
-_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; a partition's store is closed once its batch is committed, as each open one holds some MB.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def normalised(text: str = "text"):
@@ -27,21 +31,22 @@ def state_stream(facts: DataFrame, state: str, out: str) -> None:
     to ``out``. Counts and best locators are summed per task before the shuffle, so
     a digest with very many copies sends one row a task."""
     spark = facts.sparkSession
-    stream = spark.readStream.schema(facts.schema).parquet(*{f.rpartition("/")[0] for f in facts.inputFiles()[:1]})
+    stream = spark.readStream.schema(facts.schema).parquet(facts.inputFiles()[0].rpartition("/")[0])
     best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("id").isNull().alias("unnamed"), F.col("id"), F.col("check")))
     keyed = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
 
     def keep(changed: DataFrame, batch: int) -> None:
         changed.select("digest", "group_size", "best", F.lit(batch).alias("batch")).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    name = "spark.sql.streaming.stateStore.providerClass"
-    had = spark.conf.get(name, None)
-    spark.conf.set(name, _PROVIDER)
+    had = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         query = keyed.writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(name, had) if had else spark.conf.unset(name)
+        for k, v in had.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 256, state: str | None = None) -> DataFrame:
