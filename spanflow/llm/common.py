@@ -101,4 +101,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
