@@ -12,6 +12,8 @@ from spanflow.llm.exact_dedup import exact_dedup
 from spanflow.llm.mixing import mix
 from spanflow.llm.ngram_join import jaccard_join
 from spanflow.llm.packing import pack
+from spanflow.llm.substring_dedup import substring_dedup
+from spanflow.llm.suffix_dedup import suffix_dedup
 from spanflow.llm.token_counts import token_counts
 
 
@@ -23,6 +25,14 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +53,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op3_ngram_join, op6_chat_format, op7_pack, op8_exact_dedup, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_ngram_join, op4_substring_dedup, op6_chat_format, op7_pack, op8_exact_dedup, op10_token_counts)}
 
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": r"""
