@@ -12,6 +12,7 @@ from spanflow.llm.exact_dedup import exact_dedup
 from spanflow.llm.mixing import mix
 from spanflow.llm.ngram_join import jaccard_join
 from spanflow.llm.packing import pack
+from spanflow.llm.quality import fit, score
 from spanflow.llm.substring_dedup import substring_dedup
 from spanflow.llm.suffix_dedup import suffix_dedup
 from spanflow.llm.token_counts import token_counts
@@ -45,6 +46,11 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -53,7 +59,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_ngram_join, op4_substring_dedup, op6_chat_format, op7_pack, op8_exact_dedup, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_ngram_join, op4_substring_dedup, op6_chat_format, op7_pack, op8_exact_dedup, op9_quality, op10_token_counts)}
 
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": r"""
