@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spanflow.llm.chat import repair
+from spanflow.llm.embedding_dedup import near_dedup
 from spanflow.llm.exact_dedup import exact_dedup
 from spanflow.llm.mixing import mix
 from spanflow.llm.ngram_join import jaccard_join
@@ -38,6 +39,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(_table(spark, sf_dir, "conversations"))
 
@@ -59,7 +64,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_ngram_join, op4_substring_dedup, op6_chat_format, op7_pack, op8_exact_dedup, op9_quality, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_suffix_dedup, op3_ngram_join, op4_substring_dedup, op5_embedding_dedup, op6_chat_format, op7_pack, op8_exact_dedup, op9_quality, op10_token_counts)}
 
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": r"""
