@@ -65,8 +65,9 @@ def prune(x: np.ndarray) -> np.ndarray:
 
 
 def search(x: np.ndarray, graph: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, found) with a cosine of at least ``least``: from the medoid the graph is walked
-    greedily towards each query, and then on through everything that is near enough."""
+    """Pairs (query, found) with a cosine of at least ``least``: from the medoid and
+    the query's own links the graph is walked greedily towards each query, and then on
+    through everything that is near enough."""
     n = len(x)
     medoid = int((x @ x.mean(0)).argmax())
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -76,6 +77,7 @@ def search(x: np.ndarray, graph: np.ndarray, least: float) -> tuple[np.ndarray,
         done = np.zeros((len(q), n), bool)
         row = np.arange(len(q))
         sims[:, medoid] = x[q] @ x[medoid]
+        sims[row, q] = 1
 
         def expand(i: np.ndarray, v: np.ndarray, sims: np.ndarray = sims, done: np.ndarray = done, q: np.ndarray = q) -> None:
             done[i, v] = True
