@@ -37,7 +37,7 @@ def centroids(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
 
 def prune(x: np.ndarray) -> np.ndarray:
     """A flat graph: of each vector's nearest, those are kept that no kept one is much
-    nearer to (squared distance times ALPHA). Rows of neighbours, padded with the own index.
+    nearer to (squared distance times ALPHA), and the very nearest. Rows of neighbours, padded with the own index.
     Links back and one to the next vector keep it in one piece."""
     n = len(x)
     out: list[list[int]] = [[] for _ in range(n)]
@@ -55,6 +55,7 @@ def prune(x: np.ndarray) -> np.ndarray:
                 kept.append(int(cand[j]))
                 open_ &= ALPHA * (1 - between[j]) > 1 - s
                 open_[j] = False
+            kept += [j for j in cand[: DEGREE // 2].tolist() if j not in kept]  # dense groups stay connected
     back: list[list[int]] = [[] for _ in range(n)]
     for i, row in enumerate(out):
         for j in row:
