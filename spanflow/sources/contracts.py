@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _STEP = "step:string,call:string,input:variant,output:map<string,string>"
@@ -39,10 +39,14 @@ def read_flows(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+def _marked(conditions: str, kind: str) -> Column:
+    return F.map_from_entries(F.transform(F.map_entries(conditions), lambda e: F.struct(F.concat(F.lit(kind + ":"), e["key"]), e["value"])))
+
+
 def read_services(spark: SparkSession, path: str) -> DataFrame:
     """Operations and their conditions: spec (the file), service, operation, kind, condition, expression. Of operations with one id the last counts."""
     raw = spark.read.schema(SERVICE).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("spec"), "service", F.posexplode("operations").alias("pos", "o"))
     last = raw.groupBy("spec", "service", F.col("o.operationId").alias("operation")).agg(F.max_by("o", "pos").alias("o"))
-    kinds = F.map_concat(*[F.coalesce(F.map_from_entries(F.transform(F.map_entries(f"o.{k}conditions"), lambda e, k=k: F.struct(F.concat(F.lit(k + ":"), e["key"]), e["value"]))), F.create_map().cast("map<string,string>")) for k in ("pre", "post")])
+    kinds = F.map_concat(*[F.coalesce(_marked(f"o.{k}conditions", k), F.create_map().cast("map<string,string>")) for k in ("pre", "post")])
     c = last.select("spec", "service", "operation", F.explode_outer(kinds).alias("k", "expression"))
     return c.select("spec", "service", "operation", F.split("k", ":", 2)[0].alias("kind"), F.get(F.split("k", ":", 2), F.lit(1)).alias("condition"), "expression")
