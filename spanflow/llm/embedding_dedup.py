@@ -22,12 +22,19 @@ def unit(rows: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k centroids of greatest cosine, ascending, for blocks of bounded size at a time."""
+    step = max(1, (1 << 22) // max(1, len(c)))
+    parts = [np.argpartition(-(x[a : a + step] @ c.T), k - 1, 1)[:, :k] for a in range(0, len(x), step)]
+    return np.sort(np.concatenate(parts), 1)
+
+
 def centroids(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
     """Spherical k-means on a sample, a few rounds."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(8):
-        near = (x @ c.T).argmax(1)
+        near = nearest(x, c, 1)[:, 0]
         for j in range(len(c)):
             if (near == j).any():
                 m = x[near == j].mean(0)
@@ -170,7 +177,7 @@ def near_dedup(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id",
             out = []
             for space, g in pdf.groupby("space"):
                 c, x = shared.value.get(space), unit(g["v"].tolist())
-                near = np.zeros((len(g), 1), int) if c is None or len(c) < 2 else np.sort(np.argpartition(-(x @ c.T), 1, 1)[:, :2], 1)
+                near = np.zeros((len(g), 1), int) if c is None or len(c) < 2 else nearest(x, c, 2)
                 out += [(f"{space}#{s}", cid, copies, key, b.tobytes(), [f"{space}#{t}" for t in ns]) for ns, cid, copies, key, b in zip(near, g["cid"], g["copies"], g["key"], x, strict=True) for s in ns]
             yield pd.DataFrame(out, columns=["shard", "cid", "copies", "key", "x", "shards"])
 
