@@ -280,3 +280,20 @@ def test_token_counts(docs, texts):
     got = rows(token_counts.token_counts(docs, path), "doc_id", "n_words", "n_tokens")
     assert got == {i: (len(words(t)), sum(pieces(w.encode()) for w in words(t))) for i, t in texts.items()}
     assert token_counts.Automaton([b" ab", b"cd"]).count(b"abcdx") == 3
+
+
+def test_odd_ids(spark):
+    """Null and repeated ids, repeated rows, and different texts of one id."""
+    long = " ".join(f"w{i}" for i in range(60))
+    odd = spark.createDataFrame([(None, long), (None, None), (2, long), (2, long), (2, "other text"), (3, long + " x"), (4, "")], "doc_id long, text string").withColumn("source", mixing.F.lit(None).cast("string"))
+    path, rank = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    near = sorted((tuple(r) for r in ngram_join.jaccard_join(odd).collect()), key=str)
+    assert near == sorted([(None, 56, 2), (None, 0, None), (2, 56, 2), (2, 56, 2), (2, 1, 2), (3, 57, 2), (4, 0, 4)], key=str)
+    cut = sorted((tuple(r) for r in substring_dedup.substring_dedup(odd).select("doc_id", "n_words", "n_removed").collect()), key=str)
+    assert cut == sorted([(None, 60, 60), (None, 0, 0), (2, 60, 60), (2, 60, 60), (2, 2, 0), (3, 61, 60), (4, 0, 0)], key=str)
+    n = len(long.encode())
+    cut = sorted((tuple(r) for r in suffix_dedup.suffix_dedup(odd).select("doc_id", "n_bytes", "n_removed").collect()), key=str)
+    assert cut == sorted([(None, n, n), (None, 0, 0), (2, n, 0), (2, n, 0), (2, 10, 0), (3, n + 2, n), (4, 0, 0)], key=str)
+    assert packing.pack(odd, path).count() == 7 and token_counts.token_counts(odd, rank).count() == 7
+    sizes = mixing.mix(odd).collect()
+    assert len(sizes) == 7 and {r["source"] for r in sizes} == {None}
