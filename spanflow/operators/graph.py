@@ -89,3 +89,9 @@ def flow_step_counts(nodes: DataFrame) -> DataFrame:
     """Steps of a contract and their names in order."""
     g = nodes.groupBy("flow_id").agg(F.count(F.lit(1)).alias("steps"), F.array_sort(F.collect_list(F.struct("n", "node"))).alias("s"))
     return g.select("flow_id", "steps", F.array_join(F.transform("s", lambda x: x["node"]), ",").alias("names"))
+
+
+def flow_entry_counts(flow_steps: DataFrame) -> DataFrame:
+    """Top-level entries of a linear flow and their names in order; a parallel group counts as one. ``flow_steps``: flow_id, pos, entry."""
+    g = flow_steps.groupBy("flow_id").agg(F.array_sort(F.collect_set(F.struct("pos", "entry"))).alias("s"))
+    return g.select("flow_id", F.size("s").alias("steps"), F.array_join(F.transform("s", lambda x: x["entry"]), ",").alias("names"))

@@ -22,8 +22,8 @@ def read_flows(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     folder = F.regexp_replace("flow_id", "[^/]*$", "")
     steps = raw.select("flow_id", F.posexplode("flow").alias("pos", "s"))
     single = F.coalesce(F.size("s.parallel"), F.lit(-1)) <= 0
-    one = steps.where(single).select("flow_id", "pos", F.lit(None).cast("int").alias("group_pos"), "s.step", "s.call", "s.input", "s.output")
-    many = steps.where(~single).select("flow_id", "pos", F.posexplode("s.parallel").alias("group_pos", "p")).select("flow_id", "pos", "group_pos", "p.step", "p.call", "p.input", "p.output")
+    one = steps.where(single).select("flow_id", "pos", F.lit(None).cast("int").alias("group_pos"), F.col("s.step").alias("entry"), "s.step", "s.call", "s.input", "s.output")
+    many = steps.where(~single).select("flow_id", "pos", F.col("s.step").alias("entry"), F.posexplode("s.parallel").alias("group_pos", "p")).select("flow_id", "pos", "group_pos", "entry", "p.step", "p.call", "p.input", "p.output")
     nodes = raw.select("flow_id", F.posexplode("graph.nodes").alias("n", "g"))
     given = raw.where(F.coalesce(F.size("graph.edges"), F.lit(-1)) > 0).select("flow_id", F.explode("graph.edges").alias("e")).select("flow_id", F.col("e.from").alias("from_id"), F.col("e.to").alias("to_id"))
     depends = raw.where(F.coalesce(F.size("graph.edges"), F.lit(-1)) <= 0).select("flow_id", F.explode("graph.nodes").alias("g")).select("flow_id", F.explode("g.depends").alias("from_id"), F.col("g.id").alias("to_id"))

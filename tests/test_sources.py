@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from spanflow.operators import gate, match
+from spanflow.operators import gate, graph, match
 from spanflow.plans import fixtures as fx
 from spanflow.plans.queries import QUERIES
 from spanflow.sources import contracts, sinks, spans
@@ -50,6 +50,7 @@ def test_contracts(spark, tmp_path):
     t = contracts.read_flows(spark, f"{tmp_path}/[fgh].json")
     assert [(r["from_id"], r["to_id"]) for r in t["graph_edges"].collect()] == [("x", "y")]
     assert sorted((r["pos"], r["group_pos"], r["step"]) for r in t["flow_steps"].collect() if r["group_pos"] is not None) == [(1, 0, "p"), (1, 1, "q")]
+    assert [tuple(r)[1:] for r in graph.flow_entry_counts(t["flow_steps"]).collect()] == [(2, "1,2")]
     assert t["service_bindings"].first()["spec"].endswith("/s.json")
     assert [r["message"] for r in t["issues"].collect()] == ["neither flow nor graph"]
     (tmp_path / "s.json").write_text(json.dumps({"service": "a", "operations": [{"operationId": "b", "preconditions": {"p": "x"}, "postconditions": {"q": "y"}}]}))
