@@ -14,6 +14,8 @@ SHARD, CENTROIDS, PER_CENTROID = 600, 8192, 12
 #: Out-degree and slack of the pruned graph, candidates to prune, width of the greedy search,
 #: and how far below the threshold a vector may be to be expanded.
 DEGREE, ALPHA, POOL, BEAM, SLACK = 24, 1.2, 64, 16, 0.1
+#: Places where a search starts, vectors of each label that are audited, at most and over all labels, and the recall they must show.
+STARTS, AUDIT, AUDITS, RECALL = 32, 256, 8192, 0.98
 
 
 def unit(rows: list) -> np.ndarray:
@@ -29,6 +31,24 @@ def nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
     return np.sort(np.concatenate(parts), 1)
 
 
+def within(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector, centroid) pairs of the shards to search for each vector, and each vector's nearest centroid.
+
+    A vector at most d away whose nearest is t makes x.c_s - x.c_t at most d |c_s - c_t|, where s is
+    the nearest of x: with ``reach`` d no such t is left out."""
+    step, rows, cols, homes = max(1, (1 << 22) // len(c)), [], [], []
+    norm = (c * c).sum(1)
+    for a in range(0, len(x), step):
+        sims = x[a : a + step] @ c.T
+        home = sims.argmax(1)
+        apart = np.sqrt(np.maximum(norm[home][:, None] + norm[None] - 2 * (c[home] @ c.T), 0))
+        i, t = np.nonzero(sims[np.arange(len(home)), home][:, None] - sims <= reach * apart + 1e-6)
+        rows.append(a + i)
+        cols.append(t)
+        homes.append(home)
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(homes)
+
+
 def centroids(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
     """Spherical k-means on a sample, a few rounds."""
     rng = np.random.default_rng(seed)
@@ -72,57 +92,77 @@ def prune(x: np.ndarray) -> np.ndarray:
     return np.array([a + [i] * (width - len(a)) for i, a in enumerate(out)])
 
 
-def search(x: np.ndarray, graph: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, found) with a cosine of at least ``least``: from the medoid and
-    the query's own links the graph is walked greedily towards each query, and then on
-    through everything that is near enough."""
+def hits(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float, whole: bool = False) -> np.ndarray:
+    """Which of ``x`` have a cosine of at least ``least`` with each query, as a matrix: from the medoid, some
+    other starts and the query's own links (``own``: its place in x, or -1) the graph is walked greedily towards
+    each query, and then on through everything that is near enough. ``whole``: all are compared, without the graph."""
     n = len(x)
-    medoid = int((x @ x.mean(0)).argmax())
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(0, n, 256):
-        q = np.arange(at, min(at + 256, n))
-        sims = np.full((len(q), n), -2.0, np.float32)  # of what has been seen
-        done = np.zeros((len(q), n), bool)
-        row = np.arange(len(q))
-        sims[:, medoid] = x[q] @ x[medoid]
-        sims[row, q] = 1
-
-        def expand(i: np.ndarray, v: np.ndarray, sims: np.ndarray = sims, done: np.ndarray = done, q: np.ndarray = q) -> None:
-            done[i, v] = True
-            near = graph[v]
-            flat_i, flat_v = np.repeat(i, near.shape[1]), near.ravel()
-            new = sims[flat_i, flat_v] == -2
-            flat_i, flat_v = flat_i[new], flat_v[new]
-            for lo in range(0, len(flat_i), 200_000):
-                a, b = flat_i[lo : lo + 200_000], flat_v[lo : lo + 200_000]
-                sims[a, b] = np.einsum("ij,ij->i", x[q[a]], x[b])
-
-        live = row
-        for _ in range(4 * BEAM):
-            s = sims[live]
-            beam = np.argpartition(-s, min(BEAM, n) - 1, 1)[:, : min(BEAM, n)]
-            top = np.take_along_axis(s, beam, 1)
-            top[np.take_along_axis(done[live], beam, 1) | (top == -2)] = -3
-            best = top.argmax(1)
-            go = top[np.arange(len(live)), best] > -2
-            live, best, beam = live[go], best[go], beam[go]
-            if not len(live):
-                break
-            expand(live, beam[np.arange(len(live)), best])
-        while True:
-            i, v = np.nonzero((sims >= least - SLACK) & ~done)
-            if not len(i):
-                break
-            for lo in range(0, len(i), 20_000):
-                expand(i[lo : lo + 20_000], v[lo : lo + 20_000])
+    near = np.zeros((len(queries), n), bool)
+    start = np.unique(np.append(np.linspace(0, n - 1, min(n, STARTS)).astype(int), (x @ x.mean(0)).argmax()))
+    for at in range(0, len(queries), 256):
+        q, o = queries[at : at + 256], own[at : at + 256]
+        row, inside = np.arange(len(q)), np.flatnonzero(o >= 0)
+        if whole:
+            sims = q @ x.T
+        else:
+            sims = walk(x, graph, q, o, start, row, inside, least)
         i, v = np.nonzero(sims >= least - 1e-4)
-        found.append((q[i], v))
-    i, v = (np.concatenate(c) for c in zip(*found, strict=True))
-    exact = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 100_000]], x[v[k : k + 100_000]]) for k in range(0, len(i), 100_000)]) if len(i) else np.zeros(0)
-    keep = (exact >= least) & (i != v)
-    i, v = i[keep], v[keep]
-    both = np.unique(np.concatenate([i * n + v, v * n + i]))  # what one of the two has found
-    return both // n, both % n
+        for k in range(0, len(i), 100_000):
+            a, b = i[k : k + 100_000], v[k : k + 100_000]
+            fine = np.einsum("ij,ij->i", q[a], x[b]) >= least
+            near[at + a[fine], b[fine]] = True
+        near[at + inside, o[inside]] = False
+    at = np.flatnonzero(own >= 0)
+    if len(at):  # what one of two has found
+        both = near[np.ix_(at, own[at])]
+        near[np.ix_(at, own[at])] = both | both.T
+    return near
+
+
+def walk(x: np.ndarray, graph: np.ndarray, q: np.ndarray, own: np.ndarray, start: np.ndarray, row: np.ndarray, inside: np.ndarray, least: float) -> np.ndarray:
+    """Cosines of the queries and what the walk has seen of ``x``; -2 elsewhere."""
+    n = len(x)
+    sims = np.full((len(q), n), -2.0, np.float32)
+    done = np.zeros((len(q), n), bool)
+    sims[:, start] = q @ x[start].T
+    sims[inside, own[inside]] = 1
+
+    def expand(i: np.ndarray, v: np.ndarray) -> None:
+        done[i, v] = True
+        near = graph[v]
+        flat_i, flat_v = np.repeat(i, near.shape[1]), near.ravel()
+        new = sims[flat_i, flat_v] == -2
+        flat_i, flat_v = flat_i[new], flat_v[new]
+        for lo in range(0, len(flat_i), 200_000):
+            a, b = flat_i[lo : lo + 200_000], flat_v[lo : lo + 200_000]
+            sims[a, b] = np.einsum("ij,ij->i", q[a], x[b])
+
+    live = row
+    for _ in range(4 * BEAM):
+        s = sims[live]
+        beam = np.argpartition(-s, min(BEAM, n) - 1, 1)[:, : min(BEAM, n)]
+        top = np.take_along_axis(s, beam, 1)
+        top[np.take_along_axis(done[live], beam, 1) | (top == -2)] = -3
+        best = top.argmax(1)
+        go = top[np.arange(len(live)), best] > -2
+        live, best, beam = live[go], best[go], beam[go]
+        if not len(live):
+            break
+        expand(live, beam[np.arange(len(live)), best])
+    while True:
+        near = sims >= least - SLACK
+        dense = np.flatnonzero((near.sum(1) * graph.shape[1] > n) & ~done.all(1))  # links to follow outnumber the vectors: all are compared
+        sims[dense], done[dense] = q[dense] @ x.T, True
+        i, v = np.nonzero(near & ~done)
+        if not len(i):
+            return sims
+        for lo in range(0, len(i), 20_000):
+            expand(i[lo : lo + 20_000], v[lo : lo + 20_000])
+
+
+def search(x: np.ndarray, graph: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``x`` with a cosine of at least ``least``, both ways."""
+    return np.nonzero(hits(x, graph, x, np.arange(len(x)), least))
 
 
 def roots(n: int, i: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -148,9 +188,13 @@ def near_dedup(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id",
 
     Equal vectors of a label become one with a count. Each label is clustered on a
     sample of bounded size; all its vectors go to the shards of their two nearest centroids. A shard
-    builds a robust-pruned graph, the adjacency lists of a vector's shards are united, and in each
-    shard every vector is searched for in the united graph, from the medoid on. A pair counts in the
-    first shard that both share. A shard passes on numbers of links and its members' local roots, not pairs."""
+    builds a robust-pruned graph, and the adjacency lists of a vector's shards are united. Each vector is
+    searched for in the united graph of every shard near enough (:func:`within`), where those count whose
+    nearest centroid it is. A shard passes on numbers of links and its members' local roots, not pairs.
+
+    Audit: a hashed sample of each large label (and one of all others) is compared with all rows of
+    its label. Where less than RECALL of its links were found, the label is searched again with twice the reach,
+    at last with the one that leaves out no shard, and then by comparing all in the shards."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     fine = F.col("label").isNotNull() & F.coalesce(
@@ -171,18 +215,91 @@ def near_dedup(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id",
         sample = one.join(plan, "space").where(unif < F.col("part")).select("space", "v", "cid").toPandas().sort_values(["space", "cid"])
         means = {k: centroids(unit(g["v"].tolist()), -(-large[k] // per)) for k, g in sample.groupby("space")}
     shared = spark.sparkContext.broadcast(means)
+    truth = written(audited(one, large, least), "audit")
+
+    apart, reach, whole = float(np.sqrt(2 - 2 * least)) if least < 1 else 0.0, {k: min(1.0, 3 / np.sqrt(c.shape[1])) for k, c in means.items()}, set()
+    parts, now = [], one.withColumn("part", part_of(large))
+    while True:
+        seen = written(searched(now, shared, {k: r * apart for k, r in reach.items()}, frozenset(whole), least), "seen")
+        found = seen.groupBy("cid").agg(F.sum("links").alias("links"))
+        recall = truth.join(now.select("cid", "part"), "cid").join(found, "cid", "left").groupBy("part").agg(F.sum("true").alias("n"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("found"))
+        bad = [r["part"] for r in recall.where(F.col("found") < RECALL * F.col("n")).collect()]  # parts are large labels and one more
+        parts.append(seen.where(~F.col("part").isin(bad)) if bad else seen)
+        if not bad:
+            break
+        if whole & set(bad):
+            raise RuntimeError("links are missing though all were compared")
+        for k in bad:
+            if reach.get(k, 1.0) < 1:
+                reach[k] = min(1.0, 2 * reach[k])
+            else:
+                whole.add(k)
+        now = now.where(F.col("part").isin(bad))
+    seen = parts[0]
+    for more in parts[1:]:
+        seen = seen.unionByName(more)
+    links = seen.groupBy("cid").agg(F.sum("links").alias("links"))
+    comp = components(seen.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), F.col("root").alias("component"))
+    known = one.join(links, "cid").join(comp, "cid", "left").select("space", "v", "links", "copies", F.coalesce("component", "cid").alias("component"))
+    rows = rows.withColumn("key", F.xxhash64("v"))
+    known = known.select(F.col("space").alias("k_space"), F.xxhash64("v").alias("k_key"), F.col("v").alias("k_v"), "links", "copies", "component")
+    out = rows.join(known, (F.col("space") == F.col("k_space")) & (F.col("key") == F.col("k_key")) & (F.col("v") == F.col("k_v")), "left")
+    component = F.coalesce("component", "vec_id")
+    component = F.when(component == 2**63 - 1, F.lit(None)).otherwise(component)
+    return out.select("vec_id", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+def part_of(large: dict[str, int]):
+    """What is audited as one: a large label, or all others."""
+    return F.when(F.col("space").isin(list(large)), F.col("space")).otherwise("") if large else F.lit("")
+
+
+def audited(one: DataFrame, large: dict[str, int], least: float) -> DataFrame:
+    """(cid, true): the links of sampled vectors, found by comparing each with all rows of its label."""
+    spark, each = one.sparkSession, max(1, min(AUDIT, AUDITS // max(1, len(large))))
+    few = one.where(part_of(large) == "").count()
+    plan = spark.createDataFrame([(k, each / n) for k, n in large.items()] + [("", AUDIT / max(1, few))], "part string, share double")
+    unif = F.pmod(F.xxhash64(F.lit("audit"), "key"), F.lit(1 << 30)) / float(1 << 30)
+    sample = one.withColumn("part", part_of(large)).join(plan, "part").where(unif < F.col("share")).select("space", "v", "cid").toPandas()
+    asked = spark.sparkContext.broadcast({k: (unit(g["v"].tolist()), g["cid"].to_numpy()) for k, g in sample.groupby("space")})
+
+    def count(batches):
+        for pdf in batches:
+            out = []
+            for space, g in pdf.groupby("space"):
+                if space in asked.value:
+                    (q, ids), x = asked.value[space], unit(g["v"].tolist())
+                    near = (q @ x.T >= least + 1e-12) & (ids[:, None] != g["cid"].to_numpy()[None])
+                    out.append(pd.DataFrame({"cid": ids, "true": near @ g["copies"].to_numpy()}))
+            if out:
+                yield pd.concat(out)
+
+    return one.select("space", "v", "cid", "copies").mapInPandas(count, "cid long, true long").groupBy("cid").agg(F.sum("true").alias("true"))
+
+
+def searched(one: DataFrame, shared, reach: dict[str, float], whole: frozenset, least: float) -> DataFrame:
+    """(part, cid, links, root), a row for each vector and shard that it was searched for in or links with."""
 
     def assign(batches):
         for pdf in batches:
             out = []
             for space, g in pdf.groupby("space"):
                 c, x = shared.value.get(space), unit(g["v"].tolist())
-                near = np.zeros((len(g), 1), int) if c is None or len(c) < 2 else nearest(x, c, 2)
-                out += [(f"{space}#{s}", cid, copies, key, b.tobytes(), [f"{space}#{t}" for t in ns]) for ns, cid, copies, key, b in zip(near, g["cid"], g["copies"], g["key"], x, strict=True) for s in ns]
-            yield pd.DataFrame(out, columns=["shard", "cid", "copies", "key", "x", "shards"])
+                if c is None or len(c) < 2:
+                    i, t, home, two = np.arange(len(g)), np.zeros(len(g), int), np.zeros(len(g), int), np.zeros((len(g), 1), int)
+                else:
+                    (i, t, home), two = within(x, c, reach[space]), nearest(x, c, 2)
+                known = np.zeros((len(g), 1 if c is None else len(c)), np.int8) if len(g) else None
+                known[i, t] = 1  # searched for there
+                known[np.arange(len(g))[:, None], two] |= 2  # in the graph
+                known[np.arange(len(g)), home] |= 6  # and counted
+                i, t = np.nonzero(known)
+                raw, cid, copies, key, part = [b.tobytes() for b in x], g["cid"].to_numpy(), g["copies"].to_numpy(), g["key"].to_numpy(), g["part"].to_numpy()
+                out.append(pd.DataFrame({"part": part[i], "shard": [f"{space}#{k}" for k in t], "cid": cid[i], "copies": copies[i], "key": key[i], "x": [raw[k] for k in i], "role": known[i, t].astype(np.int32)}))
+            if out:
+                yield pd.concat(out)
 
-    ddl = "shard string, cid long, copies long, key long, x binary, shards array<string>"
-    homes = written(one.mapInPandas(assign, ddl), "shards")
+    homes = written(one.mapInPandas(assign, "part string, shard string, cid long, copies long, key long, x binary, role int"), "shards")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "cid"], ignore_index=True)
@@ -191,38 +308,33 @@ def near_dedup(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id",
         ids = pdf["cid"].to_numpy()
         return pd.DataFrame({"cid": ids, "near": [np.unique(ids[g]) for g in graph]})
 
-    lists = homes.groupBy("shard").applyInPandas(build, "cid long, near array<long>")
+    lists = homes.where(F.col("role") >= 2).groupBy("shard").applyInPandas(build, "cid long, near array<long>")
     united = lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # two lists of bounded length
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cid", ignore_index=True)
-        x, ids, n = np.stack([np.frombuffer(b) for b in pdf["x"]]), pdf["cid"].to_numpy(), len(pdf)
+        vectors, role, part = np.stack([np.frombuffer(b) for b in pdf["x"]]), pdf["role"].to_numpy(), pdf["part"].iloc[0]
+        base, asks = np.flatnonzero(role & 2), np.flatnonzero(role & 1)
+        ids, n = pdf["cid"].to_numpy(), len(base)
+        if not n or not len(asks):
+            return pd.DataFrame({"part": part, "cid": ids[asks], "links": 0, "root": ids[asks]})
         place = []
-        for i, near in enumerate(pdf["near"]):
+        for i, near in enumerate(pdf["near"].iloc[base]):
             near = np.asarray(near, np.int64)
-            at = np.minimum(np.searchsorted(ids, near), n - 1)
-            place.append(at[(ids[at] == near) & (at != i)])
+            at = np.minimum(np.searchsorted(ids[base], near), n - 1)
+            place.append(at[(ids[base][at] == near) & (at != i)])
         width = max(1, max(map(len, place)))
         graph = np.array([np.append(p, np.full(width - len(p), i)) for i, p in enumerate(place)], np.int64)
-        i, v = search(x, graph, least)
-        shards, me, copies = [set(s) for s in pdf["shards"]], pdf["shard"].iloc[0], pdf["copies"].to_numpy()
-        names = sorted(set().union(*shards))
-        code = {s: k for k, s in enumerate(names)}
-        pair = np.array([[code[min(s)], code[max(s)]] for s in shards])
-        own = code[me]
-        low = np.where(pair == own, pair.max() + 1, pair).min(1)  # the other shard, if it comes before this one
-        first = ~((low[i] == low[v]) & (low[i] < own))
-        links = np.bincount(i[first], copies[v[first]], n).astype(np.int64) if n else []
-        return pd.DataFrame({"cid": ids, "links": links, "root": ids[roots(n, i, v)]})
-
-    seen = homes.join(united, "cid").groupBy("shard").applyInPandas(look, "cid long, links long, root long")
-    seen = written(seen, "seen")
-    links = seen.groupBy("cid").agg(F.sum("links").alias("links"))
-    comp = components(seen.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), F.col("root").alias("component"))
-    known = one.join(links, "cid").join(comp, "cid", "left").select("space", "v", "links", "copies", F.coalesce("component", "cid").alias("component"))
-    rows = rows.withColumn("key", F.xxhash64("v"))
-    known = known.select(F.col("space").alias("k_space"), F.xxhash64("v").alias("k_key"), F.col("v").alias("k_v"), "links", "copies", "component")
-    out = rows.join(known, (F.col("space") == F.col("k_space")) & (F.col("key") == F.col("k_key")) & (F.col("v") == F.col("k_v")), "left")
-    component = F.coalesce("component", "vec_id")
-    component = F.when(component == 2**63 - 1, F.lit(None)).otherwise(component)
-    return out.select("vec_id", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+        own = np.full(len(pdf), -1)
+        own[base] = np.arange(n)
+        near = hits(vectors[base], graph, vectors[asks], own[asks], least, part in whole)
+        weight = np.where(role[base] & 4, pdf["copies"].to_numpy()[base], 0).astype(np.float64)
+        links, root = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
+        for lo in range(0, len(asks), 256):
+            links[asks[lo : lo + 256]] = np.rint(near[lo : lo + 256] @ weight)
+            i, v = np.nonzero(near[lo : lo + 256])
+            i, v, every = asks[lo + i], base[v], np.arange(len(pdf))
+            root = roots(len(pdf), np.concatenate([i, v, every, root]), np.concatenate([v, i, root, every]))
+        return pd.DataFrame({"part": part, "cid": ids, "links": links, "root": ids[root]})
+
+    return homes.join(united, "cid", "left").groupBy("shard").applyInPandas(look, "part string, cid long, links long, root long")

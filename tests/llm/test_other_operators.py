@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from helpers import roots, rows
+from pyspark.sql import functions as F
 
 from spanflow.llm import chat, common, embedding_dedup, quality
 
@@ -164,3 +165,41 @@ def test_pipeline(spark):
     texts = [r["text"] for r in kept.collect()]
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert packed.where("piece = 0").count() == len(texts)
+
+
+def test_embeddings_of_one_dense_group(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=32) + r.normal(size=(3000, 32)) * 0.2  # median cosine 0.96
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = rows(embedding_dedup.near_dedup(df), "vec_id", "n_links")
+    u = embedding_dedup.unit(list(x))
+    links = (u @ u.T >= 0.93).sum() - len(u)
+    assert 0.98 * links <= sum(v[0] for v in got.values()) <= links
+
+
+def test_a_full_reach_leaves_out_no_shard():
+    r = np.random.default_rng(6)
+    x = embedding_dedup.unit(list(r.normal(size=(30, 6))[r.integers(0, 30, 900)] + r.normal(size=(900, 6)) * 0.3))
+    i, t, home = embedding_dedup.within(x, embedding_dedup.centroids(x, 40), np.sqrt(2 - 2 * 0.93))
+    searched = np.zeros((900, 40), bool)
+    searched[i, t] = True
+    a, b = np.nonzero(x @ x.T >= 0.93)
+    assert searched[a, home[b]].all()
+
+
+def test_a_failed_audit_widens_the_search(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 100)
+    r, real, calls = np.random.default_rng(7), embedding_dedup.searched, []
+    x = r.normal(size=(5, 32))[r.integers(0, 5, 400)] + r.normal(size=(400, 32)) * 0.2
+
+    def poor(one, shared, reach, whole, least):
+        calls.append((max(reach.values()), bool(whole)))
+        seen = real(one, shared, reach, whole, least)
+        return seen if whole else seen.withColumn("links", F.lit(0).cast("long"))
+
+    monkeypatch.setattr(embedding_dedup, "searched", poor)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = rows(embedding_dedup.near_dedup(df), "vec_id", "n_links")
+    u = embedding_dedup.unit(list(x))
+    assert [got[i][0] for i in range(400)] == ((u @ u.T >= 0.93).sum(1) - 1).tolist()
+    assert [w for _, w in calls] == [False, False, True] and calls[0][0] < calls[1][0] == calls[2][0]
