@@ -67,29 +67,29 @@ def edge_violations(nodes: DataFrame, edges: DataFrame, tolerance_ms: int = 50)
     return e.select("trace_id", "from_id", "to_id", kind.alias("type")).where("type IS NOT NULL")
 
 
-def call_cycles(nodes: DataFrame, rounds: int = 40) -> DataFrame:
+def call_cycles(nodes: DataFrame, rounds: int = 10_000) -> DataFrame:
     """At most one cycle a trace, that of the smallest span id: trace_id, start_id, length, path.
 
     Only parent links can close a cycle (siblings are linked forward in time), and each node has one
     parent, so nodes jump over 1, 2, 4, ... parents until only nodes on a cycle or below one are left; the
-    number of joins grows with the logarithm of the longest chain. Then each cycle is followed once around."""
+    number of joins grows with the logarithm of the largest trace. Then each cycle is followed once around; one of more
+    than ``rounds`` spans is an error."""
     up = parent_edges(nodes).select("trace_id", F.col("to_id").alias("id"), F.col("from_id").alias("parent"))
     up = checkpointed(up)
-    jump, left = up.select("trace_id", "id", F.col("parent").alias("at")), None
-    for _ in range(rounds):
+    jump, far = up.select("trace_id", "id", F.col("parent").alias("at")), 1
+    most = up.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    while far < most:  # no tail below a cycle is longer than the largest trace
         ahead = jump.select("trace_id", F.col("id").alias("at"), F.col("at").alias("next"))
-        jump = checkpointed(jump.join(ahead, ["trace_id", "at"]).select("trace_id", "id", F.col("next").alias("at")))
-        now = jump.count()
-        if now == left or not now:
+        jump, far = checkpointed(jump.join(ahead, ["trace_id", "at"]).select("trace_id", "id", F.col("next").alias("at"))), 2 * far
+        if jump.isEmpty():
             break
-        left = now
     on = jump.select("trace_id", F.col("at").alias("id")).distinct()  # after many jumps every node is on a cycle
     least = on.groupBy("trace_id").agg(F.min("id").alias("start_id"))
     links = checkpointed(up.join(on, ["trace_id", "id"], "left_semi"))
     # A cycle goes from parent to child: in it each node has one child.
     walk = least.select("trace_id", "start_id", F.col("start_id").alias("at"), F.array("start_id").alias("path"))
     done = None
-    for _ in range(10_000):
+    for _ in range(rounds):
         step = walk.join(links.select("trace_id", F.col("parent").alias("at"), F.col("id").alias("to")), ["trace_id", "at"])
         step = checkpointed(step.select("trace_id", "start_id", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path")))
         closed = step.where("at = start_id")
@@ -97,6 +97,8 @@ def call_cycles(nodes: DataFrame, rounds: int = 40) -> DataFrame:
         walk = step.where("at <> start_id")
         if walk.isEmpty():
             break
+    else:
+        raise RuntimeError(f"a cycle of more than {rounds} spans")
     return done.select("trace_id", "start_id", F.size("path").alias("length"), "path")
 
 

@@ -37,6 +37,13 @@ def test_cycle(spark):
     assert callgraph.call_cycles(chain).count() == 0
 
 
+def test_cycle_above_a_long_tail(spark):
+    n = callgraph.call_nodes(spans(spark, [(str(i), str(i + 1) if i < 9 else "8", "A", "x", 0, 9) for i in range(1, 10)]))
+    assert [(x["start_id"], x["length"], x["path"]) for x in callgraph.call_cycles(n).collect()] == [("8", 3, ["8", "9", "8"])]
+    with pytest.raises(RuntimeError):
+        callgraph.call_cycles(n, rounds=1)
+
+
 def test_levels(spark):
     n = callgraph.call_nodes(spans(spark, [("a", None, "A", "x", 0, 9), ("b", "a", "B", "x", 1, 2), ("c", "a", "C", "x", 3, 5), ("d", "b", "D", "x", 1, 2)]))
     assert {r["span_id"]: r["level"] for r in callgraph.call_levels(n).collect()}["a"] == 0
