@@ -54,7 +54,8 @@ def call_edges(nodes: DataFrame) -> DataFrame:
 
 
 def edge_violations(nodes: DataFrame, edges: DataFrame, tolerance_ms: int = 50) -> DataFrame:
-    """Edges whose times break their relationship: trace_id, from_id, to_id, type. Edges with an unknown end are skipped."""
+    """Edges whose times break their relationship: trace_id, from_id, to_id, type. Edges with an unknown end are skipped.
+    A trace with a cycle of parent links has one row of type ``cycle`` more, for the link that closes it."""
     tol = tolerance_ms * 1_000_000
     side = lambda p: nodes.select("trace_id", F.col("span_id").alias(f"{p}_id"), F.col("start_ns").alias(f"{p}_start"), F.col("end_ns").alias(f"{p}_end"))
     e = edges.join(side("from"), ["trace_id", "from_id"]).join(side("to"), ["trace_id", "to_id"])
@@ -64,7 +65,8 @@ def edge_violations(nodes: DataFrame, edges: DataFrame, tolerance_ms: int = 50)
         .when((r == "parent") & out, "parent-child")
         .when((r == "concurrent") & ~overlaps(F.col("from_start"), F.col("from_end"), F.col("to_start"), F.col("to_end")), "overlap")
     )
-    return e.select("trace_id", "from_id", "to_id", kind.alias("type")).where("type IS NOT NULL")
+    cycles = call_cycles(nodes).select("trace_id", F.element_at("path", -2).alias("from_id"), F.element_at("path", -1).alias("to_id"), F.lit("cycle").alias("type"))
+    return cycles.unionByName(e.select("trace_id", "from_id", "to_id", kind.alias("type")).where("type IS NOT NULL"))
 
 
 def call_cycles(nodes: DataFrame, rounds: int = 10_000) -> DataFrame:

@@ -1,11 +1,16 @@
 """Operators on literal spans, contracts and policies."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from spanflow.operators import callgraph, conditions, discover, gate, graph, lint, mask, match
+from spanflow.plans import fixtures
+from spanflow.plans.queries import QUERIES
 
 MS = 1_000_000
+SF = "/root/testdata/sf0.001"
 SPAN = "trace_id string, span_id string, parent_span_id string, service string, name string, start_ns long, end_ns long, ordinal long"
 
 
@@ -29,6 +34,20 @@ def test_edge_violations(spark, rows, edges, tolerance, want):
     assert [r["type"] for r in callgraph.edge_violations(n, e, tolerance).collect()] == want
 
 
+def test_a_cycle_is_a_violation(spark, monkeypatch):
+    n = callgraph.call_nodes(spans(spark, [("a", "c", "A", "x", 0, 9), ("b", "a", "B", "x", 1, 8), ("c", "b", "C", "x", 2, 7)]))
+    got = callgraph.edge_violations(n, callgraph.call_edges(n)).collect()
+    assert [tuple(r) for r in got] == [("t", "c", "a", "cycle")]
+    turned, sf = fixtures.cyclic_spans(spark, SF), SF
+    cycles = {r["trace_id"] for r in QUERIES["call_graph_cycles"](spark, sf).collect()}
+    monkeypatch.setattr(fixtures, "event_spans", lambda *_: turned)
+    bad = QUERIES["edge_violations"](spark, sf).collect()
+    assert sorted(r["trace_id"] for r in bad if r["type"] == "cycle") == sorted(cycles) and cycles
+    notes = {t: f"Detected {k} DAG constraint violations" for t, k in Counter(r["trace_id"] for r in bad).items()}
+    for name in ("graph_validation", "causality_validation"):
+        assert {r["trace_id"]: r["note"] for r in QUERIES[name](spark, sf).where("step = 'DAG Validation'").collect()} == notes
+
+
 def test_cycle(spark):
     n = callgraph.call_nodes(spans(spark, [("a", "c", "A", "x", 0, 9), ("b", "a", "B", "x", 1, 8), ("c", "b", "C", "x", 2, 7), ("d", "c", "D", "x", 3, 4)]))
     r = callgraph.call_cycles(n).collect()
