@@ -6,7 +6,7 @@ the passages that share an anchor; the way of the rows is the same and is here.
 1. Equal texts become one row each, in a table bucketed by a hash of the text.
 2. Each window has an anchor that its content alone chooses (:func:`kernels.anchors`), so equal
    windows share it. Runs of windows with one anchor are keyed by the anchor's
-   hash; per run, a hash of all it covers, its text and its place go along.
+   hash; per run, a 128-bit hash of all it covers, its text and its place go along.
    Runs with equal content in a task are settled there, and one of them is passed on.
 3. Anchors that occur once are dropped. Runs with equal content are settled.
    What remains shares an anchor but not all of its content.
@@ -27,8 +27,8 @@ from spanflow.llm import kernels as K
 from spanflow.llm.common import batched, columns, ints, partitions, whole, written
 
 #: Rows of runs: a run's windows start at pk >> 24 of its text; bits 12-23 have their number less one, 0-11 the anchor's place.
-RUN = pa.schema([("h", pa.int64()), ("c", pa.int32()), ("uid", pa.int64()), ("ord", pa.int64()), ("pk", pa.int64()), ("kind", pa.int32())])
-RUN_DDL = "h long, c int, uid long, ord long, pk long, kind int"
+RUN = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("c2", pa.int64()), ("uid", pa.int64()), ("ord", pa.int64()), ("pk", pa.int64()), ("kind", pa.int32())])
+RUN_DDL = "h long, c long, c2 long, uid long, ord long, pk long, kind int"
 #: What a run's row says: to be compared; to be compared and already known to occur twice; settled, all windows are to go.
 ASK, TWICE, GONE = 0, 1, 2
 LAST = 2**63 - 1
@@ -56,13 +56,13 @@ def first_of(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def settle(h, c, uid, ord_, pk, kind, earliest: bool, drop_single: bool) -> tuple[np.ndarray, ...]:
-    """Merges runs with equal content: one row to ask with is kept, the first in the order
+def settle(h, c, c2, uid, ord_, pk, kind, earliest: bool, drop_single: bool) -> tuple[np.ndarray, ...]:
+    """Merges runs with equal content (of 128 bits of hash): one row to ask with is kept, the first in the order
     (ord, uid, place). With ``earliest`` all others are gone, else all are, as each
     occurs twice. ``drop_single``: anchors that only one run has are left out."""
-    order = np.lexsort((pk, uid, ord_, c, h))
-    h, c, uid, ord_, pk, kind = (x[order] for x in (h, c, uid, ord_, pk, kind))
-    head = first_of(h, c)
+    order = np.lexsort((pk, uid, ord_, c2, c, h))
+    h, c, c2, uid, ord_, pk, kind = (x[order] for x in (h, c, c2, uid, ord_, pk, kind))
+    head = first_of(h, c, c2)
     start = np.flatnonzero(head)
     size = np.diff(np.append(start, len(h)))
     twice = (np.maximum.reduceat(kind, start) == TWICE) | (size > 1) if len(start) else np.zeros(0, bool)
@@ -75,7 +75,7 @@ def settle(h, c, uid, ord_, pk, kind, earliest: bool, drop_single: bool) -> tupl
         ask[start[np.repeat(different == 1, different)]] = False
     known = np.zeros(len(h), np.int32)
     known[start] = np.where(twice & (not earliest), TWICE, ASK)
-    take = lambda m, k: (h[m], c[m], uid[m], ord_[m], pk[m], k)
+    take = lambda m, k: (h[m], c[m], c2[m], uid[m], ord_[m], pk[m], k)
     a, g = np.flatnonzero(ask), np.flatnonzero(gone)
     return tuple(np.concatenate(x) for x in zip(take(a, known[a]), take(g, np.full(len(g), GONE, np.int32)), strict=True))
 
@@ -96,24 +96,26 @@ def repeated(texts: DataFrame, symbols: Callable, cut: Callable, judge: Callable
             uid, ord_, found = ints(col["uid"]), ints(col["ord"]), []
             for lo, hi in K.pieces(at):
                 codes, first = symbols(data, at[lo : hi + 1])
-                h, c, doc, s, n, a = K.anchors(codes, first, k, w)
-                found.append((h.astype(np.int64), c.astype(np.int64).astype(np.int32), uid[lo + doc], ord_[lo + doc], s << 24 | n << 12 | a))
+                h, c, c2, doc, s, n, a = K.anchors(codes, first, k, w)
+                found.append((h.astype(np.int64), c.astype(np.int64), c2.astype(np.int64), uid[lo + doc], ord_[lo + doc], s << 24 | n << 12 | a))
             if found:
-                h, c, u, o, pk = (np.concatenate(x) for x in zip(*found, strict=True))
-                rows = settle(h, c, u, o, pk, np.zeros(len(h), np.int32), earliest, False)
-                gone = rows[5] == GONE
-                rows[0][gone] = K.mix(rows[4][gone].astype(np.uint64) ^ rows[2][gone].astype(np.uint64)).astype(np.int64)  # these need no place by anchor
+                h, c, c2, u, o, pk = (np.concatenate(x) for x in zip(*found, strict=True))
+                rows = settle(h, c, c2, u, o, pk, np.zeros(len(h), np.int32), earliest, False)
+                gone = rows[6] == GONE
+                rows[0][gone] = K.mix(rows[5][gone].astype(np.uint64) ^ rows[3][gone].astype(np.uint64)).astype(np.int64)  # these need no place by anchor
+                rows[1][gone] = rows[2][gone] = rows[4][gone] = 0  # nor their content
                 yield from batched(RUN, list(rows), 200_000)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = whole(batches)
         if table is None:
             return
-        rows = [ints(table.column(j).combine_chunks()) for j in range(6)]
+        rows = [ints(table.column(j).combine_chunks()) for j in range(7)]
         del table
-        done = rows[5] == GONE
-        yield from batched(RUN, [x[done] for x in rows], 200_000)
-        yield from batched(RUN, list(settle(*(x[~done] for x in rows), earliest, True)), 200_000)
+        done = rows[6] == GONE
+        for h, c, _, u, _, pk, kind in ([x[done] for x in rows], settle(*(x[~done] for x in rows), earliest, True)):
+            none = np.zeros_like(c)  # hashes of content and order have done their work
+            yield from batched(RUN, [h, none, none, u, none, pk, kind], 200_000)
 
     runs = texts.select("uid", "ord", F.col("text").cast("binary").alias("text")).mapInArrow(find, RUN_DDL)
     runs = written(runs.repartition(partitions(texts.sparkSession), "h").mapInArrow(compare, RUN_DDL), "runs")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from helpers import DOC, LOWER, corpus, roots, rows, words
 
-from spanflow.llm import exact_dedup, kernels, mixing, ngram_join, packing, substring_dedup, suffix_dedup, token_counts
+from spanflow.llm import exact_dedup, kernels, mixing, ngram_join, packing, substring_dedup, suffix_dedup, token_counts, windows
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -297,3 +297,12 @@ def test_odd_ids(spark):
     assert packing.pack(odd, path).count() == 7 and token_counts.token_counts(odd, rank).count() == 7
     sizes = mixing.mix(odd).collect()
     assert len(sizes) == 7 and {r["source"] for r in sizes} == {None}
+
+
+def test_runs_are_settled_by_wide_hashes():
+    codes = np.random.default_rng(9).integers(0, 2**64, 2_000_000, dtype=np.uint64)
+    for c in kernels.anchors(codes, np.array([0, len(codes)]), 4, 8)[1:3]:  # 32 bits have about a hundred collisions
+        assert len(np.unique(c)) == len(c)
+    one = np.ones(2, np.int64)
+    for c2, gone in (([5, 5], 1), ([5, 6], 0)):
+        assert (windows.settle(one, one, np.array(c2), np.arange(2), one, one, np.zeros(2, np.int32), True, False)[6] == windows.GONE).sum() == gone
