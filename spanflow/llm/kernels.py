@@ -64,6 +64,11 @@ class Prefix:
         return (self.sums[k:] - self.sums[:-k]) * self.un[: len(self.sums) - k]
 
 
+def second(codes: np.ndarray) -> Prefix:
+    """Hashes that go with those of Prefix(codes), of another base and other codes."""
+    return Prefix(mix(codes ^ U(0x5851F42D4C957F2D)), BASE2, UNBASE2)
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary column without nulls as (bytes, offsets)."""
     if isinstance(col, pa.ChunkedArray):
@@ -171,7 +176,7 @@ def anchors(codes: np.ndarray, at: np.ndarray, k: int, w: int) -> tuple[np.ndarr
         s0, s1, an = s[i], s[np.append(i[1:], len(s)) - 1], a[i]
         place = ((an - s0) << 16 | (s1 - s0)).astype(np.uint64)
         place = mix(place + U(0x2545F4914F6CDD1D))
-        cover, cover2 = mix(h.of(s0, s1 + w) ^ place), mix(Prefix(mix(part ^ U(0x5851F42D4C957F2D)), BASE2, UNBASE2).of(s0, s1 + w) ^ place)
+        cover, cover2 = mix(h.of(s0, s1 + w) ^ place), mix(second(part).of(s0, s1 + w) ^ place)
         doc = np.searchsorted(at, s0 + b, "right") - 1
         out.append((grams[an], cover, cover2, doc, s0 + b - at[doc], s1 - s0, an - s0))
     if not out:

@@ -10,7 +10,8 @@ the passages that share an anchor; the way of the rows is the same and is here.
    Runs with equal content in a task are settled there, and one of them is passed on.
 3. Anchors that occur once are dropped. Runs with equal content are settled.
    What remains shares an anchor but not all of its content.
-4. For these only, content is cut out of the texts and judged by the operator.
+4. For these only, content is cut out of the texts and judged by the operator. Where an anchor
+   has more than MANY of them, their windows are instead brought together one by one, by a 128-bit hash.
 5. Settled windows are gathered by text, and the texts are cut."""
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ RUN = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("c2", pa.int64()), ("uid
 RUN_DDL = "h long, c long, c2 long, uid long, ord long, pk long, kind int"
 #: What a run's row says: to be compared; to be compared and already known to occur twice; settled, all windows are to go.
 ASK, TWICE, GONE = 0, 1, 2
+#: Different runs of one anchor that are judged together at most; kinds of runs of an anchor with more are raised by SPREAD.
+MANY, SPREAD = 1000, 4
 LAST = 2**63 - 1
 
 
@@ -114,6 +117,9 @@ def repeated(texts: DataFrame, symbols: Callable, cut: Callable, judge: Callable
         del table
         done = rows[6] == GONE
         for h, c, _, u, _, pk, kind in ([x[done] for x in rows], settle(*(x[~done] for x in rows), earliest, True)):
+            asks = np.flatnonzero(kind != GONE)
+            _, at, count = np.unique(h[asks], return_inverse=True, return_counts=True)
+            kind[asks[count[at] > MANY]] += SPREAD
             none = np.zeros_like(c)  # hashes of content and order have done their work
             yield from batched(RUN, [h, none, none, u, none, pk, kind], 200_000)
 
@@ -138,8 +144,26 @@ def repeated(texts: DataFrame, symbols: Callable, cut: Callable, judge: Callable
             if rows:
                 yield from batched(passage, [list(x) for x in zip(*rows, strict=True)], 50_000)
 
-    asks = runs.where(F.col("kind") != GONE).groupBy("uid").agg(F.collect_list(F.struct("h", "pk", "kind")).alias("asked"))
-    passages = texts.select("uid", "ord", F.col("text").cast("binary").alias("text")).join(asks, "uid").mapInArrow(fetch, passage_ddl)
+    def asking(which) -> DataFrame:
+        asks = runs.where(which).groupBy("uid").agg(F.collect_list(F.struct("h", "pk", "kind")).alias("asked"))
+        return texts.select("uid", "ord", F.col("text").cast("binary").alias("text")).join(asks, "uid")
+
+    passages = asking(F.col("kind").isin(ASK, TWICE)).mapInArrow(fetch, passage_ddl)
+
+    window = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ord", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("times", pa.int32())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = columns(batch)
+            data, at = K.buffers(col["text"])
+            uid, ord_, asked = ints(col["uid"]), ints(col["ord"]), col["asked"]
+            for i in range(len(uid)):
+                codes, _ = symbols(data, at[i : i + 2])
+                one, two, asks = K.Prefix(codes), K.second(codes), asked[i].as_py()
+                start = np.concatenate([np.arange(a["pk"] >> 24, (a["pk"] >> 24) + (a["pk"] >> 12 & 4095) + 1) for a in asks])
+                times = np.repeat([2 if a["kind"] == TWICE + SPREAD else 1 for a in asks], [(a["pk"] >> 12 & 4095) + 1 for a in asks])
+                a, b = (K.mix(p.of(start, start + w)).astype(np.int64) for p in (one, two))
+                yield from batched(window, [a, b, np.full(len(a), ord_[i]), np.full(len(a), uid[i]), start, times.astype(np.int32)], 200_000)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = whole(batches)
@@ -148,6 +172,12 @@ def repeated(texts: DataFrame, symbols: Callable, cut: Callable, judge: Callable
 
     more = passages.repartition(partitions(texts.sparkSession), "h").mapInArrow(decide, "uid long, pk long")
     gone = runs.where(F.col("kind") == GONE).select("uid", "pk").union(more)
+    if not runs.where(F.col("kind") >= SPREAD).isEmpty():
+        each = written(asking(F.col("kind") >= SPREAD).mapInArrow(spread, "a long, b long, ord long, uid long, start long, times int"), "windows")
+        place = F.struct("ord", "uid", "start")
+        all_ = each.groupBy("a", "b").agg(F.min(place).alias("first"), F.sum("times").alias("n")).where("n > 1")
+        out = each.join(all_, ["a", "b"]).where(place != F.col("first")) if earliest else each.join(all_, ["a", "b"])
+        gone = gone.union(out.select("uid", F.shiftleft("start", 24)))
     return written(gone.groupBy("uid").agg(F.collect_list("pk").alias("spans")), "spans")
 
 

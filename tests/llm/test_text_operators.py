@@ -306,3 +306,18 @@ def test_runs_are_settled_by_wide_hashes():
     one = np.ones(2, np.int64)
     for c2, gone in (([5, 5], 1), ([5, 6], 0)):
         assert (windows.settle(one, one, np.array(c2), np.arange(2), one, one, np.zeros(2, np.int32), True, False)[6] == windows.GONE).sum() == gone
+
+
+@pytest.mark.parametrize("op", [suffix_dedup.suffix_dedup, substring_dedup.substring_dedup])
+def test_an_anchor_of_many_runs_is_no_single_group(docs, spark, monkeypatch, op):
+    r = np.random.default_rng(4)
+    line = " ".join(f"licence{k}" for k in range(40))
+    texts = [" ".join(f"w{k}" for k in r.integers(0, 9, 30)) + " " + line[: 80 + 3 * (i % 5)] + " " + " ".join(f"w{k}" for k in r.integers(0, 9, 30)) for i in range(60)]
+    more = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for df in (docs, more):
+        run = lambda: sorted(map(tuple, op(df, window=20, gram=8).select("doc_id", "n_removed", "kept_sha256").collect()), key=str)  # noqa: E731, B023
+        want, steps, written = run(), [], windows.written
+        monkeypatch.setattr(windows, "MANY", 1)
+        monkeypatch.setattr(windows, "written", lambda x, name: steps.append(name) or written(x, name))
+        assert run() == want and "windows" in steps
+        monkeypatch.undo()
