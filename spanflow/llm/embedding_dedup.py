@@ -11,6 +11,8 @@ from spanflow.llm.common import components, written
 
 #: Vectors that a shard should have, centroids over all labels at most, and sampled vectors per centroid.
 SHARD, CENTROIDS, PER_CENTROID = 600, 8192, 12
+#: Vectors of a graph, and vectors searched for in it, that a task has at most on average over a shard's blocks.
+BLOCK = 2400
 #: Out-degree and slack of the pruned graph, candidates to prune, width of the greedy search,
 #: and how far below the threshold a vector may be to be expanded.
 DEGREE, ALPHA, POOL, BEAM, SLACK = 24, 1.2, 64, 16, 0.1
@@ -300,6 +302,18 @@ def searched(one: DataFrame, shared, reach: dict[str, float], whole: frozenset,
                 yield pd.concat(out)
 
     homes = written(one.mapInPandas(assign, "part string, shard string, cid long, copies long, key long, x binary, role int"), "shards")
+    sizes = homes.groupBy("shard").agg(F.ceil(F.count_if(F.col("role") >= 2) / BLOCK).alias("graphs"), F.ceil(F.count_if(F.col("role") % 2 == 1) / BLOCK).alias("asks"))
+    homes = homes.join(sizes.where("graphs > 1 OR asks > 1"), "shard", "left").fillna(1, ["graphs", "asks"])
+    homes = homes.withColumn("b", F.pmod(F.xxhash64(F.lit("graph"), "key", "cid"), F.greatest("graphs", F.lit(1)))).withColumn("a", F.pmod(F.xxhash64(F.lit("ask"), "key", "cid"), F.greatest("asks", F.lit(1))))
+    graphs = homes.where(F.col("role") >= 2)
+    # A task has one block of a shard's graphs and one of the vectors to search for; a row goes to its block's tasks, as the one and as the other.
+    cell = lambda b, a, role: F.struct(b.cast("long").alias("b"), a.cast("long").alias("a"), role.cast("int").alias("role"))
+    as_graph = F.transform(F.sequence(F.lit(0), F.greatest("asks", F.lit(1)) - 1), lambda a: cell(F.col("b"), a, F.col("role") - F.when((F.col("role") % 2 == 1) & (a != F.col("a")), 1).otherwise(0)))
+    as_ask = F.transform(F.sequence(F.lit(0), F.greatest("graphs", F.lit(1)) - 1), lambda b: cell(b, F.col("a"), F.lit(1)))
+    as_ask = F.when(F.col("role") % 2 == 1, as_ask).otherwise(F.filter(as_ask, lambda _: F.lit(False)))
+    as_graph = F.when(F.col("role") >= 2, as_graph).otherwise(F.filter(as_graph, lambda _: F.lit(False)))
+    as_ask = F.when(F.col("role") >= 2, F.filter(as_ask, lambda t: t["b"] != F.col("b"))).otherwise(as_ask)  # there it is both
+    tasks = homes.withColumn("cell", F.explode(F.concat(as_graph, as_ask))).select("part", "shard", "cell.b", "cell.a", "cid", "copies", "x", "cell.role")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "cid"], ignore_index=True)
@@ -308,7 +322,7 @@ def searched(one: DataFrame, shared, reach: dict[str, float], whole: frozenset,
         ids = pdf["cid"].to_numpy()
         return pd.DataFrame({"cid": ids, "near": [np.unique(ids[g]) for g in graph]})
 
-    lists = homes.where(F.col("role") >= 2).groupBy("shard").applyInPandas(build, "cid long, near array<long>")
+    lists = graphs.groupBy("shard", "b").applyInPandas(build, "cid long, near array<long>")
     united = lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # two lists of bounded length
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -337,4 +351,4 @@ def searched(one: DataFrame, shared, reach: dict[str, float], whole: frozenset,
             root = roots(len(pdf), np.concatenate([i, v, every, root]), np.concatenate([v, i, root, every]))
         return pd.DataFrame({"part": part, "cid": ids, "links": links, "root": ids[root]})
 
-    return homes.join(united, "cid", "left").groupBy("shard").applyInPandas(look, "part string, cid long, links long, root long")
+    return tasks.join(united, "cid", "left").groupBy("shard", "b", "a").applyInPandas(look, "part string, cid long, links long, root long")

@@ -203,3 +203,17 @@ def test_a_failed_audit_widens_the_search(spark, monkeypatch):
     u = embedding_dedup.unit(list(x))
     assert [got[i][0] for i in range(400)] == ((u @ u.T >= 0.93).sum(1) - 1).tolist()
     assert [w for _, w in calls] == [False, False, True] and calls[0][0] < calls[1][0] == calls[2][0]
+
+
+def test_large_shards_are_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 90)
+    r, looked, real = np.random.default_rng(8), [], embedding_dedup.searched
+    x = r.normal(size=32) + r.normal(size=(500, 32)) * 0.2
+    monkeypatch.setattr(embedding_dedup, "searched", lambda *a: looked.append(real(*a)) or looked[-1])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = rows(embedding_dedup.near_dedup(df), "vec_id", "n_links", "component_id")
+    s = embedding_dedup.unit(list(x)) @ embedding_dedup.unit(list(x)).T >= 0.93
+    want = roots(range(500), list(zip(*np.nonzero(s), strict=True)))
+    assert 0.98 * (s.sum() - 500) <= sum(v[0] for v in got.values()) <= s.sum() - 500
+    assert sum(got[i][1] == want[i] for i in want) >= 490
+    assert looked[0].groupBy("cid").count().agg({"count": "min"}).first()[0] > 1  # rows of several tasks
