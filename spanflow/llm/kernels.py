@@ -22,8 +22,6 @@ BYTE_CODE_LOWER = BYTE_CODE[LOWER]
 STEP = _RNG.integers(1, 2**64, 8, dtype=np.uint64) | U(1)
 BASE = 0x9E3779B97F4A7C15 | 1
 UNBASE = pow(BASE, -1, 2**64)
-BASE2 = 0xC2B2AE3D27D4EB4F  # of a second hash, of other codes
-UNBASE2 = pow(BASE2, -1, 2**64)
 _POW: dict[int, np.ndarray] = {}
 
 
@@ -51,11 +49,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Prefix:
     """Polynomial hashes of all substrings of a sequence, by prefix sums."""
 
-    def __init__(self, codes: np.ndarray, base: int = BASE, unbase: int = UNBASE):
+    def __init__(self, codes: np.ndarray):
         n = len(codes)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes * powers(base, n), out=self.sums[1:])
-        self.un = powers(unbase, n + 1)
+        np.cumsum(codes * powers(BASE, n), out=self.sums[1:])
+        self.un = powers(UNBASE, n + 1)
 
     def of(self, lo, hi) -> np.ndarray:
         return (self.sums[hi] - self.sums[lo]) * self.un[lo]
@@ -64,11 +62,6 @@ class Prefix:
         return (self.sums[k:] - self.sums[:-k]) * self.un[: len(self.sums) - k]
 
 
-def second(codes: np.ndarray) -> Prefix:
-    """Hashes that go with those of Prefix(codes), of another base and other codes."""
-    return Prefix(mix(codes ^ U(0x5851F42D4C957F2D)), BASE2, UNBASE2)
-
-
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary column without nulls as (bytes, offsets)."""
     if isinstance(col, pa.ChunkedArray):
@@ -151,9 +144,8 @@ def anchors(codes: np.ndarray, at: np.ndarray, k: int, w: int) -> tuple[np.ndarr
 
     Each window's anchor is its k-symbol gram of least hash, the first of equals;
     equal windows thus have the same anchor at the same place. Returns, per run of
-    windows with one anchor: the gram's hash; two 64-bit hashes, of different bases and codes, of all
-    symbols that the run's windows cover, with the anchor's place; document; first window's
-    start; windows less one; anchor's place after that start."""
+    windows with one anchor: the gram's hash; a hash of all symbols that the run's windows cover,
+    with the anchor's place; document; first window's start; windows less one; anchor's place after that start."""
     out = []
     n = len(codes)
     step = max(PIECE, w)
@@ -176,12 +168,12 @@ def anchors(codes: np.ndarray, at: np.ndarray, k: int, w: int) -> tuple[np.ndarr
         s0, s1, an = s[i], s[np.append(i[1:], len(s)) - 1], a[i]
         place = ((an - s0) << 16 | (s1 - s0)).astype(np.uint64)
         place = mix(place + U(0x2545F4914F6CDD1D))
-        cover, cover2 = mix(h.of(s0, s1 + w) ^ place), mix(second(part).of(s0, s1 + w) ^ place)
+        cover = mix(h.of(s0, s1 + w) ^ place)
         doc = np.searchsorted(at, s0 + b, "right") - 1
-        out.append((grams[an], cover, cover2, doc, s0 + b - at[doc], s1 - s0, an - s0))
+        out.append((grams[an], cover, doc, s0 + b - at[doc], s1 - s0, an - s0))
     if not out:
         z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), z, z, z, z
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), z, z, z, z
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanflow.llm import kernels as K
-from spanflow.llm.common import batched, columns
-from spanflow.llm.windows import TWICE, first_of, repeated, unique_texts, windows_of
+from spanflow.llm.common import ASCII_SPACE, batched, columns
+from spanflow.llm.windows import TWICE, finished, first_of, repeated, unique_texts, windows_of
+
+#: Passages of one anchor that go into one automaton at most: some 50 kB each.
+MANY = 1000
 
 
 class SuffixAutomaton:
     """All substrings of a set of sequences, with how often each occurs."""
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict[Hashable, int]] = [{}]
         self.link, self.len, self.count = [-1], [0], [0]
 
     def _state(self, n: int) -> int:
@@ -29,7 +32,7 @@ class SuffixAutomaton:
         self.count.append(0)
         return len(self.len) - 1
 
-    def add(self, sequence: list[int], weight: int = 1) -> None:
+    def add(self, sequence: list[Hashable], weight: int = 1) -> None:
         """Adds a sequence that counts ``weight`` times."""
         last, nxt, link, length = 0, self.next, self.link, self.len
         for c in sequence:
@@ -51,7 +54,7 @@ class SuffixAutomaton:
                 last = new
             self.count[last] += weight
 
-    def _split(self, p: int, c: int, q: int) -> int:
+    def _split(self, p: int, c: Hashable, q: int) -> int:
         clone = self._state(self.len[p] + 1)
         self.next[clone] = dict(self.next[q])
         self.link[clone], self.link[q] = self.link[q], clone
@@ -66,7 +69,7 @@ class SuffixAutomaton:
             if self.link[v] >= 0:
                 self.count[self.link[v]] += self.count[v]
 
-    def statistics(self, sequence: list[int], least: int = 2) -> list[int]:
+    def statistics(self, sequence: list[Hashable], least: int = 2) -> list[int]:
         """At each place, the length of the longest string ending there that occurs ``least`` times."""
         nxt, link, length, count, v, n, out = self.next, self.link, self.len, self.count, 0, 0, []
         for c in sequence:
@@ -86,13 +89,13 @@ def matched(table: pa.Table, w: int) -> tuple[np.ndarray, np.ndarray]:
     The passages of one anchor are a reference shard: they all go into one automaton, and
     then each is streamed through it."""
     h, uid, pk, kind = (table.column(c).to_numpy() for c in ("h", "uid", "pk", "kind"))
-    data, at = K.buffers(table.column("passage"))
+    passages = table.column("passage").to_pylist()
     start = np.append(np.flatnonzero(first_of(h)), len(h))
     out_uid: list[int] = []
     out_pk: list[int] = []
     for lo, hi in zip(start[:-1], start[1:], strict=True):
         shard = SuffixAutomaton()
-        sequences = [np.frombuffer(data[at[i] : at[i + 1]].tobytes(), np.uint64).tolist() for i in range(lo, hi)]
+        sequences = [passages[i].split(b" ") for i in range(lo, hi)]  # the words themselves, not hashes
         for i, sequence in zip(range(lo, hi), sequences, strict=True):
             shard.add(sequence, 2 if kind[i] == TWICE else 1)
         shard.total()
@@ -106,7 +109,7 @@ def matched(table: pa.Table, w: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out_uid, np.int64), np.array(out_pk, np.int64)
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept (null unless
     ``with_text``).
 
@@ -121,17 +124,22 @@ def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 20, id_col: s
         return codes, first
 
     def cut(data: np.ndarray, at: np.ndarray):
-        codes = K.words(data, at)[2]
-        return lambda lo, hi: codes[lo:hi].tobytes()
+        words = data[at[0] : at[1]].tobytes().split()
+        return lambda lo, hi: b" ".join(words[lo:hi])
+
+    def part(text: str, lo: str, n: str):
+        words = F.split(F.ltrim(F.col(text), F.lit(ASCII_SPACE)), f"[{ASCII_SPACE}]+")
+        return F.array_join(F.slice(words, (F.col(lo) + 1).cast("int"), F.col(n).cast("int")), " ").cast("binary")
 
-    texts = unique_texts(docs, id_col, text_col, []).withColumn("ord", F.lit(0).cast("long"))
-    spans = repeated(texts, symbols, cut, lambda t: matched(t, window), gram, window, False)
+    texts, rows = unique_texts(docs, id_col, text_col)
+    texts = texts.withColumn("ord", F.lit(0).cast("long"))
+    spans, steps = repeated(texts, symbols, cut, part, lambda t: matched(t, window), gram, window, False, MANY, bits)
     schema = pa.schema([("uid", pa.int64()), ("copies", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = columns(batch)
-            rows = []
+            done = []
             for text, pks, copies in zip(c["text"], c["spans"], c["copies"].to_pylist(), strict=True):
                 words = text.as_py().split()
                 n, removed = len(words), 0
@@ -142,11 +150,10 @@ def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 20, id_col: s
                     removed = int(gone.sum())
                     words = [words[i] for i in np.flatnonzero(~gone)]
                 kept = b" ".join(words)
-                rows.append((n, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
-            if rows:
-                yield from batched(schema, [c["uid"], c["copies"], *(list(x) for x in zip(*rows, strict=True))], 5_000)
+                done.append((n, removed, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+            if done:
+                yield from batched(schema, [c["uid"], c["copies"], *(list(x) for x in zip(*done, strict=True))], 5_000)
 
     cuts = texts.select("uid", "copies", F.col("text").cast("binary").alias("text")).join(spans, "uid", "left")
     cuts = cuts.mapInArrow(remove, "uid long, copies long, n_words long, n_removed long, kept_sha256 string, kept string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("uid"))
-    return rows.join(cuts, "uid").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
+    return finished(rows.join(cuts, "uid").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept"), texts, *steps)

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from spanflow.llm import kernels as K
 from spanflow.llm.common import batched, columns
-from spanflow.llm.windows import LAST, first_of, repeated, unique_texts, windows_of
+from spanflow.llm.windows import LAST, finished, first_of, repeated, unique_texts, windows_of
+
+#: Passages of one anchor that are sorted together at most: some 2 kB each.
+MANY = 20_000
 
 
 class Suffixes:
@@ -25,7 +28,7 @@ class Suffixes:
         self.hash = K.Prefix(K.BYTE_CODE[data])
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Lengths of the longest common prefixes of suffixes i and j, verified on bytes at their last place."""
+        """Lengths of the longest common prefixes of suffixes i and j, by their hashes; what is removed for them is compared later."""
         a, b = self.at[i], self.at[j]
         lo, hi = np.zeros(len(i), np.int64), np.minimum(self.size[i], self.size[j])
         while True:
@@ -86,8 +89,8 @@ def earlier(table: pa.Table, w: int) -> tuple[np.ndarray, np.ndarray]:
 
     Suffixes at the anchors are sorted; where neighbours agree for less than what a
     window has right of its anchor, its class ends. Windows with the same number of bytes left
-    of the anchor are equal when their classes and the hashes of these bytes are;
-    every window found is then compared with its first equal byte by byte."""
+    of the anchor are equal when their classes and the hashes of these bytes are. Hashes may collide, so
+    every window found is then compared with its first equal byte by byte, and where one differs, all with its key are grouped by their bytes."""
     h, uid, ord_, pk = (table.column(c).to_numpy() for c in ("h", "uid", "ord", "pk"))
     data, at = K.buffers(table.column("passage"))
     data, at = data[at[0] : at[-1]], at - at[0]
@@ -116,14 +119,18 @@ def earlier(table: pa.Table, w: int) -> tuple[np.ndarray, np.ndarray]:
             some = late[lo : lo + 20_000]
             span = np.arange(w)
             same = (data[p[some][:, None] + span] == data[p[head[some]][:, None] + span]).all(1)
-            some = some[same]
+            if not same.all():
+                of, seen = np.flatnonzero(np.isin(key, key[some[~same]])), set()
+                bodies = [data[x : x + w].tobytes() for x in p[of]]
+                again = np.array([i for i, body in zip(of, bodies, strict=True) if body in seen or seen.add(body)], np.int64)
+                some = np.union1d(some[~np.isin(some, of)], again)
             out_uid.append(uid[live[some]])
             out_pk.append((pk[live[some]] >> 24) + (p[some] - at[live[some]]) << 24)
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *out_uid]), np.concatenate([none, *out_pk])
 
 
-def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept
     (null unless ``with_text``).
 
@@ -141,15 +148,18 @@ def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, id_col: str
     def cut(data: np.ndarray, at: np.ndarray):
         return lambda lo, hi: data[at[0] + lo : at[0] + hi].tobytes()
 
-    texts = unique_texts(docs, id_col, text_col, [])
-    spans = repeated(texts, symbols, cut, lambda t: earlier(t, window), gram, window, True)
+    def part(text: str, lo: str, n: str):
+        return F.substring(F.col(text).cast("binary"), (F.col(lo) + 1).cast("int"), F.col(n).cast("int"))
+
+    texts, rows = unique_texts(docs, id_col, text_col)
+    spans, steps = repeated(texts, symbols, cut, part, lambda t: earlier(t, window), gram, window, True, MANY, bits)
     schema = pa.schema([("uid", pa.int64()), ("ord", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = columns(batch)
             data, at = K.buffers(c["text"])
-            rows = []
+            done = []
             for i, pks in enumerate(c["spans"]):
                 text = data[at[i] : at[i + 1]]
                 removed = runs = 0
@@ -159,17 +169,16 @@ def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, id_col: str
                     removed, runs = int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                     kept = text[~gone]
                 kept = kept.tobytes()
-                rows.append((len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-            if rows:
-                yield from batched(schema, [c["uid"], c["ord"], *(list(x) for x in zip(*rows, strict=True))], 5_000)
+                done.append((len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+            if done:
+                yield from batched(schema, [c["uid"], c["ord"], *(list(x) for x in zip(*done, strict=True))], 5_000)
 
     cuts = texts.select("uid", "ord", F.col("text").cast("binary").alias("text")).join(spans, "uid", "left")
     cuts = cuts.mapInArrow(remove, "uid long, ord long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("uid"))
     out = rows.join(cuts, "uid")
     later = (F.coalesce("doc_id", F.lit(LAST)) != F.col("ord")) & (F.col("n_bytes") >= window)  # an equal text comes before
     none = F.lit(hashlib.sha256(b"").hexdigest())
-    return out.select(
+    out = out.select(
         "doc_id",
         "n_bytes",
         F.when(later, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
@@ -177,3 +186,4 @@ def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, id_col: str
         F.when(later, none).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
         F.when(later & F.lit(with_text), F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
     )
+    return finished(out, texts, *steps)
