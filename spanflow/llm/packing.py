@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,14 @@ from pyspark.sql import functions as F
 
 from spanflow.llm.common import batched, columns, ints, ranked, written
 
-#: Different words whose ids a task remembers.
-CACHE = 500_000
+#: Bytes of words and ids that a task remembers, and the longest word that is.
+CACHE, LONG = 1 << 26, 256
+#: The linear program's groups of lengths (more where lengths differ by more than WIDTH allows) and most items of a sequence in it.
+GROUPS, WIDTH, SLOTS = 64, 0.95, 16
+#: Steps of the weights, coarse to fine, and how near the covering is to come to its bound.
+STEPS, GAP = (0.3, 0.15, 0.08), 1.02
+#: Roundings of the program that are tried: shares of its uses, of which the rest is best-fit, and items of a planned sequence that best-fit may choose.
+SHARES, OPEN = (1.0, 0.95, 0.92), (0, 1, 2)
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -44,14 +52,16 @@ def word_encoder(tokenizer_file: str) -> Callable[[list[bytes]], list[bytes]]:
     import regex
     from tokenizers import Tokenizer
 
-    tokenizer, cache, words = Tokenizer.from_file(tokenizer_file), {}, {}
+    tokenizer, cache, words, held = Tokenizer.from_file(tokenizer_file), {}, {}, 0
     model, split, letters = tokenizer.model, regex.compile(_SPLIT).findall, byte_letters()
 
     def new(word: str) -> bytes:
-        if len(words) > CACHE:
-            words.clear()
+        nonlocal held
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
-        ids = words[word] = np.array([t.id for t in model.tokenize(shown)], "<u4").tobytes()
+        ids = np.array([t.id for t in model.tokenize(shown)], "<u4").tobytes()
+        if len(word) <= LONG:
+            words[word] = ids
+            held += len(word) + len(ids) + 200
         return ids
 
     def learn(parts: set[bytes]) -> None:
@@ -69,11 +79,21 @@ def word_encoder(tokenizer_file: str) -> Callable[[list[bytes]], list[bytes]]:
                 cache[part] = np.array(e.ids, "<u4").tobytes()
 
     def encode(texts: list[bytes]) -> list[bytes]:
+        nonlocal held
         parts = [t.split() for t in texts]
-        if len(cache) > CACHE:
+        if held > CACHE:
             cache.clear()
-        learn(set().union(*parts).difference(cache))
-        return [b"".join([cache[w] for w in p]) for p in parts]
+            words.clear()
+            held = 0
+        fresh = set().union(*parts).difference(cache)
+        learn(fresh)
+        out = [b"".join([cache[w] for w in p]) for p in parts]
+        for w in fresh:
+            if len(w) > LONG:
+                del cache[w]
+            else:
+                held += len(w) + len(cache[w]) + 200
+        return out
 
     return encode
 
@@ -102,89 +122,147 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end: int) -> Dat
     return text.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def price(values: np.ndarray, capacity: int) -> np.ndarray:
-    """The most valuable multiset of lengths within the capacity (unbounded
-    knapsack): lengths 1..capacity have values[1..capacity]."""
-    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    useful = np.flatnonzero(values > 0)
-    for c in range(1, capacity + 1):
-        fits = useful[: np.searchsorted(useful, c, "right")]
-        if len(fits):
-            total = best[c - fits] + values[fits]
-            k = int(np.argmax(total))
-            if total[k] > best[c - 1]:
-                best[c], choice[c] = total[k], fits[k]
-                continue
-        best[c] = best[c - 1]
-    out, c = [], capacity
-    while c > 0:
-        if choice[c]:
-            out.append(int(choice[c]))
-            c -= int(choice[c])
-        else:
-            c -= 1
-    return np.array(out, np.int64)
-
-
-def configurations(counts: np.ndarray, capacity: int, steps: int = 160, eps: float = 0.25) -> list[tuple[dict[int, int], float]]:
-    """Fractional covering of the histogram by configurations (ways to fill a
-    sequence), by multiplicative weights: a length's weight falls as it is
-    covered, and pricing finds the configuration of greatest weight."""
-    need = counts.astype(float)
-    live = np.flatnonzero(counts)
-    weight = np.zeros(capacity + 1)
-    weight[live] = 1 / need[live] * live
-    used: Counter = Counter()
-    got = np.zeros(capacity + 1)
-    for _ in range(steps if len(live) else 0):
-        config = Counter(price(weight, capacity).tolist())
-        if not config:
+def grouped(counts: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """Lengths above ``capacity / SLOTS`` in groups, long ones first: a group ends once it has its share of the items
+    or its shortest is a good deal shorter than its longest. Lengths so rare that a sequence each would hold them are thus planned together."""
+    lengths = np.flatnonzero(counts)[::-1]
+    lengths = lengths[lengths > capacity // SLOTS]
+    share, out, held = counts[lengths].sum() / GROUPS, [], 0
+    for size in lengths.tolist():
+        if not out or held >= share or size < WIDTH * out[-1][0]:
+            out.append([])
+            held = 0
+        out[-1].append(size)
+        held += int(counts[size])
+    return [np.array(g) for g in out]
+
+
+def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The most valuable multiset of groups within the capacity (unbounded knapsack), as items of each group.
+
+    ``best[c]`` reads ``best[c - size]``, so a stretch of ``size`` cells is done at once."""
+    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for g in np.flatnonzero(values > 0):
+        size, value = int(sizes[g]), values[g]
+        for lo in range(size, capacity + 1, size):
+            hi = min(lo + size, capacity + 1)
+            more = best[lo - size : hi - size] + value
+            better = more > best[lo:hi]
+            best[lo:hi][better] = more[better]
+            pick[lo:hi][better] = g
+    out, c = np.zeros(len(sizes)), int(best.argmax())
+    while c > 0 and pick[c] >= 0:
+        out[pick[c]] += 1
+        c -= int(sizes[pick[c]])
+    return out
+
+
+def configurations(need: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """A fractional covering of ``need`` items of each of the ``sizes`` by configurations (rows: items of each size in a
+    sequence), how often each is used, and a lower bound of the linear program.
+
+    Multiplicative weights: a size's weight falls as it is covered, and a sequence is filled with the greatest weight; one
+    priced before is used again while it is nearly as good. Covering goes on until every size is covered ``goal`` times, and the
+    uses are divided by that. With finer steps it is done again until the uses are within GAP of the bound."""
+    m, bound, pool, use = len(sizes), 0.0, np.zeros((0, len(sizes))), np.zeros(0)
+    for eps in STEPS if m else ():
+        pool, use, got = np.zeros((0, m)), np.zeros(0), np.zeros(m)
+        goal, top = max(1.0, np.log(m) / eps**2), np.inf
+        while got.min() < goal:
+            weight = np.where(got < goal, np.exp(-eps * got), 0) / need
+            worth = pool @ weight
+            k = int(worth.argmax()) if len(pool) else -1
+            if k < 0 or worth[k] < (1 - eps) * top:
+                config = price(weight, sizes, capacity)
+                top = float(config @ weight)
+                bound = max(bound, float(weight @ need) / top)
+                same = np.flatnonzero((pool == config).all(1))
+                if len(same):
+                    k = int(same[0])
+                else:
+                    k, pool, use = len(pool), np.vstack([pool, config]), np.append(use, 0.0)
+            some = pool[k] > 0
+            step = (need[some] / pool[k][some]).min()
+            use[k] += step
+            got += pool[k] * step / need
+        use = use / goal
+        if use.sum() <= GAP * bound:
             break
-        step = min(need[size] / n for size, n in config.items())
-        used[tuple(sorted(config.items()))] += step
-        for size, n in config.items():
-            got[size] += n * step
-            weight[size] *= max(1e-9, 1 - eps * n * step / need[size]) if got[size] < need[size] else 0
-    return [(dict(c), x) for c, x in used.items()]
-
-
-def plan(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Places for all items of a histogram, as rows (length, first rank, items,
-    first sequence, copies a sequence, offset): the item of a rank r goes to sequence
-    first + (r - first rank) // copies. The fractional solution is rounded several
-    times, with more or less of it left to best-fit, and the fewest sequences win."""
-    solved = configurations(counts, capacity)
-    return min((rounded(counts, capacity, solved, part) for part in (1.0, 0.75, 0.5, 0.25, 0.0)), key=lambda p: p[1])[0]
-
-
-def rounded(counts: np.ndarray, capacity: int, solved: list[tuple[dict[int, int], float]], part: float) -> tuple[np.ndarray, int]:
-    """Rows of a plan and its number of sequences: ``part`` of the configurations' use as
-    whole numbers of full sequences, and what remains best-fit decreasing, many equal items and
-    sequences at once. The number of rows depends on the capacity and not on the number of items."""
+    return pool.astype(np.int64), use, bound
+
+
+@dataclass
+class Packed:
+    """Rows (length, first rank, items, first sequence, copies a sequence, offset): the item of a rank r goes to sequence
+    first + (r - first rank) // copies. ``planned`` of the ``sequences`` are from the linear program; fewer than ``least`` cannot do."""
+
+    rows: np.ndarray
+    sequences: int
+    planned: int
+    least: int
+
+
+def plan(counts: np.ndarray, capacity: int) -> Packed:
+    """Places for all items of a histogram: its configuration program is solved once and rounded in some ways (SHARES, OPEN), of
+    which the fewest sequences win, then the most of them planned."""
+    groups = grouped(counts, capacity)
+    sizes, need = np.array([g[0] for g in groups], np.int64), np.array([int(counts[g].sum()) for g in groups], np.int64)
+    pool, use, _ = configurations(need.astype(float), sizes, capacity)
+    return min((rounded(counts, capacity, groups, pool, use, share, free) for share in SHARES for free in OPEN), key=lambda p: (p.sequences, -p.planned))
+
+
+def rounded(counts: np.ndarray, capacity: int, groups: list[np.ndarray], pool: np.ndarray, use: np.ndarray, share: float, choose: int) -> Packed:
+    """A share of the uses as whole numbers of sequences, and what remains (the rest, and items too short for the
+    program, which fill the sequences' free ends) best-fit decreasing, many equal items and sequences at once. The number
+    of rows depends on the capacity and not on the number of items."""
+    have = np.array([int(counts[g].sum()) for g in groups], np.int64)
     left, rank, out, seq = counts.astype(np.int64).copy(), np.zeros(capacity + 1, np.int64), [], 0
+    room: dict[int, list[tuple[int, int]]] = {}  # free tokens to (first sequence, number)
+    bits = 0
 
     def put(size: int, items: int, first: int, copies: int, offset: int) -> None:
         out.append((size, rank[size], items, first, copies, offset))
         rank[size] += items
         left[size] -= items
 
-    for config, x in sorted(solved, key=lambda c: -c[1]):
-        n = min(int(x * part), *(int(left[size]) // k for size, k in config.items()))
-        if n > 0 and sum(size * k for size, k in config.items()) == capacity:
-            at = 0
-            for size, k in sorted(config.items(), reverse=True):
-                put(size, n * k, seq, k, at)
-                at += size * k
-            seq += n
-    room: dict[int, list[tuple[int, int]]] = {}  # free tokens to (first sequence, number)
-    bits = 0
-
     def add(free: int, first: int, n: int) -> None:
         nonlocal bits
         if n and free:
             room.setdefault(free, []).append((first, n))
             bits |= 1 << free
 
+    def fill(config: np.ndarray, n: int) -> None:
+        """``n`` sequences of a configuration, without its ``choose`` shortest items: the room for these is as long as they are or longer, as lengths
+        stand for a group, and best-fit finds what fits it best. Of a group's lengths the longest left are taken first; where a slot's
+        length changes, a new stretch begins."""
+        nonlocal seq
+        slots, most = [], max(1, int(config.sum()) - choose)
+        for g in np.flatnonzero(config):
+            have[g] -= n * config[g]
+            lengths = groups[g]
+            ends = np.cumsum(left[lengths])
+            for k in range(min(int(config[g]), most - len(slots))):
+                at = np.searchsorted(ends, [k * n, (k + 1) * n - 1], "right")
+                inside = ends[at[0] : at[1]] - k * n
+                slots.append((lengths[at[0] : at[1] + 1], np.append(inside, n)))
+        cuts = np.unique(np.concatenate([e for _, e in slots]))
+        rows = np.stack([lengths[np.searchsorted(e, cuts - 1, "right")] for lengths, e in slots])
+        for stretch, (lo, hi) in enumerate(zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist(), strict=True)):
+            at = 0
+            for size, copies in sorted(Counter(rows[:, stretch].tolist()).items(), reverse=True):
+                put(size, (hi - lo) * copies, seq + lo, copies, at)
+                at += size * copies
+            add(capacity - at, seq + lo, hi - lo)
+        seq += n
+
+    use, order = use * share, np.argsort(-use, kind="stable")
+    for whole in (True, False):  # whole uses first, then one more of each where its items are still there
+        for k in order:
+            fits = int((have[pool[k] > 0] // pool[k][pool[k] > 0]).min())
+            n = min(int(use[k]) if whole else int(share == 1), fits)
+            if n > 0:
+                fill(pool[k], n)
+    planned = seq
     for size in range(capacity, 0, -1):
         while (n := int(left[size])) > 0:
             fits = bits >> size
@@ -204,7 +282,8 @@ def rounded(counts: np.ndarray, capacity: int, solved: list[tuple[dict[int, int]
                 add(free - rest * size, first + full, 1)
                 full += 1
             add(free, first + full, many - full)
-    return np.array(out, np.int64).reshape(-1, 6), seq
+    volume = int((counts * np.arange(capacity + 1)).sum())
+    return Packed(np.array(out, np.int64).reshape(-1, 6), seq, planned, -(-volume // capacity))
 
 
 def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end: int = 1) -> DataFrame:
@@ -222,8 +301,9 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end: int =
     counts = np.zeros(capacity + 1, np.int64)
     for size, n in cut.groupBy("length").count().collect():  # at most `capacity` rows
         counts[size] = n
-    slots = plan(counts, capacity)
-    slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
+    packed = plan(counts, capacity)
+    logging.getLogger(__name__).info("%d sequences, %d of them planned by the linear program, at least %d", packed.sequences, packed.planned, packed.least)
+    slots = packed.rows[np.lexsort((packed.rows[:, 1], packed.rows[:, 0]))]
     keys = slots[:, 0] << 48 | slots[:, 1]
     placed = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
