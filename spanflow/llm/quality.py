@@ -33,11 +33,12 @@ class Network:
     head: np.ndarray
     shift: float
 
-    def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks (n, CHUNK + WIDTH - 1) of bytes to pooled filters and where they were greatest."""
+    def pooled(self, chunks: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks (n, CHUNK + WIDTH - 1) of bytes, of which ``size`` places are the text's, to pooled filters and where they were greatest."""
         total = self.taps[0][chunks[:, :CHUNK]]
         for j in range(1, WIDTH):
             total += self.taps[j][chunks[:, j : CHUNK + j]]
+        total[np.arange(CHUNK) >= size[:, None]] = -np.inf
         best = total.argmax(1)
         return np.maximum(np.take_along_axis(total, best[:, None], 1)[:, 0] + self.bias, 0), best
 
@@ -53,8 +54,8 @@ def logits(z: np.ndarray, first: np.ndarray, net: Network) -> np.ndarray:
     return x @ net.head + net.shift
 
 
-def train(chunks: np.ndarray, doc: np.ndarray, labels: np.ndarray, epochs: int = 14, rate: float = 0.02, seed: int = 5) -> Network:
-    """Fits by Adam on chunks (rows sorted by document) and a label per document."""
+def train(chunks: np.ndarray, size: np.ndarray, doc: np.ndarray, labels: np.ndarray, epochs: int = 14, rate: float = 0.02, seed: int = 5) -> Network:
+    """Fits by Adam on chunks (rows sorted by document), their sizes and a label per document."""
     rng = np.random.default_rng(seed)
     p = {"taps": rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), "bias": np.zeros(FILTERS, np.float32), "head": rng.normal(0, 0.1, 3 * FILTERS).astype(np.float32), "shift": np.zeros(1, np.float32)}
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
@@ -70,7 +71,7 @@ def train(chunks: np.ndarray, doc: np.ndarray, labels: np.ndarray, epochs: int =
             begin = np.append(0, np.cumsum(last[some] - first[some]))[:-1]
             net = Network(p["taps"], p["bias"], p["head"], float(p["shift"][0]))
             x = chunks[rows]
-            z, best = net.pooled(x)
+            z, best = net.pooled(x, size[rows])
             y = 1 / (1 + np.exp(-np.clip(logits(z, begin, net), -30, 30)))
             d = ((y - labels[some]) * cost[some] / len(some)).astype(np.float32)
             n = np.diff(np.append(begin, len(z)))
@@ -101,25 +102,26 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, most_chunks: int =
     ids, and ``most_chunks`` chunks spread evenly over each: a sample of fixed size."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(known, "doc_id")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(known), "doc_id")
+    text = text.groupBy("doc_id").agg(F.min(F.struct("text", "quality")).alias("t")).select("doc_id", "t.*")  # of several rows of one id the least text
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("chunk", pa.int32()), ("bytes", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("chunk", pa.int32()), ("size", pa.int32()), ("bytes", pa.binary())])
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                lo, _ = chunk_bounds(len(r["text"]))
+                lo, hi = chunk_bounds(len(r["text"]))
                 keep = range(len(lo)) if len(lo) <= most_chunks else np.linspace(0, len(lo) - 1, most_chunks).astype(int)
-                rows += [(r["doc_id"], r["quality"], int(k), r["text"][lo[k] : lo[k] + CHUNK + WIDTH - 1]) for k in keep]
-            yield from batched(schema, [list(x) for x in zip(*rows, strict=True)] or [[]] * 4)
+                rows += [(r["doc_id"], r["quality"], int(k), int(hi[k] - lo[k]), r["text"][lo[k] : lo[k] + CHUNK + WIDTH - 1]) for k in keep]
+            yield from batched(schema, [list(x) for x in zip(*rows, strict=True)] or [[]] * 5)
 
-    got = text.mapInArrow(spread, "doc_id long, quality int, chunk int, bytes binary").toArrow().sort_by([("doc_id", "ascending"), ("chunk", "ascending"), ("bytes", "ascending")])
+    got = text.mapInArrow(spread, "doc_id long, quality int, chunk int, size int, bytes binary").toArrow().sort_by([("doc_id", "ascending"), ("chunk", "ascending"), ("bytes", "ascending")])
     chunks = np.zeros((len(got), CHUNK + WIDTH - 1), np.uint8)
     for i, b in enumerate(got["bytes"].to_pylist()):
         chunks[i, : len(b)] = np.frombuffer(b, np.uint8)
     doc = got["doc_id"].to_numpy()
     new = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.zeros(0, bool)
-    return train(chunks, doc, got["quality"].to_numpy()[new].astype(np.float32))
+    return train(chunks, got["size"].to_numpy(), doc, got["quality"].to_numpy()[new].astype(np.float32))
 
 
 def score(docs: DataFrame, net: Network, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
