@@ -137,19 +137,42 @@ def test_every_byte_is_in_a_chunk():
         assert lo[0] == 0 and hi[-1] >= n and (hi[:-1] - lo[1:] >= quality.WIDTH - 1).all() and (hi - lo <= quality.CHUNK).all()
 
 
+def random_network(seed=0):
+    r = np.random.default_rng(seed)
+    return quality.Network(r.normal(size=(quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), r.normal(size=quality.FILTERS).astype(np.float32), r.normal(size=3 * quality.FILTERS).astype(np.float32) / 50, 0.1)
+
+
 def test_chunks_at_once_are_chunks_alone():
-    r = np.random.default_rng(0)
-    net = quality.Network(r.normal(size=(quality.WIDTH, 256, quality.FILTERS)).astype(np.float32), r.normal(size=quality.FILTERS).astype(np.float32), None, 0.0)
+    net, r = random_network(), np.random.default_rng(0)
     text = r.integers(97, 123, 130_000).astype(np.uint8)
-    for n in (0, 3, 700, 130_000):
+    for n in (0, 3, 445, 448, 513, 700, 130_000):
         got = quality.chunk_filters(text[:n], net, net.pairs())
         lo, hi = quality.chunk_bounds(n)
         alone = np.zeros((len(lo), quality.CHUNK + quality.WIDTH - 1), np.uint8)
         for k, a in enumerate(lo):
             part = text[:n][a : a + quality.CHUNK + quality.WIDTH - 1]
             alone[k, : len(part)] = part
-        full = hi - lo == quality.CHUNK
-        assert np.allclose(got[full], net.pooled(alone)[0][full], atol=1e-4)
+        assert np.allclose(got, net.pooled(alone, hi - lo)[0], atol=1e-4)
+
+
+def test_score_by_hand(spark):
+    """The score of whole texts, partial chunks among them, against loops over every place and filter."""
+    net, r = random_network(), np.random.default_rng(1)
+    texts = [None, "", "é x", "short text", *("".join(map(chr, r.integers(97, 123, n))) for n in (447, 449, 600, 1400))]
+
+    def by_hand(text):
+        body, pooled = (text or "").encode(), []
+        for lo in range(0, max(1, len(body) - 64), 448):
+            places = range(lo, min(lo + 512, max(1, len(body))))
+            seen = [sum(net.taps[j][body[p + j] if p + j < len(body) else 0].astype(float) for j in range(6)) for p in places]
+            pooled.append(np.maximum(np.max(seen, 0) + net.bias, 0))
+        z = np.array(pooled)
+        return 1 / (1 + np.exp(-(np.concatenate([z.mean(0), z.max(0), z.min(0)]) @ net.head + net.shift)))
+
+    odd = spark.createDataFrame([(i, t, "clash", 1.0, 2) for i, t in enumerate(texts)], "doc_id long, text string, _bytes string, score double, predicted int")
+    got = rows(quality.score(odd, net), "doc_id", "score", "predicted")
+    for i, t in enumerate(texts):
+        assert abs(got[i][0] - by_hand(t)) < 1e-4 and got[i][1] == (got[i][0] >= 0.3)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
