@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from spanflow.llm.common import batched, columns, ints, ranked, written
 
 #: Bytes of words and ids that a task remembers, and the longest word that is.
-CACHE, LONG = 1 << 26, 256
+CACHE, LONG = 1 << 28, 256
 #: The linear program's groups of lengths (more where lengths differ by more than WIDTH allows) and most items of a sequence in it.
 GROUPS, WIDTH, SLOTS = 64, 0.95, 16
 #: Steps of the weights, coarse to fine, and how near the covering is to come to its bound.
@@ -58,7 +59,8 @@ def word_encoder(tokenizer_file: str) -> Callable[[list[bytes]], list[bytes]]:
     def new(word: str) -> bytes:
         nonlocal held
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
-        ids = np.array([t.id for t in model.tokenize(shown)], "<u4").tobytes()
+        found = [t.id for t in model.tokenize(shown)]
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= LONG:
             words[word] = ids
             held += len(word) + len(ids) + 200
@@ -68,7 +70,7 @@ def word_encoder(tokenizer_file: str) -> Callable[[list[bytes]], list[bytes]]:
         odd = []
         for part in parts:
             text = part.decode()
-            if not text.isprintable() or max(text) >= _PLAIN or "<|" in text:
+            if not text.isprintable() or not text.isascii() and max(text) >= _PLAIN or "<|" in text:
                 odd.append(part)
                 continue
             found = [words.get(w) or new(w) for w in split(text.lower())]
@@ -88,11 +90,9 @@ def word_encoder(tokenizer_file: str) -> Callable[[list[bytes]], list[bytes]]:
         fresh = set().union(*parts).difference(cache)
         learn(fresh)
         out = [b"".join([cache[w] for w in p]) for p in parts]
-        for w in fresh:
-            if len(w) > LONG:
-                del cache[w]
-            else:
-                held += len(w) + len(cache[w]) + 200
+        for w in [w for w in fresh if len(w) > LONG]:
+            del cache[w]
+        held += 3 * sum(map(len, fresh)) + 200 * len(fresh)
         return out
 
     return encode
