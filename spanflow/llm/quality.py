@@ -63,7 +63,7 @@ def train(chunks: np.ndarray, size: np.ndarray, doc: np.ndarray, labels: np.ndar
     last = np.append(first[1:], len(doc))
     share = float(labels.mean()) if len(labels) else 0.5
     cost = np.where(labels == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)) ** 0.5
-    for epoch in range(epochs if 0 < share < 1 else 0):
+    for epoch in range(epochs if len(labels) and 0 < share < 1 else 0):
         order = rng.permutation(len(first))
         for at in range(0, len(order), 64):
             some = np.sort(order[at : at + 64])
