@@ -82,7 +82,7 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def mix(docs: DataFrame, weights: list[float] = [5, 2, 1], share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:  # noqa: B006
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken, times, source.
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, times, source, check (a hash of the text).
 
     Size is the number of words (null text: 0). Sources, by code point and null
     last, weigh ``weights`` repeating; targets share ``share`` of all sizes and stop
@@ -94,11 +94,11 @@ def mix(docs: DataFrame, weights: list[float] = [5, 2, 1], share: float = 1.5, m
     never. Repeated rows count as documents of their own; of equal rows it is open
     which is taken. An empty table gives no rows, other columns are ignored.
 
-    Only (id, source, size) is shuffled. A source's lengths are at most the square root of
+    Only (id, source, size, check) is shuffled. A source's lengths are at most the square root of
     twice its words in number, so one task can fit a source; ranks in a hot
     length are spread over many tasks."""
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("src"), word_count(text_col).alias("size"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("src"), word_count(text_col).alias("size"), F.xxhash64(F.col(text_col)).alias("check"))
     d = written(d, "sizes")
     hist = d.groupBy("src", "size").agg(F.count(F.lit(1)).alias("n"))
     goal = targets(hist.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
@@ -116,9 +116,9 @@ def mix(docs: DataFrame, weights: list[float] = [5, 2, 1], share: float = 1.5, m
     plan = hist.alias("h").join(goal.alias("g"), same).select("h.src", "size", "n", "source_size", "target")
     plan = plan.groupBy("src").applyInPandas(choose, "src string, size long, source_size long, target double, base int, more long")
     plan = written(plan, "plan").select(F.col("src").alias("p_src"), F.col("size").alias("p_size"), "source_size", "target", "base", "more")
-    key = F.struct(F.lit(seed), "doc_id", "size")
+    key = F.struct(F.lit(seed), "doc_id", "size", "check")
     d = d.withColumn("src_key", F.coalesce(F.concat(F.lit("s"), F.col("src")), F.lit("n")))
-    d = ranked(d, ["src_key", "size"], [F.xxhash64(F.lit(seed), "doc_id"), "doc_id"], key)
+    d = ranked(d, ["src_key", "size"], [F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "check"], key)
     plan = plan.withColumn("src_key", F.coalesce(F.concat(F.lit("s"), F.col("p_src")), F.lit("n"))).withColumnRenamed("p_size", "size").drop("p_src")
     times = F.when(F.col("size") == 0, 0).otherwise(F.col("base") + (F.col("rank") < F.col("more")).cast("int")).cast("int")
-    return d.join(plan, ["src_key", "size"]).select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.alias("times"), F.col("src").alias("source"))
+    return d.join(plan, ["src_key", "size"]).select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.alias("times"), F.col("src").alias("source"), "check")

@@ -29,6 +29,8 @@ def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "SHARD", 60)
     data = vectors()
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(4)
+    for clash in ("key", "space", "v", "cid", "part", "links", "component", "n_links"):
+        df = df.withColumn(clash, F.lit("clash"))
     got = rows(embedding_dedup.near_dedup(df), "vec_id", "n_links", "component_id", "kept")
     good = {i: np.array(np.array(v, np.float32), float) for i, v, lab in data if lab is not None and v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     label = {i: lab for i, _, lab in data}
@@ -102,6 +104,8 @@ def test_chat(spark):
     data = [(i, k, names[r].upper() if k % 2 else f" {names[r]} ", f"t{k}") for i, c in enumerate(talks) for k, r in enumerate(c)]
     data += [(None, 0, None, None), (None, None, "user", "last")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(5)
+    for clash in ("cost", "action", "part", "rendered", "block", "state"):
+        df = df.withColumn(clash, F.lit("clash"))
     for block in (1024, 2):
         out = {}
         for r in chat.repair(df, block=block).orderBy("conv_id", "turn", "part").collect():
@@ -190,6 +194,46 @@ def test_pipeline(spark):
     assert packed.where("piece = 0").count() == len(texts)
 
 
+def test_pipeline_stages_by_brute_force(spark):
+    """Every stage on rows with nulls, repeated rows and ids, ties and an empty table, against loops."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stages, types = dict(pipeline.STAGES), "doc_id long, text string, lang string, source string, n_chars long"
+    base = [f"w{i}" for i in range(60)]
+    long, other = " ".join(base), " ".join(f"x{i}" for i in range(40))
+    close = " ".join([*base[:59], "changed"])
+    data = [(5, long, "en", "a", 1), (3, close, "en", "b", 2), (3, other, None, None, None), (3, close, "en", "b", 2), (7, long + " ", "en", "a", 3), (None, None, None, None, None), (None, "", "en", "a", 0), (8, "one two", "en", "a", 4), (2, other.upper(), "en", "b", 5)]
+    docs = spark.createDataFrame(data, types).repartition(3)
+    got = lambda df: sorted(map(tuple, df.collect()), key=str)
+    run = lambda name, d: got(stages[name](spark, d, SF))
+
+    best = {}
+    for row in data:
+        body = "".join((row[1] or "").split())
+        rank = (-len(row[1] or ""), row[0] is None, row[0] or 0)
+        if body not in best or rank < best[body][0]:
+            best[body] = (rank, row)
+    exact = run("exact dedup", docs)
+    assert [r for r in exact if r[1]] == sorted([v[1] for k, v in best.items() if k], key=str) and len([r for r in exact if not r[1]]) == 1
+
+    near = run("n-gram Jaccard join", docs)
+    want = [(3, close, "en", "b", 2), (2, other.upper(), "en", "b", 5), (8, "one two", "en", "a", 4), (None, None, None, None, None), (None, "", "en", "a", 0)]
+    assert near == sorted(want, key=str)
+
+    taken = run("mixing sources", docs)
+    for s in {r[3] for r in data}:
+        size = sum(len((r[1] or "").split()) for r in data if r[3] == s)
+        assert sum(len((r[1] or "").split()) for r in taken if r[3] == s) <= 2 * size
+    assert set(taken) <= set(data) and all((r[1] or "").split() for r in taken)
+    assert all(taken.count(r) <= 2 * data.count(r) for r in set(taken))
+
+    packed = stages["best-fit packing"](spark, docs, SF).collect()
+    assert sorted(str(r["doc_id"]) for r in packed) == sorted(str(r[0]) for r in data)
+    scored = run("quality classifier", docs)
+    assert all(scored.count(r) == data.count(r) for r in set(scored))
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
 def test_embeddings_of_one_dense_group(spark):
     r = np.random.default_rng(5)
     x = r.normal(size=32) + r.normal(size=(3000, 32)) * 0.2  # median cosine 0.96
