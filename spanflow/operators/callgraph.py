@@ -12,16 +12,35 @@ from pyspark.sql.window import Window
 from spanflow.functions.scalars import overlaps
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts lineage in the folder of ``spark.checkpoint.dir``; where that is unset, in a temporary one."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the folder of ``spark.checkpoint.dir``; where that is unset and all run on one machine, in a temporary one."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
     path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/spanflow-step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def summed_up(steps: DataFrame, keys: list[str], rounds: int = 64) -> DataFrame:
+    """Sums along paths of pointers: ``steps`` has ``keys``, id, up (null at a path's end) and value; the result keys, id and
+    total, the values of a node and of all that it leads up to, and one more for each pointer followed. Nodes
+    that lead into a cycle have no row. Pointers double each round, so rounds grow with the logarithm of the longest path."""
+    known = checkpointed(steps.select(*keys, "id", "up", F.col("value").cast("long").alias("total")))
+    done, open_ = known.where("up IS NULL"), known.where("up IS NOT NULL")
+    for _ in range(rounds):
+        ahead = known.select(*keys, F.col("id").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"))
+        now = checkpointed(open_.join(ahead, [*keys, "up"]).select(*keys, "id", F.col("next").alias("up"), (F.col("total") + 1 + F.col("more")).alias("total")))
+        ended, open_ = now.where("up IS NULL"), now.where("up IS NOT NULL")
+        done = done.unionByName(ended)
+        if ended.isEmpty():  # there are paths of every length up to the longest, so that what is left leads into cycles
+            return done.select(*keys, "id", "total")
+        known = done.unionByName(open_)
+    raise RuntimeError(f"paths did not end in {rounds} rounds")
+
+
 def call_nodes(spans: DataFrame) -> DataFrame:
     """One node per span id and trace (the last in file order): trace_id, span_id, parent_span_id, start_ns, end_ns, service, ordinal."""
     keep = ["parent_span_id", "start_ns", "end_ns", "service", "name", "ordinal"]
@@ -69,15 +88,14 @@ def edge_violations(nodes: DataFrame, edges: DataFrame, tolerance_ms: int = 50)
     return cycles.unionByName(e.select("trace_id", "from_id", "to_id", kind.alias("type")).where("type IS NOT NULL"))
 
 
-def call_cycles(nodes: DataFrame, rounds: int = 10_000) -> DataFrame:
+def call_cycles(nodes: DataFrame) -> DataFrame:
     """At most one cycle a trace, that of the smallest span id: trace_id, start_id, length, path.
 
     Only parent links can close a cycle (siblings are linked forward in time), and each node has one
-    parent, so nodes jump over 1, 2, 4, ... parents until only nodes on a cycle or below one are left; the
-    number of joins grows with the logarithm of the largest trace. Then each cycle is followed once around; one of more
-    than ``rounds`` spans is an error."""
-    up = parent_edges(nodes).select("trace_id", F.col("to_id").alias("id"), F.col("from_id").alias("parent"))
-    up = checkpointed(up)
+    parent, so nodes jump over 1, 2, 4, ... parents until only nodes on a cycle or below one are left. The cycle is then
+    cut open above its smallest span, and the spans' distances to it, again found by doubling, are its order. The
+    number of joins grows with the logarithm of the largest trace."""
+    up = checkpointed(parent_edges(nodes).select("trace_id", F.col("to_id").alias("id"), F.col("from_id").alias("parent")))
     jump, far = up.select("trace_id", "id", F.col("parent").alias("at")), 1
     most = up.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     while far < most:  # no tail below a cycle is longer than the largest trace
@@ -87,46 +105,53 @@ def call_cycles(nodes: DataFrame, rounds: int = 10_000) -> DataFrame:
             break
     on = jump.select("trace_id", F.col("at").alias("id")).distinct()  # after many jumps every node is on a cycle
     least = on.groupBy("trace_id").agg(F.min("id").alias("start_id"))
-    links = checkpointed(up.join(on, ["trace_id", "id"], "left_semi"))
-    # A cycle goes from parent to child: in it each node has one child.
-    walk = least.select("trace_id", "start_id", F.col("start_id").alias("at"), F.array("start_id").alias("path"))
-    done = None
-    for _ in range(rounds):
-        step = walk.join(links.select("trace_id", F.col("parent").alias("at"), F.col("id").alias("to")), ["trace_id", "at"])
-        step = checkpointed(step.select("trace_id", "start_id", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path")))
-        closed = step.where("at = start_id")
-        done = closed if done is None else done.unionByName(closed)
-        walk = step.where("at <> start_id")
-        if walk.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"a cycle of more than {rounds} spans")
-    return done.select("trace_id", "start_id", F.size("path").alias("length"), "path")
+    links = up.join(on, ["trace_id", "id"], "left_semi").join(least, "trace_id")
+    open_ = links.select("trace_id", "start_id", "id", F.when(F.col("id") != F.col("start_id"), F.col("parent")).alias("up"), F.lit(0).alias("value"))
+    order = summed_up(open_, ["trace_id", "start_id"]).groupBy("trace_id", "start_id").agg(F.array_sort(F.collect_list(F.struct("total", "id"))).alias("p"))  # the result is this list
+    path = F.concat(F.transform("p", lambda x: x["id"]), F.array("start_id"))
+    return order.select("trace_id", "start_id", F.size(path).alias("length"), path.alias("path"))
 
 
-def levels(edges: DataFrame, nodes: DataFrame, keys: list[str], rounds: int = 100_000) -> DataFrame:
+def levels(edges: DataFrame, nodes: DataFrame, keys: list[str], rounds: int = 10_000) -> DataFrame:
     """Longest path to each node over acyclic ``edges(keys, from_id, to_id)``: keys, id, level. Nodes on or behind
-    a cycle have no row. Each round takes off the nodes without open predecessors of all graphs at once; there are as many as the
-    longest path has nodes."""
+    a cycle have no row. Each round takes the nodes without predecessors of all graphs and their edges away; only what is left
+    is written again. There are as many rounds as the longest path has nodes: contracts are meant, for call graphs see :func:`call_levels`."""
     edges = checkpointed(edges.select(*keys, "from_id", "to_id").distinct())
-    degree = edges.groupBy(*keys, F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("open"))
-    state = nodes.select(*keys, "id").distinct().join(degree, [*keys, "id"], "left")
-    state = checkpointed(state.select(*keys, "id", F.coalesce("open", F.lit(0)).alias("open"), F.lit(None).cast("int").alias("level")))
+    left = checkpointed(nodes.select(*keys, "id").distinct())
+    found = left.select(*keys, "id", F.lit(0).alias("level")).where("false")
     for level in range(rounds):
-        ready = (F.col("open") == 0) & F.col("level").isNull()
-        now = state.where(ready)
-        if now.isEmpty():
-            break
-        less = edges.join(now.select(*keys, F.col("id").alias("from_id")), [*keys, "from_id"]).groupBy(*keys, F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("less"))
-        state = checkpointed(state.join(less, [*keys, "id"], "left").select(*keys, "id", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open"), F.when(ready, level).otherwise(F.col("level")).alias("level")))
-    return state.where("level IS NOT NULL").select(*keys, "id", "level")
+        ready = checkpointed(left.join(edges.select(*keys, F.col("to_id").alias("id")), [*keys, "id"], "left_anti"))
+        if ready.isEmpty():
+            return found
+        found = found.unionByName(ready.select(*keys, "id", F.lit(level).alias("level")))
+        left = checkpointed(left.join(ready, [*keys, "id"], "left_anti"))
+        edges = checkpointed(edges.join(ready.select(*keys, F.col("id").alias("from_id")), [*keys, "from_id"], "left_anti"))
+    raise RuntimeError(f"a path of more than {rounds} nodes")
 
 
 def call_levels(nodes: DataFrame) -> DataFrame:
-    """Levels over parent and follows edges: trace_id, span_id, level. Parents nest and neighbours follow, so a level is a
-    longest path; both are found in one pass over start order where all edges go forward in time (no cycle)."""
-    edges = call_edges(nodes).where("relationship <> 'concurrent'")
-    return levels(edges, nodes.select("trace_id", F.col("span_id").alias("id")), ["trace_id"]).withColumnRenamed("id", "span_id")
+    """Longest paths over parent and follows edges: trace_id, span_id, level. Spans on or behind a cycle have no row.
+
+    A follows edge joins neighbours in start order that have one parent, so such edges form runs below one parent, and a
+    span's level is its place in its run, and one more than its parent's level if it has one. Places come from one window over the trace,
+    and sums over ancestors from doubling, in rounds that grow with the logarithm of the depth."""
+    n = with_known_parents(nodes)
+    w = Window.partitionBy("trace_id").orderBy("start_ns", "span_id")
+    before = F.lag(F.struct("end_ns", "parent")).over(w)
+    follows = before.isNotNull() & (before["end_ns"] <= F.col("start_ns")) & before["parent"].eqNullSafe(F.col("parent"))
+    n = n.select("trace_id", "span_id", "start_ns", "parent", F.when(follows, 0).otherwise(1).alias("new"))
+    n = n.withColumn("run", F.sum("new").over(w))
+    place = F.row_number().over(Window.partitionBy("trace_id", "run").orderBy("start_ns", "span_id")) - 1
+    return summed_up(n.select("trace_id", F.col("span_id").alias("id"), F.col("parent").alias("up"), place.alias("value")), ["trace_id"]).select("trace_id", F.col("id").alias("span_id"), F.col("total").cast("int").alias("level"))
+
+
+def call_depth(nodes: DataFrame) -> DataFrame:
+    """Greatest level of each trace: trace_id, depth."""
+    return call_levels(nodes).groupBy("trace_id").agg(F.max("level").alias("depth"))
+
+
+def nodes_by_service(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("trace_id", "service").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 def call_graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -85,3 +85,78 @@ def evaluate(matched: DataFrame, conditions: list[tuple]) -> DataFrame:
         out.append(F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("condition"), F.when(p.isNull(), "SKIP").when(p, "PASS").otherwise("FAIL").alias("result")))
     keep = [c for c in matched.columns if c not in ("attributes", "input")]
     return matched.select(*keep, F.inline(F.array(*out)))
+
+
+#: The forms of condition texts that are read: a comparison of a path with a literal, has(path), size(path) > number, path =~ /pattern/.
+_PATH = r"([A-Za-z_][\w.]*)"
+_COMPARISON = rf"^\s*{_PATH}\s*(==|!=|<=|>=|<|>)\s*('[^']*'|\"[^\"]*\"|-?\d+(?:\.\d+)?|true|false)\s*$"
+_OPERATORS = {"==": "eq", "!=": "ne", "<=": "le", ">=": "ge", "<": "lt", ">": "gt"}
+
+
+def parsed(expression: Column) -> Column:
+    """A condition's text as struct(path, op, literal, type); all null for other forms, whose result is SKIP."""
+    has, size, match = rf"^\s*has\(\s*{_PATH}\s*\)\s*$", rf"^\s*size\(\s*{_PATH}\s*\)\s*>\s*(\d+)\s*$", rf"^\s*{_PATH}\s*=~\s*/(.*)/\s*$"
+    part = lambda pattern, k: F.regexp_extract(expression, pattern, k)
+    row = lambda path, op, literal, kind: F.struct(path.alias("path"), op.alias("op"), literal.alias("literal"), F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"))
+    op = F.element_at(F.create_map(*[F.lit(x) for pair in _OPERATORS.items() for x in pair]), part(_COMPARISON, 2))
+    text = part(_COMPARISON, 3)
+    kind = F.when(text.rlike("^['\"]"), "string").when(text.isin("true", "false"), "boolean").otherwise("number")
+    return (
+        F.when(expression.rlike(has), row(part(has, 1), F.lit("has"), F.lit(None).cast("string"), "string"))
+        .when(expression.rlike(size), row(part(size, 1), F.lit("size_gt"), part(size, 2), "number"))
+        .when(expression.rlike(match), row(part(match, 1), F.lit("matches"), part(match, 2), "string"))
+        .when(expression.rlike(_COMPARISON), row(part(_COMPARISON, 1), op, F.when(kind == "string", F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text), kind))
+    )
+
+
+def lookup_by(path: Column) -> Column:
+    """:func:`lookup` for a path that is a column."""
+    rest = lambda n: F.substring(path, n + 1, 2**31 - 1)
+    at = lambda v, name: F.when(name == "", v).otherwise(F.try_variant_get(v, F.concat(F.lit("$['"), F.replace(name, F.lit("."), F.lit("']['")), F.lit("']")), "variant"))
+    body = F.coalesce(attribute("response.body"), F.to_variant_object(F.col("attributes")))
+    field = F.when(path == "span.name", F.col("name").cast("variant")).when(path == "span.service", F.col("service").cast("variant"))
+    for time in ("start_ns", "end_ns"):
+        field = field.when(path == f"span.{time}", F.col(time).cast("variant"))
+    under = lambda root: (path == root) | path.startswith(root + ".")
+    return (
+        F.when(path == "response.status", F.coalesce(*[attribute(k) for k in STATUS_KEYS], F.lit(0).cast("variant")))
+        .when(under("response.body"), at(body, rest(len("response.body."))))
+        .when(under("request.body"), at(F.col("input"), rest(len("request.body."))))
+        .when(path.startswith("span.attributes."), F.col("attributes")[rest(len("span.attributes."))])
+        .otherwise(field)
+    )
+
+
+def holds(path: Column, op: Column, literal: Column, kind: Column) -> Column:
+    """:func:`compare` for predicates that are rows and not values of the program."""
+    value = lookup_by(path)
+    found = F.schema_of_variant(value)
+
+    def ordered(x: Column, y: Column) -> Column:
+        return F.when(op == "eq", x == y).when(op == "ne", x != y).when(op == "lt", x < y).when(op == "le", x <= y).when(op == "gt", x > y).when(op == "ge", x >= y)
+
+    text = F.try_variant_get(value, "$", "string")
+    size = F.when(found.startswith("ARRAY"), F.size(F.try_variant_get(value, "$", "array<variant>"))).when(found == "STRING", F.length(text))
+    number = ordered(F.try_variant_get(value, "$", "double"), literal.try_cast("double"))
+    same = F.when(kind == "number", F.when(found.rlike(_NUMBER), number)).when(kind == "boolean", F.when(found == "BOOLEAN", ordered(F.try_variant_get(value, "$", "boolean"), literal.try_cast("boolean")))).otherwise(F.when(found == "STRING", ordered(text, literal)))
+    unlike = F.when(op == "eq", False).when(op == "ne", True)
+    return (
+        F.when(op == "has", F.when(F.substring_index(path, ".", 1).isin("request", "response", "span"), value.isNotNull()))
+        .when(op == "size_gt", size > literal.try_cast("int"))
+        .when(op == "matches", F.when(found == "STRING", F.regexp_like(text, literal)))
+        .otherwise(F.when(found.isNotNull(), F.coalesce(same, unlike)))
+    )
+
+
+def by_operation(matched: DataFrame, table: DataFrame) -> DataFrame:
+    """Conditions of the operation that each row of ``matched`` calls: its columns but attributes and input, and kind, condition, result.
+
+    ``matched``: flow_id, call, attributes, service, name, start_ns, end_ns, and input where known. ``table``: flow_id,
+    service, operation, kind, condition and expression, of all contracts; names must agree in case. An equi-join; contracts are
+    broadcast only where Spark finds them small."""
+    if "input" not in matched.columns:
+        matched = matched.withColumn("input", F.lit(None).cast("variant"))
+    table = table.select("flow_id", F.concat_ws(".", "service", "operation").alias("call"), "kind", "condition", parsed(F.col("expression")).alias("p"))
+    p = holds(F.col("p.path"), F.col("p.op"), F.col("p.literal"), F.col("p.type"))
+    keep = [c for c in matched.columns if c not in ("attributes", "input", "service", "name", "start_ns", "end_ns")]
+    return matched.join(table, ["flow_id", "call"]).select(*keep, "kind", "condition", F.when(p.isNull(), "SKIP").when(p, "PASS").otherwise("FAIL").alias("result"))

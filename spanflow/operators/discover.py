@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanflow.functions.scalars import field_name, identifier, lower_first, pascalize
+from spanflow.functions.scalars import field_name, identifier, lower_first, operation_id, pascalize, string_attr
+from spanflow.operators import lint
 
 #: Parts of attribute keys that tell requests and responses.
 REQUEST = ["request.", "http.method", "http.url", "http.route", "http.target"]
@@ -21,9 +22,19 @@ def _any(key: Column, parts: list[str]) -> Column:
 
 
 def named(spans: DataFrame) -> DataFrame:
-    """Spans with a service and a name, and ``operation`` where it is not there yet."""
+    """Spans with a service and a name, and ``operation`` where it is not there yet: from HTTP or RPC attributes if spans have ``attributes``, else from the name."""
     s = spans.where("coalesce(service, '') <> '' AND coalesce(name, '') <> ''")
-    return s if "operation" in s.columns else s.withColumn("operation", lower_first(pascalize(F.col("name"))))
+    if "operation" in s.columns:
+        return s
+    if "attributes" not in s.columns:
+        return s.withColumn("operation", lower_first(pascalize(F.col("name"))))
+    text = [string_attr(F.col("attributes"), k) for k in ("http.method", "http.route", "http.target", "http.url", "rpc.method")]
+    return s.withColumn("operation", operation_id(F.col("name"), *text))
+
+
+def services(spans: DataFrame) -> DataFrame:
+    """Distinct services of each trace: trace_id, service."""
+    return spans.where("coalesce(service, '') <> ''").select("trace_id", "service").distinct()
 
 
 def operations(spans: DataFrame) -> DataFrame:
@@ -35,7 +46,7 @@ def flow_steps(spans: DataFrame) -> DataFrame:
     """A linear flow per trace: trace_id, pos, step, call, output. Positions count all spans by start, unnamed ones
     too, but these give no step."""
     w = Window.partitionBy("trace_id").orderBy("start_ns", "ordinal")
-    s = named(spans.select("trace_id", "start_ns", "ordinal", "service", "name", *(["operation"] if "operation" in spans.columns else [])).withColumn("pos", F.row_number().over(w)))
+    s = named(spans.select("trace_id", "start_ns", "ordinal", "service", "name", *[c for c in ("operation", "attributes") if c in spans.columns]).withColumn("pos", F.row_number().over(w)))
     return s.select("trace_id", "pos", F.concat(F.lit("Step"), F.col("pos").cast("string"), F.lit("-"), F.col("name")).alias("step"), F.concat_ws(".", "service", "operation").alias("call"), F.concat(F.lower("service"), F.lit("Response")).alias("output"))
 
 
@@ -65,8 +76,17 @@ def conditions(attributes: DataFrame) -> DataFrame:
     return best.select("service", "operation", "kind", "condition", "m.p.path", "m.p.op", "m.p.literal")
 
 
-def lint_gate(steps: DataFrame) -> DataFrame:
-    """Discovered flows that pass the checks of linear flows (call format, duplicate names): trace_id, steps, errors, passed.
-    Drafts declare the services and operations that they call."""
-    bad = F.count_if(~F.col("call").contains("."))
-    return steps.groupBy("trace_id").agg(F.count(F.lit(1)).alias("steps"), (bad + F.count(F.lit(1)) - F.countDistinct("step")).alias("errors")).withColumn("passed", F.col("errors") == 0)
+def lint_gate(steps: DataFrame, declared: DataFrame, known: DataFrame) -> DataFrame:
+    """Which discovered flows pass the checks of linear flows: trace_id, steps, errors, passed.
+
+    ``steps`` of :func:`flow_steps`; ``declared`` are the services drafted for a trace (:func:`services`), ``known`` the operations drafted (:func:`operations`).
+    A draft fails, for one, where a service has a dot in its name, as its calls then name another service."""
+    flow = steps.select(F.col("trace_id").alias("flow_id"), F.col("step").alias("node"), "call")
+    declared = declared.withColumnRenamed("trace_id", "flow_id")
+    found = [lint.call_format(flow), lint.undeclared_service(flow, declared), lint.missing_operation(flow, declared, known.select("service", "operation")), lint.duplicates(flow.select("flow_id", F.col("node").alias("name")))]
+    bad = found[0].select("flow_id")
+    for more in found[1:]:
+        bad = bad.unionByName(more.select("flow_id"))
+    bad = bad.groupBy(F.col("flow_id").alias("trace_id")).agg(F.count(F.lit(1)).alias("errors"))
+    errors = F.coalesce("errors", F.lit(0))
+    return steps.groupBy("trace_id").agg(F.count(F.lit(1)).alias("steps")).join(bad, "trace_id", "left").select("trace_id", "steps", errors.alias("errors"), (errors == 0).alias("passed"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanflow.functions.scalars import content_hash
+
 #: Default thresholds of the gate.
 STEPS, CONDITIONS = 0.9, 0.95
 
@@ -52,6 +54,30 @@ def baseline_steps(steps: DataFrame, conditions: DataFrame) -> DataFrame:
     return s.select("trace_id", "pos", "step", F.coalesce("conditions", F.lit(0)).alias("conditions"), F.coalesce("conditions_passed", F.lit(0)).alias("conditions_passed"))
 
 
+def baseline_record(steps: DataFrame, conditions: DataFrame, contract: str, steps_total: int) -> DataFrame:
+    """A run's record, a row for each trace that did not fail: trace_id, schema_version, flow_hash (of the contract's text), steps_total (entries of the
+    contract), covered_steps in order, and conditions, a map from step to a map from ``kind:name`` to whether it passed. Lists are as long as a contract."""
+    ok = steps.groupBy("trace_id").agg(F.bool_and(F.col("status") == "PASS").alias("ok")).where("ok").select("trace_id")
+    covered = steps.where("status = 'PASS'").groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("pos", "step"))).alias("c"))
+    one = conditions.groupBy("trace_id", "step").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(":", "kind", "condition").alias("k"), (F.col("result") == "PASS").alias("v"))))).alias("m"))
+    all_ = one.groupBy("trace_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("step", "m")), lambda a, b: F.when(a["step"] < b["step"], -1).when(a["step"] > b["step"], 1).otherwise(0))).alias("conditions"))
+    r = ok.join(covered, "trace_id").join(all_, "trace_id", "left")
+    none = F.create_map().cast("map<string,map<string,boolean>>")
+    return r.select("trace_id", F.lit("1").alias("schema_version"), content_hash(F.lit(contract)).alias("flow_hash"), F.lit(steps_total).alias("steps_total"), F.transform("c", lambda x: x["step"]).alias("covered_steps"), F.coalesce("conditions", none).alias("conditions"))
+
+
+def recorded(baseline: DataFrame) -> DataFrame:
+    """A record as a side of :func:`relative`; what was skipped counts as not passed in it."""
+    each = F.flatten(F.transform(F.map_values("conditions"), lambda m: F.map_values(m)))
+    passed = F.size(F.filter(each, lambda x: x))
+    return baseline.select("trace_id", F.size("covered_steps").cast("long").alias("steps_pass"), F.col("steps_total").cast("long").alias("steps_total"), passed.cast("long").alias("conditions_pass"), F.size(each).cast("long").alias("conditions_evaluated"))
+
+
+def totals(steps: DataFrame, key: str = "trace_id") -> DataFrame:
+    """Passed and failed steps of a report, and whether all is well."""
+    return steps.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(F.col("status") == "FAIL").alias("failed"), (F.count_if(F.col("status") == "FAIL") == 0).alias("success"))
+
+
 def relative(current: DataFrame, baseline: DataFrame, keys: list[str], steps: float = STEPS, conditions: float = CONDITIONS) -> DataFrame:
     """Changes against a baseline: both frames have keys, steps_pass, steps_total, conditions_pass, conditions_evaluated.
 
@@ -68,8 +94,10 @@ def relative(current: DataFrame, baseline: DataFrame, keys: list[str], steps: fl
     )
 
 
-def verdict(structural: DataFrame, gate: DataFrame, lint_errors: int = 0) -> DataFrame:
-    """Per trace: 2 if the contract has lint errors, 3 if validation failed, 4 if the gate did, else 0.
-    ``structural`` has trace_id and ok."""
-    code = F.when(F.lit(lint_errors > 0), 2).when(~F.col("ok"), 3).when(~F.col("passed"), 4).otherwise(0)
-    return structural.join(gate.select("trace_id", "passed"), "trace_id").select("trace_id", "ok", F.col("passed").alias("gate_passed"), code.alias("verdict"))
+def verdict(structural: DataFrame, gate: DataFrame, lint: DataFrame | None = None) -> DataFrame:
+    """Per trace: 2 if its contract has lint errors, 3 if validation failed, 4 if the gate did, else 0.
+    ``structural`` has trace_id and ok, ``lint`` trace_id and errors (none where it is missing)."""
+    r = structural.join(gate.select("trace_id", "passed"), "trace_id")
+    r = r.withColumn("errors", F.lit(0)) if lint is None else r.join(lint.select("trace_id", "errors"), "trace_id", "left")
+    code = F.when(F.coalesce("errors", F.lit(0)) > 0, 2).when(~F.col("ok"), 3).when(~F.col("passed"), 4).otherwise(0)
+    return r.select("trace_id", "ok", F.col("passed").alias("gate_passed"), code.alias("verdict"))

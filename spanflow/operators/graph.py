@@ -40,17 +40,18 @@ def entry_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(edges.select("flow_id", F.col("to_id").alias("node")), ["flow_id", "node"], "left_anti").select("flow_id", "node")
 
 
-def reachable(edges: DataFrame, start: DataFrame, rounds: int = 100_000) -> DataFrame:
-    """Nodes that can be reached from ``start`` (flow_id, node), these included. Each round follows the edges of what is new."""
+def reachable(edges: DataFrame, start: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """Nodes that can be reached from ``start`` (flow_id, node), these included. Each round follows the edges of what is new; more
+    than ``rounds`` are an error."""
     seen = checkpointed(start.select("flow_id", "node").distinct())
     edges, new = checkpointed(edges.select("flow_id", "from_id", "to_id").distinct()), seen
     for _ in range(rounds):
         step = new.join(edges.withColumnRenamed("from_id", "node"), ["flow_id", "node"]).select("flow_id", F.col("to_id").alias("node")).distinct()
         new = checkpointed(step.join(seen, ["flow_id", "node"], "left_anti"))
         if new.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(new)
-    return seen
+    raise RuntimeError(f"a path of more than {rounds} nodes")
 
 
 def reachability(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -62,18 +63,18 @@ def reachability(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return g.withColumn("ok", (F.col("entries") > 0) & (F.col("unreachable") == 0))
 
 
-def ancestors(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """All (flow_id, node, ancestor), by joining paths with themselves: their length doubles each round."""
-    paths = checkpointed(edges.select("flow_id", F.col("to_id").alias("node"), F.col("from_id").alias("ancestor")).distinct())
-    n = paths.count()
+def ancestors(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """All (flow_id, node, ancestor). Each round prolongs the paths that are new by one edge; more than ``rounds`` are an error."""
+    edges = checkpointed(edges.select("flow_id", F.col("to_id").alias("node"), F.col("from_id").alias("ancestor")).distinct())
+    seen, new = edges, edges
+    farther = edges.select("flow_id", F.col("node").alias("ancestor"), F.col("ancestor").alias("farther"))
     for _ in range(rounds):
-        far = paths.select("flow_id", F.col("node").alias("ancestor"), F.col("ancestor").alias("farther"))
-        more = paths.join(far, ["flow_id", "ancestor"]).select("flow_id", "node", F.col("farther").alias("ancestor"))
-        paths = checkpointed(paths.unionByName(more).distinct())
-        if (now := paths.count()) == n:
-            break
-        n = now
-    return paths
+        step = new.join(farther, ["flow_id", "ancestor"]).select("flow_id", "node", F.col("farther").alias("ancestor")).distinct()
+        new = checkpointed(step.join(seen, ["flow_id", "node", "ancestor"], "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new)
+    raise RuntimeError(f"a path of more than {rounds} nodes")
 
 
 def fold_parallel(edges: DataFrame, nodes: DataFrame) -> DataFrame:

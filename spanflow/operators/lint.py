@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanflow.functions.scalars import INITIAL_VARIABLES, has_telemetry_prefix, split_call, variable_references
+from spanflow.operators import graph
 from spanflow.operators.graph import ancestors
 
 
@@ -80,3 +81,40 @@ def rollup(flows: DataFrame, issues: DataFrame) -> DataFrame:
     g = issues.groupBy("flow_id").agg(F.count_if(F.col("level") == "ERROR").alias("errors"), F.count_if(F.col("level") == "WARN").alias("warnings"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return flows.join(g, "flow_id", "left").select("flow_id", zero("errors"), zero("warnings"), (F.coalesce("errors", F.lit(0)) == 0).alias("passed"))
+
+
+def issues(contracts: dict[str, DataFrame]) -> DataFrame:
+    """All rules over all contracts: flow_id, level, rule, subject.
+
+    ``contracts``: ``steps`` (flow_id, pos, group_pos, step, call), ``nodes`` (flow_id, n, node, call), ``edges``, ``services`` (flow_id, service) and ``operations``
+    (service, operation); where they are at hand ``references`` and ``outputs`` (flow_id, node, variable), ``keys`` (flow_id, node, key) and ``issues`` of reading."""
+    steps, nodes, edges = contracts["steps"], contracts["nodes"], contracts["edges"]
+    named = steps.select("flow_id", F.col("step").alias("node"), "call")
+    calls = named.unionByName(nodes.select("flow_id", "node", "call"))
+    known = graph.known_edges(edges, nodes)
+    rows = lambda df, rule, subject, level="ERROR": df.select("flow_id", F.lit(level).alias("level"), F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"))
+    found = [
+        rows(call_format(calls), "call format", "subject"),
+        rows(undeclared_service(calls, contracts["services"]), "undeclared service", "subject"),
+        rows(missing_operation(calls, contracts["services"], contracts["operations"]), "missing operation", "subject"),
+        rows(dangling_edges(edges, nodes), "dangling edge", "to_id"),
+        rows(duplicates(named.select("flow_id", F.col("node").alias("name"))), "step name", "name"),
+        rows(duplicates(nodes.select("flow_id", F.col("node").alias("name"))), "node name", "name"),
+        rows(graph.cycles(known, nodes).where("has_cycle"), "cycle", "blocked"),
+        rows(graph.reachability(known, nodes).where("entries > 0 AND unreachable > 0"), "unreachable nodes", "unreachable"),
+        rows(steps.select("flow_id").distinct().withColumn("legacy", F.lit("flow")), "legacy format", "legacy", "WARN"),
+    ]
+    if "references" in contracts:
+        refs, outputs = contracts["references"], contracts["outputs"]
+        of = lambda df, table: df.join(table.select("flow_id").distinct(), "flow_id", "left_semi")
+        found.append(rows(graph_variables(of(refs, nodes), of(outputs, nodes), known), "unknown variable", "node"))
+        positions = steps.select("flow_id", F.col("step").alias("node"), "pos")
+        found.append(rows(flow_variables(of(refs, steps), of(outputs, steps), positions), "unknown variable", "node"))
+    if "keys" in contracts:
+        found.append(rows(telemetry_keys(contracts["keys"]), "telemetry key", "node"))
+    if "issues" in contracts:
+        found.append(contracts["issues"].select("flow_id", "level", F.lit("format").alias("rule"), F.col("message").alias("subject")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out

@@ -131,6 +131,11 @@ def stats(applied: DataFrame, policy: dict[str, Any]) -> DataFrame:
     return applied.where("rule >= 0").groupBy("rule").agg(F.count(F.lit(1)).alias("masked")).select("rule", kind.alias("type"), "masked")
 
 
+def totals(applied: DataFrame) -> DataFrame:
+    """Spans, attributes and masked attributes in one row. ``applied`` has a row for each attribute of a span (its ``ordinal``)."""
+    return applied.agg(F.countDistinct("ordinal").alias("spans"), F.count(F.lit(1)).alias("attributes"), F.count_if(F.col("rule") >= 0).alias("masked"))
+
+
 def preview(applied: DataFrame, n: int) -> DataFrame:
     """The first n attributes before and after."""
     return applied.orderBy("ordinal", "key").limit(n).select("ordinal", "key", F.col("value").alias("before"), F.col("masked").alias("after"))

@@ -11,6 +11,18 @@ from pyspark.sql.window import Window
 
 from spanflow.functions.scalars import normalize, overlaps, split_call
 
+#: Messages and names of results.
+MISSING, SEMANTIC, DAG_STEP = "no matching span found in trace", "Semantic validation failed", "DAG Validation"
+SKIPPED, VIOLATED = ("matched span #", " by time sequence (intermediate spans exist)"), ("Detected ", " DAG constraint violations")
+
+
+def skipped(idx: Column) -> Column:
+    return F.concat(F.lit(SKIPPED[0]), idx.cast("string"), F.lit(SKIPPED[1]))
+
+
+def violated(n: Column) -> Column:
+    return F.concat(F.lit(VIOLATED[0]), n.cast("string"), F.lit(VIOLATED[1]))
+
 
 def _is_call(call: str) -> Column:
     service, operation = split_call(F.lit(call))
@@ -30,14 +42,13 @@ def time_sequence(spans: DataFrame, steps: list[tuple]) -> DataFrame:
     for k, (pos, _, step, call) in enumerate(steps):
         s = s.withColumn(f"m{k}", F.min(F.when(_is_call(call) & (F.col("idx") > F.col("at")), F.col("idx"))).over(whole))
         s = s.withColumn(f"at{k}", F.col("at")).withColumn("at", F.coalesce(f"m{k}", "at"))
-        note = F.when(F.max(f"m{k}") > F.max(f"at{k}") + 1, F.concat(F.lit("matched span #"), F.max(f"m{k}").cast("string"), F.lit(" by time sequence (intermediate spans exist)"))).otherwise("")
-        missing = F.lit("no matching span found in trace")
+        note = F.when(F.max(f"m{k}") > F.max(f"at{k}") + 1, skipped(F.max(f"m{k}"))).otherwise("")
         found.append(
             F.struct(
                 F.lit(pos).alias("pos"), F.lit(step).alias("step"), F.lit(call).alias("call"), F.max(f"m{k}").alias("matched"),
                 F.max(F.when(F.col("idx") == F.col(f"m{k}"), F.col("span_id"))).alias("span_id"),
                 F.when(F.max(f"m{k}").isNull(), "FAIL").otherwise("PASS").alias("status"),
-                F.when(F.max(f"m{k}").isNull(), missing).otherwise(note).alias("note"),
+                F.when(F.max(f"m{k}").isNull(), MISSING).otherwise(note).alias("note"),
             )
         )
     return s.groupBy("trace_id").agg(F.array(*found).alias("r")).select("trace_id", F.inline("r"))

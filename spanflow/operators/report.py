@@ -27,3 +27,8 @@ def by_service(spans: DataFrame) -> DataFrame:
 
 def by_operation(spans: DataFrame) -> DataFrame:
     return spans.groupBy(F.col("name").alias("operation")).agg(F.count(F.lit(1)).alias("spans"))
+
+
+def span_totals(spans: DataFrame) -> DataFrame:
+    """Spans, traces, services and operations in one row."""
+    return spans.agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("trace_id").alias("traces"), F.countDistinct("service").alias("services"), F.countDistinct("name").alias("operations"))

@@ -15,6 +15,16 @@ G1 = [(0, "n1", "signup.evt", []), (1, "n2", "view.evt", ["n1"]), (2, "n3", "cli
 #: Conditions of every operation: (kind, name, path, op, literal).
 CONDITIONS = [("post", "ghost", "response.body.missing", "ne", ""), ("post", "hasK", "response.body.k", "has", None), ("post", "smallK", "response.body.k", "lt", 50), ("post", "statusOk", "response.status", "eq", 200)]
 SERVICES = ["click", "error", "purchase", "signup", "view"]
+#: The three contracts as tables, with conditions of their operations as text: (flow, service, kind, condition, expression).
+FLOWS = {"linear": F1, "parallel": F2, "graph": G1}
+RULES = [
+    (flow, *rule)
+    for flow in FLOWS
+    for rule in [
+        ("signup", "post", "statusOk", "response.status == 200"), ("view", "post", "hasK", "has(response.body.k)"), ("view", "post", "smallK", "response.body.k < 50"),
+        ("purchase", "pre", "ghost", "input.items != ''"), ("purchase", "post", "statusOk", "response.status == 200"), ("purchase", "post", "typed", "response.body.k != '5'"),
+    ]
+] + [("graph", "click", "post", "pattern", "response.body.k =~ /^5/"), ("graph", "click", "post", "sized", "size(response.body.k) > 0")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +101,22 @@ def steps(spark: SparkSession, flow: list = F1) -> DataFrame:
     return spark.createDataFrame(flow, STEPS)
 
 
+def contracts(spark: SparkSession) -> dict[str, DataFrame]:
+    """Tables of the contracts in FLOWS, as :func:`spanflow.operators.validate.validate` takes them."""
+    rows, at = [], {}
+    for flow in ("linear", "parallel"):
+        for _, group, step, call in FLOWS[flow]:
+            key = (flow, group or step)
+            at.setdefault(key, len([k for k in at if k[0] == flow]))
+            rows.append((flow, at[key], sum(r[0] == flow and r[1] == at[key] for r in rows) if group else None, step, call))
+    return {
+        "steps": spark.createDataFrame(rows, "flow_id string, pos int, group_pos int, step string, call string"),
+        "nodes": spark.createDataFrame([("graph", n, node, call) for n, node, call, _ in G1], "flow_id string, n int, node string, call string"),
+        "edges": spark.createDataFrame([("graph", p, node) for _, node, _, preds in G1 for p in preds], "flow_id string, from_id string, to_id string"),
+        "conditions": spark.createDataFrame([(f, s, "evt", *rest) for f, s, *rest in RULES], "flow_id string, service string, operation string, kind string, condition string, expression string"),
+    }
+
+
 def catalog_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A contract per order: flow_id, n, node, call."""
     n = F.col("l_linenumber").cast("bigint")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanflow.plans.fixtures import CATALOG, CUSTOMER_ATTRIBUTES, CYCLIC_SPANS, EVENT_SPANS, ORDER_SPANS
+from spanflow.plans.fixtures import CATALOG, CUSTOMER_ATTRIBUTES, CYCLIC_SPANS, EVENT_SPANS, F1, ORDER_SPANS
 
 _E, _O, _K, _A = f"WITH {EVENT_SPANS}", f"WITH {ORDER_SPANS}", f"WITH RECURSIVE {CATALOG}", f"WITH {CUSTOMER_ATTRIBUTES}"
 
@@ -103,7 +103,81 @@ _TOKEN = "CASE WHEN is_string THEN 'pii_' || sha256(value || 'global-salt')[:8]
 _RULE = "CASE WHEN key = 'customerId' THEN 0 WHEN regexp_matches(key, '(?i)email') THEN 1 WHEN regexp_matches(key, '(?i)phone') OR regexp_matches(key, '(?i)tel') THEN 2 ELSE 3 END"
 _POLICY = f"CASE {_RULE} WHEN 0 THEN {_ID} WHEN 1 THEN {_PREFIX2} WHEN 2 THEN '***REDACTED***' ELSE {_TOKEN} END"
 
+# The three contracts: what each trace's steps find, by its route, and what conditions say of it.
+_CONTRACTS = (
+    _TIME
+    + """,
+RT AS (SELECT trace_id, bool_or(parent_span_id IS NOT NULL) p FROM E GROUP BY 1),
+P AS (SELECT a.*, b.span_id parent FROM E a LEFT JOIN E b ON a.trace_id = b.trace_id AND a.parent_span_id = b.span_id),
+FI AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, service ORDER BY start_ns, ordinal) r FROM P) WHERE r = 1),
+SE AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, service ORDER BY ordinal) r FROM E) WHERE r = 1),
+ST AS (SELECT * FROM (VALUES ('linear', 0, NULL, 's1', 'signup'), ('linear', 1, NULL, 's2', 'view'), ('linear', 2, NULL, 's3', 'purchase'), ('parallel', 0, NULL, 'p1', 'signup'),
+  ('parallel', 1, 0, 'p2', 'view'), ('parallel', 1, 1, 'p3', 'click'), ('parallel', 2, NULL, 'p4', 'purchase')) t(flow_id, pos, gp, step, service)),
+CA AS (SELECT RT.trace_id, ST.*, f.span_id, f.start_ns, f.end_ns, f.parent, e.k, e.status code FROM RT JOIN ST ON RT.p OR ST.flow_id = 'parallel'
+       LEFT JOIN FI f ON f.trace_id = RT.trace_id AND f.service = ST.service LEFT JOIN SE e ON e.trace_id = RT.trace_id AND e.service = ST.service),
+AP AS (SELECT a.trace_id, a.flow_id, a.pos FROM CA a JOIN CA b ON a.trace_id = b.trace_id AND a.flow_id = b.flow_id AND a.pos = b.pos AND a.gp < b.gp
+       WHERE a.span_id IS NOT NULL AND b.span_id IS NOT NULL AND NOT (a.start_ns < b.end_ns AND b.start_ns < a.end_ns OR a.parent IS NOT DISTINCT FROM b.parent)),
+MT AS (SELECT S.trace_id, 'linear' flow_id, pos, step, split_part(call, '.', 1) service, span_id, k, code, m IS NOT NULL found,
+              CASE WHEN m IS NULL THEN 'no matching span found in trace' WHEN m > since + 1 THEN 'matched span #' || m || ' by time sequence (intermediate spans exist)' ELSE '' END note
+       FROM S JOIN RT ON S.trace_id = RT.trace_id WHERE NOT p
+       UNION ALL SELECT trace_id, flow_id, pos, step, service, span_id, k, code, span_id IS NOT NULL AND (gp IS NULL OR (trace_id, flow_id, pos) NOT IN (SELECT (trace_id, flow_id, pos) FROM AP)),
+              CASE WHEN span_id IS NULL THEN 'no matching span found in trace' ELSE '' END FROM CA
+       UNION ALL SELECT GM.trace_id, 'graph', pos, GM.node, split_part(call, '.', 1), span_id, k, code, span_id IS NOT NULL AND first_bad IS NULL,
+              CASE WHEN span_id IS NULL THEN 'no matching span found in trace' WHEN first_bad IS NOT NULL THEN 'starts before ' || first_bad ELSE '' END
+       FROM GM LEFT JOIN GL ON GM.trace_id = GL.trace_id AND GM.node = GL.node),
+CD AS (SELECT * FROM (VALUES ('signup', 'post', 'statusOk'), ('view', 'post', 'hasK'), ('view', 'post', 'smallK'), ('purchase', 'pre', 'ghost'), ('purchase', 'post', 'statusOk'), ('purchase', 'post', 'typed'),
+  ('click', 'post', 'pattern'), ('click', 'post', 'sized')) t(service, kind, condition)),
+CRS AS (SELECT trace_id, flow_id, pos, step, kind, condition, CASE condition WHEN 'statusOk' THEN CASE WHEN coalesce(code, 0) = 200 THEN 'PASS' ELSE 'FAIL' END WHEN 'smallK' THEN CASE WHEN k < 50 THEN 'PASS' ELSE 'FAIL' END
+          WHEN 'hasK' THEN 'PASS' WHEN 'typed' THEN 'PASS' ELSE 'SKIP' END result FROM MT JOIN CD USING (service) WHERE MT.found AND (service <> 'click' OR flow_id = 'graph')),
+BD AS (SELECT DISTINCT trace_id, flow_id, pos, step FROM CRS WHERE result = 'FAIL')"""
+)
+
+_CYCLE_ROWS = """,
+PE AS (SELECT a.trace_id, b.span_id from_id, a.span_id to_id, 'parent' relationship FROM EC a JOIN EC b ON a.trace_id = b.trace_id AND a.parent_span_id = b.span_id AND a.span_id <> b.span_id),
+UPC AS (SELECT trace_id, to_id id, from_id parent FROM PE),
+WC AS (SELECT trace_id, id start_id, parent here, [id] path FROM UPC
+      UNION ALL SELECT WC.trace_id, start_id, parent, list_append(path, here) FROM WC JOIN UPC ON WC.trace_id = UPC.trace_id AND WC.here = UPC.id WHERE here <> start_id AND NOT list_contains(path[2:], here)),
+CYC AS (SELECT DISTINCT trace_id FROM WC WHERE here = start_id)"""
+
 ORACLES: dict[str, str] = {
+    "contract_validation": f"""{_E}{_EDGES}{_GRAPH}{_CONTRACTS}
+SELECT V.trace_id, f.flow_id, -1 pos, 'DAG Validation' step, 'FAIL' status, 'Detected ' || count(*) || ' DAG constraint violations' note, CAST(NULL AS VARCHAR) span_id, false found
+FROM V JOIN RT ON V.trace_id = RT.trace_id JOIN (VALUES ('linear'), ('parallel'), ('graph')) f(flow_id) ON RT.p OR f.flow_id <> 'linear' WHERE "type" IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT m.trace_id, m.flow_id, m.pos, m.step, CASE WHEN BD.step IS NOT NULL OR NOT found THEN 'FAIL' ELSE 'PASS' END, CASE WHEN BD.step IS NOT NULL THEN 'Semantic validation failed' ELSE note END, span_id, found
+FROM MT m LEFT JOIN BD ON m.trace_id = BD.trace_id AND m.flow_id = BD.flow_id AND m.step = BD.step""",
+    "contract_conditions": f"{_E}{_EDGES}{_GRAPH}{_CONTRACTS} SELECT * FROM CRS",
+    "edge_violations_cyclic": f"""WITH RECURSIVE {CYCLIC_SPANS}{_CYCLE_ROWS}{_EDGES[_EDGES.index("NP AS") - 2:].replace("FROM E ", "FROM EC ").replace("JOIN E ", "JOIN EC ").replace("SELECT E.*", "SELECT EC.*").replace("ON E.", "ON EC.").replace("AND E.", "AND EC.")}
+SELECT trace_id, "type", count(*) n FROM V WHERE "type" IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT trace_id, 'cycle', 1 FROM CYC""",
+    "call_graph_services": f"{_E} SELECT trace_id, service, count(*) nodes FROM E GROUP BY 1, 2",
+    "call_graph_depth": f"WITH RECURSIVE {EVENT_SPANS}{_EDGES}, NC AS (SELECT * FROM CE WHERE relationship <> 'concurrent'){_LEVELS.format(key='trace_id', edges='NC', nodes='trace_id, span_id id', table='E')} SELECT trace_id, max(level) depth FROM RL GROUP BY 1",
+    "report_totals": f"{_E}{_RUN} SELECT trace_id, count(*) total, count(*) FILTER (status = 'PASS') passed, count(*) FILTER (status = 'FAIL') failed, count(*) FILTER (status = 'FAIL') = 0 success FROM R GROUP BY 1",
+    "baseline_record": f"""{_E}{_RUN}, OK AS (SELECT trace_id FROM R GROUP BY 1 HAVING bool_and(status = 'PASS')),
+Q AS (SELECT trace_id, step, string_agg(kind || ':' || condition || '=' || CASE WHEN result = 'PASS' THEN 'true' ELSE 'false' END, ',' ORDER BY condition) t FROM C GROUP BY 1, 2),
+Q2 AS (SELECT trace_id, string_agg(step || '/' || t, ';' ORDER BY step) conditions FROM Q GROUP BY 1)
+SELECT trace_id, '1' schema_version, 'sha256:' || sha256('{str(F1).replace("'", "''")}') flow_hash, 3 steps_total, 's1,s2,s3' covered, coalesce(conditions, '') conditions FROM OK LEFT JOIN Q2 USING (trace_id)""",
+    "gate_recorded": f"""{_E}{_RUN}, OK AS (SELECT trace_id FROM R GROUP BY 1 HAVING bool_and(status = 'PASS')),
+BS AS (SELECT split_part(trace_id, '-', 1) "user", count(*) FILTER (result = 'PASS') / count(*) base_c FROM C JOIN OK USING (trace_id) GROUP BY 1),
+NW AS (SELECT split_part(trace_id, '-', 1) "user", sum(steps_pass) / sum(steps_total) now_s, coalesce(sum(conditions_pass) / nullif(sum(conditions_pass + conditions_fail), 0), 0) now_c FROM COV GROUP BY 1),
+Z AS (SELECT *, 1.0::DOUBLE base_s, now_s - 1 d_s, now_c - base_c d_c FROM NW JOIN BS USING ("user"))
+SELECT "user", round(base_s, 6) base_steps, round(now_s, 6) steps, round(d_s, 6) steps_delta, round(d_s / base_s, 6) steps_delta_pct, round(base_c, 6) base_conditions, round(now_c, 6) conditions, round(d_c, 6) conditions_delta,
+  round(CASE WHEN base_c > 0 THEN d_c / base_c ELSE 0 END, 6) conditions_delta_pct, d_s / base_s >= -0.3 AND CASE WHEN base_c > 0 THEN d_c / base_c ELSE 0 END >= -0.3 passed FROM Z""",
+    "span_totals": f"{_O} SELECT count(*) spans, count(DISTINCT trace_id) traces, count(DISTINCT service) services, count(DISTINCT name) operations FROM O",
+    "discover_lint_gate_dotted": f"{_O} SELECT trace_id, count(*) steps, count(*) FILTER (ordinal % 5 = 0) errors, count(*) FILTER (ordinal % 5 = 0) = 0 passed FROM O GROUP BY 1",
+    "discover_http_operations": f"{_E} SELECT service, CASE k % 3 WHEN 0 THEN 'get' || upper(service[1]) || service[2:] || 'ListByItemId' WHEN 1 THEN 'do' || upper(service[1]) || service[2:] ELSE 'evt' END operation, count(*) spans FROM E GROUP BY 1, 2",
+    "mask_totals": f"{_A} SELECT count(DISTINCT ordinal) spans, count(*) AS attributes, count(*) masked FROM A",
+    "lint_issues": f"""{_K}{_NAMED},
+REACH AS (SELECT flow_id, from_id, to_id FROM NI UNION SELECT REACH.flow_id, REACH.from_id, NI.to_id FROM REACH JOIN NI ON REACH.flow_id = NI.flow_id AND REACH.to_id = NI.from_id),
+EN AS (SELECT N.flow_id, node FROM N WHERE NOT EXISTS (SELECT 1 FROM NI WHERE NI.flow_id = N.flow_id AND NI.to_id = N.node)),
+SEEN AS (SELECT flow_id, node FROM EN UNION SELECT r.flow_id, r.to_id FROM REACH r JOIN EN ON r.flow_id = EN.flow_id AND r.from_id = EN.node),
+ISS AS (SELECT -flow_id - 1 flow_id, 'ERROR' "level", 'call format' rule FROM N WHERE n <= 2
+  UNION ALL SELECT flow_id, 'ERROR', 'undeclared service' FROM ({_UNDECLARED})
+  UNION ALL SELECT flow_id, 'ERROR', 'missing operation' FROM N WHERE (split_part(call, '.', 1) <> 'svc2' OR flow_id % 2 = 0) AND call NOT IN (SELECT call FROM N WHERE n <= 5)
+  UNION ALL SELECT flow_id, 'ERROR', 'dangling edge' FROM ({_DANGLING})
+  UNION ALL SELECT -flow_id - 1, 'ERROR', 'step name' FROM N WHERE n <= 2 GROUP BY flow_id HAVING count(*) > 1
+  UNION ALL SELECT DISTINCT flow_id, 'ERROR', 'cycle' FROM REACH WHERE from_id = to_id
+  UNION ALL SELECT N.flow_id, 'ERROR', 'unreachable nodes' FROM N LEFT JOIN SEEN ON N.flow_id = SEEN.flow_id AND N.node = SEEN.node WHERE N.flow_id IN (SELECT flow_id FROM EN) GROUP BY 1 HAVING count(*) FILTER (SEEN.node IS NULL) > 0
+  UNION ALL SELECT DISTINCT -flow_id - 1, 'WARN', 'legacy format' FROM N WHERE n <= 2)
+SELECT flow_id, "level", rule, count(*) issues FROM ISS GROUP BY ALL""",
     "time_sequence_steps": f"{_E}{_TIME} SELECT trace_id, pos, step, status, span_id, CASE WHEN m IS NULL THEN 'no matching span found in trace' WHEN m > since + 1 THEN 'matched span #' || m || ' by time sequence (intermediate spans exist)' ELSE '' END note FROM S",
     "time_sequence_verdict": f"{_E}{_TIME} SELECT trace_id, count(*) steps, count(*) FILTER (status = 'PASS') passed, bool_and(status = 'PASS') ok FROM S GROUP BY 1",
     "step_presence": f"{_E}{_FIRST} SELECT trace_id, pos, step, CASE WHEN span_id IS NULL THEN 'FAIL' ELSE 'PASS' END status, span_id FROM FS",

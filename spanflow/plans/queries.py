@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanflow.functions import scalars
-from spanflow.operators import callgraph, conditions, discover, gate, graph, lint, mask, match, report
+from spanflow.operators import callgraph, conditions, discover, gate, graph, lint, mask, match, report, validate
 from spanflow.plans import fixtures as fx
 from spanflow.plans.oracles import ORACLES
 
@@ -49,7 +49,7 @@ def parallel_group_check(spark: SparkSession, d: str) -> DataFrame:
 def _violations(spans: DataFrame, pos: int = -1) -> DataFrame:
     nodes = callgraph.call_nodes(spans)
     bad = callgraph.edge_violations(nodes, callgraph.call_edges(nodes)).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
-    return bad.select("trace_id", F.lit(pos).alias("pos"), F.lit("DAG Validation").alias("step"), F.lit("FAIL").alias("status"), F.concat(F.lit("Detected "), F.col("n").cast("string"), F.lit(" DAG constraint violations")).alias("note"))
+    return bad.select("trace_id", F.lit(pos).alias("pos"), F.lit(match.DAG_STEP).alias("step"), F.lit("FAIL").alias("status"), match.violated(F.col("n")).alias("note"))
 
 
 @query
@@ -110,6 +110,22 @@ def call_graph_cycles(spark: SparkSession, d: str) -> DataFrame:
     return c.select("trace_id", "start_id", "length", F.array_join("path", ">").alias("path"))
 
 
+@query
+def edge_violations_cyclic(spark: SparkSession, d: str) -> DataFrame:
+    n = callgraph.call_nodes(fx.cyclic_spans(spark, d))
+    return callgraph.edge_violations(n, callgraph.call_edges(n)).groupBy("trace_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def call_graph_services(spark: SparkSession, d: str) -> DataFrame:
+    return callgraph.nodes_by_service(_nodes(spark, d))
+
+
+@query
+def call_graph_depth(spark: SparkSession, d: str) -> DataFrame:
+    return callgraph.call_depth(_nodes(spark, d))
+
+
 @query
 def call_graph_topo_levels(spark: SparkSession, d: str) -> DataFrame:
     return callgraph.call_levels(_nodes(spark, d)).select("trace_id", "span_id", "level")
@@ -150,6 +166,26 @@ def graph_validation(spark: SparkSession, d: str) -> DataFrame:
     return _violations(spans).unionByName(r)
 
 
+# Many contracts at once
+
+
+def _validated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every trace of events against each of the contracts."""
+    spans = fx.with_attributes(fx.event_spans(spark, d))
+    flows = spark.createDataFrame([(f,) for f in fx.FLOWS], "flow_id string")
+    return validate.validate(spans, fx.contracts(spark), spans.select("trace_id").distinct().crossJoin(flows))
+
+
+@query
+def contract_validation(spark: SparkSession, d: str) -> DataFrame:
+    return _validated(spark, d)[0].select("trace_id", "flow_id", "pos", "step", "status", "note", "span_id", "found")
+
+
+@query
+def contract_conditions(spark: SparkSession, d: str) -> DataFrame:
+    return _validated(spark, d)[1]
+
+
 # Conditions, coverage, gates
 
 
@@ -210,6 +246,28 @@ def baseline_steps(spark: SparkSession, d: str) -> DataFrame:
     return gate.baseline_steps(*_run(spark, d))
 
 
+@query
+def baseline_record(spark: SparkSession, d: str) -> DataFrame:
+    r = gate.baseline_record(*_run(spark, d), str(fx.F1), len(fx.F1))
+    each = F.transform(F.map_entries("conditions"), lambda e: F.concat(e["key"], F.lit("/"), F.array_join(F.transform(F.map_entries(e["value"]), lambda c: F.concat(c["key"], F.lit("="), c["value"].cast("string"))), ",")))
+    return r.select("trace_id", "schema_version", "flow_hash", "steps_total", F.array_join("covered_steps", ",").alias("covered"), F.array_join(each, ";").alias("conditions"))
+
+
+@query
+def gate_recorded(spark: SparkSession, d: str) -> DataFrame:
+    """All traces of a user against that user's recorded ones."""
+    steps, results = _run(spark, d)
+    user = F.split("trace_id", "-")[0].alias("user")
+    base = gate.recorded(gate.baseline_record(steps, results, str(fx.F1), len(fx.F1))).groupBy(user).agg(*[F.sum(c).alias(c) for c in ("steps_pass", "steps_total", "conditions_pass", "conditions_evaluated")])
+    now = gate.coverage(steps, results).groupBy(user).agg(F.sum("steps_pass").alias("steps_pass"), F.sum("steps_total").alias("steps_total"), F.sum("conditions_pass").alias("conditions_pass"), F.sum(F.col("conditions_pass") + F.col("conditions_fail")).alias("conditions_evaluated"))
+    return gate.relative(now, base, ["user"], 0.3, 0.3)
+
+
+@query
+def report_totals(spark: SparkSession, d: str) -> DataFrame:
+    return gate.totals(_run(spark, d)[0])
+
+
 @query
 def trace_verdict(spark: SparkSession, d: str) -> DataFrame:
     steps, results = _run(spark, d)
@@ -240,6 +298,11 @@ def span_stats_by_operation(spark: SparkSession, d: str) -> DataFrame:
     return report.by_operation(fx.order_spans(spark, d))
 
 
+@query
+def span_totals(spark: SparkSession, d: str) -> DataFrame:
+    return report.span_totals(fx.order_spans(spark, d))
+
+
 # Discovery
 
 
@@ -271,7 +334,28 @@ def discover_conditions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def discover_lint_gate(spark: SparkSession, d: str) -> DataFrame:
-    return discover.lint_gate(discover.flow_steps(fx.order_spans(spark, d)))
+    return _gated(fx.order_spans(spark, d))
+
+
+@query
+def discover_lint_gate_dotted(spark: SparkSession, d: str) -> DataFrame:
+    """Services with a dot in their names: a draft's calls then name services that it does not declare."""
+    dotted = F.when(F.col("ordinal") % 5 == 0, F.concat(F.lit("legacy."), "service")).otherwise(F.col("service"))
+    return _gated(fx.order_spans(spark, d).withColumn("service", dotted))
+
+
+def _gated(spans: DataFrame) -> DataFrame:
+    return discover.lint_gate(discover.flow_steps(spans), discover.services(spans), discover.operations(spans))
+
+
+@query
+def discover_http_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Operations named by HTTP and RPC attributes of spans."""
+    k, text = F.col("k"), lambda c: c.cast("variant")
+    http = F.create_map(F.lit("http.method"), text(F.lit("get")), F.lit("http.route"), text(F.concat(F.lit("/"), "service", F.lit("/{item_id}/list"))))
+    rpc = F.create_map(F.lit("rpc.method"), text(F.concat(F.lit("Do_"), "service")))
+    none = F.create_map().cast("map<string,variant>")
+    return discover.operations(fx.event_spans(spark, d).withColumn("attributes", F.when(k % 3 == 0, http).when(k % 3 == 1, rpc).otherwise(none)))
 
 
 # Contract catalogs
@@ -418,6 +502,18 @@ def lint_rollup(spark: SparkSession, d: str) -> DataFrame:
     return lint.rollup(fx.catalog_nodes(spark, d).select("flow_id").distinct(), dangling.unionByName(undeclared).unionByName(twice))
 
 
+@query
+def lint_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule over the catalog: errors and warnings by flow and rule."""
+    n = fx.catalog_nodes(spark, d)
+    named = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
+    edges = fx.catalog_edges(spark, d).select("flow_id", named("a").alias("from_id"), named("b").alias("to_id"))
+    known = n.where("n <= 5").select(F.split("call", r"\.")[0].alias("service"), F.split("call", r"\.")[1].alias("operation")).distinct()
+    steps = n.where("n <= 2").select((-F.col("flow_id") - 1).alias("flow_id"), F.lit(0).alias("pos"), F.lit(None).cast("int").alias("group_pos"), F.lit("same").alias("step"), F.lit("nowhere").alias("call"))
+    found = lint.issues({"steps": steps, "nodes": n, "edges": edges, "services": _services(n), "operations": known})
+    return found.groupBy("flow_id", "level", "rule").agg(F.count(F.lit(1)).alias("issues"))
+
+
 # Names
 
 
@@ -519,6 +615,11 @@ def mask_stats(spark: SparkSession, d: str) -> DataFrame:
     return mask.stats(mask.apply(fx.customer_attributes(spark, d), POLICY), POLICY)
 
 
+@query
+def mask_totals(spark: SparkSession, d: str) -> DataFrame:
+    return mask.totals(mask.apply(fx.customer_attributes(spark, d), POLICY))
+
+
 @query
 def mask_preview(spark: SparkSession, d: str) -> DataFrame:
     return mask.preview(mask.apply(fx.customer_attributes(spark, d), POLICY), 20)

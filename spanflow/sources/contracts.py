@@ -35,7 +35,7 @@ def read_flows(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "graph_nodes": nodes.select("flow_id", "n", F.col("g.id").alias("node"), "g.call", "g.input", "g.output"),
         "graph_edges": given.unionByName(depends),
         "service_bindings": services.select("flow_id", "service", spec.alias("spec")),
-        "issues": raw.select("flow_id", F.lit("ERROR").alias("level"), reason.alias("message")).where("message IS NOT NULL"),
+        "issues": raw.select("flow_id", F.when(reason == "no title", "WARN").otherwise("ERROR").alias("level"), reason.alias("message")).where("message IS NOT NULL"),
     }
 
 
@@ -50,3 +50,18 @@ def read_services(spark: SparkSession, path: str) -> DataFrame:
     kinds = F.map_concat(*[F.coalesce(_marked(f"o.{k}conditions", k), F.create_map().cast("map<string,string>")) for k in ("pre", "post")])
     c = last.select("spec", "service", "operation", F.explode_outer(kinds).alias("k", "expression"))
     return c.select("spec", "service", "operation", F.split("k", ":", 2)[0].alias("kind"), F.get(F.split("k", ":", 2), F.lit(1)).alias("condition"), "expression")
+
+
+def contract_tables(flows: dict[str, DataFrame], services: DataFrame) -> dict[str, DataFrame]:
+    """What :func:`spanflow.operators.validate.validate` and :func:`spanflow.operators.lint.issues` take, from :func:`read_flows` and :func:`read_services`: conditions and operations
+    are those of the specs that a flow binds, under the names that it gives them."""
+    bound = flows["service_bindings"].join(services.withColumnRenamed("service", "spec_service"), "spec")
+    return {
+        "steps": flows["flow_steps"],
+        "nodes": flows["graph_nodes"],
+        "edges": flows["graph_edges"],
+        "services": flows["service_bindings"].select("flow_id", "service"),
+        "operations": bound.select("service", "operation").distinct(),
+        "conditions": bound.where("condition IS NOT NULL").select("flow_id", "service", "operation", "kind", "condition", "expression"),
+        "issues": flows["issues"],
+    }

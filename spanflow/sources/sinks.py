@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_BASELINE = "trace_id string, pos int, step string, conditions bigint, conditions_passed bigint"
+_BASELINE = "trace_id string, schema_version string, flow_hash string, steps_total int, covered_steps array<string>, conditions map<string,map<string,boolean>>"
 
 
 def save_baseline(baseline: DataFrame, path: str) -> None:
@@ -34,12 +34,22 @@ def json_report(steps: DataFrame, conditions: DataFrame, coverage: DataFrame, ga
     s.join(summary, "trace_id", "left").join(checked, "trace_id", "left").write.mode("overwrite").json(path)
 
 
-def junit_report(steps: DataFrame, path: str, suite: str = "testsuite") -> None:
-    """Test cases as XML: one element a step, with a failure where it failed. Escaping is the writer's."""
+def junit_report(steps: DataFrame, path: str, suite: str = "testsuite", conditions: DataFrame | None = None, coverage: DataFrame | None = None) -> None:
+    """Test cases as XML: one element a step, with a failure where it failed, its conditions as text, and at the first step of a trace the
+    numbers of its coverage as properties. Escaping is the writer's."""
     note = F.col("note") if "note" in steps.columns else F.lit("")
-    cases = steps.select(
-        F.col("trace_id").alias("_classname"), F.col("step").alias("_name"), F.when(F.col("status") == "FAIL", F.struct(note.alias("_message"), F.col("call").alias("_VALUE"))).alias("failure"), F.when(F.col("status") == "SKIP", F.lit("")).alias("skipped")
-    )
+    cases = steps.withColumns({"details": F.lit(None).cast("string"), "properties": F.lit(None).cast("string")})
+    if conditions is not None:
+        line = F.concat(F.lit("["), "result", F.lit("] "), "kind", F.lit(" "), "condition")
+        lines = conditions.groupBy("trace_id", "step").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("details"))  # of one step
+        cases = cases.drop("details").join(lines, ["trace_id", "step"], "left")
+    if coverage is not None:
+        names = [c for c in coverage.columns if c != "trace_id"]
+        numbers = F.struct(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("string").alias("_value")) for c in names]).alias("property"))
+        first = steps.groupBy("trace_id").agg(F.min("pos").alias("pos")).join(coverage.select("trace_id", numbers.alias("properties")), "trace_id")
+        cases = cases.drop("properties").join(first, ["trace_id", "pos"], "left")
+    failure = F.when(F.col("status") == "FAIL", F.struct(note.alias("_message"), F.col("call").alias("_VALUE")))
+    cases = cases.select(F.col("trace_id").alias("_classname"), F.col("step").alias("_name"), "properties", failure.alias("failure"), F.when(F.col("status") == "SKIP", F.lit("")).alias("skipped"), F.col("details").alias("system-out"))
     cases.write.format("xml").option("rootTag", suite).option("rowTag", "testcase").mode("overwrite").save(path)
 
 

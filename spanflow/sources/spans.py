@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanflow.functions.scalars import inferred_status
+
 SPAN_FILE = "spans array<struct<name:string,service:string,startNanos:bigint,endNanos:bigint,attributes:map<string,variant>>>"
 _VALUE = "struct<stringValue:string,intValue:string,doubleValue:string,boolValue:boolean,arrayValue:variant,kvlistValue:variant,bytesValue:string>"
 _ATTRS = f"array<struct<key:string,value:{_VALUE}>>"
@@ -55,9 +57,7 @@ def read_otlp(spark: SparkSession, path: str) -> DataFrame:
     s = r.select("file", "p1", "p2", "resource", F.posexplode("c.spans").alias("p3", "s")).withColumn("a", attribute_map(F.col("s.attributes")))
     get = lambda m, key: F.get(F.map_values(F.map_filter(m, lambda k, _: k == key)), F.lit(0))
     service = lambda m: F.when(F.schema_of_variant(get(m, "service.name")) == "STRING", F.try_variant_get(get(m, "service.name"), "$", "string"))
-    low = F.lower("s.name")
-    creates = low.contains("create") | low.contains("post") | low.contains("insert") | low.contains("add")
-    status = F.coalesce(get("a", "http.status_code"), F.when(F.col("s.status.code") == 1, F.when(creates, 201).otherwise(200)).cast("variant"))
+    status = F.coalesce(get("a", "http.status_code"), inferred_status(F.lit(None).cast("int"), F.col("s.status.code"), F.col("s.name")).cast("variant"))
     extra = [("otlp.trace_id", F.coalesce("s.traceId", F.lit(""))), ("otlp.span_id", F.coalesce("s.spanId", F.lit(""))), ("otlp.parent_span_id", F.nullif("s.parentSpanId", F.lit(""))), ("otlp.status.code", F.nullif("s.status.code", F.lit(0))), ("otlp.status.message", F.nullif("s.status.message", F.lit(""))), ("response.status", status)]
     entries = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.cast("variant").alias("value")) for k, v in extra]), lambda e: e["value"].isNotNull())
     names = F.transform(entries, lambda e: e["key"])
@@ -73,9 +73,20 @@ def read_otlp(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _otlp_spans():
+    """Spans of a file as a number."""
+    scopes = F.coalesce(F.flatten(F.transform("resourceSpans", lambda r: F.coalesce(r["scopeSpans"], F.array()))), F.array())
+    return F.aggregate(scopes, F.lit(0), lambda n, c: n + F.coalesce(F.size(c["spans"]), F.lit(0)))
+
+
+def otlp_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Per file: file, resource_spans, total_spans. Spans by service and operation are :func:`spanflow.operators.report.by_service` and ``by_operation`` over :func:`read_otlp`."""
+    raw = spark.read.schema(OTLP).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file"), "resourceSpans")
+    return raw.select("file", F.coalesce(F.size("resourceSpans"), F.lit(0)).alias("resource_spans"), _otlp_spans().alias("total_spans"))
+
+
 def otlp_check(spark: SparkSession, path: str) -> DataFrame:
     """Per file whether it is valid OTLP: file, ok, reason."""
     raw = spark.read.schema(OTLP).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file"), "resourceSpans")
-    spans = F.aggregate(F.coalesce(F.flatten(F.transform("resourceSpans", lambda r: F.coalesce(r["scopeSpans"], F.array()))), F.array()), F.lit(0), lambda n, c: n + F.coalesce(F.size(c["spans"]), F.lit(0)))
-    reason = F.when(F.coalesce(F.size("resourceSpans"), F.lit(0)) <= 0, "no resourceSpans").when(spans <= 0, "no spans").otherwise("")
+    reason = F.when(F.coalesce(F.size("resourceSpans"), F.lit(0)) <= 0, "no resourceSpans").when(_otlp_spans() <= 0, "no spans").otherwise("")
     return raw.select("file", (reason == "").alias("ok"), reason.alias("reason"))

@@ -59,8 +59,35 @@ def test_cycle(spark):
 def test_cycle_above_a_long_tail(spark):
     n = callgraph.call_nodes(spans(spark, [(str(i), str(i + 1) if i < 9 else "8", "A", "x", 0, 9) for i in range(1, 10)]))
     assert [(x["start_id"], x["length"], x["path"]) for x in callgraph.call_cycles(n).collect()] == [("8", 3, ["8", "9", "8"])]
-    with pytest.raises(RuntimeError):
-        callgraph.call_cycles(n, rounds=1)
+
+
+def long_spans(spark, n, parent):
+    """Spans s00000, s00001, ... of one trace, each starting after the one before."""
+    name = lambda k: F.format_string("s%05d", k)
+    return spark.range(n).select(F.lit("t").alias("trace_id"), name(F.col("id")).alias("span_id"), name(parent(F.col("id"))).alias("parent_span_id"), F.lit("A").alias("service"), F.lit("x").alias("name"), F.col("id").alias("start_ns"), F.lit(10**6).alias("end_ns"), F.col("id").alias("ordinal"))
+
+
+def test_a_long_cycle_below_a_long_tail(spark):
+    ring = long_spans(spark, 12_000, lambda k: F.when(k == 10_499, 0).otherwise(k + 1 - F.when(k >= 11_999, 2).otherwise(0)))
+    ring = ring.withColumn("parent_span_id", F.when(F.col("ordinal") > 10_499, F.format_string("s%05d", F.col("ordinal") - 1)).otherwise(F.col("parent_span_id")))  # the tail
+    r = callgraph.call_cycles(callgraph.call_nodes(ring)).first()
+    assert (r["start_id"], r["length"], r["path"][1], r["path"][-1]) == ("s00000", 10_501, "s10499", "s00000")
+
+
+def test_levels_of_a_long_trace(spark):
+    nested = callgraph.call_nodes(long_spans(spark, 10_000, lambda k: k - 1).withColumn("parent_span_id", F.when(F.col("ordinal") > 0, F.col("parent_span_id"))))
+    assert callgraph.call_levels(nested).agg(F.min("level"), F.max("level"), F.count("*")).first()[:] == (0, 9_999, 10_000)
+    assert callgraph.call_depth(nested).first()["depth"] == 9_999
+
+
+def test_levels_are_longest_paths(spark):
+    """Doubling against taking nodes off one by one."""
+    n = callgraph.call_nodes(fixtures.event_spans(spark, SF))
+    edges = callgraph.call_edges(n).where("relationship <> 'concurrent'")
+    slow = callgraph.levels(edges, n.select("trace_id", F.col("span_id").alias("id")), ["trace_id"])
+    assert {(r[0], r[1], r[2]) for r in slow.collect()} == {(r[0], r[1], r[2]) for r in callgraph.call_levels(n).collect()}
+    loop = callgraph.call_nodes(spans(spark, [("a", "b", "A", "x", 0, 9), ("b", "a", "B", "x", 1, 8), ("c", "b", "C", "x", 2, 3), ("d", None, "D", "x", 4, 5), ("e", "d", "E", "x", 5, 6), ("f", "d", "F", "x", 6, 7)]))
+    assert {r["span_id"]: r["level"] for r in callgraph.call_levels(loop).collect()} == {"d": 0, "e": 1, "f": 2}
 
 
 def test_levels(spark):
@@ -121,6 +148,37 @@ def test_gate_relative(spark, now, base, passed, delta):
     assert (r["passed"], r["steps_delta_pct"]) == (passed, delta)
 
 
+def test_condition_texts(spark):
+    texts = ["response.status == 201", "response.body.id != ''", "size(response.body.items) > 0", "has(response.body.gone)", "response.body.s =~ /^2/", "response.body.s == 200", "input.items != ''", "a && b", "response.body.s < 'x'", "response.body.ok == true", "response.body.n >= 1.5"]
+    rows = spark.createDataFrame([("f", "S", "op", "post", t, t) for t in texts], "flow_id string, service string, operation string, kind string, condition string, expression string")
+    body = F.parse_json(F.lit('{"id":"o1","items":[1],"s":"200","ok":true,"n":2}'))
+    span = spark.range(1).select(F.lit("f").alias("flow_id"), F.lit("S.op").alias("call"), F.create_map(F.lit("http.status_code"), F.lit(201).cast("variant"), F.lit("response.body"), body).alias("attributes"), F.lit("S").alias("service"), F.lit("op").alias("name"), F.lit(0).alias("start_ns"), F.lit(0).alias("end_ns"))
+    got = {r["condition"]: r["result"] for r in conditions.by_operation(span, rows).collect()}
+    assert got == dict(zip(texts, ["PASS", "PASS", "PASS", "FAIL", "PASS", "FAIL", "SKIP", "SKIP", "PASS", "PASS", "PASS"]))
+
+
+def test_a_draft_fails_the_gate(spark):
+    s = spans(spark, [("1", None, "shop", "buy", 0, 1), ("2", None, "pay.v2", "charge", 1, 2)])
+    r = discover.lint_gate(discover.flow_steps(s), discover.services(s), discover.operations(s)).first()
+    assert (r["steps"], r["errors"], r["passed"]) == (2, 1, False)
+
+
+def test_lint_issues(spark):
+    empty = spark.createDataFrame([], "flow_id string, from_id string, to_id string")
+    tables = {
+        "steps": spark.createDataFrame([("f", 0, None, "a", "S.op"), ("f", 1, None, "a", "S.none"), ("f", 2, None, "c", "bad"), ("f", 3, None, "d", "T.op")], "flow_id string, pos int, group_pos int, step string, call string"),
+        "nodes": spark.createDataFrame([], "flow_id string, n int, node string, call string"), "edges": empty,
+        "services": spark.createDataFrame([("f", "S")], "flow_id string, service string"), "operations": spark.createDataFrame([("S", "op")], "service string, operation string"),
+        "references": spark.createDataFrame([("f", "d", "lost.x")], "flow_id string, node string, variable string"), "outputs": spark.createDataFrame([("f", "a", "kept")], "flow_id string, node string, variable string"),
+        "keys": spark.createDataFrame([("f", "d", "http.method")], "flow_id string, node string, key string"),
+    }
+    got = Counter((r["level"], r["rule"]) for r in lint.issues(tables).collect())
+    assert got == Counter({("ERROR", x): 1 for x in ("call format", "undeclared service", "missing operation", "step name", "unknown variable", "telemetry key")} | {("WARN", "legacy format"): 1})
+    ok = spark.createDataFrame([("t", True)], "trace_id string, ok boolean")
+    gated, errors = spark.createDataFrame([("t", True)], "trace_id string, passed boolean"), spark.createDataFrame([("t", 6)], "trace_id string, errors long")
+    assert gate.verdict(ok, gated, errors).first()["verdict"] == 2
+
+
 def test_verdict(spark):
     ok = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "trace_id string, ok boolean")
     g = spark.createDataFrame([("a", True), ("b", False), ("c", False)], "trace_id string, passed boolean")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from spanflow.operators import gate, graph, match
+from spanflow.operators import gate, graph, match, validate
 from spanflow.plans import fixtures as fx
 from spanflow.plans.queries import QUERIES
 from spanflow.sources import contracts, sinks, spans
@@ -34,6 +34,7 @@ def test_otlp(spark, tmp_path):
     r = spans.read_otlp(spark, path).select("*", *[text(k) for k in ("n", "bad", "no", "response.status")]).orderBy("ordinal").collect()
     assert [(x["service"], x["parent_span_id"], x["start_ns"], x["n"], x["bad"], x["no"], x["response_status"]) for x in r] == [("shop", None, 5, "8", "x", "", "201"), ("other", "1", 6, None, None, None, "404")]
     assert spans.otlp_check(spark, path).first()["ok"]
+    assert spans.otlp_stats(spark, path).first()[1:] == (1, 2)
     (tmp_path / "e.json").write_text('{"resourceSpans": []}')
     assert spans.otlp_check(spark, str(tmp_path / "e.json")).first()["reason"] == "no resourceSpans"
 
@@ -57,6 +58,32 @@ def test_contracts(spark, tmp_path):
     assert sorted((r["kind"], r["condition"]) for r in contracts.read_services(spark, str(tmp_path / "s.json")).collect()) == [("post", "q"), ("pre", "p")]
 
 
+def test_flow_files_validate_traces(spark, tmp_path):
+    """Files of contracts against three traces: all is well; a wrong status is expected; steps are missing."""
+    flow = lambda spec: {"info": {"title": "T"}, "services": {"order": {"spec": spec}, "stock": {"spec": "./stock.json"}}, "flow": [{"step": "1", "call": "order.create"}, {"step": "2", "call": "stock.reserve"}]}
+    (tmp_path / "good.json").write_text(json.dumps(flow("./order.json")))
+    (tmp_path / "strict.json").write_text(json.dumps(flow("./strict-order.json")))
+    (tmp_path / "dag.json").write_text(json.dumps({"info": {"title": "D"}, "services": {"order": {"spec": "./order.json"}}, "graph": {"nodes": [{"id": "a", "call": "order.create"}, {"id": "b", "call": "stock.reserve", "depends": ["a"]}]}}))
+    operation = lambda name, **post: {"service": name, "operations": [{"operationId": {"stock": "reserve"}.get(name, "create"), "postconditions": post}]}
+    (tmp_path / "order.json").write_text(json.dumps(operation("order", created="response.status == 201", id="response.body.id != ''")))
+    (tmp_path / "strict-order.json").write_text(json.dumps(operation("order", created="response.status == 418")))
+    (tmp_path / "stock.json").write_text(json.dumps(operation("stock", items="size(response.body.items) > 0")))
+    tables = contracts.contract_tables(contracts.read_flows(spark, f"{tmp_path}/{{good,strict,dag}}.json"), contracts.read_services(spark, f"{tmp_path}/*{{order,stock}}.json"))
+    span = lambda t, service, name, start, body: (t, f"{t}{start}", None, service, name, start, start + 1, start, body)
+    rows = [span("ok", "order", "create", 1, '{"id":"x"}'), span("ok", "stock", "reserve", 2, '{"items":[1]}'), span("half", "order", "create", 1, '{"id":""}')]
+    found = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, service string, name string, start_ns long, end_ns long, ordinal long, body string")
+    found = found.withColumn("attributes", F.create_map(F.lit("response.status"), F.lit(201).cast("variant"), F.lit("response.body"), F.parse_json("body")))
+    flows = tables["steps"].select("flow_id").union(tables["nodes"].select("flow_id")).distinct()
+    steps, results = validate.validate(found, tables, found.select("trace_id").distinct().crossJoin(flows))
+    name = lambda r: (r["trace_id"], r["flow_id"].rpartition("/")[2][:-5])
+    got = {}
+    for r in steps.orderBy("pos").collect():
+        got.setdefault(name(r), []).append((r["status"], r["found"]))
+    yes, no, semantic = ("PASS", True), ("FAIL", False), ("FAIL", True)
+    assert got == {("ok", "good"): [yes, yes], ("ok", "strict"): [semantic, yes], ("ok", "dag"): [yes, yes], ("half", "good"): [semantic, no], ("half", "strict"): [semantic, no], ("half", "dag"): [semantic, no]}
+    assert sorted((*name(r), r["condition"], r["result"]) for r in results.where("trace_id = 'half'").collect()) == sorted([("half", "good", "created", "PASS"), ("half", "good", "id", "FAIL"), ("half", "dag", "created", "PASS"), ("half", "dag", "id", "FAIL"), ("half", "strict", "created", "FAIL")])
+
+
 def test_sinks(spark, tmp_path):
     steps = spark.createDataFrame([("t", 0, "a<b", "x.y", "FAIL", "no & span"), ("t", 1, "c", "x.z", "PASS", "")], "trace_id string, pos int, step string, call string, status string, note string")
     results = spark.createDataFrame([("t", 1, "c", "post", "ok", "PASS")], "trace_id string, pos int, step string, kind string, condition string, result string")
@@ -67,9 +94,16 @@ def test_sinks(spark, tmp_path):
     sinks.junit_report(steps, f"{tmp_path}/x")
     back = spark.read.format("xml").option("rowTag", "testcase").load(f"{tmp_path}/x").orderBy("_name").collect()
     assert back[0]["_name"] == "a<b" and back[0]["failure"]["_message"] == "no & span"
-    base = gate.baseline_steps(steps.where("status = 'PASS'"), results)
+    sinks.junit_report(steps, f"{tmp_path}/y", conditions=results, coverage=cover)
+    back = spark.read.format("xml").option("rowTag", "testcase").load(f"{tmp_path}/y").orderBy("_name").collect()
+    assert back[1]["system-out"] == "[PASS] post ok" and {p["_name"]: p["_value"] for p in back[0]["properties"]["property"]}["steps_fail"] == 1
+    base = gate.baseline_record(steps.where("status = 'PASS'"), results, "contract", 2)
     sinks.save_baseline(base, f"{tmp_path}/b")
-    assert sinks.load_baseline(spark, f"{tmp_path}/b").first()["conditions_passed"] == 1
+    loaded = sinks.load_baseline(spark, f"{tmp_path}/b")
+    assert loaded.first()["conditions"] == {"c": {"post:ok": True}} and loaded.first()["covered_steps"] == ["c"] and loaded.first()["flow_hash"].startswith("sha256:")
+    now = spark.createDataFrame([("t", 1, 2, 0, 1)], "trace_id string, steps_pass long, steps_total long, conditions_pass long, conditions_evaluated long")
+    r = gate.relative(now, gate.recorded(loaded), ["trace_id"], steps=0.5, conditions=0.5).first()
+    assert (r["base_steps"], r["steps_delta"], r["base_conditions"], r["conditions_delta_pct"], r["passed"]) == (0.5, 0.0, 1.0, -1.0, False)
     assert sinks.load_baseline(spark, f"{tmp_path}/none", "treat-as-absolute") is None
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         sinks.load_baseline(spark, f"{tmp_path}/none")
