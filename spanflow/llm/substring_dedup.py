@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanflow.llm import kernels as K
 from spanflow.llm.common import ASCII_SPACE, batched, columns
-from spanflow.llm.windows import TWICE, finished, first_of, repeated, unique_texts, windows_of
+from spanflow.llm.windows import TWICE, finished, first_of, repeated, spots, unique_texts
 
 #: Passages of one anchor that go into one automaton at most: some 50 kB each.
 MANY = 1000
@@ -95,17 +96,18 @@ def matched(table: pa.Table, w: int) -> tuple[np.ndarray, np.ndarray]:
     out_pk: list[int] = []
     for lo, hi in zip(start[:-1], start[1:], strict=True):
         shard = SuffixAutomaton()
-        sequences = [passages[i].split(b" ") for i in range(lo, hi)]  # the words themselves, not hashes
+        sequences = [passages[i].split() for i in range(lo, hi)]  # the words themselves, not hashes
         for i, sequence in zip(range(lo, hi), sequences, strict=True):
             shard.add(sequence, 2 if kind[i] == TWICE else 1)
         shard.total()
         for i, sequence in zip(range(lo, hi), sequences, strict=True):
             if kind[i] == TWICE:  # all its windows are gone already
                 continue
+            at = [0, *itertools.accumulate(len(x) + 1 for x in sequence)]
             for place, n in enumerate(shard.statistics(sequence)):
                 if n >= w:
                     out_uid.append(uid[i])
-                    out_pk.append(((int(pk[i]) >> 24) + place - w + 1) << 24)
+                    out_pk.append(((int(pk[i]) >> 24) + at[place - w + 1]) << 24)
     return np.array(out_uid, np.int64), np.array(out_pk, np.int64)
 
 
@@ -119,21 +121,18 @@ def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 20, id_col: s
     words with one space between. Repeated rows, also of one id, are documents of their own, so
     what they have of ``window`` words goes. Empty tables give no rows, other columns are ignored."""
 
-    def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, _, codes, first = K.words(data, at)
-        return codes, first
+    def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, _, codes, first = K.words(data, at)
+        return codes, first, starts - np.repeat(at[:-1] - at[0], np.diff(first))
 
-    def cut(data: np.ndarray, at: np.ndarray):
-        words = data[at[0] : at[1]].tobytes().split()
-        return lambda lo, hi: b" ".join(words[lo:hi])
+    def body(text: Column) -> Column:
+        """The words, each with a space behind it, so that a word's bytes are those up to the next."""
+        words = F.trim(F.regexp_replace(text, f"[{ASCII_SPACE}]+", " "))
+        return F.when(words == "", "").otherwise(F.concat(words, F.lit(" ")))
 
-    def part(text: str, lo: str, n: str):
-        words = F.split(F.ltrim(F.col(text), F.lit(ASCII_SPACE)), f"[{ASCII_SPACE}]+")
-        return F.array_join(F.slice(words, (F.col(lo) + 1).cast("int"), F.col(n).cast("int")), " ").cast("binary")
-
-    texts, rows = unique_texts(docs, id_col, text_col)
+    texts, rows = unique_texts(docs, id_col, text_col, body)
     texts = texts.withColumn("ord", F.lit(0).cast("long"))
-    spans, steps = repeated(texts, symbols, cut, part, lambda t: matched(t, window), gram, window, False, MANY, bits)
+    spans, steps = repeated(texts, symbols, lambda t: matched(t, window), gram, window, False, MANY, bits)
     schema = pa.schema([("uid", pa.int64()), ("copies", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,12 +140,14 @@ def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 20, id_col: s
             c = columns(batch)
             done = []
             for text, pks, copies in zip(c["text"], c["spans"], c["copies"].to_pylist(), strict=True):
-                words = text.as_py().split()
+                body = text.as_py()
+                words = body.split()
                 n, removed = len(words), 0
                 if copies > 1 and n >= window:
                     words, removed = [], n
                 elif pks.is_valid:
-                    gone = K.covered(n, *windows_of(pks.values.to_numpy(), window))
+                    places = np.array([0, *itertools.accumulate(len(x) + 1 for x in words)])
+                    gone = K.covered(n, *spots(pks.values.to_numpy(), places, window))
                     removed = int(gone.sum())
                     words = [words[i] for i in np.flatnonzero(~gone)]
                 kept = b" ".join(words)

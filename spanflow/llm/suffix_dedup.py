@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanflow.llm import kernels as K
 from spanflow.llm.common import batched, columns
-from spanflow.llm.windows import LAST, finished, first_of, repeated, unique_texts, windows_of
+from spanflow.llm.windows import LAST, finished, first_of, repeated, spots, unique_texts
 
 #: Passages of one anchor that are sorted together at most: some 2 kB each.
 MANY = 20_000
@@ -142,17 +142,11 @@ def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, id_col: str
     document. Of different texts with one id it is open which is the earlier. Texts of under
     ``window`` bytes stay. Empty tables give no rows, other columns are ignored."""
 
-    def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return K.BYTE_CODE[data[at[0] : at[-1]]], at - at[0]
-
-    def cut(data: np.ndarray, at: np.ndarray):
-        return lambda lo, hi: data[at[0] + lo : at[0] + hi].tobytes()
-
-    def part(text: str, lo: str, n: str):
-        return F.substring(F.col(text).cast("binary"), (F.col(lo) + 1).cast("int"), F.col(n).cast("int"))
+    def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, None]:
+        return K.BYTE_CODE[data[at[0] : at[-1]]], at - at[0], None
 
     texts, rows = unique_texts(docs, id_col, text_col)
-    spans, steps = repeated(texts, symbols, cut, part, lambda t: earlier(t, window), gram, window, True, MANY, bits)
+    spans, steps = repeated(texts, symbols, lambda t: earlier(t, window), gram, window, True, MANY, bits)
     schema = pa.schema([("uid", pa.int64()), ("ord", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +159,7 @@ def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, id_col: str
                 removed = runs = 0
                 kept = text
                 if pks.is_valid:
-                    gone = K.covered(len(text), *windows_of(pks.values.to_numpy(), window))
+                    gone = K.covered(len(text), *spots(pks.values.to_numpy(), None, window))
                     removed, runs = int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                     kept = text[~gone]
                 kept = kept.tobytes()

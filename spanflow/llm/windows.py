@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from spanflow.llm import kernels as K
 from spanflow.llm.common import batched, columns, dropped, ints, partitions, whole, written
 
-#: Rows of runs. pk: bits 61-62 what the row says, bit 60 whether its anchor is hot, 24-59 the first window's start in the
-#: text, 12-23 the number of windows less one, 0-11 the anchor's place. Rows to compare have the anchor, the hash of the content, text and
+#: Rows of runs. pk: bits 61-62 what the row says, bit 60 whether its anchor is hot, 24-59 the byte of the text at which the first window
+#: starts, 12-23 the number of windows less one, 0-11 the anchor's place. Rows to compare have the anchor, the hash of the content, text and
 #: its order; settled ones have text and start of the partner in place of hash and order.
 RUN = pa.schema([(k, pa.int64()) for k in ("h", "c", "uid", "ord", "pk")])
 RUN_DDL = "h long, c long, uid long, ord long, pk long"
@@ -40,19 +40,19 @@ KIND, HOT = 61, 1 << 60
 ASK, TWICE, GONE, SPREAD = 0, 1, 2, 3
 #: One text of so many is looked at for hot anchors; those in so large a share of texts, and in so many at least, are not brought to one task.
 SAMPLE, SHARE, LEAST = 64, 1e-4, 50_000
-#: Longest stretch that is compared at once, in symbols.
+#: Longest stretch that is compared at once, in bytes.
 STRETCH = 1 << 14
 LAST = 2**63 - 1
 
 
-def unique_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """A table (uid, text, ord, copies) of the different texts, bucketed by uid: later
+def unique_texts(docs: DataFrame, id_col: str, text_col: str, body: Callable[[Column], Column] = lambda text: text) -> tuple[DataFrame, DataFrame]:
+    """A table (uid, text, ord, copies) of the different texts, as ``body`` makes them, bucketed by uid: later
     joins by uid read it without a shuffle; and doc_id with uid of all rows. ord is the smallest id (null ids last).
 
     Texts are the same when two 64-bit hashes are. Where the first alone is shared (some of 10^10 texts), uid is made of both."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("u1"), F.xxhash64(F.lit(1), text).alias("u2"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("u1"), F.xxhash64(F.lit(1), text).alias("u2"), body(text).alias("text"))
     shared: list[int] = []
     while True:
         keyed = rows.withColumn("uid", F.when(F.col("u1").isin(shared), F.xxhash64("u1", "u2")).otherwise(F.col("u1")) if shared else F.col("u1"))
@@ -112,16 +112,18 @@ def starts(pk: np.ndarray) -> np.ndarray:
     return pk >> 24 & 0xFFFFFFFFF
 
 
-def windows_of(spans: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Half-open spans of symbols that the windows of packed runs cover."""
-    return starts(spans), starts(spans) + (spans >> 12 & 4095) + w
+def spots(pk: np.ndarray, places: np.ndarray | None, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Half-open spans of symbols that the windows of packed runs cover. ``places`` are the bytes at which a text's symbols start, and its
+    length; None where each byte is a symbol."""
+    first = starts(pk) if places is None else np.searchsorted(places, starts(pk))
+    return first, first + (pk >> 12 & 4095) + w
 
 
-def repeated(texts: DataFrame, symbols: Callable, cut: Callable, part: Callable[[str, str, str], Column], judge: Callable, k: int, w: int, earliest: bool, many: int, bits: int) -> tuple[DataFrame, list[DataFrame]]:
+def repeated(texts: DataFrame, symbols: Callable, judge: Callable, k: int, w: int, earliest: bool, many: int, bits: int) -> tuple[DataFrame, list[DataFrame]]:
     """(uid, spans): the windows to remove from each of ``texts``, as an array of pk; and tables that it reads.
 
-    symbols(data, at) gives (codes, first symbol of each document); cut(data, at) gives a function of lo and hi,
-    the bytes of symbols lo..hi of one document, and part(text, lo, n) the same as a Column; judge(batch of passages) gives
+    symbols(data, at) gives (codes, first symbol of each document, and the bytes of its document at which each starts or None where bytes are
+    symbols); judge(batch of passages) gives
     (uid, pk) of windows to remove, for passages sorted by anchor, of which one has ``many`` at most. Hashes of
     content have ``bits``: fewer than 64 make them collide in tests."""
     if w > 4096:
@@ -133,10 +135,21 @@ def repeated(texts: DataFrame, symbols: Callable, cut: Callable, part: Callable[
         """(h, c, row, pk) of a batch's runs."""
         data, at = K.buffers(columns(batch)["text"])
         for lo, hi in K.pieces(at):
-            codes, first = symbols(data, at[lo : hi + 1])
+            codes, first, places = symbols(data, at[lo : hi + 1])
             h, c, doc, s, n, a = K.anchors(codes, first, k, w)
+            s = s if places is None else places[first[doc] + s]
             yield h.astype(np.int64), (c >> K.U(64 - bits)).astype(np.int64), lo + doc, s << 24 | n << 12 | a
 
+    def alone(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Bytes, codes and places of one text."""
+        codes, _, places = symbols(data, at)
+        return data[at[0] : at[1]], codes, None if places is None else np.append(places, at[1] - at[0])
+
+    def ends(spans: np.ndarray, places: np.ndarray | None) -> np.ndarray:
+        """Bytes at which the windows of packed runs end."""
+        last = spots(spans, places, w)[1]
+        return last if places is None else places[last]
+
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, *_ in anchored(batch):
@@ -198,11 +211,9 @@ def repeated(texts: DataFrame, symbols: Callable, cut: Callable, part: Callable[
             uid, ord_ = ints(col["uid"]), ints(col["ord"])
             rows: list[tuple] = []
             for i, asks in enumerate(col["asked"].to_pylist()):
-                get = cut(data, at[i : i + 2])
-                for a in asks:
-                    pk = a["pk"]
-                    s, n = pk >> 24, pk >> 12 & 4095
-                    rows.append((a["h"], uid[i], ord_[i], pk, a["kind"], get(s, s + n + w)))
+                text, _, places = alone(data, at[i : i + 2])
+                stop = ends(np.array([a["pk"] for a in asks], np.int64), places)
+                rows += [(a["h"], uid[i], ord_[i], a["pk"], a["kind"], text[a["pk"] >> 24 : e].tobytes()) for a, e in zip(asks, stop.tolist(), strict=True)]
             if rows:
                 yield from batched(passage, [list(x) for x in zip(*rows, strict=True)], 50_000)
 
@@ -220,10 +231,11 @@ def repeated(texts: DataFrame, symbols: Callable, cut: Callable, part: Callable[
             data, at = K.buffers(col["text"])
             uid, ord_, asked = ints(col["uid"]), ints(col["ord"]), col["asked"]
             for i in range(len(uid)):
-                codes, _ = symbols(data, at[i : i + 2])
+                _, codes, places = alone(data, at[i : i + 2])
                 pk = np.array([a["pk"] for a in asked[i].as_py()], np.int64)
-                start = np.concatenate([np.arange(s, s + n + 1) for s, n in zip(starts(pk), pk >> 12 & 4095, strict=True)])
+                start = np.concatenate([np.arange(lo, hi - w + 1) for lo, hi in zip(*spots(pk, places, w), strict=True)])
                 keys = (K.mix(K.Prefix(codes).of(start, start + w)) >> K.U(64 - bits)).astype(np.int64)
+                start = start if places is None else places[start]
                 yield from batched(window, [keys, np.full(len(keys), ord_[i]), np.full(len(keys), uid[i]), start], 200_000)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,10 +243,10 @@ def repeated(texts: DataFrame, symbols: Callable, cut: Callable, part: Callable[
         if table is None:
             return
         table = table.sort_by([(k, "ascending") for k in ("h", "ord", "uid", "pk")]).combine_chunks()
-        ends = np.append(np.flatnonzero(first_of(table.column("h").to_numpy()))[1:], len(table))
+        stop = np.append(np.flatnonzero(first_of(table.column("h").to_numpy()))[1:], len(table))
         lo = 0
         while lo < len(table):  # whole anchors, some thousand passages at a time
-            hi = int(ends[min(np.searchsorted(ends, lo + many), len(ends) - 1)])
+            hi = int(stop[min(np.searchsorted(stop, lo + many), len(stop) - 1)])
             yield from batched(pa.schema([("uid", pa.int64()), ("pk", pa.int64())]), list(judge(table.slice(lo, hi - lo).combine_chunks())), 200_000)
             lo = hi
 
@@ -245,8 +257,8 @@ def repeated(texts: DataFrame, symbols: Callable, cut: Callable, part: Callable[
     def paired(each: DataFrame, by: str) -> DataFrame:
         """Of windows (uid, ord, start) with one key those to go, each with a partner."""
         place = F.struct("ord", "uid", "start")
-        ends = each.groupBy(by).agg(F.min(place).alias("one"), F.max(place).alias("two")).where("one <> two")
-        out = each.join(ends, by).withColumn("with", F.when(place == F.col("one"), F.col("two")).otherwise(F.col("one")))
+        two = each.groupBy(by).agg(F.min(place).alias("one"), F.max(place).alias("two")).where("one <> two")
+        out = each.join(two, by).withColumn("with", F.when(place == F.col("one"), F.col("two")).otherwise(F.col("one")))
         out = out.where(place != F.col("one")) if earliest else out
         return out.select("uid", F.shiftleft("start", 24).alias("pk"), F.col("with.uid").alias("partner"), F.col("with.start").alias("at"))
 
@@ -266,7 +278,8 @@ def repeated(texts: DataFrame, symbols: Callable, cut: Callable, part: Callable[
             for i in range(len(uid)):
                 said = col["gone"][i].values
                 pk, partner, start = (ints(said.field(f)) for f in ("pk", "partner", "at"))
-                lo, hi = windows_of(pk, w)
+                text, _, places = alone(data, at[i : i + 2])
+                lo, hi = starts(pk), ends(pk, places)
                 ahead = lo - start
                 order = np.lexsort((lo, ahead, partner))
                 lo, hi, ahead, partner = lo[order], hi[order], ahead[order], partner[order]
@@ -274,20 +287,18 @@ def repeated(texts: DataFrame, symbols: Callable, cut: Callable, part: Callable[
                 group = np.cumsum(other) << 40
                 reach = np.maximum.accumulate(hi + group) - group
                 first = np.flatnonzero(other | np.append(True, lo[1:] > reach[:-1]))
-                get = cut(data, at[i : i + 2])
                 for a, b, p, d in zip(lo[first].tolist(), reach[np.append(first[1:], len(lo)) - 1].tolist(), partner[first].tolist(), ahead[first].tolist(), strict=True):
-                    rows += [(uid[i], s, min(STRETCH, b - s), p, s - d, get(s, min(s + STRETCH, b))) for s in range(a, b, STRETCH)]
+                    rows += [(uid[i], s, min(STRETCH, b - s), p, s - d, text[s : min(s + STRETCH, b)].tobytes()) for s in range(a, b, STRETCH)]
             if rows:
                 yield from batched(claim, [list(x) for x in zip(*rows, strict=True)], 5_000)
 
     lists = gone.groupBy("uid").agg(F.collect_list(F.struct("pk", "partner", "at")).alias("gone"))  # a text's own runs
     said = body.join(lists, "uid").select("uid", "text", "gone").mapInArrow(claims, "of long, lo long, n long, uid long, at long, content binary")
-    wrong = written(said.join(texts.select("uid", "text"), "uid").where(part("text", "at", "n") != F.col("content")).select("of", "lo", "n", F.col("uid").alias("with"), (F.col("lo") - F.col("at")).alias("ahead")), "wrong")
+    wrong = written(said.join(texts.select("uid", "text"), "uid").where(F.substring(F.col("text").cast("binary"), (F.col("at") + 1).cast("int"), F.col("n").cast("int")) != F.col("content")).select("of", "lo", "n", F.col("uid").alias("with"), (F.col("lo") - F.col("at")).alias("ahead")), "wrong")
     if not wrong.isEmpty():
         start = F.shiftright("pk", 24)
         inside = (F.col("uid") == F.col("of")) & (F.col("partner") == F.col("with")) & (start - F.col("at") == F.col("ahead"))
-        inside &= (start < F.col("lo") + F.col("n")) & (start + F.shiftright("pk", 12).bitwiseAND(F.lit(4095)) + w > F.col("lo"))
-        again = written(gone.join(wrong, inside, "left_semi").groupBy("uid").agg(F.collect_list("pk").alias("asked")), "again")
+        again = written(gone.join(wrong, inside, "left_semi").groupBy("uid").agg(F.collect_list("pk").alias("asked")), "again")  # of the pair and distance, wherever they are
         gone = gone.join(wrong, inside, "left_anti")
         steps.append(again)
 
@@ -295,8 +306,8 @@ def repeated(texts: DataFrame, symbols: Callable, cut: Callable, part: Callable[
             for batch in batches:
                 data, at = K.buffers(columns(batch)["text"])
                 for i, asked in enumerate(columns(batch)["asked"]):
-                    codes, _ = symbols(data, at[i : i + 2])
-                    for lo, hi in zip(*windows_of(ints(asked.values), w), strict=True):
+                    _, codes, places = alone(data, at[i : i + 2])
+                    for lo, hi in zip(*spots(ints(asked.values), places, w), strict=True):
                         h, *_ = K.anchors(codes[lo:hi], np.array([0, hi - lo]), k, w)
                         yield from batched(pa.schema([("h", pa.int64())]), [h.astype(np.int64)])
 
@@ -311,10 +322,12 @@ def repeated(texts: DataFrame, symbols: Callable, cut: Callable, part: Callable[
                 uid, ord_ = ints(col["uid"]), ints(col["ord"])
                 for h, _, row, pk in anchored(batch):
                     keep = np.isin(h, shared.value)
-                    for i, first, last in zip(row[keep], starts(pk[keep]), starts(pk[keep]) + (pk[keep] >> 12 & 4095), strict=True):
-                        get = cut(data, at[i : i + 2])
-                        each = range(first, last + 1)
-                        yield from batched(schema, [[get(s, s + w) for s in each], [ord_[i]] * len(each), [uid[i]] * len(each), list(each)])
+                    for i, run in zip(row[keep], pk[keep], strict=True):
+                        text, _, places = alone(data, at[i : i + 2])
+                        lo, hi = (int(x[0]) for x in spots(np.array([run]), places, w))
+                        each = np.arange(lo, hi - w + 1)
+                        first, last = (each, each + w) if places is None else (places[each], places[each + w])
+                        yield from batched(schema, [[text[x:y].tobytes() for x, y in zip(first, last, strict=True)], [ord_[i]] * len(each), [uid[i]] * len(each), first])
 
         gone = gone.union(paired(body.mapInArrow(contents, "key binary, ord long, uid long, start long"), "key"))
     spans = written(gone.select("uid", "pk").union(judged).groupBy("uid").agg(F.collect_list("pk").alias("spans")), "spans")

@@ -357,7 +357,7 @@ def test_one_phrase_in_many_texts(spark, op):
         text = F.concat(F.substring(word("a"), 1, 34), F.lit(phrase), F.substring(word("b"), 1, 34))
     else:
         text = F.concat_ws(" ", *[F.substring(word(f"a{k}"), 1, 6) for k in range(7)], *[F.lit(f"w{k}") for k in range(21)], *[F.substring(word(f"b{k}"), 1, 6) for k in range(7)])
-    docs = spark.range(300_000 if op is suffix_dedup.suffix_dedup else 50_000).repartition(8).select(F.col("id").alias("doc_id"), text.alias("text"))
+    docs = spark.range(300_000 if op is suffix_dedup.suffix_dedup else 20_000).repartition(8).select(F.col("id").alias("doc_id"), text.alias("text"))
     assert op(docs, with_text=False).where("n_removed > 0").count() == 0
 
 
