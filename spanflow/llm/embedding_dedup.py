@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from spanflow.llm.common import components, written
 
-#: Vectors that a shard should have, centroids over all labels at most, and sampled vectors per centroid.
-SHARD, CENTROIDS, PER_CENTROID = 600, 8192, 12
+#: Vectors that a shard should have, centroids over all labels at most, sampled vectors per centroid, and bytes of the sample at most.
+SHARD, CENTROIDS, PER_CENTROID, SAMPLE_BYTES = 600, 8192, 12, 1 << 28
 #: Vectors of a graph, and vectors searched for in it, that a task has at most on average over a shard's blocks.
 BLOCK = 2400
 #: Out-degree and slack of the pruned graph, candidates to prune, width of the greedy search,
@@ -194,6 +194,9 @@ def near_dedup(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id",
     searched for in the united graph of every shard near enough (:func:`within`), where those count whose
     nearest centroid it is. A shard passes on numbers of links and its members' local roots, not pairs.
 
+    Cost: a shard's graph takes all cosines of a block of about BLOCK vectors, and the search what it walks through. Recall is that of the audit.
+    Pairs are tied to the threshold in double precision; those within 1e-12 of it may fall on either side.
+
     Audit: a hashed sample of each large label (and one of all others) is compared with all rows of
     its label. Where less than RECALL of its links were found, the label is searched again with twice the reach,
     at last with the one that leaves out no shard, and then by comparing all in the shards."""
@@ -208,7 +211,9 @@ def near_dedup(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id",
 
     sizes = one.groupBy("space").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD * 3 // 2)
     total = sizes.agg(F.sum(F.ceil(F.col("n") / SHARD))).first()[0] or 0
-    per = max(SHARD, -(-SHARD * int(total) // CENTROIDS)) if total else SHARD  # so that centroids stay within their bound
+    longest = one.agg(F.max(F.size("v"))).first()[0] or 1
+    most = max(1, min(CENTROIDS, SAMPLE_BYTES // (8 * PER_CENTROID * longest)))
+    per = max(SHARD, -(-SHARD * int(total) // most)) if total else SHARD  # so that centroids and their sample stay within their bounds
     large = {r["space"]: r["n"] for r in sizes.where(F.col("n") > per * 3 // 2).collect()}  # fewer than CENTROIDS rows
     means: dict[str, np.ndarray] = {}
     if large:
