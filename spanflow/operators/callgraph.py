@@ -114,18 +114,19 @@ def call_cycles(nodes: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame, nodes: DataFrame, keys: list[str], rounds: int = 10_000) -> DataFrame:
     """Longest path to each node over acyclic ``edges(keys, from_id, to_id)``: keys, id, level. Nodes on or behind
-    a cycle have no row. Each round takes the nodes without predecessors of all graphs and their edges away; only what is left
+    a cycle have no row. Each round takes the nodes without open predecessors of all graphs away; only what is left
     is written again. There are as many rounds as the longest path has nodes: contracts are meant, for call graphs see :func:`call_levels`."""
     edges = checkpointed(edges.select(*keys, "from_id", "to_id").distinct())
-    left = checkpointed(nodes.select(*keys, "id").distinct())
+    degree = edges.groupBy(*keys, F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("open"))
+    left = checkpointed(nodes.select(*keys, "id").distinct().join(degree, [*keys, "id"], "left").select(*keys, "id", F.coalesce("open", F.lit(0)).alias("open")))
     found = left.select(*keys, "id", F.lit(0).alias("level")).where("false")
     for level in range(rounds):
-        ready = checkpointed(left.join(edges.select(*keys, F.col("to_id").alias("id")), [*keys, "id"], "left_anti"))
+        ready = left.where("open = 0").select(*keys, "id")
         if ready.isEmpty():
             return found
-        found = found.unionByName(ready.select(*keys, "id", F.lit(level).alias("level")))
-        left = checkpointed(left.join(ready, [*keys, "id"], "left_anti"))
-        edges = checkpointed(edges.join(ready.select(*keys, F.col("id").alias("from_id")), [*keys, "from_id"], "left_anti"))
+        found = found.unionByName(ready.withColumn("level", F.lit(level)))
+        less = edges.join(ready.withColumnRenamed("id", "from_id"), [*keys, "from_id"]).groupBy(*keys, F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("less"))
+        left = checkpointed(left.where("open > 0").join(less, [*keys, "id"], "left").select(*keys, "id", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open")))
     raise RuntimeError(f"a path of more than {rounds} nodes")
 
 
