@@ -74,17 +74,34 @@ def predicate(spec: dict | tuple) -> Column:
     return out
 
 
-def evaluate(matched: DataFrame, conditions: list[tuple]) -> DataFrame:
-    """Conditions of matched spans: the rows of ``matched`` (with ``attributes``, and ``input`` where known) times
-    (kind, name, path, op, literal), as kind, name and result PASS, FAIL or SKIP. Each condition is compiled once."""
-    if "input" not in matched.columns:
-        matched = matched.withColumn("input", F.lit(None).cast("variant"))
+def results(conditions: list[tuple]) -> Column:
+    """An array of (kind, condition, result) of a row with ``attributes`` and ``input``; each of (kind, name, path, op, literal) is compiled once."""
     out = []
     for kind, name, path, op, literal in conditions:
         p = compare(path, op, literal)
         out.append(F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("condition"), F.when(p.isNull(), "SKIP").when(p, "PASS").otherwise("FAIL").alias("result")))
-    keep = [c for c in matched.columns if c not in ("attributes", "input")]
-    return matched.select(*keep, F.inline(F.array(*out)))
+    return F.array(*out)
+
+
+def failing(found: Column) -> Column:
+    """Whether one of the :func:`results` is FAIL; false where there are none."""
+    return F.coalesce(F.exists(found, lambda r: r["result"] == "FAIL"), F.lit(False))
+
+
+def with_results(matched: DataFrame, conditions: list[tuple], where: Column | None = None) -> DataFrame:
+    """``matched`` with ``results`` in place of ``attributes`` and ``input``; null where ``where`` does not hold. Steps and conditions can both be
+    read from it without a join."""
+    if "input" not in matched.columns:
+        matched = matched.withColumn("input", F.lit(None).cast("variant"))
+    found = results(conditions)
+    return matched.withColumn("results", found if where is None else F.when(where, found)).drop("attributes", "input")
+
+
+def evaluate(matched: DataFrame, conditions: list[tuple]) -> DataFrame:
+    """Conditions of matched spans: the rows of ``matched`` (with ``attributes``, and ``input`` where known) times
+    (kind, name, path, op, literal), as kind, name and result PASS, FAIL or SKIP."""
+    r = with_results(matched, conditions)
+    return r.select(*[c for c in r.columns if c != "results"], F.inline("results"))
 
 
 #: The forms of condition texts that are read: a comparison of a path with a literal, has(path), size(path) > number, path =~ /pattern/.

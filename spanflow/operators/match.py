@@ -29,14 +29,14 @@ def _is_call(call: str) -> Column:
     return (normalize(F.col("service")) == normalize(service)) & (normalize(F.col("name")) == normalize(operation))
 
 
-def time_sequence(spans: DataFrame, steps: list[tuple]) -> DataFrame:
-    """Greedy matching in order of time: (trace_id, pos, step, call, matched, span_id, status, note).
+def time_sequence(spans: DataFrame, steps: list[tuple], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Greedy matching in order of time: (trace_id, pos, step, call, matched, span_id, status, note), and the columns ``carry`` of the matched span.
 
     Each step takes the first matching span after the one that the last matched step took; a
     miss leaves that place. One shuffle by trace; each step is a window over it."""
     order = Window.partitionBy("trace_id").orderBy("start_ns", "ordinal")
     whole = Window.partitionBy("trace_id")
-    s = spans.select("trace_id", "span_id", "start_ns", "ordinal", "service", "name").withColumn("idx", F.row_number().over(order))
+    s = spans.select("trace_id", "span_id", "start_ns", "ordinal", "service", "name", *carry).withColumn("idx", F.row_number().over(order))
     s = s.withColumn("at", F.lit(0))
     found = []
     for k, (pos, _, step, call) in enumerate(steps):
@@ -49,21 +49,22 @@ def time_sequence(spans: DataFrame, steps: list[tuple]) -> DataFrame:
                 F.max(F.when(F.col("idx") == F.col(f"m{k}"), F.col("span_id"))).alias("span_id"),
                 F.when(F.max(f"m{k}").isNull(), "FAIL").otherwise("PASS").alias("status"),
                 F.when(F.max(f"m{k}").isNull(), MISSING).otherwise(note).alias("note"),
+                *[F.max_by(c, F.when(F.col("idx") == F.col(f"m{k}"), F.col("idx"))).alias(c) for c in carry],
             )
         )
     return s.groupBy("trace_id").agg(F.array(*found).alias("r")).select("trace_id", F.inline("r"))
 
 
-def step_presence(spans: DataFrame, steps: list[tuple]) -> DataFrame:
+def step_presence(spans: DataFrame, steps: list[tuple], carry: tuple[str, ...] = ()) -> DataFrame:
     """Matching in any order, a span may serve several steps: (trace_id, pos, grp, step, call, status, span_id, ...).
 
     The earliest matching span is taken. One aggregation by trace with partial results per task."""
     found = []
     for pos, grp, step, call in steps:
-        first = F.min(F.when(_is_call(call), F.struct("start_ns", "ordinal", "span_id", "end_ns", "parent_span_id")))
+        first = F.min_by(F.struct("start_ns", "ordinal", "span_id", "end_ns", "parent_span_id", *carry), F.when(_is_call(call), F.struct("start_ns", "ordinal")))
         found.append(F.struct(F.lit(pos).alias("pos"), F.lit(grp).cast("string").alias("grp"), F.lit(step).alias("step"), F.lit(call).alias("call"), first.alias("m")))
     r = spans.groupBy("trace_id").agg(F.array(*found).alias("r")).select("trace_id", F.inline("r"))
-    return r.select("trace_id", "pos", "grp", "step", "call", F.when(F.col("m").isNull(), "FAIL").otherwise("PASS").alias("status"), "m.span_id", "m.start_ns", "m.end_ns", "m.parent_span_id", "m.ordinal")
+    return r.select("trace_id", "pos", "grp", "step", "call", F.when(F.col("m").isNull(), "FAIL").otherwise("PASS").alias("status"), "m.span_id", "m.start_ns", "m.end_ns", "m.parent_span_id", "m.ordinal", *[f"m.{c}" for c in carry])
 
 
 def resolved_parents(spans: DataFrame) -> DataFrame:
@@ -84,9 +85,9 @@ def parallel_groups(matched: DataFrame) -> DataFrame:
     return s.select("trace_id", "grp", F.size("g").alias("n_matched"), (~bad).alias("concurrent"))
 
 
-def causality_steps(spans: DataFrame, steps: list[tuple]) -> DataFrame:
+def causality_steps(spans: DataFrame, steps: list[tuple], carry: tuple[str, ...] = ()) -> DataFrame:
     """:func:`step_presence`, where steps of a group that did not run concurrently fail."""
-    matched = step_presence(resolved_parents(spans), steps)
+    matched = step_presence(resolved_parents(spans), steps, carry)
     groups = parallel_groups(matched)
     r = matched.join(groups, ["trace_id", "grp"], "left")
     broken = ~F.coalesce("concurrent", F.lit(True))

@@ -55,13 +55,10 @@ def _violations(spans: DataFrame, pos: int = -1) -> DataFrame:
 @query
 def causality_validation(spark: SparkSession, d: str) -> DataFrame:
     spans = fx.event_spans(spark, d)
-    steps = match.causality_steps(spans, fx.F2)
-    first = spans.select("trace_id", F.col("span_id").alias("s"), "k", F.col("status").alias("code"))
-    steps = steps.join(fx.with_attributes(first.withColumnRenamed("code", "status")).select(F.col("trace_id").alias("t"), "s", "attributes"), (F.col("trace_id") == F.col("t")) & (F.col("span_id") == F.col("s")), "left")
-    bad = conditions.evaluate(steps.where("status = 'PASS'").select("trace_id", "pos", "attributes"), fx.CONDITIONS).groupBy("trace_id", "pos").agg(F.bool_or(F.col("result") == "FAIL").alias("semantic"))
-    r = steps.join(bad, ["trace_id", "pos"], "left")
-    failed = F.coalesce("semantic", F.lit(False))
-    r = r.select("trace_id", "pos", "step", F.when(failed, "FAIL").otherwise(F.col("status")).alias("status"), F.when(failed, "Semantic validation failed").otherwise("").alias("note"))
+    steps = match.causality_steps(fx.with_attributes(spans), fx.F2, ("attributes",))
+    r = conditions.with_results(steps, fx.CONDITIONS, F.col("status") == "PASS")
+    failed = conditions.failing(F.col("results"))
+    r = r.select("trace_id", "pos", "step", F.when(failed, "FAIL").otherwise(F.col("status")).alias("status"), F.when(failed, match.SEMANTIC).otherwise("").alias("note"))
     return _violations(spans).unionByName(r)
 
 
@@ -159,9 +156,8 @@ def graph_validation(spark: SparkSession, d: str) -> DataFrame:
     spans = fx.event_spans(spark, d)
     m = match.graph_match(fx.with_attributes(spans), fx.G1)
     late = match.graph_causality(m, fx.G1, "temporal").select("trace_id", "node", "first_bad")
-    bad = conditions.evaluate(m.where("span_id IS NOT NULL").select("trace_id", "node", "attributes"), fx.CONDITIONS).groupBy("trace_id", "node").agg(F.bool_or(F.col("result") == "FAIL").alias("semantic"))
-    r = m.join(late, ["trace_id", "node"], "left").join(bad, ["trace_id", "node"], "left")
-    note = F.when(F.col("span_id").isNull(), "no matching span").when(F.col("first_bad").isNotNull(), F.concat(F.lit("starts before "), "first_bad")).when(F.col("semantic"), "semantic validation failed").otherwise("")
+    r = conditions.with_results(m, fx.CONDITIONS, F.col("span_id").isNotNull()).join(late, ["trace_id", "node"], "left")
+    note = F.when(F.col("span_id").isNull(), "no matching span").when(F.col("first_bad").isNotNull(), F.concat(F.lit("starts before "), "first_bad")).when(conditions.failing(F.col("results")), "semantic validation failed").otherwise("")
     r = r.select("trace_id", "pos", F.col("node").alias("step"), F.when(note == "", "PASS").otherwise("FAIL").alias("status"), note.alias("note"))
     return _violations(spans).unionByName(r)
 
@@ -189,19 +185,13 @@ def contract_conditions(spark: SparkSession, d: str) -> DataFrame:
 # Conditions, coverage, gates
 
 
-def _run(spark: SparkSession, d: str, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Steps and conditions of the linear contract over all traces, or over those of the first buckets of days."""
-    spans = fx.event_spans(spark, d)
-    if buckets is not None:
-        spans = spans.where(F.split("trace_id", "-")[1].cast("bigint") < buckets)
-    steps = match.time_sequence(spans, fx.F1)
-    spans = fx.with_attributes(spans).select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), "attributes")
-    hit = steps.where("span_id IS NOT NULL").join(spans, (F.col("trace_id") == F.col("t")) & (F.col("span_id") == F.col("s"))).select("trace_id", "pos", "step", "attributes")
-    results = conditions.evaluate(hit, fx.CONDITIONS)
-    failed = results.groupBy("trace_id", "pos").agg(F.bool_or(F.col("result") == "FAIL").alias("bad"))
-    steps = steps.join(failed, ["trace_id", "pos"], "left")
-    structural = F.col("span_id").isNotNull()
-    return steps.select("trace_id", "pos", "step", "call", structural.alias("found"), F.when(structural & ~F.coalesce("bad", F.lit(False)), "PASS").otherwise("FAIL").alias("status")), results
+def _run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Steps and conditions of the linear contract over all traces."""
+    steps = match.time_sequence(fx.with_attributes(fx.event_spans(spark, d)), fx.F1, ("attributes",))
+    found = F.col("span_id").isNotNull()
+    steps = conditions.with_results(steps, fx.CONDITIONS, found)
+    status = F.when(found & ~conditions.failing(F.col("results")), "PASS").otherwise("FAIL")
+    return steps.select("trace_id", "pos", "step", "call", found.alias("found"), status.alias("status")), steps.where("results IS NOT NULL").select("trace_id", "pos", "step", F.inline("results"))
 
 
 @query
@@ -229,16 +219,18 @@ def gate_absolute(spark: SparkSession, d: str) -> DataFrame:
     return gate.absolute(gate.coverage(*_run(spark, d)))
 
 
-def _per_step(spark: SparkSession, d: str, buckets: int | None = None) -> DataFrame:
-    steps, results = _run(spark, d, buckets)
-    s = steps.groupBy("step").agg(F.count(F.lit(1)).alias("steps_total"), F.count_if(F.col("status") == "PASS").alias("steps_pass"))
-    c = results.groupBy("step").agg(F.count_if(F.col("result") == "PASS").alias("conditions_pass"), F.count_if(F.col("result") != "SKIP").alias("conditions_evaluated"))
-    return s.join(c, "step", "left").na.fill(0)
-
-
 @query
 def gate_relative(spark: SparkSession, d: str) -> DataFrame:
-    return gate.relative(_per_step(spark, d), _per_step(spark, d, 5), ["step"])
+    """All traces against those of the first five buckets of days, both counted in one pass."""
+    steps, results = _run(spark, d)
+    base = F.split("trace_id", "-")[1].cast("bigint") < 5
+    counts = lambda p, here: [F.count_if(here).alias(f"{p}_total"), F.count_if(here & (F.col("status") == "PASS")).alias(f"{p}_pass")]
+    s = steps.groupBy("step").agg(*counts("now", F.lit(True)), *counts("base", base))
+    checks = lambda p, here: [F.count_if(here & (F.col("result") == "PASS")).alias(f"{p}_conditions"), F.count_if(here & (F.col("result") != "SKIP")).alias(f"{p}_evaluated")]
+    c = results.groupBy("step").agg(*checks("now", F.lit(True)), *checks("base", base))
+    r = s.join(c, "step", "left").na.fill(0)
+    side = lambda p: r.select("step", F.col(f"{p}_pass").alias("steps_pass"), F.col(f"{p}_total").alias("steps_total"), F.col(f"{p}_conditions").alias("conditions_pass"), F.col(f"{p}_evaluated").alias("conditions_evaluated"))
+    return gate.relative(side("now"), side("base"), ["step"])
 
 
 @query
