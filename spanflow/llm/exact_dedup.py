@@ -64,7 +64,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest, the stable id and locator of the row that stays. On a hit the full
     bytes are compared: each copy's normalised text is joined to that of the row
     that stays, by locator. If a digest ever covers different texts (``bits`` can
-    be lowered in tests), its rows are grouped anew by the whole text."""
+    be lowered in tests), its rows are grouped anew by the whole text. With the ``state`` of an earlier run, texts of that run are not in
+    ``docs``, and hits on them rest on 256 bits of digest."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     fact = rows.select(digest("text", bits).alias("digest"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), "id", F.xxhash64("text").alias("check"))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from spanflow.llm.common import batched, columns
 
-#: Different words whose counts a task remembers.
-CACHE = 500_000
+#: Different words whose counts a task remembers, and the longest of them.
+CACHE, LONG = 500_000, 256
 _WORD_START = b" "
 
 
@@ -87,6 +87,8 @@ class _Counts(dict):
         self.automaton = automaton
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > LONG:
+            return self.automaton.count(word)
         if len(self) >= CACHE:
             self.clear()
         n = self[word] = self.automaton.count(word)

@@ -119,6 +119,17 @@ def test_chat(spark):
     assert chat.repair(df.limit(0)).count() == 0
 
 
+def test_chat_ties_and_nulls(spark):
+    odd = spark.createDataFrame([(7, 1, "user", "b"), (7, 1, "user", "a"), (7, 2, "assistant", None), (7, 2, "assistant", None), (None, 0, None, None), (None, None, "user", "last")], "conv_id long, turn long, role string, text string").repartition(3)
+    for block in (1024, 1):
+        said = chat.repair(odd, block=block).orderBy("conv_id", F.col("turn").asc_nulls_last(), "part").collect()
+        seven, none = [r for r in said if r["conv_id"] == 7], [r for r in said if r["conv_id"] is None]
+        assert [(r["role"], r["action"]) for r in seven] == [("user", "keep"), ("user", "merge"), ("assistant", "keep"), ("assistant", "merge"), (None, "end")] and {r["cost"] for r in seven} == {2}
+        text = "".join(r["rendered"] for r in seven)
+        assert text.index("a") < text.index("b") and text.count("<|end|>") == 2  # turns of one number go by text
+        assert {r["cost"] for r in none} == {cheapest((3, 1))} and "last" in "".join(r["rendered"] for r in none)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_quality(spark):
     sf = SF.replace("0.001", "0.01")
