@@ -42,6 +42,8 @@ ASK, TWICE, GONE, SPREAD = 0, 1, 2, 3
 SAMPLE, SHARE, LEAST = 64, 1e-4, 50_000
 #: Longest stretch that is compared at once, in bytes.
 STRETCH = 1 << 14
+#: Rows with content that a task holds before it passes them on.
+HELD = 20_000
 LAST = 2**63 - 1
 
 
@@ -214,6 +216,9 @@ def repeated(texts: DataFrame, symbols: Callable, judge: Callable, k: int, w: in
                 text, _, places = alone(data, at[i : i + 2])
                 stop = ends(np.array([a["pk"] for a in asks], np.int64), places)
                 rows += [(a["h"], uid[i], ord_[i], a["pk"], a["kind"], text[a["pk"] >> 24 : e].tobytes()) for a, e in zip(asks, stop.tolist(), strict=True)]
+                if len(rows) > HELD:
+                    yield from batched(passage, [list(x) for x in zip(*rows, strict=True)], 50_000)
+                    rows = []
             if rows:
                 yield from batched(passage, [list(x) for x in zip(*rows, strict=True)], 50_000)
 
@@ -289,6 +294,9 @@ def repeated(texts: DataFrame, symbols: Callable, judge: Callable, k: int, w: in
                 first = np.flatnonzero(other | np.append(True, lo[1:] > reach[:-1]))
                 for a, b, p, d in zip(lo[first].tolist(), reach[np.append(first[1:], len(lo)) - 1].tolist(), partner[first].tolist(), ahead[first].tolist(), strict=True):
                     rows += [(uid[i], s, min(STRETCH, b - s), p, s - d, text[s : min(s + STRETCH, b)].tobytes()) for s in range(a, b, STRETCH)]
+                if len(rows) > HELD:
+                    yield from batched(claim, [list(x) for x in zip(*rows, strict=True)], 5_000)
+                    rows = []
             if rows:
                 yield from batched(claim, [list(x) for x in zip(*rows, strict=True)], 5_000)
 
