@@ -5,23 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanflow.functions.scalars import overlaps
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder of ``spark.checkpoint.dir``; where that is unset and all run on one machine, in a temporary one."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all run on one machine, a temporary one."""
     if not spark.conf.get("spark.checkpoint.dir", None):
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/spanflow-step-{uuid.uuid4().hex}"
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a table in :func:`shared_dir`."""
+    path = f"{shared_dir(df.sparkSession)}/spanflow-step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def summed_up(steps: DataFrame, keys: list[str], rounds: int = 64) -> DataFrame:
@@ -47,45 +51,88 @@ def call_nodes(spans: DataFrame) -> DataFrame:
     return spans.groupBy("trace_id", "span_id").agg(F.max_by(F.struct(*keep), "ordinal").alias("n")).select("trace_id", "span_id", "n.*")
 
 
-def parent_edges(nodes: DataFrame) -> DataFrame:
-    child = nodes.select("trace_id", F.col("span_id").alias("to_id"), F.col("parent_span_id").alias("from_id")).where("to_id <> from_id")
-    known = nodes.select("trace_id", F.col("span_id").alias("from_id"))
-    return child.join(known, ["trace_id", "from_id"], "left_semi").select("trace_id", "from_id", "to_id", F.lit("parent").alias("relationship"))
+def known_parents(spans: DataFrame) -> DataFrame:
+    """``spans`` with parent_span_id null unless it is the id of another span of the trace, and parent_start and parent_end, that span's times.
+
+    Each row stands for itself and for a child, and both meet in a window over trace and id, so a table that is partitioned by trace
+    is not shuffled. A span without a parent, or that names itself, meets nobody but itself."""
+    other = F.col("parent_span_id").isNotNull() & (F.col("parent_span_id") != F.col("span_id"))
+    rest = [c for c in spans.columns if c not in ("trace_id", "start_ns", "end_ns")]
+    row = F.struct(*rest, F.coalesce(other, F.lit(False)).alias("_other"))
+    both = F.array(F.struct(F.col("span_id").alias("_id"), F.lit(None).cast(spans.select(row).schema[0].dataType).alias("_row")), F.struct(F.when(other, F.col("parent_span_id")).otherwise(F.col("span_id")).alias("_id"), row.alias("_row")))
+    own = F.when(F.col("_row").isNull(), F.struct("start_ns", "end_ns"))
+    s = spans.select("trace_id", "start_ns", "end_ns", F.inline(both)).withColumn("_parent", F.max(own).over(Window.partitionBy("trace_id", "_id"))).where("_row IS NOT NULL")
+    found = F.col("_row._other") & F.col("_parent").isNotNull()
+    of = {"parent_span_id": F.when(found, F.col("_row.parent_span_id")).alias("parent_span_id")} | {c: F.col(c) for c in ("trace_id", "start_ns", "end_ns")}
+    times = [F.when(found, F.col(f"_parent.{t}_ns")).alias(f"parent_{t}") for t in ("start", "end")]
+    return s.select(*[of.get(c, F.col(f"_row.{c}")) for c in spans.columns], *times)
 
 
 def with_known_parents(nodes: DataFrame) -> DataFrame:
     """Nodes with ``parent``: the parent's id if that node exists."""
-    ids = nodes.select("trace_id", F.col("span_id").alias("parent"))
-    return nodes.join(ids, (nodes["trace_id"] == ids["trace_id"]) & (nodes["parent_span_id"] == ids["parent"]) & (nodes["span_id"] != ids["parent"]), "left").select(nodes["*"], "parent")
+    return known_parents(nodes).withColumn("parent", F.col("parent_span_id"))
+
+
+def _edge(from_id: str, to_id: str, kind: Column, from_: str, to: str) -> Column:
+    """An edge with the times of its ends, which :func:`edge_violations` then need not look up."""
+    return F.struct(
+        F.col(from_id).alias("from_id"), F.col(to_id).alias("to_id"), kind.alias("relationship"), F.col(f"{from_}start{'_ns' * (not from_)}").alias("from_start"), F.col(f"{from_}end{'_ns' * (not from_)}").alias("from_end"),
+        F.col(f"{to}start_ns").alias("to_start"), F.col(f"{to}end_ns").alias("to_end"),
+    )
+
+
+def _parent_edge() -> Column:
+    return F.when(F.col("parent_span_id").isNotNull(), _edge("parent_span_id", "span_id", F.lit("parent"), "parent_", ""))
+
+
+def _followed(n: DataFrame) -> DataFrame:
+    """Nodes with ``x``, the next one in start order of the whole trace."""
+    return n.withColumn("x", F.lead(F.struct("span_id", "start_ns", "end_ns", "parent_span_id")).over(Window.partitionBy("trace_id").orderBy("start_ns", "span_id")))
+
+
+def _temporal_edge() -> Column:
+    kind = F.when(F.col("end_ns") <= F.col("x.start_ns"), "follows").when(overlaps(F.col("start_ns"), F.col("end_ns"), F.col("x.start_ns"), F.col("x.end_ns")), "concurrent")
+    return F.when(F.col("x").isNotNull() & F.col("parent_span_id").eqNullSafe(F.col("x.parent_span_id")) & kind.isNotNull(), _edge("span_id", "x.span_id", kind, "", "x."))
+
+
+def parent_edges(nodes: DataFrame) -> DataFrame:
+    """Edges from parents to children. Edges are trace_id, from_id, to_id, relationship, and from_start, from_end, to_start, to_end."""
+    return known_parents(nodes).select("trace_id", F.inline(F.array_compact(F.array(_parent_edge()))))
 
 
 def temporal_edges(nodes: DataFrame) -> DataFrame:
     """Edges between neighbours in start order of the whole trace that have one parent, or both none."""
-    w = Window.partitionBy("trace_id").orderBy("start_ns", "span_id")
-    n = with_known_parents(nodes)
-    n = n.select("trace_id", "span_id", "start_ns", "end_ns", "parent", F.lead(F.struct("span_id", "start_ns", "end_ns", "parent")).over(w).alias("x")).where(F.col("x").isNotNull() & F.col("parent").eqNullSafe(F.col("x.parent")))
-    kind = F.when(F.col("end_ns") <= F.col("x.start_ns"), "follows").when(overlaps(F.col("start_ns"), F.col("end_ns"), F.col("x.start_ns"), F.col("x.end_ns")), "concurrent")
-    return n.select("trace_id", F.col("span_id").alias("from_id"), F.col("x.span_id").alias("to_id"), kind.alias("relationship")).where("relationship IS NOT NULL")
+    return _followed(known_parents(nodes)).select("trace_id", F.inline(F.array_compact(F.array(_temporal_edge()))))
 
 
 def call_edges(nodes: DataFrame) -> DataFrame:
-    return parent_edges(nodes).unionByName(temporal_edges(nodes))
+    """Edges of both kinds, in one pass over the nodes."""
+    return _followed(known_parents(nodes)).select("trace_id", F.inline(F.array_compact(F.array(_parent_edge(), _temporal_edge()))))
 
 
 def edge_violations(nodes: DataFrame, edges: DataFrame, tolerance_ms: int = 50) -> DataFrame:
     """Edges whose times break their relationship: trace_id, from_id, to_id, type. Edges with an unknown end are skipped.
-    A trace with a cycle of parent links has one row of type ``cycle`` more, for the link that closes it."""
+    A trace with a cycle of parent links has one row of type ``cycle`` more, for the link that closes it.
+
+    Edges of this module carry their times; for others (trace_id, from_id, to_id, relationship) they are looked up. Only a trace in which a
+    parent does not come before its child, by start and id, can have a cycle: where there is none, none is looked for."""
     tol = tolerance_ms * 1_000_000
-    side = lambda p: nodes.select("trace_id", F.col("span_id").alias(f"{p}_id"), F.col("start_ns").alias(f"{p}_start"), F.col("end_ns").alias(f"{p}_end"))
-    e = edges.join(side("from"), ["trace_id", "from_id"]).join(side("to"), ["trace_id", "to_id"])
+    e = edges
+    if "from_start" not in edges.columns:
+        side = lambda p: nodes.select("trace_id", F.col("span_id").alias(f"{p}_id"), F.col("start_ns").alias(f"{p}_start"), F.col("end_ns").alias(f"{p}_end"))
+        e = edges.join(side("from"), ["trace_id", "from_id"]).join(side("to"), ["trace_id", "to_id"])
     r, out = F.col("relationship"), (F.col("to_start") < F.col("from_start") - tol) | (F.col("to_end") > F.col("from_end") + tol)
     kind = (
         F.when((r == "follows") & (F.col("from_end") > F.col("to_start") + tol), "causality")
         .when((r == "parent") & out, "parent-child")
         .when((r == "concurrent") & ~overlaps(F.col("from_start"), F.col("from_end"), F.col("to_start"), F.col("to_end")), "overlap")
     )
-    cycles = call_cycles(nodes).select("trace_id", F.element_at("path", -2).alias("from_id"), F.element_at("path", -1).alias("to_id"), F.lit("cycle").alias("type"))
-    return cycles.unionByName(e.select("trace_id", "from_id", "to_id", kind.alias("type")).where("type IS NOT NULL"))
+    bad = e.select("trace_id", "from_id", "to_id", kind.alias("type")).where("type IS NOT NULL")
+    late = known_parents(nodes).where(F.struct("parent_start", "parent_span_id") >= F.struct("start_ns", "span_id")).select("trace_id").distinct()
+    if late.isEmpty():
+        return bad
+    cycles = call_cycles(nodes.join(checkpointed(late), "trace_id", "left_semi")).select("trace_id", F.element_at("path", -2).alias("from_id"), F.element_at("path", -1).alias("to_id"), F.lit("cycle").alias("type"))
+    return cycles.unionByName(bad)
 
 
 def call_cycles(nodes: DataFrame) -> DataFrame:

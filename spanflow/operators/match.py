@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanflow.functions.scalars import normalize, overlaps, split_call
+from spanflow.operators import callgraph
 
 #: Messages and names of results.
 MISSING, SEMANTIC, DAG_STEP = "no matching span found in trace", "Semantic validation failed", "DAG Validation"
@@ -68,30 +69,31 @@ def step_presence(spans: DataFrame, steps: list[tuple], carry: tuple[str, ...] =
 
 
 def resolved_parents(spans: DataFrame) -> DataFrame:
-    """``spans`` with parent_span_id null unless a span of the trace has that id."""
-    ids = spans.select(F.col("trace_id").alias("p_trace"), F.col("span_id").alias("p_id")).distinct()
-    joined = spans.join(ids, (spans["trace_id"] == ids["p_trace"]) & (spans["parent_span_id"] == ids["p_id"]), "left")
-    return joined.withColumn("parent_span_id", F.col("p_id")).drop("p_trace", "p_id")
+    """``spans`` with parent_span_id null unless another span of the trace has that id."""
+    return callgraph.known_parents(spans).drop("parent_start", "parent_end")
+
+
+def _apart(group: str) -> Column:
+    """Whether two members of an array of matched steps ran neither at one time nor under one parent. A group is a few steps, so its pairs are compared inside one array."""
+    apart = lambda a, b: ~(overlaps(a["start_ns"], a["end_ns"], b["start_ns"], b["end_ns"]) | a["parent_span_id"].eqNullSafe(b["parent_span_id"]))
+    return F.exists(group, lambda a: F.exists(group, lambda b: (a["pos"] < b["pos"]) & apart(a, b)))
+
+
+def _members() -> Column:
+    return F.collect_list(F.when((F.col("status") == "PASS") & F.col("grp").isNotNull(), F.struct("pos", "start_ns", "end_ns", "parent_span_id")))
 
 
 def parallel_groups(matched: DataFrame) -> DataFrame:
     """Whether the matched steps of each parallel group ran at the same time or under one parent:
-    (trace_id, grp, n_matched, concurrent). ``matched`` is :func:`step_presence` over resolved parents.
-
-    A group is a few steps, so its pairs are compared inside one array."""
-    s = matched.where("grp IS NOT NULL").groupBy("trace_id", "grp").agg(F.collect_list(F.when(F.col("status") == "PASS", F.struct("pos", "start_ns", "end_ns", "parent_span_id"))).alias("g"))
-    apart = lambda a, b: ~(overlaps(a["start_ns"], a["end_ns"], b["start_ns"], b["end_ns"]) | a["parent_span_id"].eqNullSafe(b["parent_span_id"]))
-    bad = F.exists("g", lambda a: F.exists("g", lambda b: (a["pos"] < b["pos"]) & apart(a, b)))
-    return s.select("trace_id", "grp", F.size("g").alias("n_matched"), (~bad).alias("concurrent"))
+    (trace_id, grp, n_matched, concurrent). ``matched`` is :func:`step_presence` over resolved parents."""
+    s = matched.where("grp IS NOT NULL").groupBy("trace_id", "grp").agg(_members().alias("g"))
+    return s.select("trace_id", "grp", F.size("g").alias("n_matched"), (~_apart("g")).alias("concurrent"))
 
 
 def causality_steps(spans: DataFrame, steps: list[tuple], carry: tuple[str, ...] = ()) -> DataFrame:
-    """:func:`step_presence`, where steps of a group that did not run concurrently fail."""
-    matched = step_presence(resolved_parents(spans), steps, carry)
-    groups = parallel_groups(matched)
-    r = matched.join(groups, ["trace_id", "grp"], "left")
-    broken = ~F.coalesce("concurrent", F.lit(True))
-    return r.withColumn("status", F.when((F.col("status") == "PASS") & broken, "FAIL").otherwise(F.col("status"))).drop("n_matched", "concurrent")
+    """:func:`step_presence`, where steps of a group that did not run concurrently fail. All in one partitioning by trace."""
+    matched = step_presence(resolved_parents(spans), steps, carry).withColumn("g", _members().over(Window.partitionBy("trace_id", "grp")))
+    return matched.withColumn("status", F.when((F.col("status") == "PASS") & _apart("g"), "FAIL").otherwise(F.col("status"))).drop("g")
 
 
 def topological(dag: list[tuple]) -> list[tuple]:
@@ -105,44 +107,49 @@ def topological(dag: list[tuple]) -> list[tuple]:
     return sorted(dag, key=lambda n: (level[n[1]], n[0]))
 
 
-def graph_match(spans: DataFrame, dag: list[tuple]) -> DataFrame:
-    """Nodes to spans without reuse: (trace_id, node, pos, call, span_id, ...), span_id null if none is left.
+def graph_match(spans: DataFrame, dag: list[tuple], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes to spans without reuse: (trace_id, node, pos, call, span_id, ...), and the columns ``carry`` of the span; span_id is null if none is left.
 
     The k-th node of a call, in topological order, takes the k-th span of that call in file
     order; names match exactly, and spans of equal service, name and start count once. A rank replaces
-    the walk: one aggregation per trace and call."""
-    order = topological(dag)
+    the walk, and a contract's few nodes are picked by one aggregation: all in one partitioning by trace."""
     rank: dict[str, int] = {}
     nodes = []
-    for topo, (pos, node, call, _) in enumerate(order):
+    for topo, (pos, node, call, _) in enumerate(topological(dag)):
         rank[call] = rank.get(call, 0) + 1
         nodes.append((pos, topo, node, call, rank[call]))
-    calls = list(rank)
-    s = spans.withColumn("call", F.concat_ws(".", "service", "name")).where(F.col("call").isin(calls))
-    s = s.groupBy("trace_id", "call", "start_ns").agg(F.min_by(F.struct("span_id", "end_ns", "parent_span_id", "ordinal", *[c for c in ("k", "status", "attributes") if c in spans.columns]), "ordinal").alias("s"))
+    call = F.concat_ws(".", "service", "name")
+    s = spans.withColumn("call", F.when(call.isin(list(rank)), call)).withColumn("at", F.when(F.col("call").isNotNull(), F.col("start_ns")))
+    s = s.groupBy("trace_id", "call", "at").agg(F.min_by(F.struct("start_ns", "span_id", "end_ns", "parent_span_id", "ordinal", *carry), "ordinal").alias("s"))
     s = s.withColumn("rank", F.row_number().over(Window.partitionBy("trace_id", "call").orderBy("s.ordinal")))
-    traces = spans.select("trace_id").distinct()
-    table = spans.sparkSession.createDataFrame(nodes, "pos int, topo int, node string, call string, rank int")
-    wanted = traces.crossJoin(F.broadcast(table))  # a contract has a few nodes
-    return wanted.join(s.where(F.col("rank") <= max(rank.values(), default=0)), ["trace_id", "call", "rank"], "left").select("trace_id", "pos", "topo", "node", "call", "rank", "start_ns", "s.*")
+    taken = lambda call, r: F.first(F.when((F.col("call") == call) & (F.col("rank") == r), F.col("s")), ignorenulls=True)
+    found = [F.struct(F.lit(pos).alias("pos"), F.lit(topo).alias("topo"), F.lit(node).alias("node"), F.lit(call).alias("call"), F.lit(r).alias("rank"), taken(call, r).alias("s")) for pos, topo, node, call, r in nodes]
+    return s.groupBy("trace_id").agg(F.array(*found).alias("r")).select("trace_id", F.inline("r")).select("trace_id", "pos", "topo", "node", "call", "rank", "s.*")
 
 
-def graph_causality(matched: DataFrame, dag: list[tuple], mode: str = "temporal") -> DataFrame:
-    """Nodes whose span breaks causality with a predecessor: (trace_id, node, pos, first_bad).
+def with_first_bad(matched: DataFrame, dag: list[tuple], mode: str = "temporal") -> DataFrame:
+    """``matched`` of :func:`graph_match` with ``first_bad``, the first predecessor with which a node's span breaks causality.
 
     A predecessor stands for the first span of its call in file order. ``temporal``: a node must not start
     before it. ``strict``: its span must be the parent. ``off``: nothing is checked."""
-    call = {n: c for _, n, c, _ in dag}
-    edges = [(n, p, call[p], k) for _, n, _, ps in dag for k, p in enumerate(ps) if p in call]
+    calls = {n: c for _, n, c, _ in dag}
+    edges = [(n, p) for _, n, _, ps in dag for p in ps if p in calls]
     if mode == "off" or not edges:
-        return matched.select("trace_id", "node", "pos", F.lit(None).cast("string").alias("first_bad")).limit(0)
-    table = F.broadcast(matched.sparkSession.createDataFrame(edges, "node string, pred string, p_call string, edge int"))
-    first = matched.where("rank = 1 AND span_id IS NOT NULL").select(F.col("trace_id").alias("p_trace"), F.col("call").alias("p_call"), F.col("span_id").alias("p_span"), F.col("start_ns").alias("p_start"))
-    first = first.dropDuplicates(["p_trace", "p_call"])
-    j = matched.where("span_id IS NOT NULL").join(table, "node").alias("m")
-    j = j.join(first.alias("f"), (F.col("m.trace_id") == F.col("f.p_trace")) & (F.col("m.p_call") == F.col("f.p_call")))
-    bad = F.col("start_ns") < F.col("p_start") if mode == "temporal" else ~F.coalesce(F.col("parent_span_id") == F.col("p_span"), F.lit(False))
-    return j.where(bad).groupBy("trace_id", "node", "pos").agg(F.min_by("pred", "edge").alias("first_bad"))
+        return matched.withColumn("first_bad", F.lit(None).cast("string"))
+    whole, bad = Window.partitionBy("trace_id"), []
+    first = {c: F.max(F.when((F.col("call") == c) & (F.col("rank") == 1) & F.col("span_id").isNotNull(), F.struct("start_ns", "span_id"))).over(whole) for c in {calls[p] for _, p in edges}}
+    names = {c: f"_first{k}" for k, c in enumerate(sorted(first))}
+    m = matched.withColumns({names[c]: w for c, w in first.items()})
+    for n, p in edges:
+        f = F.col(names[calls[p]])
+        broken = F.col("start_ns") < f["start_ns"] if mode == "temporal" else ~F.coalesce(F.col("parent_span_id") == f["span_id"], F.lit(False))
+        bad.append(F.when((F.col("node") == n) & F.col("span_id").isNotNull() & f.isNotNull() & broken, p))
+    return m.withColumn("first_bad", F.coalesce(*bad)).drop(*names.values())
+
+
+def graph_causality(matched: DataFrame, dag: list[tuple], mode: str = "temporal") -> DataFrame:
+    """Nodes whose span breaks causality with a predecessor: (trace_id, node, pos, first_bad), as :func:`with_first_bad` finds them."""
+    return with_first_bad(matched, dag, mode).where("first_bad IS NOT NULL").select("trace_id", "node", "pos", "first_bad")
 
 
 def route(spans: DataFrame, kind: str) -> DataFrame:

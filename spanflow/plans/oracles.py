@@ -302,3 +302,5 @@ SELECT p_partkey, CASE kind WHEN 0 THEN 'getV1PartsByPart_id' || b WHEN 1 THEN '
     "mask_stats": f"{_A} SELECT {_RULE} AS rule, CASE {_RULE} WHEN 0 THEN 'service-hash' WHEN 1 THEN 'global-keep-prefix' WHEN 2 THEN 'global-redact' ELSE 'global-tokenize' END AS \"type\", count(*) masked FROM A GROUP BY ALL",
     "mask_preview": f"{_A} SELECT ordinal, key, value AS before, {_POLICY} AS after FROM A ORDER BY ordinal, key LIMIT 20",
 }
+ORACLES["stored_graph_validation"] = ORACLES["graph_validation"]
+ORACLES["stored_causality_validation"] = ORACLES["causality_validation"]

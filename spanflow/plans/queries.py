@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from spanflow.functions import scalars
 from spanflow.operators import callgraph, conditions, discover, gate, graph, lint, mask, match, report, validate
 from spanflow.plans import fixtures as fx
 from spanflow.plans.oracles import ORACLES
+from spanflow.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,8 +56,11 @@ def _violations(spans: DataFrame, pos: int = -1) -> DataFrame:
 
 @query
 def causality_validation(spark: SparkSession, d: str) -> DataFrame:
-    spans = fx.event_spans(spark, d)
-    steps = match.causality_steps(fx.with_attributes(spans), fx.F2, ("attributes",))
+    return _causality_steps(fx.with_attributes(fx.event_spans(spark, d)))
+
+
+def _causality_steps(spans: DataFrame) -> DataFrame:
+    steps = match.causality_steps(spans, fx.F2, ("attributes",))
     r = conditions.with_results(steps, fx.CONDITIONS, F.col("status") == "PASS")
     failed = conditions.failing(F.col("results"))
     r = r.select("trace_id", "pos", "step", F.when(failed, "FAIL").otherwise(F.col("status")).alias("status"), F.when(failed, match.SEMANTIC).otherwise("").alias("note"))
@@ -76,17 +81,17 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def parent_edges(spark: SparkSession, d: str) -> DataFrame:
-    return callgraph.parent_edges(_nodes(spark, d))
+    return callgraph.parent_edges(_nodes(spark, d)).select("trace_id", "from_id", "to_id", "relationship")
 
 
 @query
 def temporal_edges(spark: SparkSession, d: str) -> DataFrame:
-    return callgraph.temporal_edges(_nodes(spark, d))
+    return callgraph.temporal_edges(_nodes(spark, d)).select("trace_id", "from_id", "to_id", "relationship")
 
 
 @query
 def call_edges(spark: SparkSession, d: str) -> DataFrame:
-    return callgraph.call_edges(_nodes(spark, d))
+    return callgraph.call_edges(_nodes(spark, d)).select("trace_id", "from_id", "to_id", "relationship")
 
 
 @query
@@ -153,15 +158,36 @@ def graph_causality_strict(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def graph_validation(spark: SparkSession, d: str) -> DataFrame:
-    spans = fx.event_spans(spark, d)
-    m = match.graph_match(fx.with_attributes(spans), fx.G1)
-    late = match.graph_causality(m, fx.G1, "temporal").select("trace_id", "node", "first_bad")
-    r = conditions.with_results(m, fx.CONDITIONS, F.col("span_id").isNotNull()).join(late, ["trace_id", "node"], "left")
+    return _graph_steps(fx.with_attributes(fx.event_spans(spark, d)))
+
+
+def _graph_steps(spans: DataFrame) -> DataFrame:
+    m = match.with_first_bad(match.graph_match(spans, fx.G1, ("attributes",)), fx.G1, "temporal")
+    r = conditions.with_results(m, fx.CONDITIONS, F.col("span_id").isNotNull())
     note = F.when(F.col("span_id").isNull(), "no matching span").when(F.col("first_bad").isNotNull(), F.concat(F.lit("starts before "), "first_bad")).when(conditions.failing(F.col("results")), "semantic validation failed").otherwise("")
     r = r.select("trace_id", "pos", F.col("node").alias("step"), F.when(note == "", "PASS").otherwise("FAIL").alias("status"), note.alias("note"))
     return _violations(spans).unionByName(r)
 
 
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """Event spans, saved to a store bucketed by trace and read from it."""
+    name = f"spanflow_spans_{uuid.uuid4().hex}"
+    store.save_spans(fx.with_attributes(fx.event_spans(spark, d)), name, callgraph.shared_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return store.load_spans(spark, name, attributes=True)
+
+
+@query
+def stored_graph_validation(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`graph_validation` over a store: no shuffle by trace."""
+    return _graph_steps(_stored(spark, d))
+
+
+@query
+def stored_causality_validation(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`causality_validation` over a store: no shuffle by trace."""
+    return _causality_steps(_stored(spark, d))
+
+
 # Many contracts at once
 
 

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from spanflow.functions.scalars import inferred_status
 
+#: The narrow columns of a span.
+SPAN_COLUMNS = ["trace_id", "span_id", "parent_span_id", "service", "name", "start_ns", "end_ns", "ordinal"]
 SPAN_FILE = "spans array<struct<name:string,service:string,startNanos:bigint,endNanos:bigint,attributes:map<string,variant>>>"
 _VALUE = "struct<stringValue:string,intValue:string,doubleValue:string,boolValue:boolean,arrayValue:variant,kvlistValue:variant,bytesValue:string>"
 _ATTRS = f"array<struct<key:string,value:{_VALUE}>>"
