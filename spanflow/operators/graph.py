@@ -3,10 +3,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from spanflow.operators.callgraph import checkpointed, levels
+from spanflow.operators import contractgraph as cg
+from spanflow.operators.callgraph import checkpointed, levels, summed_up
 
 KEY = ["flow_id"]
 
@@ -23,17 +27,50 @@ def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(end("from_id"), ["flow_id", "from_id"], "left_semi").join(end("to_id"), ["flow_id", "to_id"], "left_semi").select("flow_id", "from_id", "to_id")
 
 
+def _in_one_pass(edges: DataFrame, nodes: DataFrame, one: Callable[[DataFrame], DataFrame], rounds: Callable[[DataFrame, DataFrame], DataFrame], known_only: bool = False) -> DataFrame:
+    """``one`` of the facts of all flows, one shuffle and no rounds; flows of more than BOUND rows go through ``rounds`` instead."""
+    parts = [cg.rows(cg.NODE, nodes, "node", n="n"), cg.rows(cg.EDGE, edges, "from_id", "to_id")]
+    large = parts[0].unionByName(parts[1]).groupBy("flow_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > cg.BOUND).select("flow_id")
+    facts = lambda *flow: cg.facts(*flow, known_only=known_only)
+    if large.isEmpty():
+        return one(cg.of_flows(parts, facts, cg.FACTS))
+    large = checkpointed(large)
+    small = one(cg.of_flows([p.join(large, "flow_id", "left_anti") for p in parts], facts, cg.FACTS))
+    edges, nodes = (t.join(large, "flow_id", "left_semi") for t in (edges, nodes))
+    return small.unionByName(rounds(known_edges(edges, nodes) if known_only else edges, nodes))
+
+
+def _levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return levels(edges, nodes.select("flow_id", F.col("node").alias("id")), KEY).withColumnRenamed("id", "node")
+
+
 def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """flow_id, node, level: longest path from an entry; the order is (level, n). Flows with cycles lack the nodes that these block."""
-    return levels(edges, nodes.select("flow_id", F.col("node").alias("id")), KEY).withColumnRenamed("id", "node")
+    one = lambda f: f.select("flow_id", F.inline("found")).where("level IS NOT NULL").select("flow_id", "node", "level")
+    return _in_one_pass(edges, nodes, one, _levels)
+
+
+def checks(edges: DataFrame, nodes: DataFrame, known_only: bool = False) -> DataFrame:
+    """Per flow: blocked (nodes that cannot be ordered), nodes, entries and unreachable (nodes that no entry reaches)."""
+
+    def one(f: DataFrame) -> DataFrame:
+        f = f.where(F.size("found") > 0)
+        return f.select("flow_id", cg.count(lambda x: x["level"].isNull()).alias("blocked"), F.size("found").cast("long").alias("nodes"), cg.count(lambda x: x["entry"]).alias("entries"), cg.count(lambda x: ~x["reached"]).alias("unreachable"))
+
+    def rounds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+        entries = entry_nodes(edges, nodes)
+        mark = lambda df, c: df.select("flow_id", "node").withColumn(c, F.lit(1))
+        n = nodes
+        for df, c in ((_levels(edges, nodes), "ordered"), (reachable(edges, entries), "seen"), (entries, "entry")):
+            n = n.join(mark(df, c), ["flow_id", "node"], "left")
+        return n.groupBy("flow_id").agg(F.count_if(F.col("ordered").isNull()).alias("blocked"), F.count(F.lit(1)).alias("nodes"), F.count("entry").alias("entries"), F.count_if(F.col("seen").isNull()).alias("unreachable"))
+
+    return _in_one_pass(edges, nodes, one, rounds, known_only)
 
 
 def cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per flow the number of nodes that cannot be ordered, and whether there is a cycle."""
-    done = topo_levels(edges, nodes)
-    left = nodes.join(done, ["flow_id", "node"], "left_anti").groupBy("flow_id").agg(F.count(F.lit(1)).alias("blocked"))
-    r = nodes.select("flow_id").distinct().join(left, "flow_id", "left")
-    return r.select("flow_id", F.coalesce("blocked", F.lit(0)).alias("blocked"), F.col("blocked").isNotNull().alias("has_cycle"))
+    return checks(edges, nodes).select("flow_id", "blocked", (F.col("blocked") > 0).alias("has_cycle"))
 
 
 def entry_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -56,11 +93,8 @@ def reachable(edges: DataFrame, start: DataFrame, rounds: int = 10_000) -> DataF
 
 def reachability(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per flow: nodes, entries, nodes that no entry reaches, and whether all is well."""
-    entries = entry_nodes(edges, nodes)
-    seen = reachable(edges, entries)
-    n = nodes.join(seen.withColumn("seen", F.lit(1)), ["flow_id", "node"], "left").join(entries.withColumn("entry", F.lit(1)), ["flow_id", "node"], "left")
-    g = n.groupBy("flow_id").agg(F.count(F.lit(1)).alias("nodes"), F.count("entry").alias("entries"), F.count_if(F.col("seen").isNull()).alias("unreachable"))
-    return g.withColumn("ok", (F.col("entries") > 0) & (F.col("unreachable") == 0))
+    ok = (F.col("entries") > 0) & (F.col("unreachable") == 0)
+    return checks(edges, nodes).select("flow_id", "nodes", "entries", "unreachable", ok.alias("ok"))
 
 
 def ancestors(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
@@ -78,12 +112,36 @@ def ancestors(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
 
 
 def fold_parallel(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A linear flow from a DAG: flow_id, node, parallel_of. Successors of one node that have no other predecessor form a parallel
-    group after it when there are several; all other nodes stay plain steps (parallel_of null). Every node is kept."""
-    alone = edges.groupBy("flow_id", "to_id").agg(F.count(F.lit(1)).alias("n"), F.min("from_id").alias("from_id")).where("n = 1")
-    groups = alone.groupBy("flow_id", "from_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("flow_id", "from_id")
-    folded = alone.join(groups, ["flow_id", "from_id"]).select("flow_id", F.col("to_id").alias("node"), F.col("from_id").alias("parallel_of"))
-    return nodes.select("flow_id", "node").join(folded, ["flow_id", "node"], "left")
+    """A linear flow from a DAG, as steps: flow_id, pos, group_pos, node.
+
+    Nodes are emitted in rounds, each as soon as all its predecessors are; in a round by declaration. When a node is emitted that has several successors
+    with no other edge in, these are emitted with it, as a parallel group after it (group_pos counts in it), and do not fold successors of their
+    own. All nodes are kept, but those on and behind cycles."""
+    one = lambda f: f.select("flow_id", F.inline("found")).where("round IS NOT NULL").select("flow_id", "node", "n", "round", "parallel_of")
+    emitted = _in_one_pass(edges, nodes, one, _folded)
+    first = emitted.select("flow_id", F.col("node").alias("parallel_of"), F.col("n").alias("at"))
+    e = emitted.join(first, ["flow_id", "parallel_of"], "left").withColumn("entry", F.struct("round", F.coalesce("at", "n"), F.col("parallel_of").isNotNull()))
+    pos = F.dense_rank().over(Window.partitionBy("flow_id").orderBy("entry")) - 1
+    place = F.row_number().over(Window.partitionBy("flow_id", "parallel_of").orderBy("n")) - 1
+    return e.select("flow_id", pos.alias("pos"), F.when(F.col("parallel_of").isNotNull(), place).alias("group_pos"), "node")
+
+
+def _folded(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What a node does depends on its only predecessor's doing the opposite, so along chains of such every second one folds: chains are
+    measured by doubling. Rounds are levels of the graph in which folded nodes stand in their predecessor's place."""
+    alone = edges.groupBy("flow_id", "to_id").agg(F.count(F.lit(1)).alias("n"), F.min("from_id").alias("up")).where("n = 1")
+    wide = alone.groupBy("flow_id", "up").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("flow_id", "up")
+    up = alone.join(wide, ["flow_id", "up"]).select("flow_id", F.col("to_id").alias("id"), "up")
+    chain = nodes.select("flow_id", F.col("node").alias("id")).join(up, ["flow_id", "id"], "left").withColumn("value", F.lit(0))
+    odd = summed_up(chain, KEY).where("total % 2 = 1").select("flow_id", "id").join(up, ["flow_id", "id"])
+    folded = checkpointed(odd.select("flow_id", F.col("id").alias("node"), F.col("up").alias("parallel_of")))
+    stands = lambda c: folded.select("flow_id", F.col("node").alias(c), F.col("parallel_of").alias(f"{c}_at"))
+    e = edges.join(stands("from_id"), ["flow_id", "from_id"], "left").join(folded.select("flow_id", F.col("node").alias("to_id")), ["flow_id", "to_id"], "left_anti")
+    e = e.select("flow_id", F.coalesce("from_id_at", "from_id").alias("from_id"), "to_id")
+    plain = nodes.join(folded, ["flow_id", "node"], "left_anti")
+    at = checkpointed(_levels(e, plain).withColumnRenamed("level", "round"))
+    n = nodes.join(folded, ["flow_id", "node"], "left").withColumn("stands", F.coalesce("parallel_of", "node"))
+    return n.join(at.withColumnRenamed("node", "stands"), ["flow_id", "stands"]).select("flow_id", "node", F.col("n").cast("long").alias("n"), "round", "parallel_of")
 
 
 def flow_step_counts(nodes: DataFrame) -> DataFrame:

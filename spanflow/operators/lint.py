@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanflow.functions.scalars import INITIAL_VARIABLES, has_telemetry_prefix, split_call, variable_references
+from spanflow.operators import contractgraph as cg
 from spanflow.operators import graph
+from spanflow.operators.callgraph import checkpointed
 from spanflow.operators.graph import ancestors
 
 
@@ -52,16 +54,23 @@ def input_values(inputs: DataFrame) -> DataFrame:
     return inputs.select("flow_id", "node", text.alias("input"))
 
 
-def _unknown(refs: DataFrame, known: DataFrame) -> DataFrame:
-    root = refs.withColumn("root", F.split("variable", r"\.")[0]).where(~F.col("root").isin(INITIAL_VARIABLES))
-    return root.join(known.withColumnRenamed("variable", "root"), ["flow_id", "node", "root"], "left_anti").select("flow_id", "node", "variable")
-
-
 def graph_variables(refs: DataFrame, outputs: DataFrame, edges: DataFrame) -> DataFrame:
-    """References to what no transitive predecessor puts out. ``outputs``: flow_id, node, variable."""
-    before = ancestors(edges)
-    known = before.join(outputs.select("flow_id", F.col("node").alias("ancestor"), "variable"), ["flow_id", "ancestor"]).select("flow_id", "node", "variable").distinct()
-    return _unknown(refs, known)
+    """References to what no transitive predecessor puts out. ``outputs``: flow_id, node, variable.
+
+    Rows of a flow come together in one shuffle; predecessors of predecessors are made only in flows where a direct one does not settle all
+    (:func:`contractgraph.unknown`). Flows of more than BOUND rows have all theirs listed, in rounds."""
+    root = F.split("variable", r"\.")[0]
+    refs, outputs = refs.where(~root.isin(INITIAL_VARIABLES)).select("flow_id", "node", "variable"), outputs.select("flow_id", "node", "variable")
+    parts = [cg.rows(cg.EDGE, edges, "from_id", "to_id"), cg.rows(cg.REFERENCE, refs, "node", "variable"), cg.rows(cg.OUTPUT, outputs, "node", "variable")]
+    flows = lambda parts: cg.of_flows(parts, cg.unknown, [("node", "string"), ("variable", "string")]).select("flow_id", F.inline("found"))
+    large = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("flow_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > cg.BOUND).select("flow_id")
+    if large.isEmpty():
+        return flows(parts)
+    large = checkpointed(large)
+    refs, outputs, edges = (t.join(large, "flow_id", "left_semi") for t in (refs, outputs, edges))
+    known = ancestors(edges).join(outputs.select("flow_id", F.col("node").alias("ancestor"), "variable"), ["flow_id", "ancestor"]).select("flow_id", "node", F.col("variable").alias("root")).distinct()
+    rest = refs.withColumn("root", root).join(known, ["flow_id", "node", "root"], "left_anti").select("flow_id", "node", "variable")
+    return flows([p.join(large, "flow_id", "left_anti") for p in parts]).unionByName(rest)
 
 
 def flow_variables(refs: DataFrame, outputs: DataFrame, positions: DataFrame) -> DataFrame:
@@ -91,7 +100,6 @@ def issues(contracts: dict[str, DataFrame]) -> DataFrame:
     steps, nodes, edges = contracts["steps"], contracts["nodes"], contracts["edges"]
     named = steps.select("flow_id", F.col("step").alias("node"), "call")
     calls = named.unionByName(nodes.select("flow_id", "node", "call"))
-    known = graph.known_edges(edges, nodes)
     rows = lambda df, rule, subject, level="ERROR": df.select("flow_id", F.lit(level).alias("level"), F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"))
     found = [
         rows(call_format(calls), "call format", "subject"),
@@ -100,14 +108,16 @@ def issues(contracts: dict[str, DataFrame]) -> DataFrame:
         rows(dangling_edges(edges, nodes), "dangling edge", "to_id"),
         rows(duplicates(named.select("flow_id", F.col("node").alias("name"))), "step name", "name"),
         rows(duplicates(nodes.select("flow_id", F.col("node").alias("name"))), "node name", "name"),
-        rows(graph.cycles(known, nodes).where("has_cycle"), "cycle", "blocked"),
-        rows(graph.reachability(known, nodes).where("entries > 0 AND unreachable > 0"), "unreachable nodes", "unreachable"),
+        graph.checks(edges, nodes, known_only=True).select("flow_id", F.lit("ERROR").alias("level"), F.inline(F.array_compact(F.array(
+            F.when(F.col("blocked") > 0, F.struct(F.lit("cycle").alias("rule"), F.col("blocked").cast("string").alias("subject"))),
+            F.when((F.col("entries") > 0) & (F.col("unreachable") > 0), F.struct(F.lit("unreachable nodes").alias("rule"), F.col("unreachable").cast("string").alias("subject"))),
+        )))),
         rows(steps.select("flow_id").distinct().withColumn("legacy", F.lit("flow")), "legacy format", "legacy", "WARN"),
     ]
     if "references" in contracts:
         refs, outputs = contracts["references"], contracts["outputs"]
         of = lambda df, table: df.join(table.select("flow_id").distinct(), "flow_id", "left_semi")
-        found.append(rows(graph_variables(of(refs, nodes), of(outputs, nodes), known), "unknown variable", "node"))
+        found.append(rows(graph_variables(of(refs, nodes), of(outputs, nodes), graph.known_edges(edges, nodes)), "unknown variable", "node"))
         positions = steps.select("flow_id", F.col("step").alias("node"), "pos")
         found.append(rows(flow_variables(of(refs, steps), of(outputs, steps), positions), "unknown variable", "node"))
     if "keys" in contracts:

@@ -33,20 +33,24 @@ def _called(call: str) -> tuple[Column, Column]:
 
 def by_time(spans: DataFrame, pairs: DataFrame, steps: DataFrame) -> DataFrame:
     """Greedy matching in order of time, the contracts' steps one after the other: each takes the first of its spans after the last one
-    taken. Spans are numbered and filtered in one partitioning by trace; each position is a window over it."""
+    taken. Spans are numbered once, in one partitioning by trace; what a pair of trace and contract may take comes together as the places of each step's
+    call, and a fold over the positions carries the place of the last one taken. The plan does not grow with the contracts."""
     order = Window.partitionBy("trace_id").orderBy("start_ns", "ordinal")
     s = spans.withColumn("idx", F.row_number().over(order)).withColumns({"s": normalize(F.col("service")), "o": normalize(F.col("name"))})
     service, operation = _called("call")
     wanted = steps.select("flow_id", "pos", "step", "call", service.alias("s"), operation.alias("o"))
-    longest = wanted.agg(F.max("pos")).first()[0]
-    c = s.join(wanted.select("flow_id", "pos", "s", "o"), ["s", "o"]).join(pairs.select("trace_id", "flow_id"), ["trace_id", "flow_id"], "left_semi")
-    c = c.withColumns({"at": F.lit(0), "since": F.lit(None).cast("int"), "hit": F.lit(False)})
-    whole = Window.partitionBy("trace_id", "flow_id")
-    for k in range(-1 if longest is None else longest + 1):
-        here = F.col("pos") == k
-        c = c.withColumn("m", F.min(F.when(here & (F.col("idx") > F.col("at")), F.col("idx"))).over(whole))
-        c = c.withColumns({"since": F.when(here, F.col("at")).otherwise(F.col("since")), "hit": F.col("hit") | (here & F.coalesce(F.col("idx") == F.col("m"), F.lit(False))), "at": F.coalesce("m", "at")})
-    taken = c.where("hit").select("trace_id", "flow_id", "pos", "idx", "since", *_SPAN)
+    c = s.select("trace_id", "idx", "s", "o").join(wanted.select("flow_id", "pos", "s", "o"), ["s", "o"]).join(pairs.select("trace_id", "flow_id"), ["trace_id", "flow_id"], "left_semi")
+    places = c.groupBy("trace_id", "flow_id", "pos").agg(F.array_sort(F.collect_list("idx")).alias("at"))
+    places = places.groupBy("trace_id", "flow_id").agg(F.array_sort(F.collect_list(F.struct("pos", "at"))).alias("steps"))
+    start = F.struct(F.lit(0).alias("last"), F.array().cast("array<struct<pos:int,idx:int,since:int>>").alias("taken"))
+
+    def take(state: Column, step: Column) -> Column:
+        idx = F.get(F.filter(step["at"], lambda i: i > state["last"]), F.lit(0))
+        one = F.struct(step["pos"].cast("int").alias("pos"), idx.cast("int").alias("idx"), state["last"].cast("int").alias("since"))
+        return F.struct(F.coalesce(idx, state["last"]).cast("int").alias("last"), F.when(idx.isNull(), state["taken"]).otherwise(F.array_append(state["taken"], one)).alias("taken"))
+
+    taken = places.select("trace_id", "flow_id", F.inline(F.aggregate("steps", start, take)["taken"]))
+    taken = taken.join(s.select("trace_id", "idx", *_SPAN), ["trace_id", "idx"])
     r = pairs.select("trace_id", "flow_id").join(wanted.drop("s", "o"), "flow_id").join(taken, ["trace_id", "flow_id", "pos"], "left")
     note = F.when(F.col("idx").isNull(), match.MISSING).when(F.col("idx") > F.col("since") + 1, match.skipped(F.col("idx"))).otherwise("")
     return r.select("trace_id", "flow_id", "pos", "step", "call", F.when(F.col("idx").isNull(), "FAIL").otherwise("PASS").alias("status"), note.alias("note"), *_SPAN)
@@ -79,6 +83,8 @@ def by_graph(spans: DataFrame, pairs: DataFrame, nodes: DataFrame, edges: DataFr
     s = spans.withColumn("call", F.concat_ws(".", "service", "name")).join(nodes.select("call").distinct(), "call", "left_semi")
     s = s.groupBy("trace_id", "call", "start_ns").agg(F.min_by(F.struct(*[c for c in _SPAN if c != "start_ns"]), "ordinal").alias("s"))
     s = s.withColumn("rank", F.row_number().over(Window.partitionBy("trace_id", "call").orderBy("s.ordinal")))
+    most = wanted.agg(F.max("rank")).first()[0] or 0  # the rank filter is a limit of each group, before the shuffle
+    s = s.where(F.col("rank") <= most)
     m = pairs.select("trace_id", "flow_id").join(wanted, "flow_id").join(s, ["trace_id", "call", "rank"], "left")
     m = m.select("trace_id", "flow_id", F.col("n").alias("pos"), F.col("node").alias("step"), "call", "start_ns", "s.*")
     if mode == "off":

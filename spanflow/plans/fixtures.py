@@ -24,7 +24,11 @@ RULES = [
         ("signup", "post", "statusOk", "response.status == 200"), ("view", "post", "hasK", "has(response.body.k)"), ("view", "post", "smallK", "response.body.k < 50"),
         ("purchase", "pre", "ghost", "input.items != ''"), ("purchase", "post", "statusOk", "response.status == 200"), ("purchase", "post", "typed", "response.body.k != '5'"),
     ]
-] + [("graph", "click", "post", "pattern", "response.body.k =~ /^5/"), ("graph", "click", "post", "sized", "size(response.body.k) > 0")]
+] + [
+    ("graph", "click", "post", "pattern", "response.body.k =~ /^5/"), ("graph", "click", "post", "sized", "size(response.body.k) > 0"), ("linear", "view", "post", "broken", "span.service =~ /[/"),
+    ("linear", "view", "post", "decided", "span.service =~ /[/ || response.body.k >= 0"), ("parallel", "view", "post", "both", "response.body.k < 70 && !(response.status == 200)"),
+    ("parallel", "click", "post", "either", "(response.body.k < 10 || response.status == 404) && has(response.body.k)"), ("graph", "click", "post", "named", "span.service =~ /^cl.ck$/ && !has(response.body.gone)"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

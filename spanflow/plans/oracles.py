@@ -120,15 +120,17 @@ AP AS (SELECT a.trace_id, a.flow_id, a.pos FROM CA a JOIN CA b ON a.trace_id = b
 MT AS (SELECT S.trace_id, 'linear' flow_id, pos, step, split_part(call, '.', 1) service, span_id, k, code, m IS NOT NULL found,
               CASE WHEN m IS NULL THEN 'no matching span found in trace' WHEN m > since + 1 THEN 'matched span #' || m || ' by time sequence (intermediate spans exist)' ELSE '' END note
        FROM S JOIN RT ON S.trace_id = RT.trace_id WHERE NOT p
-       UNION ALL SELECT trace_id, flow_id, pos, step, service, span_id, k, code, span_id IS NOT NULL AND (gp IS NULL OR (trace_id, flow_id, pos) NOT IN (SELECT (trace_id, flow_id, pos) FROM AP)),
-              CASE WHEN span_id IS NULL THEN 'no matching span found in trace' ELSE '' END FROM CA
+       UNION ALL SELECT trace_id, flow_id, pos, step, service, span_id, k, code, span_id IS NOT NULL AND NOT coalesce(apart, false),
+              CASE WHEN span_id IS NULL THEN 'no matching span found in trace' ELSE '' END FROM CA LEFT JOIN (SELECT DISTINCT trace_id, flow_id, pos, true apart FROM AP) a USING (trace_id, flow_id, pos)
        UNION ALL SELECT GM.trace_id, 'graph', pos, GM.node, split_part(call, '.', 1), span_id, k, code, span_id IS NOT NULL AND first_bad IS NULL,
               CASE WHEN span_id IS NULL THEN 'no matching span found in trace' WHEN first_bad IS NOT NULL THEN 'starts before ' || first_bad ELSE '' END
        FROM GM LEFT JOIN GL ON GM.trace_id = GL.trace_id AND GM.node = GL.node),
-CD AS (SELECT * FROM (VALUES ('signup', 'post', 'statusOk'), ('view', 'post', 'hasK'), ('view', 'post', 'smallK'), ('purchase', 'pre', 'ghost'), ('purchase', 'post', 'statusOk'), ('purchase', 'post', 'typed'),
-  ('click', 'post', 'pattern'), ('click', 'post', 'sized')) t(service, kind, condition)),
+CD AS (SELECT * FROM (VALUES ('signup', 'post', 'statusOk'), ('view', 'post', 'hasK'), ('view', 'post', 'smallK'), ('purchase', 'pre', 'ghost'), ('purchase', 'post', 'statusOk'), ('purchase', 'post', 'typed')) t(service, kind, condition), (VALUES ('linear'), ('parallel'), ('graph')) f(flow_id)
+  UNION ALL SELECT * FROM (VALUES ('click', 'post', 'pattern', 'graph'), ('click', 'post', 'sized', 'graph'), ('view', 'post', 'broken', 'linear'), ('view', 'post', 'decided', 'linear'), ('view', 'post', 'both', 'parallel'),
+  ('click', 'post', 'either', 'parallel'), ('click', 'post', 'named', 'graph')) t(service, kind, condition, flow_id)),
 CRS AS (SELECT trace_id, flow_id, pos, step, kind, condition, CASE condition WHEN 'statusOk' THEN CASE WHEN coalesce(code, 0) = 200 THEN 'PASS' ELSE 'FAIL' END WHEN 'smallK' THEN CASE WHEN k < 50 THEN 'PASS' ELSE 'FAIL' END
-          WHEN 'hasK' THEN 'PASS' WHEN 'typed' THEN 'PASS' ELSE 'SKIP' END result FROM MT JOIN CD USING (service) WHERE MT.found AND (service <> 'click' OR flow_id = 'graph')),
+          WHEN 'both' THEN CASE WHEN k < 70 AND coalesce(code, 0) <> 200 THEN 'PASS' ELSE 'FAIL' END WHEN 'either' THEN CASE WHEN k < 10 OR coalesce(code, 0) = 404 THEN 'PASS' ELSE 'FAIL' END
+          WHEN 'hasK' THEN 'PASS' WHEN 'typed' THEN 'PASS' WHEN 'decided' THEN 'PASS' WHEN 'named' THEN 'PASS' ELSE 'SKIP' END result FROM MT JOIN CD USING (service, flow_id) WHERE MT.found),
 BD AS (SELECT DISTINCT trace_id, flow_id, pos, step FROM CRS WHERE result = 'FAIL')"""
 )
 
@@ -247,21 +249,33 @@ REACH AS (SELECT flow_id, from_id, to_id FROM NI UNION SELECT REACH.flow_id, REA
 ON_CYCLE AS (SELECT flow_id, from_id id FROM REACH WHERE from_id = to_id), BLOCKED AS (SELECT flow_id, id FROM ON_CYCLE UNION SELECT r.flow_id, r.to_id FROM REACH r JOIN ON_CYCLE c ON r.flow_id = c.flow_id AND r.from_id = c.id),
 Q AS (SELECT flow_id, count(*) n FROM BLOCKED GROUP BY 1)
 SELECT f.flow_id, coalesce(n, 0) blocked, n IS NOT NULL has_cycle FROM (SELECT DISTINCT flow_id FROM N) f LEFT JOIN Q USING (flow_id)""",
-    "graph_entry_nodes": f"{_K}{_NAMED} SELECT N.flow_id, node FROM N WHERE NOT EXISTS (SELECT 1 FROM NI WHERE NI.flow_id = N.flow_id AND NI.to_id = N.node)",
+    "graph_entry_nodes": f"WITH {CATALOG}{_NAMED} SELECT N.flow_id, N.node FROM N LEFT JOIN (SELECT DISTINCT flow_id, to_id FROM NI) t ON t.flow_id = N.flow_id AND t.to_id = N.node WHERE t.to_id IS NULL",
     "graph_reachability": f"""{_K}{_NAMED}, EN AS (SELECT N.flow_id, node FROM N WHERE NOT EXISTS (SELECT 1 FROM NI WHERE NI.flow_id = N.flow_id AND NI.to_id = N.node)),
 REACH AS (SELECT flow_id, node FROM EN UNION SELECT NI.flow_id, NI.to_id FROM REACH JOIN NI ON REACH.flow_id = NI.flow_id AND REACH.node = NI.from_id),
 Q AS (SELECT N.flow_id, count(*) nodes, count(EN.node) entries, count(*) FILTER (REACH.node IS NULL) unreachable FROM N LEFT JOIN EN ON N.flow_id = EN.flow_id AND N.node = EN.node
       LEFT JOIN REACH ON N.flow_id = REACH.flow_id AND N.node = REACH.node GROUP BY 1)
 SELECT *, entries > 0 AND unreachable = 0 ok FROM Q""",
     "graph_topo_levels": f"{_K}{_NAMED}{_LEVELS.format(key='flow_id', edges='NA', nodes='flow_id, node id', table='N')} SELECT flow_id, id node, max(level) level FROM RL GROUP BY 1, 2",
-    "fold_parallel_groups": f"""{_K}{_NAMED}, ALONE AS (SELECT flow_id, to_id, min(from_id) from_id FROM NA GROUP BY 1, 2 HAVING count(*) = 1),
-GRP AS (SELECT flow_id, from_id FROM ALONE GROUP BY 1, 2 HAVING count(*) > 1), FOLD AS (SELECT ALONE.* FROM ALONE JOIN GRP ON ALONE.flow_id = GRP.flow_id AND ALONE.from_id = GRP.from_id)
-SELECT N.flow_id, node, from_id parallel_of FROM N LEFT JOIN FOLD ON N.flow_id = FOLD.flow_id AND N.node = FOLD.to_id""",
+    # The queue, all that is ready at a time: what has no open predecessors is emitted, and with it, as a group, its successors that have no other.
+    "fold_parallel_groups": f"""WITH RECURSIVE {CATALOG}{_NAMED},
+PR AS (SELECT flow_id, to_id, list(from_id) preds FROM NA GROUP BY 1, 2),
+GG AS (SELECT N.flow_id, list({{'n': n, 'node': node, 'preds': coalesce(preds, CAST([] AS VARCHAR[]))}}) g FROM N LEFT JOIN PR ON PR.flow_id = N.flow_id AND PR.to_id = N.node GROUP BY 1),
+QU AS (SELECT flow_id, g, -1 r, CAST([] AS VARCHAR[]) done, CAST([] AS VARCHAR[]) now_, CAST([] AS VARCHAR[]) kids FROM GG
+  UNION ALL SELECT flow_id, g, r, done, now_, list_transform(list_filter(g, lambda x: len(x.preds) = 1 AND list_contains(now_, x.preds[1])
+      AND len(list_filter(g, lambda y: len(y.preds) = 1 AND y.preds[1] = x.preds[1])) > 1), lambda x: x.node)
+    FROM (SELECT flow_id, g, r + 1 r, list_concat(list_concat(done, now_), kids) done,
+                 list_transform(list_filter(g, lambda x: NOT list_contains(list_concat(list_concat(done, now_), kids), x.node) AND list_has_all(list_concat(list_concat(done, now_), kids), x.preds)), lambda x: x.node) now_ FROM QU)
+    WHERE len(now_) > 0),
+EM AS (SELECT flow_id, r, unnest(now_) node, false kid FROM QU UNION ALL SELECT flow_id, r, unnest(kids), true FROM QU),
+EP AS (SELECT EM.flow_id, EM.node, r, kid, N.n, CASE WHEN kid THEN preds[1] END par FROM EM JOIN N ON EM.flow_id = N.flow_id AND EM.node = N.node LEFT JOIN PR ON EM.flow_id = PR.flow_id AND EM.node = PR.to_id)
+SELECT EP.flow_id, CAST(dense_rank() OVER (PARTITION BY EP.flow_id ORDER BY r, coalesce(N.n, EP.n), kid) - 1 AS INT) pos,
+       CASE WHEN kid THEN CAST(row_number() OVER (PARTITION BY EP.flow_id, par ORDER BY EP.n) - 1 AS INT) END group_pos, EP.node
+FROM EP LEFT JOIN N ON EP.flow_id = N.flow_id AND EP.par = N.node""",
     "flow_step_counts": f"{_K} SELECT flow_id, count(*) steps, string_agg(node, ',' ORDER BY n) AS names FROM N GROUP BY 1",
     "lint_call_format": f"{_K} SELECT flow_id, node subject FROM N WHERE n = 4",
     "lint_undeclared_service": f"{_K} {_UNDECLARED}",
-    "lint_missing_operation": f"""{_K} SELECT flow_id, node subject, split_part(call, '.', 1) service, split_part(call, '.', 2) operation FROM N
-WHERE (split_part(call, '.', 1) <> 'svc2' OR flow_id % 2 = 0) AND call NOT IN (SELECT call FROM N WHERE n <= 5)""",
+    "lint_missing_operation": f"""WITH {CATALOG} SELECT flow_id, node subject, split_part(N.call, '.', 1) service, split_part(N.call, '.', 2) operation FROM N LEFT JOIN (SELECT DISTINCT call FROM N WHERE n <= 5) k ON k.call = N.call
+WHERE (split_part(N.call, '.', 1) <> 'svc2' OR flow_id % 2 = 0) AND k.call IS NULL""",
     "lint_dangling_edges": f"{_K}{_NAMED} {_DANGLING}",
     "lint_duplicate_nodes": _TWICE,
     "lint_duplicate_steps": "SELECT CAST(l_orderkey AS BIGINT) flow_id, CASE WHEN l_partkey % 50 = 0 THEN '' ELSE 's' || (l_partkey % 9) END AS name, count(*) uses FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1 OR name = ''",

@@ -191,7 +191,7 @@ def test_graph_lint(spark):
     assert {r["node"]: r["level"] for r in graph.topo_levels(edges, nodes).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
     assert not graph.cycles(edges, nodes).first()["has_cycle"]
     assert graph.reachability(edges, nodes).first()["ok"]
-    assert {r["node"]: r["parallel_of"] for r in graph.fold_parallel(edges, nodes).collect()} == {"a": None, "b": "a", "c": "a", "d": None}
+    assert {r["node"]: (r["pos"], r["group_pos"]) for r in graph.fold_parallel(edges, nodes).collect()} == {"a": (0, None), "b": (1, 0), "c": (1, 1), "d": (2, None)}
     loop = edges.union(spark.createDataFrame([("f", "d", "a")], edges.schema))
     assert graph.cycles(loop, nodes).first()["blocked"] == 4
     assert graph.reachability(loop, nodes).first()["entries"] == 0
