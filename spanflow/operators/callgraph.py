@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanflow.functions.scalars import overlaps
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset and all run on one machine, a temporary one."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a table in :func:`shared_dir`."""
-    path = f"{shared_dir(df.sparkSession)}/spanflow-step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from spanflow.operators import ranges
+from spanflow.operators.steps import checkpointed
 
 
 def summed_up(steps: DataFrame, keys: list[str], rounds: int = 64) -> DataFrame:
@@ -85,9 +68,14 @@ def _parent_edge() -> Column:
     return F.when(F.col("parent_span_id").isNotNull(), _edge("parent_span_id", "span_id", F.lit("parent"), "parent_", ""))
 
 
-def _followed(n: DataFrame) -> DataFrame:
+_ORDER, _NEXT = ["start_ns", "span_id"], ["span_id", "start_ns", "end_ns", "parent_span_id"]
+
+
+def _followed(n: DataFrame, large: bool) -> DataFrame:
     """Nodes with ``x``, the next one in start order of the whole trace."""
-    return n.withColumn("x", F.lead(F.struct("span_id", "start_ns", "end_ns", "parent_span_id")).over(Window.partitionBy("trace_id").orderBy("start_ns", "span_id")))
+    if large:
+        return ranges.followed(ranges.ranged(n, _ORDER), _ORDER, _NEXT)
+    return n.withColumn("x", F.lead(F.struct(*_NEXT)).over(Window.partitionBy("trace_id").orderBy(*_ORDER)))
 
 
 def _temporal_edge() -> Column:
@@ -100,14 +88,14 @@ def parent_edges(nodes: DataFrame) -> DataFrame:
     return known_parents(nodes).select("trace_id", F.inline(F.array_compact(F.array(_parent_edge()))))
 
 
-def temporal_edges(nodes: DataFrame) -> DataFrame:
-    """Edges between neighbours in start order of the whole trace that have one parent, or both none."""
-    return _followed(known_parents(nodes)).select("trace_id", F.inline(F.array_compact(F.array(_temporal_edge()))))
+def temporal_edges(nodes: DataFrame, large: bool = False) -> DataFrame:
+    """Edges between neighbours in start order of the whole trace that have one parent, or both none. ``large``: traces are cut into ranges (:mod:`spanflow.operators.ranges`)."""
+    return _followed(known_parents(nodes), large).select("trace_id", F.inline(F.array_compact(F.array(_temporal_edge()))))
 
 
-def call_edges(nodes: DataFrame) -> DataFrame:
-    """Edges of both kinds, in one pass over the nodes."""
-    return _followed(known_parents(nodes)).select("trace_id", F.inline(F.array_compact(F.array(_parent_edge(), _temporal_edge()))))
+def call_edges(nodes: DataFrame, large: bool = False) -> DataFrame:
+    """Edges of both kinds, in one pass over the nodes. ``large`` as in :func:`temporal_edges`."""
+    return _followed(known_parents(nodes), large).select("trace_id", F.inline(F.array_compact(F.array(_parent_edge(), _temporal_edge()))))
 
 
 def edge_violations(nodes: DataFrame, edges: DataFrame, tolerance_ms: int = 50) -> DataFrame:

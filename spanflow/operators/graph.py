@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanflow.operators import contractgraph as cg
-from spanflow.operators.callgraph import checkpointed, levels, summed_up
+from spanflow.operators.callgraph import levels, summed_up
+from spanflow.operators.steps import checkpointed
 
 KEY = ["flow_id"]
 

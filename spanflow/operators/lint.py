@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from spanflow.functions.scalars import INITIAL_VARIABLES, has_telemetry_prefix, split_call, variable_references
 from spanflow.operators import contractgraph as cg
 from spanflow.operators import graph
-from spanflow.operators.callgraph import checkpointed
 from spanflow.operators.graph import ancestors
+from spanflow.operators.steps import checkpointed
 
 
 def call_format(steps: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Masking of attributes by an ordered policy, compiled to one CASE chain."""
+"""Masking of attributes by an ordered policy, compiled to one CASE chain, or by tables of rules of many tenants."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanflow.operators.conditions import compiles
+
 REDACTED = "***REDACTED***"
 #: The built-in policy. First match wins.
 DEFAULT_POLICY = {
@@ -108,6 +110,58 @@ def apply(attributes: DataFrame, policy: dict[str, Any], tag_policy: str = "matc
     return found.withColumn("masked", out)
 
 
+_STRATEGY = "struct<type:string,prefixLen:int,mask:string,salt:string,tokenPrefix:string>"
+RULES = f"tenant string, rule int, service string, operation string, path string, patterns array<string>, strategy {_STRATEGY}"
+#: Stands for a part of a selector that is not given.
+_ANY = "*"
+
+
+def rule_rows(policies: dict[str, dict[str, Any]], tag_policy: str = "match_all") -> list[tuple]:
+    """Policies of many tenants as rows of RULES, one a path of a rule, for :func:`apply_rules`."""
+    out = []
+    for tenant, policy in policies.items():
+        for k, (match, s) in enumerate(compiled(policy, tag_policy)):
+            strategy = (s["type"], s.get("prefixLen"), s.get("mask"), s.get("salt") or "", s.get("tokenPrefix"))
+            out += [(tenant, k, match.get("service") or _ANY, match.get("operation") or _ANY, path, list(match.get("regexKeys") or []), strategy) for path in match.get("paths") or [_ANY]]
+    return out
+
+
+def masked_by(value: Column, is_string: Column, s: Column) -> Column:
+    """:func:`masked` for a strategy that is a column."""
+    digest = F.sha2(F.concat(value, s["salt"]), 256)
+    prefix = F.when(F.length(value) <= s["prefixLen"], value).otherwise(F.concat(F.substring(value, F.lit(1), s["prefixLen"]), F.repeat(s["mask"], F.greatest(F.length(value) - s["prefixLen"], F.lit(0)))))
+    text = F.when(s["type"] == "keep-prefix", prefix).when(s["type"] == "hash", digest).when(s["type"] == "tokenize", F.concat(s["tokenPrefix"], F.substring(digest, 1, 8)))
+    return F.when(s["type"] == "redact", REDACTED).when(s["type"] == "null", F.lit(None).cast("string")).when(is_string & text.isNotNull(), text).otherwise(value)
+
+
+def rules_of_keys(keys: DataFrame, rules: DataFrame) -> DataFrame:
+    """The first rule that selects each of ``keys`` (tenant, service, operation, key; distinct): these columns, rule and strategy; none where no rule does.
+
+    A key can be meant by itself, by each of its dotted suffixes or by any path, in its service and operation or in any: a few rows, which meet the rules
+    by equal columns. Patterns are tried only on what has met. One that does not compile selects nothing. The plan is the same for any number of rules."""
+    parts = F.split("key", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    anyone = lambda c: F.array_distinct(F.array(F.col(c), F.lit(_ANY)))
+    k = keys.withColumn("path", F.explode(F.array_distinct(F.concat(suffixes, F.array(F.lit(_ANY))))))
+    k = k.withColumn("of_service", F.explode(anyone("service"))).withColumn("of_operation", F.explode(anyone("operation")))
+    r = rules.withColumnsRenamed({"service": "of_service", "operation": "of_operation"}).withColumn("patterns", F.transform("patterns", compiles))
+    hit = (F.size("patterns") == 0) | F.exists("patterns", lambda p: F.coalesce(F.regexp_like(F.col("key"), p), F.lit(False)))
+    found = k.join(r, ["tenant", "of_service", "of_operation", "path"]).where(hit)
+    return found.groupBy("tenant", "service", "operation", "key").agg(F.min_by(F.struct("rule", "strategy"), "rule").alias("r")).select("tenant", "service", "operation", "key", "r.*")
+
+
+def apply_rules(attributes: DataFrame, rules: DataFrame) -> DataFrame:
+    """:func:`apply` by a table of rules (RULES) of many tenants: ``attributes`` (tenant, service, operation, key, value, is_string, ...) with ``rule`` and ``masked``.
+
+    Rules are found once for each distinct key, not for each attribute."""
+    by = ["tenant", "service", "operation", "key"]
+    found = rules_of_keys(attributes.select(*by).distinct(), rules)
+    same = [attributes[c].eqNullSafe(found[c]) for c in by]
+    j = attributes.join(found, same, "left").select(attributes["*"], F.coalesce(found["rule"], F.lit(-1)).alias("rule"), found["strategy"].alias("_strategy"))
+    out = F.when(F.col("rule") >= 0, masked_by(F.col("value"), F.col("is_string"), F.col("_strategy"))).otherwise(F.col("value"))
+    return j.withColumn("masked", out).drop("_strategy")
+
+
 def apply_to_spans(spans: DataFrame, policy: dict[str, Any], tag_policy: str = "match_all") -> DataFrame:
     """Spans with ``attributes`` (map of string to VARIANT) masked in place: top-level keys only, no shuffle."""
     rules = compiled(policy, tag_policy)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanflow.functions.scalars import normalize, overlaps, split_call
-from spanflow.operators import callgraph
+from spanflow.operators import callgraph, ranges
+from spanflow.operators.steps import checkpointed
 
 #: Messages and names of results.
 MISSING, SEMANTIC, DAG_STEP = "no matching span found in trace", "Semantic validation failed", "DAG Validation"
@@ -25,7 +26,8 @@ def violated(n: Column) -> Column:
     return F.concat(F.lit(VIOLATED[0]), n.cast("string"), F.lit(VIOLATED[1]))
 
 
-def _is_call(call: str) -> Column:
+def is_call(call: str) -> Column:
+    """Whether a span's service and name, normalised, are those of a call."""
     service, operation = split_call(F.lit(call))
     return (normalize(F.col("service")) == normalize(service)) & (normalize(F.col("name")) == normalize(operation))
 
@@ -41,7 +43,7 @@ def time_sequence(spans: DataFrame, steps: list[tuple], carry: tuple[str, ...] =
     s = s.withColumn("at", F.lit(0))
     found = []
     for k, (pos, _, step, call) in enumerate(steps):
-        s = s.withColumn(f"m{k}", F.min(F.when(_is_call(call) & (F.col("idx") > F.col("at")), F.col("idx"))).over(whole))
+        s = s.withColumn(f"m{k}", F.min(F.when(is_call(call) & (F.col("idx") > F.col("at")), F.col("idx"))).over(whole))
         s = s.withColumn(f"at{k}", F.col("at")).withColumn("at", F.coalesce(f"m{k}", "at"))
         note = F.when(F.max(f"m{k}") > F.max(f"at{k}") + 1, skipped(F.max(f"m{k}"))).otherwise("")
         found.append(
@@ -56,13 +58,32 @@ def time_sequence(spans: DataFrame, steps: list[tuple], carry: tuple[str, ...] =
     return s.groupBy("trace_id").agg(F.array(*found).alias("r")).select("trace_id", F.inline("r"))
 
 
+def time_sequence_large(spans: DataFrame, steps: list[tuple], carry: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`time_sequence` for traces too large for one task: spans are numbered in ranges, and each step is one aggregation
+    with partial results, whose outcome goes back to the ranges. A written table of a row a trace a step."""
+    order = ["start_ns", "ordinal"]
+    s = ranges.ranged(spans.select("trace_id", "span_id", *order, "service", "name", *carry), order)
+    s = checkpointed(ranges.numbered(s, order))
+    at, found = s.select("trace_id").distinct().withColumn("at", F.lit(0)), None
+    for pos, _, step, call in steps:
+        m = s.where(is_call(call)).join(ranges.per_range(s, at), ["trace_id", "range"]).where(F.col("idx") > F.col("at"))
+        m = m.groupBy("trace_id").agg(F.min_by(F.struct(F.col("idx").alias("matched"), "span_id", *carry), "idx").alias("m"))
+        now = checkpointed(at.join(m, "trace_id", "left").select("trace_id", "at", "m.*"))
+        note = F.when(F.col("matched").isNull(), MISSING).when(F.col("matched") > F.col("at") + 1, skipped(F.col("matched"))).otherwise("")
+        status = F.when(F.col("matched").isNull(), "FAIL").otherwise("PASS")
+        one = now.select("trace_id", F.lit(pos).alias("pos"), F.lit(step).alias("step"), F.lit(call).alias("call"), "matched", "span_id", status.alias("status"), note.alias("note"), *carry)
+        found = one if found is None else found.unionByName(one)
+        at = now.select("trace_id", F.coalesce("matched", "at").alias("at"))
+    return found
+
+
 def step_presence(spans: DataFrame, steps: list[tuple], carry: tuple[str, ...] = ()) -> DataFrame:
     """Matching in any order, a span may serve several steps: (trace_id, pos, grp, step, call, status, span_id, ...).
 
     The earliest matching span is taken. One aggregation by trace with partial results per task."""
     found = []
     for pos, grp, step, call in steps:
-        first = F.min_by(F.struct("start_ns", "ordinal", "span_id", "end_ns", "parent_span_id", *carry), F.when(_is_call(call), F.struct("start_ns", "ordinal")))
+        first = F.min_by(F.struct("start_ns", "ordinal", "span_id", "end_ns", "parent_span_id", *carry), F.when(is_call(call), F.struct("start_ns", "ordinal")))
         found.append(F.struct(F.lit(pos).alias("pos"), F.lit(grp).cast("string").alias("grp"), F.lit(step).alias("step"), F.lit(call).alias("call"), first.alias("m")))
     r = spans.groupBy("trace_id").agg(F.array(*found).alias("r")).select("trace_id", F.inline("r"))
     return r.select("trace_id", "pos", "grp", "step", "call", F.when(F.col("m").isNull(), "FAIL").otherwise("PASS").alias("status"), "m.span_id", "m.start_ns", "m.end_ns", "m.parent_span_id", "m.ordinal", *[f"m.{c}" for c in carry])

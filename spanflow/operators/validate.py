@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from spanflow.functions.scalars import normalize, overlaps, split_call
 from spanflow.operators import callgraph, conditions, graph, match
+from spanflow.operators.steps import checkpointed
 
 _SPAN = ["span_id", "start_ns", "end_ns", "parent_span_id", "ordinal", "service", "name", "attributes"]
 
@@ -112,12 +113,12 @@ def dag_rows(spans: DataFrame, pairs: DataFrame, tolerance_ms: int = 50) -> Data
 def validate(spans: DataFrame, contracts: dict[str, DataFrame], pairs: DataFrame, mode: str = "temporal", tolerance_ms: int = 50) -> tuple[DataFrame, DataFrame]:
     """Steps and condition results of all ``pairs``, each by its route. A step whose conditions fail has status FAIL; ``found`` says whether
     it would have passed without them, which is what counts for the verdict of pairs that go by time."""
-    way = callgraph.checkpointed(routes(spans, pairs, contracts))
+    way = checkpointed(routes(spans, pairs, contracts))
     on = {k: way.where(F.col("route") == k) for k in ("time", "causality", "graph")}
     # Written once, as conditions and steps both read them.
-    time = callgraph.checkpointed(by_time(spans, on["time"], contracts["steps"]))
-    cause = callgraph.checkpointed(by_causality(spans, on["causality"], contracts["steps"]))
-    dag = callgraph.checkpointed(by_graph(spans, on["graph"], contracts["nodes"], contracts["edges"], mode))
+    time = checkpointed(by_time(spans, on["time"], contracts["steps"]))
+    cause = checkpointed(by_causality(spans, on["causality"], contracts["steps"]))
+    dag = checkpointed(by_graph(spans, on["graph"], contracts["nodes"], contracts["edges"], mode))
     at = ["trace_id", "flow_id", "pos", F.lit(None).cast("int").alias("group_pos"), "step", "call"]
     hit = [time.where("span_id IS NOT NULL").select(*at, *_SPAN[1:3], *_SPAN[5:]), dag.where("status = 'PASS'").select(*at, *_SPAN[1:3], *_SPAN[5:])]
     hit.append(cause.where("status = 'PASS'").select("trace_id", "flow_id", "pos", "group_pos", "step", "call", *[f"seen.{c}" for c in (*_SPAN[1:3], *_SPAN[5:])]))

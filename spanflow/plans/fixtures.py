@@ -94,6 +94,18 @@ O AS (SELECT CAST(o_custkey AS VARCHAR) trace_id, CAST(o_orderkey AS VARCHAR) sp
              epoch_us(o_orderdate) * 1000 start_ns, epoch_us(o_orderdate) * 1000 + CAST(round(o_totalprice) AS BIGINT) * 1000000000 end_ns, CAST(NULL AS VARCHAR) parent_span_id FROM orders)"""
 
 
+def hot_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order spans, a third of them in one trace."""
+    return order_spans(spark, sf_dir).withColumn("trace_id", F.when(F.col("ordinal") % 3 == 0, "hot").otherwise(F.col("trace_id")))
+
+
+HOT_SPANS = (
+    ORDER_SPANS
+    + """,
+E AS (SELECT * EXCLUDE (trace_id), CASE WHEN ordinal % 3 = 0 THEN 'hot' ELSE trace_id END trace_id FROM O)"""
+)
+
+
 def with_attributes(spans: DataFrame) -> DataFrame:
     """Adds ``attributes`` (map of VARIANT) to event spans: response.status where known, and response.body."""
     status = F.when(F.col("status").isNotNull(), F.create_map(F.lit("response.status"), F.col("status").cast("int").cast("variant")))

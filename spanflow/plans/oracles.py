@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanflow.plans.fixtures import CATALOG, CUSTOMER_ATTRIBUTES, CYCLIC_SPANS, EVENT_SPANS, F1, ORDER_SPANS
+from spanflow.plans.fixtures import CATALOG, CUSTOMER_ATTRIBUTES, CYCLIC_SPANS, EVENT_SPANS, F1, HOT_SPANS, ORDER_SPANS
 
 _E, _O, _K, _A = f"WITH {EVENT_SPANS}", f"WITH {ORDER_SPANS}", f"WITH RECURSIVE {CATALOG}", f"WITH {CUSTOMER_ATTRIBUTES}"
 
@@ -232,7 +232,7 @@ SELECT R.trace_id, pos, R.step, coalesce(n, 0) conditions, coalesce(p, 0) condit
 SELECT trace_id, ok, sr >= 0.6 AND cr >= 0.5 gate_passed, CASE WHEN NOT ok THEN 3 WHEN NOT (sr >= 0.6 AND cr >= 0.5) THEN 4 ELSE 0 END verdict FROM F JOIN G USING (trace_id)""",
     "trace_duration": f"{_O} SELECT trace_id, count(*) spans, max(end_ns) - min(start_ns) duration_ns FROM O GROUP BY 1",
     "trace_timeline": f"""{_E}, T AS (SELECT *, min(start_ns) OVER w t0, max(end_ns) OVER w t1 FROM E WINDOW w AS (PARTITION BY trace_id))
-SELECT trace_id, span_id, round((start_ns - t0) * 100 / CAST(t1 - t0 AS DOUBLE), 6) left_pct, greatest(round((end_ns - start_ns) * 100 / CAST(t1 - t0 AS DOUBLE), 6), 0.5) width_pct FROM T WHERE t1 > t0""",
+SELECT trace_id, span_id, round(CAST(start_ns - t0 AS DOUBLE) * 100 / CAST(t1 - t0 AS DOUBLE), 6) left_pct, greatest(round(CAST(end_ns - start_ns AS DOUBLE) * 100 / CAST(t1 - t0 AS DOUBLE), 6), 0.5) width_pct FROM T WHERE t1 > t0""",
     "span_stats_by_service": f"{_O} SELECT coalesce(nullif(service, ''), 'unknown-service') service, count(*) spans FROM O GROUP BY 1",
     "span_stats_by_operation": f"{_O} SELECT name operation, count(*) spans FROM O GROUP BY 1",
     "discover_operations": f"{_O} SELECT service, lower(name) operation, count(*) spans FROM O WHERE service <> '' AND name <> '' GROUP BY 1, 2",
@@ -318,3 +318,18 @@ SELECT p_partkey, CASE kind WHEN 0 THEN 'getV1PartsByPart_id' || b WHEN 1 THEN '
 }
 ORACLES["stored_graph_validation"] = ORACLES["graph_validation"]
 ORACLES["stored_causality_validation"] = ORACLES["causality_validation"]
+
+_H, _CALLS = f"WITH {HOT_SPANS}", [("1-URGENT", "F"), ("2-HIGH", "O"), ("3-MEDIUM", "nowhere"), ("1-URGENT", "P"), ("5-LOW", "F")]
+ORACLES["large_trace_timeline"] = ORACLES["trace_timeline"].replace(_E, _H)
+ORACLES["large_trace_edges"] = ORACLES["temporal_edges"].replace(_E, _H)
+ORACLES["large_trace_steps"] = (
+    _H + ", I AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_ns, ordinal) idx FROM E), M0 AS (SELECT DISTINCT trace_id, CAST(NULL AS BIGINT) m, 0 since FROM E)"
+    + "".join(f", M{k + 1} AS (SELECT I.trace_id, min(idx) FILTER (service = '{s}' AND name = '{o}' AND idx > coalesce(m, since)) m, any_value(coalesce(m, since)) since FROM I JOIN M{k} USING (trace_id) GROUP BY 1)" for k, (s, o) in enumerate(_CALLS))
+    + ", S AS (" + " UNION ALL ".join(f"SELECT trace_id, {k} pos, 's{k}' step, m, since FROM M{k + 1}" for k in range(len(_CALLS)))
+    + """) SELECT S.trace_id, pos, step, CASE WHEN m IS NULL THEN 'FAIL' ELSE 'PASS' END status, span_id, CASE WHEN m IS NULL THEN 'no matching span found in trace' WHEN m > since + 1
+  THEN 'matched span #' || m || ' by time sequence (intermediate spans exist)' ELSE '' END note FROM S LEFT JOIN I ON S.trace_id = I.trace_id AND S.m = I.idx"""
+)
+
+_DEFAULT = "CASE WHEN regexp_matches(key, '(?i)email') THEN 0 WHEN regexp_matches(key, '(?i)phone|(?i)mobile|(?i)tel') THEN 1 WHEN regexp_matches(key, '(?i)id$') THEN 2 ELSE -1 END"
+_MASKS = f"CASE {_DEFAULT} WHEN 0 THEN {_PREFIX2} WHEN 1 THEN '***REDACTED***' WHEN 2 THEN sha256(value || 'default-salt') ELSE value END"
+ORACLES["mask_apply_rules"] = f"{_A} SELECT ordinal, key, CASE WHEN ordinal % 2 = 0 THEN {_RULE} ELSE {_DEFAULT} END AS rule, CASE WHEN ordinal % 2 = 0 THEN {_POLICY} ELSE {_MASKS} END AS masked FROM A"

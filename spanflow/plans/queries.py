@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from spanflow.functions import scalars
 from spanflow.operators import callgraph, conditions, discover, gate, graph, lint, mask, match, report, validate
+from spanflow.operators.steps import shared_dir
 from spanflow.plans import fixtures as fx
 from spanflow.plans.oracles import ORACLES
 from spanflow.sources import store
@@ -133,6 +134,25 @@ def call_graph_topo_levels(spark: SparkSession, d: str) -> DataFrame:
     return callgraph.call_levels(_nodes(spark, d)).select("trace_id", "span_id", "level")
 
 
+# Traces too large for one task
+
+
+@query
+def large_trace_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return report.timeline(fx.hot_spans(spark, d), large=True)
+
+
+@query
+def large_trace_edges(spark: SparkSession, d: str) -> DataFrame:
+    return callgraph.temporal_edges(callgraph.call_nodes(fx.hot_spans(spark, d)), large=True).select("trace_id", "from_id", "to_id", "relationship")
+
+
+@query
+def large_trace_steps(spark: SparkSession, d: str) -> DataFrame:
+    flow = [(k, None, f"s{k}", call) for k, call in enumerate(["1-URGENT.F", "2-HIGH.O", "3-MEDIUM.nowhere", "1-URGENT.P", "5-LOW.F"])]
+    return match.time_sequence_large(fx.hot_spans(spark, d), flow).select("trace_id", "pos", "step", "status", "span_id", "note")
+
+
 # Contract graphs against traces
 
 
@@ -172,7 +192,7 @@ def _graph_steps(spans: DataFrame) -> DataFrame:
 def _stored(spark: SparkSession, d: str) -> DataFrame:
     """Event spans, saved to a store bucketed by trace and read from it."""
     name = f"spanflow_spans_{uuid.uuid4().hex}"
-    store.save_spans(fx.with_attributes(fx.event_spans(spark, d)), name, callgraph.shared_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    store.save_spans(fx.with_attributes(fx.event_spans(spark, d)), name, shared_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
     return store.load_spans(spark, name, attributes=True)
 
 
@@ -623,6 +643,15 @@ def mask_apply(spark: SparkSession, d: str) -> DataFrame:
     return mask.apply(fx.customer_attributes(spark, d), POLICY).select("ordinal", "key", "masked")
 
 
+@query
+def mask_apply_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Two tenants' policies as a table, among the rules of three thousand others."""
+    other = {f"t{k}": {"version": 1, "rules": [{"match": {"service": "crm", "paths": ["segment"]}, "strategy": {"type": "redact"}}]} for k in range(3000)}
+    rules = spark.createDataFrame(mask.rule_rows({"even": POLICY, "odd": mask.DEFAULT_POLICY} | other), mask.RULES)
+    a = fx.customer_attributes(spark, d).withColumn("tenant", F.when(F.col("ordinal") % 2 == 0, "even").otherwise("odd"))
+    return mask.apply_rules(a, rules).select("ordinal", "key", "rule", "masked")
+
+
 @query
 def mask_default_policy(spark: SparkSession, d: str) -> DataFrame:
     return mask.apply(fx.customer_attributes(spark, d), mask.DEFAULT_POLICY).select("ordinal", "key", "masked")

@@ -34,23 +34,26 @@ def json_report(steps: DataFrame, conditions: DataFrame, coverage: DataFrame, ga
     s.join(summary, "trace_id", "left").join(checked, "trace_id", "left").write.mode("overwrite").json(path)
 
 
-def junit_report(steps: DataFrame, path: str, suite: str = "testsuite", conditions: DataFrame | None = None, coverage: DataFrame | None = None) -> None:
-    """Test cases as XML: one element a step, with a failure where it failed, its conditions as text, and at the first step of a trace the
-    numbers of its coverage as properties. Escaping is the writer's."""
+def junit_report(steps: DataFrame, path: str, suite: str = "testsuites", conditions: DataFrame | None = None, coverage: DataFrame | None = None) -> None:
+    """Test results as XML: a suite a trace, with the numbers of its tests, failures and skipped ones, and those of its coverage as properties; in it a test case a step,
+    with a failure where it failed and its conditions as text. A suite is as long as a contract. Escaping is the writer's."""
     note = F.col("note") if "note" in steps.columns else F.lit("")
-    cases = steps.withColumns({"details": F.lit(None).cast("string"), "properties": F.lit(None).cast("string")})
+    cases = steps.withColumn("details", F.lit(None).cast("string"))
     if conditions is not None:
         line = F.concat(F.lit("["), "result", F.lit("] "), "kind", F.lit(" "), "condition")
         lines = conditions.groupBy("trace_id", "step").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("details"))  # of one step
         cases = cases.drop("details").join(lines, ["trace_id", "step"], "left")
-    if coverage is not None:
-        names = [c for c in coverage.columns if c != "trace_id"]
-        numbers = F.struct(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("string").alias("_value")) for c in names]).alias("property"))
-        first = steps.groupBy("trace_id").agg(F.min("pos").alias("pos")).join(coverage.select("trace_id", numbers.alias("properties")), "trace_id")
-        cases = cases.drop("properties").join(first, ["trace_id", "pos"], "left")
     failure = F.when(F.col("status") == "FAIL", F.struct(note.alias("_message"), F.col("call").alias("_VALUE")))
-    cases = cases.select(F.col("trace_id").alias("_classname"), F.col("step").alias("_name"), "properties", failure.alias("failure"), F.when(F.col("status") == "SKIP", F.lit("")).alias("skipped"), F.col("details").alias("system-out"))
-    cases.write.format("xml").option("rootTag", suite).option("rowTag", "testcase").mode("overwrite").save(path)
+    case = F.struct(F.col("pos"), F.col("step"), F.struct(F.col("trace_id").alias("_classname"), F.col("step").alias("_name"), failure.alias("failure"), F.when(F.col("status") == "SKIP", F.lit("")).alias("skipped"), F.col("details").alias("system-out")).alias("case"))
+    of = lambda status: F.count_if(F.col("status") == status)
+    suites = cases.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_tests"), of("FAIL").alias("_failures"), of("SKIP").alias("_skipped"), F.array_sort(F.collect_list(case)).alias("cases"))
+    columns = [F.col("trace_id").alias("_name"), "_tests", "_failures", F.lit(0).alias("_errors"), "_skipped"]
+    if coverage is not None:
+        numbers = [F.struct(F.lit(c).alias("_name"), F.col(c).cast("string").alias("_value")) for c in coverage.columns if c != "trace_id"]
+        suites = suites.join(coverage.select("trace_id", F.struct(F.array(*numbers).alias("property")).alias("properties")), "trace_id", "left")
+        columns.append("properties")
+    suites = suites.select(*columns, F.transform("cases", lambda c: c["case"]).alias("testcase"))
+    suites.write.format("xml").option("rootTag", suite).option("rowTag", "testsuite").mode("overwrite").save(path)
 
 
 def discovered_contracts(flow_steps: DataFrame, conditions: DataFrame, path: str) -> None:

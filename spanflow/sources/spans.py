@@ -52,11 +52,43 @@ def attribute_map(attrs: Column) -> Column:
 
 def read_otlp(spark: SparkSession, path: str) -> DataFrame:
     """OTLP JSON as the same columns as :func:`read_spans`; trace_id is the OTLP trace id, or the file. A time that is no number is an
-    error. Ids and status go into the attributes as otlp.*, and response.status is the HTTP status or what an OK status lets expect."""
-    raw = spark.read.schema(OTLP).json(path, multiLine=True)
-    r = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode("resourceSpans").alias("p1", "r"))
-    r = r.select("file", "p1", attribute_map(F.col("r.resource.attributes")).alias("resource"), F.posexplode("r.scopeSpans").alias("p2", "c"))
-    s = r.select("file", "p1", "p2", "resource", F.posexplode("c.spans").alias("p3", "s")).withColumn("a", attribute_map(F.col("s.attributes")))
+    error; :func:`read_otlp_lenient` sets such spans apart. Ids and status go into the attributes as otlp.*, and response.status is the HTTP status or what an OK status lets expect."""
+    raw = spark.read.schema(OTLP).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file"), F.lit("").alias("record"), "resourceSpans")
+    s = _spans_of(raw)
+    start, end = (F.col(c).cast("bigint").alias(n) for c, n in _TIMES)
+    return s.withColumns({"start_ns": start, "end_ns": end}).select(*_READ)
+
+
+_TIMES = [("start_text", "start_ns"), ("end_text", "end_ns")]
+_READ = ["trace_id", "ordinal", "span_id", "parent_span_id", "name", "service", "start_ns", "end_ns", "attributes"]
+
+
+def read_otlp_lenient(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Spans as :func:`read_otlp`, and a table of what could not be read: file, record, position, reason; nothing stops the read of the rest.
+
+    ``lines``: every line is an OTLP object of its own, and large files are read in splits; ``record`` is then the line's hash, and a trace
+    without an id is the line's. A record that is no such JSON is one reject (position null); a span with a time that is no number or with none is one by
+    its place in the record (resource, scope, span, from 0)."""
+    if lines:
+        # The line itself is kept, so that its hash can name it; blank lines are none.
+        text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+        raw = text.select("file", F.hex(F.xxhash64("value")).alias("record"), F.from_json("value", f"{OTLP}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("j"))
+        raw = raw.select("file", "record", "j.*")
+    else:
+        raw = spark.read.schema(f"{OTLP}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file"), F.lit("").alias("record"), "resourceSpans", "_broken")
+    broken = F.col("_broken").isNotNull()
+    records = raw.select("file", "record", F.lit(None).cast("string").alias("position"), F.when(broken, "no OTLP JSON").when(F.coalesce(F.size("resourceSpans"), F.lit(0)) <= 0, "no resourceSpans").alias("reason")).where("reason IS NOT NULL")
+    s = _spans_of(raw.where(~broken)).withColumns({n: F.col(c).try_cast("bigint") for c, n in _TIMES})
+    reason = F.concat_ws(", ", *[F.when(F.col(n).isNull(), F.concat(F.lit(f"{n}: "), F.coalesce(c, F.lit("none")))) for c, n in _TIMES])
+    bad = s.select("file", "record", F.concat_ws(".", "p1", "p2", "p3").alias("position"), reason.alias("reason")).where("reason <> ''")
+    return s.where("start_ns IS NOT NULL AND end_ns IS NOT NULL").select(*_READ), records.unionByName(bad)
+
+
+def _spans_of(raw: DataFrame) -> DataFrame:
+    """Spans of OTLP objects (file, record, resourceSpans), with times as text and their places."""
+    r = raw.select("file", "record", F.posexplode("resourceSpans").alias("p1", "r"))
+    r = r.select("file", "record", "p1", attribute_map(F.col("r.resource.attributes")).alias("resource"), F.posexplode("r.scopeSpans").alias("p2", "c"))
+    s = r.select("file", "record", "p1", "p2", "resource", F.posexplode("c.spans").alias("p3", "s")).withColumn("a", attribute_map(F.col("s.attributes")))
     get = lambda m, key: F.get(F.map_values(F.map_filter(m, lambda k, _: k == key)), F.lit(0))
     service = lambda m: F.when(F.schema_of_variant(get(m, "service.name")) == "STRING", F.try_variant_get(get(m, "service.name"), "$", "string"))
     status = F.coalesce(get("a", "http.status_code"), inferred_status(F.lit(None).cast("int"), F.col("s.status.code"), F.col("s.name")).cast("variant"))
@@ -65,13 +97,14 @@ def read_otlp(spark: SparkSession, path: str) -> DataFrame:
     names = F.transform(entries, lambda e: e["key"])
     attributes = F.map_concat(F.map_filter("a", lambda k, _: ~F.array_contains(names, k)), F.map_from_entries(entries))
     order = F.struct("p1", "p2", "p3")
-    s = s.withColumn("attributes", attributes).withColumn("ordinal", F.row_number().over(Window.partitionBy("file").orderBy(order)).cast("bigint") - 1)
+    s = s.withColumn("attributes", attributes).withColumn("ordinal", F.row_number().over(Window.partitionBy("file", "record").orderBy(order)).cast("bigint") - 1)
     name = F.coalesce(F.nullif(F.coalesce(service(F.col("a")), service(F.col("resource"))), F.lit("")), F.lit("unknown-service"))
-    start, end = F.col("s.startTimeUnixNano").cast("bigint"), F.col("s.endTimeUnixNano").cast("bigint")
-    own = F.coalesce(F.nullif("s.spanId", F.lit("")), F.concat_ws(":", name, "s.name", start.cast("string")))
+    start = F.col("s.startTimeUnixNano")
+    own = F.coalesce(F.nullif("s.spanId", F.lit("")), F.concat_ws(":", name, "s.name", start))
+    trace = F.coalesce(F.nullif("s.traceId", F.lit("")), F.concat_ws("#", "file", F.nullif("record", F.lit(""))))
     return s.select(
-        F.coalesce(F.nullif("s.traceId", F.lit("")), F.col("file")).alias("trace_id"), "ordinal", own.alias("span_id"), F.nullif("s.parentSpanId", F.lit("")).alias("parent_span_id"),
-        F.col("s.name").alias("name"), name.alias("service"), start.alias("start_ns"), end.alias("end_ns"), "attributes",
+        "file", "record", "p1", "p2", "p3", trace.alias("trace_id"), "ordinal", own.alias("span_id"), F.nullif("s.parentSpanId", F.lit("")).alias("parent_span_id"),
+        F.col("s.name").alias("name"), name.alias("service"), start.alias("start_text"), F.col("s.endTimeUnixNano").alias("end_text"), "attributes",
     )
 
 

@@ -10,10 +10,13 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 
 def closed_traces(spans: DataFrame, gap: str = "5 minutes", late: str = "10 minutes", time_col: str = "ts") -> DataFrame:
-    """A stream of spans (with an event time) to one row per finished session of a trace: trace_id, session, spans (by start and ordinal)."""
-    row = F.struct(*[c for c in ("start_ns", "ordinal", "span_id", "parent_span_id", "service", "name", "end_ns", "k", "status") if c in spans.columns])
+    """A stream of spans (with an event time) to one row per finished session of a trace: trace_id, session, spans (by start and ordinal, with all their columns).
+
+    All spans of a trace are kept until it closes; where only a contract's steps are asked for, :func:`spanflow.streaming.matching.match_stream` keeps less."""
+    row = F.struct(*[c for c in spans.columns if c not in ("trace_id", time_col)])
     s = spans.withWatermark(time_col, late).groupBy("trace_id", F.session_window(time_col, gap).alias("session")).agg(F.collect_list(row).alias("spans"))
-    return s.select("trace_id", "session", F.array_sort("spans").alias("spans"))
+    key = lambda x: F.struct(x["start_ns"], x["ordinal"])
+    return s.select("trace_id", "session", F.array_sort("spans", lambda x, y: F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0)).alias("spans"))
 
 
 def validate_stream(spans: DataFrame, validate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, gap: str = "5 minutes", late: str = "10 minutes", **trigger: object) -> StreamingQuery:

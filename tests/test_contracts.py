@@ -4,9 +4,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from test_operators import SF, SPAN, spans
 
-from spanflow.operators import callgraph, conditions, contractgraph, graph, lint, match, validate
+from spanflow.operators import callgraph, conditions, contractgraph, graph, lint, mask, match, ranges, report, validate
 from spanflow.plans import fixtures
 from spanflow.plans.queries import QUERIES
 from spanflow.sources import store
@@ -189,3 +190,63 @@ def test_cycles_are_looked_for_where_they_can_be(spark, monkeypatch):
     n = callgraph.call_nodes(spark.createDataFrame(rows, SPAN))
     got = callgraph.edge_violations(n, callgraph.call_edges(n)).where("type = 'cycle'").collect()
     assert [(r["trace_id"], r["from_id"], r["to_id"]) for r in got] == [("t", "b", "a")] and looked == [2]
+
+
+def test_a_large_trace_is_many_ranges(spark):
+    """Two million spans of one trace among small ones: no range much above the others."""
+    n = 2_000_000
+    s = spark.range(n + 60_000).select(F.when(F.col("id") < n, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 3000).cast("string"))).alias("trace_id"), (F.col("id") * 7919 % 1_000_003).alias("start_ns"), F.col("id").alias("ordinal"))
+    r = ranges.ranged(s, ["start_ns", "ordinal"], 200_000)
+    sizes = sorted(x["count"] for x in r.groupBy("range").count().collect())
+    assert len(sizes) >= 10 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    hot = ranges.numbered(r, ["start_ns", "ordinal"]).where("trace_id = 'hot'")
+    assert tuple(hot.agg(F.count(F.lit(1)), F.min("idx"), F.max("idx"), F.count_distinct("idx")).first()) == (n, 1, n, n)
+    wrong = hot.select("idx", F.struct("start_ns", "ordinal").alias("at")).repartitionByRange(8, "idx").sortWithinPartitions("idx")
+    wrong = wrong.withColumn("before", F.lag("at").over(Window.partitionBy((F.col("idx") / 1000).cast("int")).orderBy("idx")))
+    assert wrong.where("before >= at").count() == 0
+
+
+@pytest.mark.parametrize("rows", [1, 7, 10**6])
+def test_ranges_give_what_a_window_gives(spark, monkeypatch, rows):
+    real = ranges.ranged
+    monkeypatch.setattr(ranges, "ranged", lambda s, order, _=0: real(s, order, rows))
+    r = random.Random(rows)
+    data = [(str(k), str(r.randrange(60)) if r.random() < 0.5 else None, r.choice("AB"), "x", r.randrange(30), r.randrange(20, 60)) for k in range(60)]
+    s = spans(spark, data).union(spans(spark, data[:3]).withColumn("trace_id", F.lit("u")))
+    n = callgraph.call_nodes(s)
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.select(*a.columns).collect()), key=str)
+    assert same(callgraph.call_edges(n), callgraph.call_edges(n, large=True))
+    assert same(report.timeline(s), report.timeline(s, large=True))
+    flow = [(0, None, "a", "A.x"), (1, None, "b", "B.x"), (2, None, "none", "C.x"), (3, None, "c", "A.x"), (4, None, "d", "A.x")]
+    assert same(match.time_sequence(s, flow, ("end_ns",)), match.time_sequence_large(s, flow, ("end_ns",)))
+
+
+def attributes(spark):
+    rows = [(t, s, o, k, v, is_string) for t in ("a", "b", None) for s in ("crm", "shop") for o in ("get", "put") for k, v, is_string in (("user.email", "jo@x.org", True), ("email", "ann@x.org", True), ("id", "7", False), ("order.customer.id", "c1", True), ("note", None, True), ("k1234", "v", True))]
+    return spark.createDataFrame(rows, "tenant string, service string, operation string, key string, value string, is_string boolean")
+
+
+def test_rules_as_tables_are_the_chain(spark):
+    prefix, hashed, token = {"type": "keep-prefix", "prefixLen": 2, "mask": "#"}, {"type": "hash", "salt": "s"}, {"type": "tokenize", "tokenPrefix": "p_"}
+    policy = {"version": 1, "rules": [
+        {"match": {"service": "crm", "operation": "get", "paths": ["customer.id", "nothing"]}, "strategy": hashed}, {"match": {"paths": ["email"], "regexKeys": ["^user"]}, "strategy": prefix}, {"match": {"service": "shop", "regexKeys": ["(?i)EMAIL", "id$"]}, "strategy": token},
+        {"match": {"operation": "put", "tag": "pii"}, "strategy": {"type": "null"}}, {"match": {"regexKeys": ["note"]}, "strategy": {"type": "redact"}},
+    ]}
+    table = spark.createDataFrame(mask.rule_rows({"a": policy, "b": {"version": 1, "rules": policy["rules"][::-1]}}), mask.RULES)
+    a = attributes(spark)
+    got = {tuple(r[:4]): (r["rule"], r["masked"]) for r in mask.apply_rules(a, table).collect()}
+    for tenant, p in (("a", policy), ("b", {"version": 1, "rules": policy["rules"][::-1]})):
+        want = {tuple(r[:4]): (r["rule"], r["masked"]) for r in mask.apply(a.where(F.col("tenant") == tenant), p).collect()}
+        assert {k: v for k, v in got.items() if k[0] == tenant} == want
+    assert all(v[0] == -1 for k, v in got.items() if k[0] is None) and len(got) == a.count()
+
+
+def test_the_plan_does_not_grow_with_the_rules(spark):
+    a = attributes(spark)
+    many = {"version": 1, "rules": [{"match": {"paths": [f"k{k}"]}, "strategy": {"type": "redact"}} for k in range(5000)] + [{"match": {"regexKeys": ["^no"]}, "strategy": {"type": "redact"}}]}
+    size = lambda p: len(mask.apply_rules(a, spark.createDataFrame(mask.rule_rows({"a": p}), mask.RULES))._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(many) - size({"version": 1, "rules": many["rules"][:1]})) < 100
+    got = mask.apply_rules(a, spark.createDataFrame(mask.rule_rows({"a": many}), mask.RULES)).where("rule >= 0").select("tenant", "key", "rule").distinct().collect()
+    assert sorted(map(tuple, got)) == [("a", "k1234", 1234), ("a", "note", 5000)]
+    bad = spark.createDataFrame([("a", 0, "*", "*", "*", ["["], ("redact", None, None, "", None)), ("a", 1, "*", "*", "note", [], ("redact", None, None, "", None))], mask.RULES)
+    assert {r["rule"] for r in mask.apply_rules(a, bad).collect()} == {-1, 1}

@@ -1,14 +1,16 @@
 """Readers, writers and the streaming extension."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from spanflow.operators import gate, graph, match, validate
+from spanflow.operators import conditions, gate, graph, match, validate
 from spanflow.plans import fixtures as fx
 from spanflow.plans.queries import QUERIES
 from spanflow.sources import contracts, sinks, spans
+from spanflow.streaming.matching import match_stream, taken
 from spanflow.streaming.sessions import validate_stream
 
 
@@ -44,6 +46,30 @@ def test_otlp_bad_time(spark, tmp_path):
         spans.read_otlp(spark, otlp(tmp_path, lambda attr: [{"spanId": "1", "name": "x", "startTimeUnixNano": "soon", "endTimeUnixNano": "9"}])).collect()
 
 
+@pytest.mark.parametrize("lines", [False, True])
+def test_otlp_rejects(spark, tmp_path, lines):
+    """Bad times, broken records and empty ones beside good ones: good spans are read, the others are listed."""
+    span = lambda i, start, end="9": {"traceId": "t", "spanId": i, "name": "x", "startTimeUnixNano": start, "endTimeUnixNano": end}
+    body = lambda *s: {"resourceSpans": [{"scopeSpans": [{"spans": list(s)}]}]}
+    no_time = {"traceId": "t", "spanId": "6", "name": "x", "startTimeUnixNano": "1"}
+    records = [json.dumps(body(span("1", "5"), span("2", "soon"), span("3", "6"))), '{"resourceSpans": [{"scope', json.dumps({"resourceSpans": []}), json.dumps(body(span("4", "7"))), json.dumps(body(no_time, {"name": "own", "startTimeUnixNano": "1", "endTimeUnixNano": "2"}))]
+    if lines:
+        (tmp_path / "all.jsonl").write_text("\n".join([*records[:2], "", *records[2:]]))
+    else:
+        for k, r in enumerate(records):
+            (tmp_path / f"{k}.json").write_text(r)
+    good, bad = spans.read_otlp_lenient(spark, f"{tmp_path}/*.json*", lines)
+    got = good.collect()
+    assert sorted((r["span_id"], r["start_ns"]) for r in got) == [("1", 5), ("3", 6), ("4", 7), ("unknown-service:own:1", 1)]
+    assert sorted((r["position"], r["reason"]) for r in bad.collect() if r["position"]) == [("0.0.0", "end_ns: none"), ("0.0.1", "start_ns: soon")]
+    assert sorted(r["reason"] for r in bad.collect() if not r["position"]) == ["no OTLP JSON", "no resourceSpans"]
+    assert all(bool(r["record"]) == lines and r["file"].startswith("file:") for r in bad.collect())
+    if not lines:
+        strict = {r["file"][-6:]: r["ok"] for r in spans.otlp_check(spark, f"{tmp_path}/*.json").collect()}
+        assert strict == {"0.json": True, "1.json": False, "2.json": False, "3.json": True, "4.json": True}
+        assert {r["file"][-6:] for r in bad.where("position IS NULL").collect()} == {f for f, ok in strict.items() if not ok}
+
+
 def test_contracts(spark, tmp_path):
     (tmp_path / "f.json").write_text(json.dumps({"info": {"title": "T"}, "services": {"a": {"spec": "./s.json"}}, "graph": {"nodes": [{"id": "x", "call": "a.b"}, {"id": "y", "call": "a.c", "depends": ["x"]}]}}))
     (tmp_path / "g.json").write_text(json.dumps({"info": {"title": "T"}, "flow": [{"step": "1", "call": "a.b", "output": {"v": "response.body"}}, {"step": "2", "parallel": [{"step": "p", "call": "a.b"}, {"step": "q", "call": "a.c"}]}]}))
@@ -96,7 +122,13 @@ def test_sinks(spark, tmp_path):
     assert back[0]["_name"] == "a<b" and back[0]["failure"]["_message"] == "no & span"
     sinks.junit_report(steps, f"{tmp_path}/y", conditions=results, coverage=cover)
     back = spark.read.format("xml").option("rowTag", "testcase").load(f"{tmp_path}/y").orderBy("_name").collect()
-    assert back[1]["system-out"] == "[PASS] post ok" and {p["_name"]: p["_value"] for p in back[0]["properties"]["property"]}["steps_fail"] == 1
+    assert back[1]["system-out"] == "[PASS] post ok"
+    more = spark.createDataFrame([("u", 0, "d", "x.z", "SKIP", "")], steps.schema)
+    sinks.junit_report(steps.union(more), f"{tmp_path}/z", conditions=results, coverage=cover)
+    suites = {r["_name"]: r for r in spark.read.format("xml").option("rowTag", "testsuite").load(f"{tmp_path}/z").collect()}
+    assert {k: (r["_tests"], r["_failures"], r["_skipped"], r["_errors"]) for k, r in suites.items()} == {"t": (2, 1, 0, 0), "u": (1, 0, 1, 0)}
+    assert {p["_name"]: p["_value"] for p in suites["t"]["properties"]["property"]}["steps_fail"] == 1
+    assert [c["_name"] for c in suites["t"]["testcase"]] == ["a<b", "c"]
     base = gate.baseline_record(steps.where("status = 'PASS'"), results, "contract", 2)
     sinks.save_baseline(base, f"{tmp_path}/b")
     loaded = sinks.load_baseline(spark, f"{tmp_path}/b")
@@ -126,6 +158,70 @@ def test_stream(spark, tmp_path):
     assert out.select("trace_id").distinct().count() >= 100 and out.where("status = 'PASS'").count() > 0
 
 
+def feed(spark, tmp_path, rows, rules=(), steps=fx.F1, gap="5 minutes", late="10 minutes"):
+    """Runs the stream over files added one after the other, restarting it from its checkpoint each time; the rows of each run."""
+    schema = rows.schema
+    (tmp_path / "in").mkdir(exist_ok=True)
+    source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    out = match_stream(source, list(steps), list(rules), gap, late)
+
+    def run(more):
+        more.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(out.schema).parquet(f"{tmp_path}/out")
+
+    return run
+
+
+def test_stream_matching_is_batch_matching(spark, tmp_path):
+    """State restored from a checkpoint, spans out of order, conditions over attributes; the same rows as the batch."""
+    e = fx.with_attributes(fx.event_spans(spark, "/root/testdata/sf0.001")).withColumn("ts", (F.col("start_ns") / 1e9).cast("timestamp"))
+    e = e.select("trace_id", "span_id", "start_ns", "end_ns", "ordinal", "service", "name", "attributes", "ts").where("hash(trace_id) % 3 = 0")
+    run = feed(spark, tmp_path, e, fx.CONDITIONS, gap="4 days", late="40 days")
+    bounds = [r[0] for r in e.agg(F.percentile_approx("start_ns", [0.4, 0.7]).alias("b")).select(F.explode("b")).collect()]
+    run(e.where(F.col("start_ns") < bounds[0]).orderBy("span_id"))
+    run(e.where((F.col("start_ns") >= bounds[0]) & (F.col("start_ns") < bounds[1])).orderBy(F.desc("start_ns")))
+    run(e.where(F.col("start_ns") >= bounds[1]).orderBy("span_id"))
+    end = lambda t: e.limit(1).withColumns({"ts": F.lit(t).cast("timestamp"), "trace_id": F.lit("end")})
+    run(end("2040-01-01"))
+    got = run(end("2041-01-01")).where("trace_id <> 'end'")
+    want = conditions.with_results(match.time_sequence(e, fx.F1, ("attributes",)), fx.CONDITIONS, F.col("span_id").isNotNull())
+    bad = conditions.failing(F.col("results"))
+    want = want.select("trace_id", "pos", "span_id", F.when(bad, "FAIL").otherwise(F.col("status")).alias("status"), F.when(bad, match.SEMANTIC).otherwise(F.col("note")).alias("note"), F.col("results").alias("conditions"))
+    rows = lambda df: sorted((tuple(r) for r in df.select("trace_id", "pos", "span_id", "status", "note", F.to_json("conditions")).collect()), key=str)
+    assert rows(got) == rows(want) and got.where("status = 'PASS'").count() > 0
+
+
+def test_stream_of_late_spans(spark, tmp_path):
+    base = 1_700_000_000
+    row = lambda t, k, service, at: (t, str(k), (base + at) * 10**9, (base + at) * 10**9 + 1, k, service, "evt", base + at)
+    df = lambda rows: spark.createDataFrame(rows, "trace_id string, span_id string, start_ns long, end_ns long, ordinal long, service string, name string, t long").withColumn("ts", F.col("t").cast("timestamp")).drop("t")
+    run = feed(spark, tmp_path, df([row("a", 1, "signup", 0)]), gap="5 minutes", late="10 minutes")
+    run(df([row("a", 3, "purchase", 60), row("a", 1, "signup", 0), row("b", 9, "view", 0)]))
+    run(df([row("a", 2, "view", 30)]))  # out of order, in time
+    run(df([row("x", 0, "signup", 5000)]))
+    run(df([row("a", 4, "purchase", 70), row("x", 1, "view", 5001)]))  # behind the watermark
+    got = {(r["trace_id"], r["pos"]): (r["status"], r["span_id"]) for r in run(df([row("y", 0, "signup", 90_000)])).where("trace_id IN ('a', 'b')").collect()}
+    assert got == {("a", 0): ("PASS", "1"), ("a", 1): ("PASS", "2"), ("a", 2): ("PASS", "3"), ("b", 0): ("FAIL", None), ("b", 1): ("PASS", "9"), ("b", 2): ("FAIL", None)}
+
+
+def test_stream_state_is_bounded_by_the_contract():
+    """Any order of calls: what is taken one by one is what a search of the whole trace takes, and a span a step is kept."""
+    r = random.Random(2)
+    for _ in range(300):
+        steps, trace = [r.choice("abc") for _ in range(r.randint(1, 5))], [r.choice("abcd") for _ in range(r.randint(0, 12))]
+        state = {"n": 0, "steps": {}}
+        for i, call in enumerate(trace):
+            taken(state, str(i + 1), [k for k, s in enumerate(steps) if s == call], None)
+            assert len(state["steps"]) <= len(steps)
+        at, want = 0, {}
+        for k, s in enumerate(steps):
+            hit = next((i + 1 for i in range(at, len(trace)) if trace[i] == s), None)
+            if hit:
+                want[str(k)], at = (hit, at), hit
+        assert {k: tuple(v[:2]) for k, v in state["steps"].items()} == want
+
+
 def test_entry():
     import __spark_entry__ as entry
 
