@@ -333,3 +333,29 @@ ORACLES["large_trace_steps"] = (
 _DEFAULT = "CASE WHEN regexp_matches(key, '(?i)email') THEN 0 WHEN regexp_matches(key, '(?i)phone|(?i)mobile|(?i)tel') THEN 1 WHEN regexp_matches(key, '(?i)id$') THEN 2 ELSE -1 END"
 _MASKS = f"CASE {_DEFAULT} WHEN 0 THEN {_PREFIX2} WHEN 1 THEN '***REDACTED***' WHEN 2 THEN sha256(value || 'default-salt') ELSE value END"
 ORACLES["mask_apply_rules"] = f"{_A} SELECT ordinal, key, CASE WHEN ordinal % 2 = 0 THEN {_RULE} ELSE {_DEFAULT} END AS rule, CASE WHEN ordinal % 2 = 0 THEN {_POLICY} ELSE {_MASKS} END AS masked FROM A"
+
+# What is written as files and read again.
+_MEANT = "coalesce(nullif(CASE WHEN k % 4 = 0 THEN 'own-' || service WHEN part < 4 THEN 'shop' ELSE '' END, ''), 'unknown-service')"
+_TRACES = f"{_E}, TP AS (SELECT trace_id, min(ordinal) % 6 part FROM E GROUP BY 1), EO AS (SELECT E.*, part, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY start_ns, ordinal) - 1 AS BIGINT) place FROM E JOIN TP USING (trace_id))"
+ORACLES |= {
+    "span_files_read": f"""{_E} SELECT CAST(ordinal % 8 AS INT) part, CAST(row_number() OVER (PARTITION BY ordinal % 8 ORDER BY start_ns, ordinal) - 1 AS BIGINT) ordinal,
+  CASE WHEN k % 3 = 0 THEN span_id ELSE service || ':' || name || ':' || start_ns END span_id, CASE WHEN k % 3 <> 1 THEN parent_span_id END parent_span_id, name, service, start_ns, CASE WHEN k < 90 THEN end_ns ELSE 0 END end_ns, CAST(k AS VARCHAR) k FROM E""",
+    "otlp_spans_read": f"""{_TRACES} SELECT trace_id, place ordinal, span_id, parent_span_id, CASE WHEN k % 2 = 0 THEN 'create ' ELSE 'get ' END || service AS name, {_MEANT} service, start_ns, end_ns,
+  CAST(k / 4 AS VARCHAR) n, CASE WHEN k % 2 = 0 THEN 'true' ELSE '' END flag, '' AS empty, CASE WHEN k % 5 = 0 THEN '4xx' WHEN k % 3 = 1 THEN CASE WHEN k % 2 = 0 THEN '201' ELSE '200' END END status, span_id own_id
+  FROM EO WHERE part <> 5 AND k % 25 <> 3 AND k <> 7""",
+    "otlp_spans_rejected": f"""{_TRACES} SELECT reason, place, count(*) rejects FROM (SELECT 'no OTLP JSON' reason, CAST(NULL AS INT) place FROM TP WHERE part = 5
+  UNION ALL SELECT CASE WHEN k % 25 = 3 THEN 'start_ns: soon' ELSE 'end_ns: none' END, CAST(place AS INT) FROM EO WHERE part <> 5 AND (k % 25 = 3 OR k = 7)) GROUP BY 1, 2""",
+    "otlp_file_checks": f"""{_TRACES} SELECT CAST(part AS INT) part, CASE WHEN part = 2 THEN 0 ELSE 1 END resource_spans, CAST(CASE WHEN part = 2 THEN 0 ELSE count(*) END AS INT) total_spans, part <> 2 ok, CASE WHEN part = 2 THEN 'no resourceSpans' ELSE '' END reason
+  FROM EO WHERE (part, trace_id) IN (SELECT (part, min(trace_id)) FROM TP GROUP BY part) GROUP BY part""",
+    "contract_files_read": """SELECT CAST(s_nationkey AS INT) part, CAST(row_number() OVER w - 1 AS INT) n, 'n' || s_suppkey node, 'shop.op' || (s_suppkey % 5) AS call, 'n' || lag(s_suppkey) OVER w from_id FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)""",
+    "sanitized_names": """SELECT p_partkey, regexp_replace(raw, '[^a-zA-Z0-9_-]', '_', 'g') AS file, regexp_replace(lower(raw), '[^a-zA-Z0-9_]', '_', 'g') identifier, lower(o[1]) || o[2:] operation
+  FROM (SELECT p_partkey, raw, regexp_replace(raw, '[^a-zA-Z0-9]', '', 'g') o FROM (SELECT p_partkey, p_type || ' / ' || p_name || ' / ' || p_brand raw FROM part))""",
+    "masked_spans_read": f"""{_E} SELECT span_id, service, CASE WHEN service = 'signup' THEN sha256('u' || span_id || 's') ELSE 'u' || repeat('x', length(span_id)) END who, '***REDACTED***' k, CAST(k AS VARCHAR) n FROM E""",
+    "baseline_files_read": ORACLES["baseline_record"],
+    "trace_verdict_linted": f"""{_E}{_RUN}, {CATALOG.strip()}{_NAMED}, F AS (SELECT trace_id, bool_and(found) ok FROM R GROUP BY 1), DE AS (SELECT DISTINCT flow_id FROM ({_DANGLING}))
+SELECT trace_id, ok, sr >= 0.6 AND cr >= 0.5 gate_passed, CASE WHEN DE.flow_id IS NOT NULL THEN 2 WHEN NOT ok THEN 3 WHEN NOT (sr >= 0.6 AND cr >= 0.5) THEN 4 ELSE 0 END verdict
+FROM F JOIN G USING (trace_id) LEFT JOIN DE ON DE.flow_id = CAST(split_part(trace_id, '-', 1) AS BIGINT)""",
+    "json_report_read": f"""{_E}{_RUN} SELECT R.trace_id, steps_pass, sr >= 0.9 AND cr >= 0.95 passed, R.step, R.status, CAST(CASE WHEN found THEN 4 ELSE 0 END AS INT) conditions FROM R JOIN G ON R.trace_id = G.trace_id""",
+    "junit_report_read": f"""{_E}{_RUN} SELECT R.trace_id, steps_total tests, steps_fail failures, step, R.status = 'FAIL' failed, CASE WHEN R.status = 'FAIL' THEN call END AS call FROM R JOIN CS ON R.trace_id = CS.trace_id""",
+}
+ORACLES["stream_matching"] = ORACLES["time_sequence_steps"]

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from spanflow.functions import scalars
 from spanflow.operators import callgraph, conditions, discover, gate, graph, lint, mask, match, report, validate
 from spanflow.operators.steps import shared_dir
+from spanflow.plans import files
 from spanflow.plans import fixtures as fx
 from spanflow.plans.oracles import ORACLES
 from spanflow.sources import store
@@ -286,7 +287,10 @@ def baseline_steps(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def baseline_record(spark: SparkSession, d: str) -> DataFrame:
-    r = gate.baseline_record(*_run(spark, d), str(fx.F1), len(fx.F1))
+    return _flat_record(gate.baseline_record(*_run(spark, d), str(fx.F1), len(fx.F1)))
+
+
+def _flat_record(r: DataFrame) -> DataFrame:
     each = F.transform(F.map_entries("conditions"), lambda e: F.concat(e["key"], F.lit("/"), F.array_join(F.transform(F.map_entries(e["value"]), lambda c: F.concat(c["key"], F.lit("="), c["value"].cast("string"))), ",")))
     return r.select("trace_id", "schema_version", "flow_hash", "steps_total", F.array_join("covered_steps", ",").alias("covered"), F.array_join(each, ";").alias("conditions"))
 
@@ -672,4 +676,8 @@ def mask_preview(spark: SparkSession, d: str) -> DataFrame:
     return mask.preview(mask.apply(fx.customer_attributes(spark, d), POLICY), 20)
 
 
+# Files
+
+QUERIES |= files.QUERIES | files.of_runs(_run, str(fx.F1), len(fx.F1), _flat_record)
+
 __all__ = ["ORACLES", "QUERIES", "Window"]

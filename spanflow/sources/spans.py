@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanflow.functions.scalars import inferred_status
+from spanflow.functions.scalars import inferred_status, string_attr
 
 #: The narrow columns of a span.
 SPAN_COLUMNS = ["trace_id", "span_id", "parent_span_id", "service", "name", "start_ns", "end_ns", "ordinal"]
@@ -23,7 +23,7 @@ def read_spans(spark: SparkSession, path: str) -> DataFrame:
     OTLP ids where the attributes have them. One file is one trace."""
     raw = spark.read.schema(SPAN_FILE).json(path, multiLine=True)
     s = raw.select(F.col("_metadata.file_path").alias("trace_id"), F.posexplode("spans").alias("ordinal", "s"))
-    text = lambda key: F.try_variant_get(F.get(F.map_values(F.map_filter("s.attributes", lambda k, _: k == key)), F.lit(0)), "$", "string")
+    text = lambda key: string_attr(F.col("s.attributes"), key)
     zero = lambda c: F.coalesce(c, F.lit(0))
     own = F.coalesce(text("otlp.span_id"), F.concat_ws(":", "s.service", "s.name", zero(F.col("s.startNanos")).cast("string")))
     return s.select(
