@@ -38,11 +38,17 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return s.select("src", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
 
 
+def bits(x: int, n: int) -> np.ndarray:
+    """Places of the bits of an integer of ``n`` bits."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(x.to_bytes(-(-n // 8), "little"), np.uint8), bitorder="little"))
+
+
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words sum as near
     below the budget as can be. Most of the budget goes evenly over all lengths;
     what is left, at most about the longest length, goes by a bounded
-    knapsack over the counts that remain: reachable sums are the bits of one integer."""
+    knapsack over the counts that remain: reachable sums are the bits of one integer, and of each sum the step that
+    first reached it is kept, so that memory grows with the longest length alone."""
     take = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
     if total <= budget:
@@ -59,7 +65,7 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         k = min(int(counts[i] - take[i]), (left - longest) // int(sizes[i]))
         take[i] += max(0, k)
         left -= max(0, k) * int(sizes[i])
-    mask, reach, steps = (1 << (left + 1)) - 1, 1, []
+    mask, reach, steps, first = (1 << (left + 1)) - 1, 1, [], np.zeros(left + 1, np.int32)
     for i in order[::-1]:
         room, size = int(counts[i] - take[i]), int(sizes[i])
         if size == 0 or size > left:
@@ -67,17 +73,20 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         room, part = min(room, left // size), 1
         while room > 0 and not reach >> left & 1:  # 1, 2, 4, ... copies express every count
             part = min(part, room)
-            steps.append((reach, i, part))
-            reach |= (reach << (part * size)) & mask
+            new = (reach << (part * size)) & mask & ~reach
+            if new:
+                steps.append((i, part))
+                first[bits(new, left + 1)] = len(steps)
+                reach |= new
             room -= part
             part *= 2
         if reach >> left & 1:
             break
     at = reach.bit_length() - 1
-    for before, i, part in reversed(steps):
-        if not before >> at & 1:
-            take[i] += part
-            at -= part * int(sizes[i])
+    while at > 0:  # a sum's first step starts from a sum that an earlier step reached
+        i, part = steps[first[at] - 1]
+        take[i] += part
+        at -= part * int(sizes[i])
     return take
 
 
