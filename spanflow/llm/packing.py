@@ -24,7 +24,7 @@ GROUPS, WIDTH, SLOTS = 64, 0.95, 16
 #: Steps of the weights, coarse to fine, and how near the covering is to come to its bound.
 STEPS, GAP = (0.3, 0.15, 0.08), 1.02
 #: Roundings of the program that are tried: shares of its uses, of which the rest is best-fit, and items of a planned sequence that best-fit may choose.
-SHARES, OPEN = (1.0, 0.95, 0.92), (0, 1, 2)
+SHARES, OPEN = (1.0, 0.95, 0.92), (0, 1, 2, 3, 4)
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
