@@ -15,6 +15,8 @@ from spanflow.llm.common import batched, columns
 
 #: Bytes that one filter sees, filters, bytes of a chunk and between the starts of two chunks.
 WIDTH, FILTERS, CHUNK, STRIDE = 6, 24, 512, 448
+#: Chunks that are pooled at a time in training.
+BLOCK = 64
 
 
 def chunk_bounds(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,12 +37,16 @@ class Network:
 
     def pooled(self, chunks: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Chunks (n, CHUNK + WIDTH - 1) of bytes, of which ``size`` places are the text's, to pooled filters and where they were greatest."""
-        total = self.taps[0][chunks[:, :CHUNK]]
-        for j in range(1, WIDTH):
-            total += self.taps[j][chunks[:, j : CHUNK + j]]
-        total[np.arange(CHUNK) >= size[:, None]] = -np.inf
-        best = total.argmax(1)
-        return np.maximum(np.take_along_axis(total, best[:, None], 1)[:, 0] + self.bias, 0), best
+        z, best = np.empty((len(chunks), FILTERS), np.float32), np.empty((len(chunks), FILTERS), np.int64)
+        for lo in range(0, len(chunks), BLOCK):  # so that what all places of all filters take is bounded
+            some = slice(lo, lo + BLOCK)
+            total = self.taps[0][chunks[some, :CHUNK]]
+            for j in range(1, WIDTH):
+                total += self.taps[j][chunks[some, j : CHUNK + j]]
+            total[np.arange(CHUNK) >= size[some, None]] = -np.inf
+            best[some] = total.argmax(1)
+            z[some] = np.maximum(np.take_along_axis(total, best[some, None], 1)[:, 0] + self.bias, 0)
+        return z, best
 
     def pairs(self) -> list[np.ndarray]:
         """Tables for two bytes at once, which halve the lookups."""
@@ -119,9 +125,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, most_chunks: int =
     chunks = np.zeros((len(got), CHUNK + WIDTH - 1), np.uint8)
     for i, b in enumerate(got["bytes"].to_pylist()):
         chunks[i, : len(b)] = np.frombuffer(b, np.uint8)
-    doc = got["doc_id"].to_numpy()
+    doc, size, quality = (got[c].to_numpy().copy() for c in ("doc_id", "size", "quality"))
+    del got
     new = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.zeros(0, bool)
-    return train(chunks, got["size"].to_numpy(), doc, got["quality"].to_numpy()[new].astype(np.float32))
+    return train(chunks, size, doc, quality[new].astype(np.float32))
 
 
 def score(docs: DataFrame, net: Network, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
