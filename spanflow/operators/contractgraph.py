@@ -4,7 +4,7 @@ A flow's rows of all kinds come together in one shuffle by flow_id and go throug
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -12,7 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODE, EDGE, REFERENCE, OUTPUT = range(4)
+from spanflow.functions.scalars import INITIAL_VARIABLES
+from spanflow.operators.steps import checkpointed
+
+NODE, EDGE, REFERENCE, OUTPUT, STEP = range(5)
 #: Rows of a flow that are handled as one; above, :mod:`spanflow.operators.graph` works in rounds over tables, with the same results.
 BOUND = 100_000
 
@@ -22,9 +25,16 @@ def rows(kind: int, table: DataFrame, a: str, b: str | None = None, n: str | Non
     return table.select("flow_id", F.lit(kind).alias("kind"), null(n, "long").alias("n"), null(a, "string").alias("a"), null(b, "string").alias("b"))
 
 
-def of_flows(parts: list[DataFrame], f: Callable, fields: list[tuple[str, str]]) -> DataFrame:
+def split(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """All rows of ``parts``, written once, and the flows (flow_id) that have more than BOUND of them; None if there is no such flow."""
+    table = checkpointed(reduce(DataFrame.unionByName, parts))
+    large = table.groupBy("flow_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BOUND).select("flow_id")
+    return (table, None) if large.isEmpty() else (table, checkpointed(large))
+
+
+def of_flows(table: DataFrame, f: Callable, fields: list[tuple[str, str]]) -> DataFrame:
     """flow_id and ``found``, an array of ``fields`` (name and type), which ``f`` makes of a flow's rows: a list of (n, a, b) of each kind."""
-    table = reduce(DataFrame.unionByName, parts).groupBy("flow_id").agg(F.collect_list(F.struct("kind", "n", "a", "b")).alias("rows"))  # BOUND at most
+    table = table.groupBy("flow_id").agg(F.collect_list(F.struct("kind", "n", "a", "b")).alias("rows"))  # BOUND at most
     kind = table.schema["flow_id"].dataType.simpleString()
     types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
     item = pa.struct([(name, types[t]) for name, t in fields])
@@ -36,7 +46,7 @@ def of_flows(parts: list[DataFrame], f: Callable, fields: list[tuple[str, str]])
             flat = pa.RecordBatch.from_struct_array(col.values)
             k, n, a, b = (c.to_pylist() for c in flat.columns)
             for lo, hi in zip(at[:-1], at[1:], strict=True):
-                by = [[], [], [], []]
+                by = [[] for _ in range(STEP + 1)]
                 for i in range(lo, hi):
                     by[k[i]].append((n[i], a[i], b[i]))
                 found.append([dict(zip(item.names, x, strict=True)) for x in f(*by)])
@@ -48,7 +58,7 @@ def of_flows(parts: list[DataFrame], f: Callable, fields: list[tuple[str, str]])
 FACTS = [("node", "string"), ("n", "long"), ("level", "int"), ("entry", "boolean"), ("reached", "boolean"), ("round", "int"), ("parallel_of", "string")]
 
 
-def facts(nodes: list, edges: list, _refs: list, _outs: list, known_only: bool = False) -> list[tuple]:
+def facts(nodes: list, edges: list, *_: list, known_only: bool = False) -> list[tuple]:
     """FACTS of every node: its level (longest path from an entry; none on and behind cycles), whether it is an entry (has no predecessor) and is reached from
     one, the round in which folding emits it, and the node after which it is folded into a parallel group.
 
@@ -85,7 +95,7 @@ def facts(nodes: list, edges: list, _refs: list, _outs: list, known_only: bool =
     return [(v, n, level[v] if v in done else None, v in entries, v in reached, round_[v] if v in done else None, folded.get(v)) for v, n in ids.items()]
 
 
-def unknown(_nodes: list, edges: list, refs: list, outs: list) -> list[tuple]:
+def unknown(_nodes: list, edges: list, refs: list, outs: list, *_: list) -> list[tuple]:
     """References (node, variable) whose root no predecessor, direct or not, puts out.
 
     Most are settled by a direct predecessor; only where one is not, the predecessors of all nodes are made, as bits of one number a node, along the levels."""
@@ -127,6 +137,45 @@ def unknown(_nodes: list, edges: list, refs: list, outs: list) -> list[tuple]:
     return [(node, v) for node, v in open_ if not ancestors(node) & masks[v.split(".")[0]]]
 
 
+def too_early(steps: list, refs: list, outs: list) -> list[tuple]:
+    """References (node, variable) of a linear flow's steps (pos, step) whose root no step of a smaller position puts out."""
+    at, since = defaultdict(list), {}
+    for pos, step, _ in steps:
+        if step is not None:
+            at[step].append(pos)
+    for _, node, variable in outs:
+        for pos in at.get(node, []):
+            if pos is not None:
+                since[variable] = min(pos, since.get(variable, pos))
+    late = lambda first, pos: first is None or pos is not None and first >= pos
+    return [(node, v) for _, node, v in refs for pos in at.get(node, []) if late(since.get(v.split(".")[0]), pos)]
+
+
+ISSUES = [("level", "string"), ("rule", "string"), ("subject", "string")]
+
+
+def issues(nodes: list, edges: list, refs: list, outs: list, steps: list) -> list[tuple]:
+    """ISSUES that one flow's rows show: names used twice or empty, edges from or to what is no node, nodes that cannot be ordered or reached, variables
+    that nothing before puts out, and the linear format."""
+    names = {a for _, a, _ in nodes} - {None}
+    known = [(n, a, b) for n, a, b in edges if a in names and b in names]
+    found = [("dangling edge", b) for a, b in dict.fromkeys((a, b) for _, a, b in edges) if a not in names or b not in names]
+    for rule, rows_ in (("step name", steps), ("node name", nodes)):
+        uses = Counter(a or "" for _, a, _ in rows_)
+        found += [(rule, name) for name, times in uses.items() if times > 1 or not name]
+    each = facts(nodes, known)
+    blocked, unreached = sum(x[2] is None for x in each), sum(not x[4] for x in each)
+    if blocked:
+        found.append(("cycle", str(blocked)))
+    if unreached and any(x[3] for x in each):
+        found.append(("unreachable nodes", str(unreached)))
+    refs = [r for r in refs if r[2] is not None and r[2].split(".")[0] not in INITIAL_VARIABLES]
+    if nodes:
+        found += [("unknown variable", node) for node, _ in unknown(nodes, known, refs, outs)]
+    found += [("unknown variable", node) for node, _ in too_early(steps, refs, outs)]
+    return [("ERROR", *x) for x in found] + [("WARN", "legacy format", "flow")] * bool(steps)
+
+
 def count(where: Callable[[Column], Column]) -> Column:
     """How many of ``found`` are so, as a long."""
     return F.size(F.filter("found", where)).cast("long")

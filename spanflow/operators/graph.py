@@ -30,13 +30,11 @@ def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _in_one_pass(edges: DataFrame, nodes: DataFrame, one: Callable[[DataFrame], DataFrame], rounds: Callable[[DataFrame, DataFrame], DataFrame], known_only: bool = False) -> DataFrame:
     """``one`` of the facts of all flows, one shuffle and no rounds; flows of more than BOUND rows go through ``rounds`` instead."""
-    parts = [cg.rows(cg.NODE, nodes, "node", n="n"), cg.rows(cg.EDGE, edges, "from_id", "to_id")]
-    large = parts[0].unionByName(parts[1]).groupBy("flow_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > cg.BOUND).select("flow_id")
+    table, large = cg.split([cg.rows(cg.NODE, nodes, "node", n="n"), cg.rows(cg.EDGE, edges, "from_id", "to_id")])
     facts = lambda *flow: cg.facts(*flow, known_only=known_only)
-    if large.isEmpty():
-        return one(cg.of_flows(parts, facts, cg.FACTS))
-    large = checkpointed(large)
-    small = one(cg.of_flows([p.join(large, "flow_id", "left_anti") for p in parts], facts, cg.FACTS))
+    if large is None:
+        return one(cg.of_flows(table, facts, cg.FACTS))
+    small = one(cg.of_flows(table.join(large, "flow_id", "left_anti"), facts, cg.FACTS))
     edges, nodes = (t.join(large, "flow_id", "left_semi") for t in (edges, nodes))
     return small.unionByName(rounds(known_edges(edges, nodes) if known_only else edges, nodes))
 
@@ -52,19 +50,22 @@ def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def checks(edges: DataFrame, nodes: DataFrame, known_only: bool = False) -> DataFrame:
-    """Per flow: blocked (nodes that cannot be ordered), nodes, entries and unreachable (nodes that no entry reaches)."""
+    """Per flow: blocked (nodes that cannot be ordered), nodes, entries and unreachable (nodes that no entry reaches). Nodes of one name are one."""
 
     def one(f: DataFrame) -> DataFrame:
         f = f.where(F.size("found") > 0)
         return f.select("flow_id", cg.count(lambda x: x["level"].isNull()).alias("blocked"), F.size("found").cast("long").alias("nodes"), cg.count(lambda x: x["entry"]).alias("entries"), cg.count(lambda x: ~x["reached"]).alias("unreachable"))
 
     def rounds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+        nodes = nodes.select("flow_id", "node").distinct()
         entries = entry_nodes(edges, nodes)
         mark = lambda df, c: df.select("flow_id", "node").withColumn(c, F.lit(1))
         n = nodes
         for df, c in ((_levels(edges, nodes), "ordered"), (reachable(edges, entries), "seen"), (entries, "entry")):
             n = n.join(mark(df, c), ["flow_id", "node"], "left")
-        return n.groupBy("flow_id").agg(F.count_if(F.col("ordered").isNull()).alias("blocked"), F.count(F.lit(1)).alias("nodes"), F.count("entry").alias("entries"), F.count_if(F.col("seen").isNull()).alias("unreachable"))
+        nameless = F.col("node").isNull()  # has no edges, so it is an entry
+        without = lambda c: F.count_if(F.col(c).isNull() & ~nameless)
+        return n.groupBy("flow_id").agg(without("ordered").alias("blocked"), F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("entry").isNotNull() | nameless).alias("entries"), without("seen").alias("unreachable"))
 
     return _in_one_pass(edges, nodes, one, rounds, known_only)
 

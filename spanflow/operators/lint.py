@@ -9,7 +9,6 @@ from spanflow.functions.scalars import INITIAL_VARIABLES, has_telemetry_prefix,
 from spanflow.operators import contractgraph as cg
 from spanflow.operators import graph
 from spanflow.operators.graph import ancestors
-from spanflow.operators.steps import checkpointed
 
 
 def call_format(steps: DataFrame) -> DataFrame:
@@ -61,16 +60,14 @@ def graph_variables(refs: DataFrame, outputs: DataFrame, edges: DataFrame) -> Da
     (:func:`contractgraph.unknown`). Flows of more than BOUND rows have all theirs listed, in rounds."""
     root = F.split("variable", r"\.")[0]
     refs, outputs = refs.where(~root.isin(INITIAL_VARIABLES)).select("flow_id", "node", "variable"), outputs.select("flow_id", "node", "variable")
-    parts = [cg.rows(cg.EDGE, edges, "from_id", "to_id"), cg.rows(cg.REFERENCE, refs, "node", "variable"), cg.rows(cg.OUTPUT, outputs, "node", "variable")]
-    flows = lambda parts: cg.of_flows(parts, cg.unknown, [("node", "string"), ("variable", "string")]).select("flow_id", F.inline("found"))
-    large = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("flow_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > cg.BOUND).select("flow_id")
-    if large.isEmpty():
-        return flows(parts)
-    large = checkpointed(large)
+    table, large = cg.split([cg.rows(cg.EDGE, edges, "from_id", "to_id"), cg.rows(cg.REFERENCE, refs, "node", "variable"), cg.rows(cg.OUTPUT, outputs, "node", "variable")])
+    flows = lambda table: cg.of_flows(table, cg.unknown, [("node", "string"), ("variable", "string")]).select("flow_id", F.inline("found"))
+    if large is None:
+        return flows(table)
     refs, outputs, edges = (t.join(large, "flow_id", "left_semi") for t in (refs, outputs, edges))
     known = ancestors(edges).join(outputs.select("flow_id", F.col("node").alias("ancestor"), "variable"), ["flow_id", "ancestor"]).select("flow_id", "node", F.col("variable").alias("root")).distinct()
     rest = refs.withColumn("root", root).join(known, ["flow_id", "node", "root"], "left_anti").select("flow_id", "node", "variable")
-    return flows([p.join(large, "flow_id", "left_anti") for p in parts]).unionByName(rest)
+    return flows(table.join(large, "flow_id", "left_anti")).unionByName(rest)
 
 
 def flow_variables(refs: DataFrame, outputs: DataFrame, positions: DataFrame) -> DataFrame:
@@ -92,39 +89,54 @@ def rollup(flows: DataFrame, issues: DataFrame) -> DataFrame:
     return flows.join(g, "flow_id", "left").select("flow_id", zero("errors"), zero("warnings"), (F.coalesce("errors", F.lit(0)) == 0).alias("passed"))
 
 
+def call_issues(calls: DataFrame, services: DataFrame, operations: DataFrame) -> DataFrame:
+    """What is wrong with a call (flow_id, rule, subject), each at most once: its format, its service, or its operation. ``calls``: flow_id, node, call."""
+    service, operation = split_call(F.col("call"))
+    c = calls.select("flow_id", F.col("node").alias("subject"), service.alias("service"), operation.alias("operation"))
+    c = c.join(services.select("flow_id", "service").distinct().withColumn("declared", F.lit(True)), ["flow_id", "service"], "left")
+    c = c.join(operations.select("service", "operation").distinct().withColumn("exists", F.lit(True)), ["service", "operation"], "left")
+    rule = F.when(F.col("service").isNull(), "call format").when(F.col("declared").isNull(), "undeclared service").when(F.col("exists").isNull(), "missing operation")
+    return c.select("flow_id", rule.alias("rule"), "subject").where("rule IS NOT NULL")
+
+
+def _graph_issues(steps: DataFrame, nodes: DataFrame, edges: DataFrame, refs: DataFrame | None, outputs: DataFrame | None) -> DataFrame:
+    """:func:`contractgraph.issues` by tables, for flows of any size."""
+    row = lambda df, rule, subject, level="ERROR": df.select("flow_id", F.lit(level).alias("level"), F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"))
+    wrong = lambda rule, n: F.struct(F.lit(rule).alias("rule"), F.col(n).cast("string").alias("subject"))
+    cycle, apart = F.when(F.col("blocked") > 0, wrong("cycle", "blocked")), F.when((F.col("entries") > 0) & (F.col("unreachable") > 0), wrong("unreachable nodes", "unreachable"))
+    out = graph.checks(edges, nodes, known_only=True).select("flow_id", F.lit("ERROR").alias("level"), F.inline(F.array_compact(F.array(cycle, apart))))
+    out = out.unionByName(row(dangling_edges(edges, nodes), "dangling edge", "to_id")).unionByName(row(steps.select("flow_id").distinct().withColumn("legacy", F.lit("flow")), "legacy format", "legacy", "WARN"))
+    out = out.unionByName(row(duplicates(steps.select("flow_id", F.col("step").alias("name"))), "step name", "name")).unionByName(row(duplicates(nodes.select("flow_id", F.col("node").alias("name"))), "node name", "name"))
+    if refs is None:
+        return out
+    of = lambda df: df.join(nodes.select("flow_id").distinct(), "flow_id", "left_semi")
+    lost = graph_variables(of(refs), of(outputs), graph.known_edges(edges, nodes)).unionByName(flow_variables(refs, outputs, steps.select("flow_id", F.col("step").alias("node"), "pos")))
+    return out.unionByName(row(lost, "unknown variable", "node"))
+
+
 def issues(contracts: dict[str, DataFrame]) -> DataFrame:
     """All rules over all contracts: flow_id, level, rule, subject.
 
     ``contracts``: ``steps`` (flow_id, pos, group_pos, step, call), ``nodes`` (flow_id, n, node, call), ``edges``, ``services`` (flow_id, service) and ``operations``
-    (service, operation); where they are at hand ``references`` and ``outputs`` (flow_id, node, variable), ``keys`` (flow_id, node, key) and ``issues`` of reading."""
-    steps, nodes, edges = contracts["steps"], contracts["nodes"], contracts["edges"]
-    named = steps.select("flow_id", F.col("step").alias("node"), "call")
-    calls = named.unionByName(nodes.select("flow_id", "node", "call"))
-    rows = lambda df, rule, subject, level="ERROR": df.select("flow_id", F.lit(level).alias("level"), F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"))
-    found = [
-        rows(call_format(calls), "call format", "subject"),
-        rows(undeclared_service(calls, contracts["services"]), "undeclared service", "subject"),
-        rows(missing_operation(calls, contracts["services"], contracts["operations"]), "missing operation", "subject"),
-        rows(dangling_edges(edges, nodes), "dangling edge", "to_id"),
-        rows(duplicates(named.select("flow_id", F.col("node").alias("name"))), "step name", "name"),
-        rows(duplicates(nodes.select("flow_id", F.col("node").alias("name"))), "node name", "name"),
-        graph.checks(edges, nodes, known_only=True).select("flow_id", F.lit("ERROR").alias("level"), F.inline(F.array_compact(F.array(
-            F.when(F.col("blocked") > 0, F.struct(F.lit("cycle").alias("rule"), F.col("blocked").cast("string").alias("subject"))),
-            F.when((F.col("entries") > 0) & (F.col("unreachable") > 0), F.struct(F.lit("unreachable nodes").alias("rule"), F.col("unreachable").cast("string").alias("subject"))),
-        )))),
-        rows(steps.select("flow_id").distinct().withColumn("legacy", F.lit("flow")), "legacy format", "legacy", "WARN"),
-    ]
-    if "references" in contracts:
-        refs, outputs = contracts["references"], contracts["outputs"]
-        of = lambda df, table: df.join(table.select("flow_id").distinct(), "flow_id", "left_semi")
-        found.append(rows(graph_variables(of(refs, nodes), of(outputs, nodes), graph.known_edges(edges, nodes)), "unknown variable", "node"))
-        positions = steps.select("flow_id", F.col("step").alias("node"), "pos")
-        found.append(rows(flow_variables(of(refs, steps), of(outputs, steps), positions), "unknown variable", "node"))
+    (service, operation); where they are at hand ``references`` and ``outputs`` (flow_id, node, variable), ``keys`` (flow_id, node, key) and ``issues`` of reading.
+
+    Names, edges, order and variables of a flow are one pass over its rows, which come together in one shuffle (:func:`contractgraph.issues`); flows of more than
+    BOUND rows have the same rules applied as tables. Calls meet services and operations in one chain of joins."""
+    steps, nodes, edges, refs, outputs = (contracts.get(k) for k in ("steps", "nodes", "edges", "references", "outputs"))
+    parts = [cg.rows(cg.STEP, steps, "step", n="pos"), cg.rows(cg.NODE, nodes, "node", n="n"), cg.rows(cg.EDGE, edges, "from_id", "to_id")]
+    if refs is not None:
+        parts += [cg.rows(cg.REFERENCE, refs, "node", "variable"), cg.rows(cg.OUTPUT, outputs, "node", "variable")]
+    table, large = cg.split(parts)
+    flows = lambda table: cg.of_flows(table, cg.issues, cg.ISSUES).select("flow_id", F.inline("found"))
+    if large is None:
+        out = flows(table)
+    else:
+        only = lambda t: None if t is None else t.join(large, "flow_id", "left_semi")
+        out = flows(table.join(large, "flow_id", "left_anti")).unionByName(_graph_issues(*map(only, (steps, nodes, edges, refs, outputs))))
+    calls = steps.select("flow_id", F.col("step").alias("node"), "call").unionByName(nodes.select("flow_id", "node", "call"))
+    out = out.unionByName(call_issues(calls, contracts["services"], contracts["operations"]).withColumn("level", F.lit("ERROR")))
     if "keys" in contracts:
-        found.append(rows(telemetry_keys(contracts["keys"]), "telemetry key", "node"))
+        out = out.unionByName(telemetry_keys(contracts["keys"]).select("flow_id", F.lit("ERROR").alias("level"), F.lit("telemetry key").alias("rule"), F.col("node").alias("subject")))
     if "issues" in contracts:
-        found.append(contracts["issues"].select("flow_id", "level", F.lit("format").alias("rule"), F.col("message").alias("subject")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+        out = out.unionByName(contracts["issues"].select("flow_id", "level", F.lit("format").alias("rule"), F.col("message").alias("subject")))
     return out

@@ -1,6 +1,7 @@
 """Contracts as tables: conditions as clauses, folding, variables, long contracts, own parents, and the store of spans."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,27 @@ def test_rounds_give_what_one_pass_gives(spark, monkeypatch):
     assert all_() == one
 
 
+def test_issues_of_one_pass_are_those_of_tables(spark, monkeypatch):
+    edges, nodes = random_graphs(spark, 5)
+    r = random.Random(6)
+    more = spark.createDataFrame([(1, 90, None, "a.b"), (2, 91, "", "a.b"), (3, 92, "n0", "a.b"), (61, 0, "alone", None)], "flow_id long, n int, node string, call string")
+    nodes, edges = nodes.unionByName(more), edges.unionByName(spark.createDataFrame([(2, None, "n0"), (2, "n0", None), (62, "x", "y")], "flow_id long, from_id string, to_id string"))
+    at = [(100 + f, None if r.random() < 0.1 else k // 2, k % 2, r.choice(["n0", "n1", "n2", "n3", "n4", None, ""]), "a.b") for f in range(20) for k in range(6)]
+    steps = spark.createDataFrame(at, "flow_id long, pos int, group_pos int, step string, call string")
+    flow = lambda: r.choice([r.randrange(63), 100 + r.randrange(20)])
+    names = [f"n{k}" for k in range(7)] + [None]
+    refs = spark.createDataFrame([(flow(), r.choice(names), r.choice(["v1.x", "v2", "v3.y.z", "userId", None])) for _ in range(400)], "flow_id long, node string, variable string")
+    outputs = spark.createDataFrame([(flow(), r.choice(names), r.choice(["v1", "v2", "v3", None])) for _ in range(300)], "flow_id long, node string, variable string")
+    tables = {"steps": steps, "nodes": nodes, "edges": edges, "references": refs, "outputs": outputs, "services": spark.createDataFrame([(1, "a")], "flow_id long, service string"), "operations": spark.createDataFrame([("a", "b")], "service string, operation string")}
+    found = lambda: Counter(map(tuple, lint.issues(tables).select("flow_id", "level", "rule", "subject").collect()))
+    one = found()
+    assert {rule for _, _, rule, _ in one} == {"dangling edge", "step name", "node name", "cycle", "unreachable nodes", "unknown variable", "legacy format", "call format", "undeclared service"}
+    monkeypatch.setattr(contractgraph, "BOUND", 0)
+    assert found() == one
+    monkeypatch.setattr(contractgraph, "BOUND", 15)  # some flows each way
+    assert found() == one
+
+
 def test_variables_along_a_long_chain(spark):
     n = 5000
     name = lambda c: F.concat(F.lit("n"), c.cast("string"))
