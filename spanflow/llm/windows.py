@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanflow.llm import kernels as K
-from spanflow.llm.common import batched, columns, dropped, ints, partitions, whole, written
+from spanflow.llm.common import batched, columns, dropped, ints, partitions, written
 
 #: Rows of runs. pk: bits 61-62 what the row says, bit 60 whether its anchor is hot, 24-59 the byte of the text at which the first window
 #: starts, 12-23 the number of windows less one, 0-11 the anchor's place. Rows to compare have the anchor, the hash of the content, text and
@@ -44,6 +44,8 @@ SAMPLE, SHARE, LEAST = 64, 1e-4, 50_000
 STRETCH = 1 << 14
 #: Rows with content that a task holds before it passes them on.
 HELD = 20_000
+#: Rows of runs, and passages, that a task takes at once, and what belongs to the last one's anchor.
+RUNS, PASSAGES = 500_000, 4000
 LAST = 2**63 - 1
 
 
@@ -110,6 +112,28 @@ def settle(h, c, uid, ord_, pk, kind, earliest: bool, drop_single: bool) -> tupl
     return (h[a], c[a], uid[a], ord_[a], pk[a], known[a]), (uid[gone], pk[gone], uid[p], starts(pk[p]))
 
 
+def grouped(batches: Iterator[pa.RecordBatch], key: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]], rows: int) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``key``, in tables of whole groups: as few as make up ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    n, last = 0, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        now = key(batch)
+        head = first_of(*now)
+        head[0] = last is not None and any(k[0] != x for k, x in zip(now, last, strict=True))
+        last, done = tuple(k[-1] for k in now), 0
+        heads = np.flatnonzero(head)
+        while (at := np.searchsorted(heads, done + rows - n)) < len(heads):
+            cut = int(heads[at])
+            yield pa.Table.from_batches([*held, batch.slice(done, cut - done)]).combine_chunks()
+            held, n, done = [], 0, cut
+        held.append(batch.slice(done))
+        n += len(batch) - done
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def starts(pk: np.ndarray) -> np.ndarray:
     return pk >> 24 & 0xFFFFFFFFF
 
@@ -176,31 +200,33 @@ def repeated(texts: DataFrame, symbols: Callable, judge: Callable, k: int, w: in
             anywhere = K.mix(gone[1].astype(np.uint64) ^ gone[0].astype(np.uint64)).astype(np.int64)  # these need no place by anchor
             yield from batched(RUN, [anywhere, gone[2], gone[0], gone[3], gone[1] | GONE << KIND], 200_000)
 
+    def alike(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Rows to be compared together: those of an anchor, or, if it is hot, of an anchor and a hash."""
+        h, c, pk = (ints(columns(batch)[x]) for x in ("h", "c", "pk"))
+        return h, np.where((pk & HOT) > 0, c, 0)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = whole(batches)
-        if table is None:
-            return
-        rows = [ints(table.column(j).combine_chunks()) for j in range(5)]
-        del table
-        done = rows[4] >> KIND == GONE
-        yield from batched(RUN, [np.zeros(int(done.sum()), np.int64), *(x[done] for x in rows[1:])], 200_000)
-        h, c, uid, ord_, pk = (x[~done] for x in rows)
-        far = (pk & HOT) > 0
-        for some, single in ((~far, True), (far, False)):
-            ask, gone = settle(h[some], c[some], uid[some], ord_[some], pk[some] & (HOT - 1), pk[some] >> KIND, earliest, single)
-            zero = np.zeros(len(gone[0]), np.int64)
-            yield from batched(RUN, [zero, gone[2], gone[0], gone[3], gone[1] | GONE << KIND], 200_000)
-            kind = ask[5]
-            if single and len(kind):
-                _, at, count = np.unique(ask[0], return_inverse=True, return_counts=True)
-                kind = np.where(count[at] > many, SPREAD, kind)
-            else:
-                kind = np.full(len(kind), SPREAD)
-            zero = np.zeros(len(kind), np.int64)  # hashes and order have done their work
-            yield from batched(RUN, [ask[0], zero, ask[2], zero, ask[4] | kind << KIND], 200_000)
+        for table in grouped(batches, alike, RUNS):
+            rows = [ints(table.column(j).combine_chunks()) for j in range(5)]
+            done = rows[4] >> KIND == GONE
+            yield from batched(RUN, [np.zeros(int(done.sum()), np.int64), *(x[done] for x in rows[1:])], 200_000)
+            h, c, uid, ord_, pk = (x[~done] for x in rows)
+            far = (pk & HOT) > 0
+            for some, single in ((~far, True), (far, False)):
+                ask, gone = settle(h[some], c[some], uid[some], ord_[some], pk[some] & (HOT - 1), pk[some] >> KIND, earliest, single)
+                zero = np.zeros(len(gone[0]), np.int64)
+                yield from batched(RUN, [zero, gone[2], gone[0], gone[3], gone[1] | GONE << KIND], 200_000)
+                kind = ask[5]
+                if single and len(kind):
+                    _, at, count = np.unique(ask[0], return_inverse=True, return_counts=True)
+                    kind = np.where(count[at] > many, SPREAD, kind)
+                else:
+                    kind = np.full(len(kind), SPREAD)
+                zero = np.zeros(len(kind), np.int64)  # hashes and order have done their work
+                yield from batched(RUN, [ask[0], zero, ask[2], zero, ask[4] | kind << KIND], 200_000)
 
     key = F.when(F.col("pk").bitwiseAND(F.lit(HOT)) > 0, F.xxhash64("h", "c")).otherwise(F.col("h"))
-    runs = body.mapInArrow(find, RUN_DDL).repartition(partitions(spark), key)
+    runs = body.mapInArrow(find, RUN_DDL).repartition(partitions(spark), key).sortWithinPartitions("h", "c")
     runs = written(runs.mapInArrow(compare, RUN_DDL), "runs").withColumn("kind", F.shiftright("pk", KIND)).withColumn("pk", F.col("pk").bitwiseAND(F.lit(HOT - 1)))
 
     passage = pa.schema([("h", pa.int64()), ("uid", pa.int64()), ("ord", pa.int64()), ("pk", pa.int64()), ("kind", pa.int32()), ("passage", pa.binary())])
@@ -244,18 +270,10 @@ def repeated(texts: DataFrame, symbols: Callable, judge: Callable, k: int, w: in
                 yield from batched(window, [keys, np.full(len(keys), ord_[i]), np.full(len(keys), uid[i]), start], 200_000)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = whole(batches)
-        if table is None:
-            return
-        table = table.sort_by([(k, "ascending") for k in ("h", "ord", "uid", "pk")]).combine_chunks()
-        stop = np.append(np.flatnonzero(first_of(table.column("h").to_numpy()))[1:], len(table))
-        lo = 0
-        while lo < len(table):  # whole anchors, some thousand passages at a time
-            hi = int(stop[min(np.searchsorted(stop, lo + many), len(stop) - 1)])
-            yield from batched(pa.schema([("uid", pa.int64()), ("pk", pa.int64())]), list(judge(table.slice(lo, hi - lo).combine_chunks())), 200_000)
-            lo = hi
-
-    judged = passages.repartition(partitions(spark), "h").mapInArrow(decide, "uid long, pk long")
+        for table in grouped(batches, lambda batch: (ints(columns(batch)["h"]),), PASSAGES):
+            yield from batched(pa.schema([("uid", pa.int64()), ("pk", pa.int64())]), list(judge(table)), 200_000)
+
+    judged = passages.repartition(partitions(spark), "h").sortWithinPartitions("h", "ord", "uid", "pk").mapInArrow(decide, "uid long, pk long")
     gone = runs.where(F.col("kind") == GONE).select("uid", "pk", F.col("c").alias("partner"), F.col("ord").alias("at"))
     steps = [runs]
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import DOC, LOWER, corpus, roots, rows, words
 from pyspark.sql import functions as F
@@ -340,6 +341,21 @@ def test_odd_ids(spark):
     assert len(sizes) == 7 and {r["source"] for r in sizes} == {None}
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_sorted_rows_come_in_whole_groups(seed):
+    rng = np.random.default_rng(seed)
+    h = np.sort(rng.integers(0, rng.integers(1, 40), rng.integers(0, 400)))
+    batches = [pa.record_batch({"h": x, "i": np.arange(len(x))}) for x in np.split(h, np.sort(rng.integers(0, len(h) + 1, 9)))]
+    least = int(rng.integers(1, 60))
+    tables = list(windows.grouped(iter(batches), lambda b: (b.column(0).to_numpy(),), least))
+    parts = [t.column("h").to_numpy() for t in tables]
+    assert np.concatenate([h[:0], *parts]).tolist() == h.tolist()
+    for one, two in zip(parts, parts[1:]):
+        assert one[-1] != two[0] and len(one) >= least
+    for one in parts:
+        assert len(one) - (one == one[-1]).sum() < least  # no more than is asked for, and the last group
+
+
 @pytest.mark.parametrize("bits", [1, 3])
 @pytest.mark.parametrize("op", [suffix_dedup.suffix_dedup, substring_dedup.substring_dedup])
 def test_hashes_that_collide_remove_nothing(docs, op, bits):
