@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from spanflow.functions.scalars import content_hash
 
-#: Default thresholds of the gate.
+#: Default thresholds of the gate, and its messages.
 STEPS, CONDITIONS = 0.9, 0.95
+BELOW = {"s": "Steps coverage %.1f%% < required {:.1f}%%", "c": "Conditions pass rate %.1f%% < required {:.1f}%%"}
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -40,8 +41,8 @@ def absolute(cover: DataFrame, steps: float = STEPS, conditions: float = CONDITI
     """Rates against fixed thresholds: trace_id, steps_rate, conditions_rate, passed, violations."""
     evaluated = F.col("conditions_pass") + F.col("conditions_fail") + (F.col("conditions_skip") if skip_as_fail else F.lit(0))
     r = cover.select("trace_id", rate(F.col("steps_pass"), F.col("steps_total")).alias("s"), rate(F.col("conditions_pass"), evaluated).alias("c"))
-    text = lambda name, col, least: F.when(F.col(col) < least, F.format_string(f"{name} %.1f%% < required {least * 100:.1f}%%", F.col(col) * 100))
-    found = F.array_compact(F.array(text("Steps coverage", "s", steps), text("Conditions pass rate", "c", conditions)))
+    text = lambda col, least: F.when(F.col(col) < least, F.format_string(BELOW[col].format(least * 100), F.col(col) * 100))
+    found = F.array_compact(F.array(text("s", steps), text("c", conditions)))
     return r.select("trace_id", F.round("s", 6).alias("steps_rate"), F.round("c", 6).alias("conditions_rate"), (F.size(found) == 0).alias("passed"), F.size(found).alias("violations"), F.array_join(found, "; ").alias("messages"))
 
 

@@ -115,19 +115,17 @@ def validate(spans: DataFrame, contracts: dict[str, DataFrame], pairs: DataFrame
     it would have passed without them, which is what counts for the verdict of pairs that go by time."""
     way = checkpointed(routes(spans, pairs, contracts))
     on = {k: way.where(F.col("route") == k) for k in ("time", "causality", "graph")}
-    # Written once, as conditions and steps both read them.
-    time = checkpointed(by_time(spans, on["time"], contracts["steps"]))
-    cause = checkpointed(by_causality(spans, on["causality"], contracts["steps"]))
-    dag = checkpointed(by_graph(spans, on["graph"], contracts["nodes"], contracts["edges"], mode))
-    at = ["trace_id", "flow_id", "pos", F.lit(None).cast("int").alias("group_pos"), "step", "call"]
-    hit = [time.where("span_id IS NOT NULL").select(*at, *_SPAN[1:3], *_SPAN[5:]), dag.where("status = 'PASS'").select(*at, *_SPAN[1:3], *_SPAN[5:])]
-    hit.append(cause.where("status = 'PASS'").select("trace_id", "flow_id", "pos", "group_pos", "step", "call", *[f"seen.{c}" for c in (*_SPAN[1:3], *_SPAN[5:])]))
-    results = conditions.by_operation(hit[0].unionByName(hit[1]).unionByName(hit[2]), contracts["conditions"])
+    seen = lambda of="": F.struct(*[F.col(f"{of}{c}").alias(c) for c in (*_SPAN[1:3], *_SPAN[5:])]).alias("seen")
+    row = ["trace_id", "flow_id", "pos", F.lit(None).cast("int").alias("group_pos"), "step", "call", "status", "note", "span_id", seen()]
+    time = by_time(spans, on["time"], contracts["steps"]).select(*row)
+    cause = by_causality(spans, on["causality"], contracts["steps"]).withColumn("seen", seen("seen."))
+    dag = by_graph(spans, on["graph"], contracts["nodes"], contracts["edges"], mode).select(*row)
+    # Written once, as conditions and steps both read it, and by one job, in which the ways do not wait for each other.
+    matched = checkpointed(time.unionByName(cause).unionByName(dag))
+    results = conditions.by_operation(matched.where("status = 'PASS'").select("trace_id", "flow_id", "pos", "group_pos", "step", "call", "seen.*"), contracts["conditions"])
     key = ["trace_id", "flow_id", "pos", "step"]
     failed = results.groupBy(*key).agg(F.bool_or(F.col("result") == "FAIL").alias("bad"))
-    out = ["status", "note", "span_id"]
-    steps = time.select(*key, "call", *out).unionByName(cause.select(*key, "call", *out)).unionByName(dag.select(*key, "call", *out))
     bad = F.coalesce("bad", F.lit(False))
-    steps = steps.join(failed, key, "left").select(*key, "call", F.when(bad, "FAIL").otherwise(F.col("status")).alias("status"), F.when(bad, match.SEMANTIC).otherwise(F.col("note")).alias("note"), "span_id", (F.col("status") == "PASS").alias("found"))
+    steps = matched.join(failed, key, "left").select(*key, "call", F.when(bad, "FAIL").otherwise(F.col("status")).alias("status"), F.when(bad, match.SEMANTIC).otherwise(F.col("note")).alias("note"), "span_id", (F.col("status") == "PASS").alias("found"))
     checked = dag_rows(spans, way.where("route <> 'time'").select("trace_id", "flow_id"), tolerance_ms).withColumn("found", F.lit(False))
     return checked.unionByName(steps), results.select(*key, "kind", "condition", "result")

@@ -208,8 +208,8 @@ SELECT W.trace_id, W.start_id, CAST(len(path) AS INT) length, array_to_string(li
     "graph_causality_temporal": f"{_E}{_GRAPH} SELECT * FROM GL",
     "graph_causality_strict": f"{_E}{_GRAPH} SELECT trace_id, node, arg_min(pred, edge) first_bad FROM GP WHERE stranger GROUP BY 1, 2",
     "graph_validation": f"""{_E}{_EDGES}{_GRAPH},
-B AS (SELECT GM.trace_id, pos, GM.node step, CASE WHEN span_id IS NULL THEN 'no matching span' WHEN first_bad IS NOT NULL THEN 'starts before ' || first_bad
-        WHEN NOT (k < 50 AND coalesce(code, 0) = 200) THEN 'semantic validation failed' ELSE '' END note FROM GM LEFT JOIN GL ON GM.trace_id = GL.trace_id AND GM.node = GL.node)
+B AS (SELECT GM.trace_id, pos, GM.node step, CASE WHEN span_id IS NULL THEN 'no matching span found in trace' WHEN first_bad IS NOT NULL THEN 'starts before ' || first_bad
+        WHEN NOT (k < 50 AND coalesce(code, 0) = 200) THEN 'Semantic validation failed' ELSE '' END note FROM GM LEFT JOIN GL ON GM.trace_id = GL.trace_id AND GM.node = GL.node)
 {_DAG_ROW} UNION ALL SELECT trace_id, pos, step, CASE WHEN note = '' THEN 'PASS' ELSE 'FAIL' END, note FROM B""",
     "condition_results": f"{_E}{_RUN} SELECT * FROM C",
     "coverage_summary": f"{_E}{_RUN} SELECT * EXCLUDE (sr, cr), round(sr * 100, 6) coverage_pct, round(sr, 6) coverage_rate, round(cr, 6) conditions_rate FROM G",

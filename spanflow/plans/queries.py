@@ -185,7 +185,7 @@ def graph_validation(spark: SparkSession, d: str) -> DataFrame:
 def _graph_steps(spans: DataFrame) -> DataFrame:
     m = match.with_first_bad(match.graph_match(spans, fx.G1, ("attributes",)), fx.G1, "temporal")
     r = conditions.with_results(m, fx.CONDITIONS, F.col("span_id").isNotNull())
-    note = F.when(F.col("span_id").isNull(), "no matching span").when(F.col("first_bad").isNotNull(), F.concat(F.lit("starts before "), "first_bad")).when(conditions.failing(F.col("results")), "semantic validation failed").otherwise("")
+    note = F.when(F.col("span_id").isNull(), match.MISSING).when(F.col("first_bad").isNotNull(), F.concat(F.lit("starts before "), "first_bad")).when(conditions.failing(F.col("results")), match.SEMANTIC).otherwise("")
     r = r.select("trace_id", "pos", F.col("node").alias("step"), F.when(note == "", "PASS").otherwise("FAIL").alias("status"), note.alias("note"))
     return _violations(spans).unionByName(r)
 
