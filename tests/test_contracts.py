@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -272,3 +274,29 @@ def test_the_plan_does_not_grow_with_the_rules(spark):
     assert sorted(map(tuple, got)) == [("a", "k1234", 1234), ("a", "note", 5000)]
     bad = spark.createDataFrame([("a", 0, "*", "*", "*", ["["], ("redact", None, None, "", None)), ("a", 1, "*", "*", "note", [], ("redact", None, None, "", None))], mask.RULES)
     assert {r["rule"] for r in mask.apply_rules(a, bad).collect()} == {-1, 1}
+
+
+def test_contracts_of_a_batch_are_one_graph():
+    """Names are numbers, and flows of one batch do not meet, whether they have cycles or more nodes than a number has bits."""
+    chain = [(contractgraph.EDGE, f"n{k}", f"n{k + 1}") for k in range(70)] + [(contractgraph.REFERENCE, "n70", "v.x"), (contractgraph.REFERENCE, "n70", "w"), (contractgraph.OUTPUT, "n0", "v"), (contractgraph.OUTPUT, "n70", "w")]
+    r = random.Random(7)
+    flows = [chain, [*chain, (contractgraph.EDGE, "n9", "n3")], []]
+    for _ in range(200):
+        name = lambda: r.choice(["n1", "n2", "n3", "n4", "n5", "", None])
+        flows.append([(contractgraph.NODE, name(), None) for _ in range(r.randint(0, 6))] + [(contractgraph.EDGE, name(), name()) for _ in range(r.randint(0, 6))])
+        flows[-1] += [(contractgraph.REFERENCE, name(), r.choice(["v.x", "w"])) for _ in range(2)] + [(contractgraph.OUTPUT, name(), r.choice("vw")) for _ in range(2)] + [(contractgraph.STEP, name(), None)] * r.randint(0, 1)
+
+    def rows(flows):
+        at = [(f, k, a, b) for f, of in enumerate(flows) for k, a, b in of]
+        names = pa.array([x[2] for x in at] + [x[3] for x in at], pa.large_string()).dictionary_encode(null_encoding="encode")
+        code, n = names.indices.to_numpy().astype(np.int64), len(at)
+        column = lambda k: np.array([x[k] for x in at], np.int64)
+        return contractgraph.Rows(len(flows), column(0), column(1), np.arange(n), np.zeros(n, bool), code[:n], code[n:], names.dictionary)
+
+    def found(flows, f, first=0):
+        flow, columns = f(rows(flows))
+        return Counter(zip((flow + first).tolist(), *[c.to_pylist() for k, c in enumerate(columns) if f is not contractgraph.facts or k != 1], strict=True))
+
+    for f in (contractgraph.facts, contractgraph.unknown, contractgraph.issues):
+        assert found(flows, f) == sum((found([flow], f, k) for k, flow in enumerate(flows)), Counter())
+    assert {x for x in found(flows, contractgraph.unknown) if x[0] < 2} == {(0, "n70", "w"), (1, "n70", "w")}
