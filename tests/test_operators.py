@@ -222,3 +222,16 @@ def test_bad_policies(strategy):
         mask.compiled({"version": 1, "rules": [{"match": {}, "strategy": strategy}]})
     with pytest.raises(ValueError):
         mask.compiled({"version": 2})
+
+
+def test_tasks_do_not_grow_with_the_tables(spark, monkeypatch):
+    """Rows a task come from the table's size and not from the session's shuffle partitions, and work by trace stays in that partitioning."""
+    from spanflow.operators import steps
+
+    monkeypatch.setattr(steps, "TASK_ROWS", 50)
+    rows = spark.read.parquet(f"{SF}/events.parquet").count()
+    most = lambda df: df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    e = fixtures.event_spans(spark, SF)
+    assert e.rdd.getNumPartitions() == -(-rows // 50) > 4 and most(e) < rows / 4
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert steps.dealt(fixtures.order_spans(spark, SF), "trace_id", orders).rdd.getNumPartitions() == -(-orders // 50)
