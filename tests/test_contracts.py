@@ -300,3 +300,26 @@ def test_contracts_of_a_batch_are_one_graph():
     for f in (contractgraph.facts, contractgraph.unknown, contractgraph.issues):
         assert found(flows, f) == sum((found([flow], f, k) for k, flow in enumerate(flows)), Counter())
     assert {x for x in found(flows, contractgraph.unknown) if x[0] < 2} == {(0, "n70", "w"), (1, "n70", "w")}
+
+
+def test_a_store_with_attributes_inside_is_read_without_a_join(spark, tmp_path):
+    s = fixtures.with_attributes(fixtures.event_spans(spark, SF))
+    conf = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(conf)
+    try:
+        store.save_spans(s, "whole_spans_of_a_test", f"file://{tmp_path}", 8, apart=False)
+        got = store.load_spans(spark, "whole_spans_of_a_test", attributes=True)
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        assert "attributes" not in store.load_spans(spark, "whole_spans_of_a_test").columns
+        columns = ["trace_id", "span_id", "ordinal", "parent_span_id", F.to_json("attributes").alias("a")]
+        assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, s.select(*columns).collect()))
+    finally:
+        spark.conf.set(conf, before)
+        store.drop_store(spark, "whole_spans_of_a_test")
+
+
+def test_traces_are_not_shuffled_by_the_calls_of_a_contract(spark):
+    s = fixtures.with_attributes(fixtures.event_spans(spark, SF))
+    pairs = s.select("trace_id").distinct().crossJoin(spark.createDataFrame([(f,) for f in fixtures.FLOWS], "flow_id string"))
+    results = validate.validate(s, fixtures.contracts(spark), pairs)[1]
+    assert "Exchange hashpartitioning" not in results._jdf.queryExecution().executedPlan().toString()
