@@ -6,11 +6,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from test_operators import SF, SPAN, spans
 
-from spanflow.operators import callgraph, conditions, contractgraph, graph, lint, mask, match, ranges, report, validate
+from spanflow.operators import callgraph, conditions, contractgraph, gate, graph, lint, mask, match, ranges, report, validate
 from spanflow.plans import fixtures
 from spanflow.plans.queries import QUERIES
 from spanflow.sources import store
@@ -323,3 +324,16 @@ def test_traces_are_not_shuffled_by_the_calls_of_a_contract(spark):
     pairs = s.select("trace_id").distinct().crossJoin(spark.createDataFrame([(f,) for f in fixtures.FLOWS], "flow_id string"))
     results = validate.validate(s, fixtures.contracts(spark), pairs)[1]
     assert "Exchange hashpartitioning" not in results._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["json_report_read", "junit_report_read", "trace_verdict_linted"])
+def test_a_run_that_is_read_often_matches_traces_once(spark, monkeypatch, name):
+    """What is read more than once is read from a written step: no plan after it goes back to the events."""
+    made = []
+    kept = DataFrameWriter.json, DataFrameWriter.save, gate.verdict
+    monkeypatch.setattr(DataFrameWriter, "json", lambda w, *a, **k: (made.append(w._df), kept[0](w, *a, **k))[1])
+    monkeypatch.setattr(DataFrameWriter, "save", lambda w, *a, **k: (made.append(w._df), kept[1](w, *a, **k))[1])
+    monkeypatch.setattr(gate, "verdict", lambda *a: (made.append(kept[2](*a)), made[-1])[1])
+    QUERIES[name](spark, SF)
+    assert len(made) == 1
+    assert not any("events.parquet" in f for f in made[0].inputFiles())
