@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from test_operators import SF, SPAN, spans
 
 from spanflow.operators import callgraph, conditions, contractgraph, gate, graph, lint, mask, match, ranges, report, validate
+from spanflow.operators.steps import checkpointed
 from spanflow.plans import fixtures
 from spanflow.plans.queries import QUERIES
 from spanflow.sources import store
@@ -337,3 +338,27 @@ def test_a_run_that_is_read_often_matches_traces_once(spark, monkeypatch, name):
     QUERIES[name](spark, SF)
     assert len(made) == 1
     assert not any("events.parquet" in f for f in made[0].inputFiles())
+
+
+def test_what_has_a_row_a_trace_is_never_broadcast(spark, monkeypatch):
+    """However small its files are: the driver would have to hold all traces."""
+    planned = []
+
+    def wide(plan):
+        """The broadcasts of a plan that have a column of traces."""
+        if plan.nodeName().startswith("AdaptiveSparkPlan"):
+            return wide(plan.initialPlan())
+        found = [plan.toString()] if plan.nodeName().startswith("BroadcastExchange") and "trace_id" in plan.output().toString() else []
+        return sum((wide(plan.children().apply(k)) for k in range(plan.children().size())), found)
+
+    def seen(df):
+        planned.append(df)
+        return checkpointed(df)
+
+    monkeypatch.setattr(validate, "checkpointed", seen)
+    s = checkpointed(fixtures.with_attributes(fixtures.event_spans(spark, SF)))
+    pairs = s.select("trace_id").distinct().crossJoin(F.broadcast(spark.createDataFrame([(f,) for f in fixtures.FLOWS], "flow_id string")))
+    planned += validate.validate(s, fixtures.contracts(spark), pairs)
+    assert len(planned) > 5
+    for df in planned:
+        assert wide(df._jdf.queryExecution().executedPlan()) == []
